@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from furrow.llm import digest_index, packing, quality, tokens, toxicity, winnowing
+from furrow.llm import digest_index, near_dup, packing, quality, tokens, toxicity, winnowing
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_token_counts": tokens.op3_token_counts,
+    "op4_near_duplicates": near_dup.op4_near_duplicates,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_fingerprints": winnowing.op8_fingerprints,
