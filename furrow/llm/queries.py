@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from furrow.llm import digest_index, near_dup, packing, quality, tokens, toxicity, winnowing
+from furrow.llm import digest_index, kneser_ney, near_dup, packing, quality, tokens, toxicity, winnowing
 
 QUERIES = {
+    "op1_lm_scores": kneser_ney.op1_lm_scores,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_near_duplicates": near_dup.op4_near_duplicates,
