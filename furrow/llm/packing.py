@@ -222,7 +222,7 @@ def pack(pieces: DataFrame, work: str, capacity: int = CAPACITY, rounds: int = R
     # at most `capacity` rows, one for each length
     histogram = {r["__n"]: r["c"] for r in by_part.groupBy("__n").agg(F.sum("count").alias("c")).collect()}
     place = spark.sparkContext.broadcast(slots(patterns(histogram, capacity, rounds)))
-    joined = ranked.join(by_part.drop("count"), (ranked[length] == by_part["__n"]) & (ranked["__part"] == by_part["__part"]))
+    joined = ranked.join(by_part.drop("count").hint("merge"), (ranked[length] == by_part["__n"]) & (ranked["__part"] == by_part["__part"]))
     joined = joined.select(*[ranked[c] for c in names], (F.col("__rank") + F.col("__before")).alias("__rank"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
