@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from furrow.llm import digest_index, kneser_ney, near_dup, packing, quality, tokens, toxicity, winnowing
+from furrow.llm import digest_index, kneser_ney, near_dup, packing, quality, tokens, toxicity, training_order, winnowing
 
 QUERIES = {
     "op1_lm_scores": kneser_ney.op1_lm_scores,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_fingerprints": winnowing.op8_fingerprints,
+    "op9_training_order": training_order.op9_training_order,
     "op10_exact_dedup": digest_index.op10_exact_dedup,
 }
 
