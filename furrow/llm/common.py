@@ -89,8 +89,11 @@ def map_texts(
     small_batches(df.sparkSession)
     names = [f for f, _ in fields]
     keep = [c for c in keep if c not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{n}` {k}" for n, k in fields])
+    # a text that is kept is sent once
+    own = [] if text in keep else [F.col(f"`{text}`").cast("string").alias("__text")]
+    source = df.select(*[F.col(f"`{c}`") for c in keep], *own)
+    at = keep.index(text) if text in keep else len(keep)
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]] + [f"`{n}` {k}" for n, k in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -98,7 +101,7 @@ def map_texts(
         def texts() -> Iterator[list[bytes]]:
             for b in batches:
                 held.append(b)
-                yield raw_texts(b.column(b.num_columns - 1))
+                yield raw_texts(b.column(at))
 
         for new in fn(texts()):
             b = held.pop(0)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from furrow.llm import digest_index, kneser_ney, near_dup, packing, quality, tokens, toxicity, training_order, winnowing
+from furrow.llm import digest_index, kneser_ney, near_dup, packing, pieces, quality, tokens, toxicity, training_order, winnowing
 
 QUERIES = {
     "op1_lm_scores": kneser_ney.op1_lm_scores,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_near_duplicates": near_dup.op4_near_duplicates,
+    "op5_nbest_pieces": pieces.op5_nbest_pieces,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_fingerprints": winnowing.op8_fingerprints,
