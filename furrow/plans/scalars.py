@@ -10,14 +10,7 @@ from furrow.plans.feeds import FEEDS, feed, oracle
 FEEDS["rusle_factors"] = """SELECT p_partkey AS unit_id, p_retailprice AS r, p_size * 1e-3 AS k, 1e0 + (p_partkey % 7) * 1e-1 AS ls,
 CASE WHEN p_partkey % 13 = 0 THEN 1.1e0 ELSE (p_partkey % 11) * 1e-1 END AS c, (p_partkey % 6) * 2e-1 AS p,
 CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE (p_partkey % 9 + 1) * 1e0 END AS tolerance FROM part"""
-FEEDS["sections"] = """SELECT p_partkey AS section_id, p_partkey % 25 AS reach_id, p_size * 1e-1 AS width, 1.5e0 AS side, 5e-3 AS slope, 4e-2 AS rough,
-5e-1 + (p_partkey % 10) * 1e-1 AS max_depth, CASE p_partkey % 3 WHEN 0 THEN 'NEW' WHEN 1 THEN 'CURRENT' ELSE 'DEGRADED' END AS condition FROM part"""
 FEEDS["nested"] = """SELECT event_id, props, user_id FROM events"""
-FEEDS["steps"] = """SELECT l_orderkey AS line_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq,
-l_extendedprice / 1e2 AS x, l_quantity AS y, l_discount * 1e2 AS z FROM lineitem"""
-FEEDS["spans2"] = """SELECT a.line_id, a.seq, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy FROM steps a JOIN steps b ON a.line_id = b.line_id AND b.seq = a.seq + 1
-JOIN steps c ON a.line_id = c.line_id AND c.seq = a.seq + 2"""
-
 QUERIES, ORACLES = {}, {}
 
 
