@@ -42,3 +42,390 @@ def segments_within(a: DataFrame, b: DataFrame, buffer: str | float, cell: float
     d = X.seg_seg_dist(*[F.col(f"{p}_{c}") for p in "ab" for c in ("x0", "y0", "x1", "y1")])
     hit = left.join(right, [*on, "__cx", "__cy"]).withColumn("dist", d).filter(F.col("dist") <= F.col("__buffer"))
     return hit.select(*on, "a_id", "a_seq", "b_id", "b_seq", "dist").dropDuplicates([*on, "a_id", "a_seq", "b_id", "b_seq"])
+
+
+c = F.col
+
+
+def chainage(vertices: DataFrame, key: str = "line_id") -> DataFrame:
+    """vertices with the distance along their line, and whether one repeats the vertex before it."""
+    w = Window.partitionBy(key).orderBy("seq")
+    step = X.distance(c("x"), c("y"), F.lag("x").over(w), F.lag("y").over(w))
+    v = vertices.withColumn("step_m", F.coalesce(step, F.lit(0.0))).withColumn("repeated", F.coalesce(step <= 1e-12, F.lit(False)))
+    return v.withColumn("chainage", F.sum("step_m").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("step_m")
+
+
+def line_lengths(vertices: DataFrame, key: str = "line_id") -> DataFrame:
+    """length, vertex count and repeated vertices of each line; a line with repeats is rejected."""
+    g = chainage(vertices, key).groupBy(key).agg(F.max("chainage").alias("length"), F.count(F.lit(1)).alias("vertices"), F.count_if("repeated").alias("repeats"))
+    return g.withColumn("valid", (c("repeats") == 0) & (c("vertices") >= 2))
+
+
+def z_at(vertices: DataFrame, stations: DataFrame, bucket: float = 100.0, key: str = "line_id") -> DataFrame:
+    """stations (line, station) with x, y, z interpolated on their line, clamped to its ends. A station meets the
+    segments of its line that share its chainage bucket."""
+    w = Window.partitionBy(key).orderBy("seq")
+    seg = chainage(vertices, key)
+    axes = [n for n in "xyz" if n in vertices.columns]
+    seg = seg.select(key, c("chainage").alias("c0"), F.lead("chainage").over(w).alias("c1"), *[x for n in axes for x in (c(n).alias(f"{n}0"), F.lead(n).over(w).alias(f"{n}1"))]).filter("c1 > c0")
+    ends = seg.groupBy(key).agg(F.max("c1").alias("len"))
+    seg = seg.join(ends, key).withColumn("b", F.explode(F.sequence(F.floor(c("c0") / bucket), F.floor(c("c1") / bucket))))
+    s = stations.join(ends, key).withColumn("at", F.greatest(F.lit(0.0), F.least(c("station"), c("len")))).withColumn("b", F.floor(c("at") / bucket)).drop("len")
+    hit = s.join(seg, [key, "b"]).filter((c("c0") <= c("at")) & ((c("at") < c("c1")) | ((c("at") == c("len")) & (c("c1") == c("len")))))
+    t = (c("at") - c("c0")) / (c("c1") - c("c0"))
+    return hit.select(*stations.columns, *[(c(f"{n}0") + (c(f"{n}1") - c(f"{n}0")) * t).alias(n) for n in axes])
+
+
+def resample(vertices: DataFrame, step: float, key: str = "line_id", keep_vertices: bool = False) -> DataFrame:
+    """Evenly spaced stations no farther apart than step (two at least) with x, y, z; with the source vertices if asked."""
+    ends = chainage(vertices, key).groupBy(key).agg(F.max("chainage").alias("len")).filter("len > 0")
+    n = F.greatest(F.lit(2), F.ceil(c("len") / step) + 1).cast("int")
+    st = ends.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), c("n") - 1))).select(key, (c("len") * c("i") / (c("n") - 1)).alias("station"))
+    if keep_vertices:
+        st = st.unionByName(chainage(vertices, key).select(key, c("chainage").alias("station"))).distinct()
+    return z_at(vertices, st, key=key)
+
+
+def merge_intervals(df: DataFrame, key: list[str], lo: str = "lo", hi: str = "hi", tol: float = 1e-9) -> DataFrame:
+    """The union of overlapping or touching intervals of each key."""
+    w = Window.partitionBy(*key).orderBy(lo, hi)
+    before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.select(*key, lo, hi).withColumn("__new", F.when(before.isNull() | (c(lo) > before + tol), 1).otherwise(0))
+    df = df.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.groupBy(*key, "__g").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__g")
+
+
+def barrier_spans(vertices: DataFrame, barriers: DataFrame, half_width: float, key: str = "line_id", cell: float = 50.0) -> DataFrame:
+    """Chainage spans of lines within half_width of barrier axes (id, seq, x0, y0, x1, y1), merged. A segment's stay in a
+    capsule is an interval, because the capsule is convex: it is bounded by its crossings with the two end circles and
+    the two sides, in closed form."""
+    ch = chainage(vertices, key).select(key, "seq", "chainage")
+    seg = segments(vertices, key).join(ch, [key, "seq"])
+    near = segments_within(seg.select(c(key).alias("id"), "seq", "x0", "y0", "x1", "y1"), barriers, half_width, cell)
+    df = near.select(c("a_id").alias(key), c("a_seq").alias("seq"), c("b_id"), c("b_seq")).join(seg, [key, "seq"])
+    df = df.join(barriers.select(c("id").alias("b_id"), c("seq").alias("b_seq"), c("x0").alias("p0"), c("y0").alias("q0"), c("x1").alias("p1"), c("y1").alias("q1")), ["b_id", "b_seq"])
+    r = F.lit(float(half_width))
+    dx, dy, ex, ey = c("x1") - c("x0"), c("y1") - c("y0"), c("p1") - c("p0"), c("q1") - c("q0")
+    a = dx * dx + dy * dy
+    axis = F.sqrt(ex * ex + ey * ey)
+
+    def circle(px, py):
+        """Both parameters at which the line meets a circle, as an array; empty where it misses it."""
+        fx, fy = c("x0") - px, c("y0") - py
+        b, k = fx * dx + fy * dy, fx * fx + fy * fy - r * r
+        disc = b * b - a * k
+        return F.when((disc >= 0) & (a > 0), F.array((-b - F.sqrt(disc)) / a, (-b + F.sqrt(disc)) / a)).otherwise(F.array().cast("array<double>"))
+
+    # signed distance from the axis' line grows linearly along the segment
+    s0 = (ex * (c("y0") - c("q0")) - ey * (c("x0") - c("p0"))) / axis
+    s1 = (ex * (c("y1") - c("q0")) - ey * (c("x1") - c("p0"))) / axis
+    side = F.when((axis > 0) & (F.abs(s1 - s0) > 1e-12), F.array((r - s0) / (s1 - s0), (-r - s0) / (s1 - s0))).otherwise(F.array().cast("array<double>"))
+    at = F.concat(F.array(F.lit(0.0), F.lit(1.0)), circle(c("p0"), c("q0")), circle(c("p1"), c("q1")), side)
+    far = lambda t: X.pt_seg_dist(c("x0") + dx * t, c("y0") + dy * t, c("p0"), c("q0"), c("p1"), c("q1"))
+    inside = F.filter(at, lambda t: (t >= 0) & (t <= 1) & (far(t) <= r + 1e-7))
+    df = df.withColumn("ts", inside).filter(F.size("ts") > 0).select(key, (c("chainage") + F.array_min("ts") * c("len")).alias("lo"), (c("chainage") + F.array_max("ts") * c("len")).alias("hi"))
+    return merge_intervals(df.filter("hi > lo + 1e-9"), [key], tol=1e-6)
+
+
+def split_lines(lengths: DataFrame, spans: DataFrame, min_len: float, key: str = "line_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines (key, length) without their merged spans: kept pieces with numbers and end states, pieces too short to keep,
+    and each line's length balance."""
+    w = Window.partitionBy(key).orderBy("lo")
+    inner = spans.join(lengths, key).select(key, F.greatest("lo", F.lit(0.0)).alias("lo"), F.least("hi", "length").alias("hi"), "length").filter("hi > lo")
+    gaps = inner.select(key, F.coalesce(F.lag("hi").over(w), F.lit(0.0)).alias("lo"), c("lo").alias("hi"), F.when(F.lag("hi").over(w).isNull(), "SOURCE").otherwise("BARRIER").alias("start_state"), F.lit("BARRIER").alias("end_state"))
+    tail = inner.groupBy(key, "length").agg(F.max("hi").alias("lo")).select(key, "lo", c("length").alias("hi"), F.lit("BARRIER").alias("start_state"), F.lit("SOURCE").alias("end_state"))
+    free = lengths.join(inner.select(key).distinct(), key, "left_anti").select(key, F.lit(0.0).alias("lo"), c("length").alias("hi"), F.lit("SOURCE").alias("start_state"), F.lit("SOURCE").alias("end_state"))
+    pieces = gaps.unionByName(tail).unionByName(free).filter("hi > lo + 1e-9").withColumn("kept", (c("hi") - c("lo")) >= min_len)
+    kept = pieces.filter("kept").withColumn("piece", F.row_number().over(Window.partitionBy(key).orderBy("lo"))).drop("kept")
+    removed = inner.groupBy(key).agg(F.sum(c("hi") - c("lo")).alias("removed"))
+    both = pieces.groupBy(key).agg(F.sum(F.when(c("kept"), c("hi") - c("lo")).otherwise(0.0)).alias("kept_m"), F.sum(F.when(~c("kept"), c("hi") - c("lo")).otherwise(0.0)).alias("discarded_m"))
+    bal = lengths.join(both, key, "left").join(removed, key, "left").fillna(0.0, ["kept_m", "discarded_m", "removed"])
+    bal = bal.withColumn("balanced", F.abs(c("length") - c("kept_m") - c("discarded_m") - c("removed")) <= 1e-5)
+    return kept, pieces.filter("NOT kept").drop("kept"), bal
+
+
+def line_metrics(vertices: DataFrame, step: float, target: float, alert: float, key: str = "line_id") -> DataFrame:
+    """Grades (percent) of lines resampled at step, taken in the direction in which z falls: percentiles, shares over
+    target and alert, adverse share, and the grade from end to end."""
+    r = resample(vertices, step, key)
+    w = Window.partitionBy(key).orderBy("station")
+    g = r.withColumn("ds", c("station") - F.lag("station").over(w)).withColumn("dz", c("z") - F.lag("z").over(w))
+    ends = r.groupBy(key).agg(F.min_by("z", "station").alias("za"), F.max_by("z", "station").alias("zb"), F.max("station").alias("len"))
+    g = g.filter("ds > 0").join(ends, key).withColumn("grade", F.when(c("zb") > c("za"), -1.0).otherwise(1.0) * c("dz") / c("ds") * -100)
+    m, n = F.abs(c("grade")), F.count(F.lit(1))
+    q = F.percentile(m, [0.5, 0.95])
+    out = g.groupBy(key).agg(q.alias("q"), F.max(m).alias("grade_max"), (F.count_if(m > target) / n).alias("over_target"), (F.count_if(m > alert) / n).alias("over_alert"), (F.count_if(c("grade") < -1e-9) / n).alias("adverse"), F.first((F.abs(c("za") - c("zb")) / c("len") * 100)).alias("end_grade"))
+    return out.select(key, c("q")[0].alias("grade_p50"), c("q")[1].alias("grade_p95"), "grade_max", "over_target", "over_alert", "adverse", "end_grade")
+
+
+def reversals(segs: DataFrame, deadband: float = 0.20, key: str = "line_id") -> DataFrame:
+    """Sign changes of grade (percent) between neighbouring segments that aren't flat; flat ones are passed over."""
+    s = segs.filter(F.abs("grade") > deadband).withColumn("sign", F.signum("grade"))
+    w = Window.partitionBy(key).orderBy("seq")
+    return s.withColumn("turn", F.lag("sign").over(w) != c("sign")).groupBy(key).agg(F.count_if("turn").alias("reversals"))
+
+
+def grade_alerts(profiles: DataFrame, refs: DataFrame, key: str = "row_id") -> DataFrame:
+    """Profiles (row_id, seq, chainage, elevation) against a reference grade (row_id, threshold; null: none): alert
+    length and intervals of neighbouring segments over it. A profile with a null, a repeat or fewer than two points is
+    invalid; staying under the reference is no approval."""
+    w = Window.partitionBy(key).orderBy("seq")
+    p = profiles.withColumn("ds", c("chainage") - F.lag("chainage").over(w)).withColumn("dz", c("elevation") - F.lag("elevation").over(w)).withColumn("c0", F.lag("chainage").over(w))
+    ok = p.groupBy(key).agg((F.count(F.lit(1)) >= 2).alias("enough"), F.count_if(c("elevation").isNull() | c("chainage").isNull()).alias("nulls"), F.count_if(c("ds") <= 0).alias("repeats"), F.max("chainage").alias("length"), F.max(F.abs(c("dz") / F.nullif(c("ds"), F.lit(0.0))) * 100).alias("max_grade"))
+    ok = ok.withColumn("valid", c("enough") & (c("nulls") == 0) & (c("repeats") == 0)).join(refs, key, "left")
+    over = p.join(ok.filter("valid AND threshold IS NOT NULL").select(key, "threshold"), key).filter((c("ds") > 0) & (F.abs(c("dz") / c("ds")) * 100 > c("threshold") + 1e-9))
+    merged = merge_intervals(over.select(key, c("c0").alias("lo"), c("chainage").alias("hi")), [key])
+    alerts = merged.groupBy(key).agg(F.sum(c("hi") - c("lo")).alias("alert_length"), F.count(F.lit(1)).alias("intervals"))
+    out = ok.join(alerts, key, "left")
+    rated = c("valid") & c("threshold").isNotNull()
+    status = F.when(~c("valid"), "INVALID_SOURCE_PROFILE").when(c("threshold").isNull(), "NOT_EVALUATED").when(c("intervals") > 0, "SAMPLED_EXCEEDANCE").otherwise("NO_SAMPLED_EXCEEDANCE_NOT_APPROVED")
+    return out.select(key, F.when(c("valid"), c("length")).alias("length"), F.when(c("valid"), c("max_grade")).alias("max_grade"), F.when(rated, F.coalesce("alert_length", F.lit(0.0))).alias("alert_length"), F.when(rated, F.coalesce("intervals", F.lit(0))).alias("intervals"), status.alias("status"))
+
+
+def axis_profile(vertices: DataFrame, target: DataFrame, key: str = "line_id") -> DataFrame:
+    """|z - target| p95 and grade p95 and max of draped axes. target: line_id, target_z."""
+    w = Window.partitionBy(key).orderBy("seq")
+    v = vertices.join(target, key).withColumn("off", F.abs(c("z") - c("target_z")))
+    ds = X.distance(c("x"), c("y"), F.lag("x").over(w), F.lag("y").over(w))
+    v = v.withColumn("g", F.abs(c("z") - F.lag("z").over(w)) / F.nullif(ds, F.lit(0.0)) * 100)
+    return v.groupBy(key).agg(F.percentile("off", 0.95).alias("off_p95"), F.percentile("g", 0.95).alias("grade_p95"), F.max("g").alias("grade_max"))
+
+
+def curvature(vertices: DataFrame, min_radius: float | None, key: str = "line_id") -> DataFrame:
+    """Circumradii at interior vertices: least, p05, p50, those under the requirement, and the verdict."""
+    w = Window.partitionBy(key).orderBy("seq")
+    r = X.circumradius(F.lag("x").over(w), F.lag("y").over(w), c("x"), c("y"), F.lead("x").over(w), F.lead("y").over(w))
+    q = F.percentile("radius", [0.05, 0.5])
+    low = F.count_if(c("radius") < min_radius) if min_radius is not None else F.lit(None).cast("bigint")
+    g = vertices.withColumn("radius", r).groupBy(key).agg(F.min("radius").alias("min_radius"), q.alias("q"), low.alias("violations"))
+    verdict = F.when(c("violations").isNull(), "NOT_EVALUATED").when(c("violations") > 0, "FAIL_STATIC_PATH_RADIUS").otherwise("PASS_STATIC_PATH_RADIUS")
+    return g.select(key, "min_radius", c("q")[0].alias("p05"), c("q")[1].alias("p50"), "violations", verdict.alias("verdict"))
+
+
+def row_relations(vertices: DataFrame, group: list[str], cell: float = 50.0, key: str = "line_id") -> DataFrame:
+    """group, a_id, b_id, relation of pairs of lines of one group that meet (each pair once): CROSSING if any two
+    segments cross properly, else OVERLAP if any two share more than a point, else TOUCH."""
+    s = segments(vertices, [*group, key]).select(*group, c(key).alias("id"), "seq", "x0", "y0", "x1", "y1")
+    near = segments_within(s, s, 1e-9, cell, group).filter("a_id < b_id")
+    pick = lambda p: s.select(*group, c("id").alias(f"{p}_id"), c("seq").alias(f"{p}_seq"), *[c(n).alias(f"{p}{n}") for n in ("x0", "y0", "x1", "y1")])
+    both = near.join(pick("a"), [*group, "a_id", "a_seq"]).join(pick("b"), [*group, "b_id", "b_seq"])
+    a, b, p, q = (c("ax0"), c("ay0")), (c("ax1"), c("ay1")), (c("bx0"), c("by0")), (c("bx1"), c("by1"))
+    o = [X.cross(*a, *b, *p), X.cross(*a, *b, *q), X.cross(*p, *q, *a), X.cross(*p, *q, *b)]
+    eps = 1e-9
+    proper = (o[0] * o[1] < -eps) & (o[2] * o[3] < -eps)
+    line = (F.abs(o[0]) <= eps) & (F.abs(o[1]) <= eps)
+    along = F.when(F.abs(b[0] - a[0]) >= F.abs(b[1] - a[1]), F.least(F.greatest(a[0], b[0]), F.greatest(p[0], q[0])) - F.greatest(F.least(a[0], b[0]), F.least(p[0], q[0]))).otherwise(F.least(F.greatest(a[1], b[1]), F.greatest(p[1], q[1])) - F.greatest(F.least(a[1], b[1]), F.least(p[1], q[1])))
+    kind = F.when(proper, 3).when(line & (along > 1e-6), 2).otherwise(1)
+    g = both.groupBy(*group, "a_id", "b_id").agg(F.max(kind).alias("k"))
+    return g.select(*group, "a_id", "b_id", F.when(c("k") == 3, "CROSSING").when(c("k") == 2, "OVERLAP").otherwise("TOUCH").alias("relation"))
+
+
+def simplicity(vertices: DataFrame, key: str = "line_id", cell: float = 50.0) -> DataFrame:
+    """Whether a line's segments meet where they aren't neighbours, and whether it closes on itself."""
+    s = segments(vertices, key)
+    ends = vertices.groupBy(key).agg(F.min_by(F.struct("x", "y"), "seq").alias("a"), F.max_by(F.struct("x", "y"), "seq").alias("b"), F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
+    ends = ends.withColumn("ring", (c("a") == c("b")) & (c("n") > 2))
+    t = s.select(c(key).alias("id"), "seq", "x0", "y0", "x1", "y1", c(key).alias("__line"))
+    hit = segments_within(t, t, 1e-9, cell, ["__line"]).filter("b_seq > a_seq + 1").join(ends.select(c(key).alias("a_id"), "ring", "last"), "a_id")
+    hit = hit.filter(~(c("ring") & (c("a_seq") == 1) & (c("b_seq") == c("last") - 1)))  # where a ring closes
+    n = hit.groupBy(c("a_id").alias(key)).agg(F.count(F.lit(1)).alias("self_intersections"))
+    return ends.select(key, "ring").join(n, key, "left").fillna(0, ["self_intersections"])
+
+
+def classify_endpoints(vertices: DataFrame, edges: DataFrame, tol: float, key: str = "line_id", cell: float = 50.0) -> DataFrame:
+    """Both ends of each line: nearest headland or obstacle edge (surface, id, seq, x0..y1) within tol; ties within 1e-6
+    go to the obstacle; beyond it the end is unsupported."""
+    e = vertices.groupBy(key).agg(F.min_by(F.struct("x", "y"), "seq").alias("START"), F.max_by(F.struct("x", "y"), "seq").alias("END"))
+    pts = e.select(key, F.expr("stack(2, 'START', START, 'END', END) AS (which, p)")).select(key, "which", c("p.x").alias("x"), c("p.y").alias("y"))
+    seg = _cells(edges.select("surface", *[c(k).alias(f"s_{k}") for k in ("x0", "y0", "x1", "y1")]), F.lit(tol + 1e-6), cell, "s_")
+    at = pts.withColumn("__cx", F.floor(c("x") / cell)).withColumn("__cy", F.floor(c("y") / cell))
+    d = X.pt_seg_dist(c("x"), c("y"), c("s_x0"), c("s_y0"), c("s_x1"), c("s_y1"))
+    near = at.join(seg, ["__cx", "__cy"]).withColumn("d", d).groupBy(key, "which").agg(F.min(F.when(c("surface") == "HEADLAND", c("d"))).alias("head"), F.min(F.when(c("surface") == "OBSTACLE", c("d"))).alias("obst"))
+    out = pts.select(key, "which").join(near, [key, "which"], "left").withColumn("big", F.lit(1e300))
+    h, o = F.coalesce("head", "big"), F.coalesce("obst", "big")
+    kind = F.when((o <= tol) & (o <= h + 1e-6), "UNCLASSIFIED_OBSTACLE_EDGE").when(h <= tol, "HEADLAND_WORK_EDGE").otherwise("INTERNAL_UNSUPPORTED_ENDPOINT")
+    return out.select(key, "which", kind.alias("kind"))
+
+
+def adjacent_spacing(vertices: DataFrame, levels: DataFrame, spacing: float, factor: float = 2.0, step: float = 12.0, trim: float = 3.0, outside: float = 0.15, key: str = "line_id") -> DataFrame:
+    """Distances of interior samples of each row to rows of the next level of its group, both ways. levels: line_id,
+    group_id, level. A sample farther than factor * spacing from any is unpaired and counts as outside."""
+    v = vertices.join(levels, key)
+    ch = line_lengths(vertices, key).select(key, "length")
+    span = c("length") - 2 * trim
+    n = F.greatest(F.lit(1), F.ceil(span / step) + 1).cast("int")
+    st = ch.filter(span > 0).withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), c("n") - 1))).select(key, (F.when(c("n") > 1, c("i") * span / (c("n") - 1)).otherwise(span / 2) + trim).alias("station"))
+    pts = z_at(vertices, st, key=key).join(levels, key).withColumn("pid", F.struct(key, "station"))
+    reach = factor * spacing
+    seg = segments(v.select("group_id", "level", key, "seq", "x", "y"), ["group_id", "level", key])
+    seg = _cells(seg.select("group_id", "level", *[c(k).alias(f"s_{k}") for k in ("x0", "y0", "x1", "y1")]), F.lit(reach), 4 * reach, "s_")
+    both = pts.withColumn("other", F.explode(F.array(c("level") - 1, c("level") + 1))).withColumn("__cx", F.floor(c("x") / (4 * reach))).withColumn("__cy", F.floor(c("y") / (4 * reach)))
+    have = levels.select("group_id", c("level").alias("other")).distinct()
+    both = both.join(have, ["group_id", "other"])
+    d = X.pt_seg_dist(c("x"), c("y"), c("s_x0"), c("s_y0"), c("s_x1"), c("s_y1"))
+    near = both.join(seg.withColumnRenamed("level", "other"), ["group_id", "other", "__cx", "__cy"]).withColumn("d", d).filter(c("d") <= reach).groupBy("group_id", "other", key, "station").agg(F.min("d").alias("d"))
+    every = both.select("group_id", "other", key, "station").join(near, ["group_id", "other", key, "station"], "left")
+    q = F.percentile("d", [0.05, 0.5, 0.95])
+    g = every.groupBy("group_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if(c("d").isNull()).alias("unpaired"), q.alias("q"), (F.count_if(c("d").isNull() | (F.abs(c("d") - spacing) > outside * spacing)) / F.count(F.lit(1))).alias("outside_share"))
+    return g.select("group_id", "samples", "unpaired", c("q")[0].alias("p05"), c("q")[1].alias("p50"), c("q")[2].alias("p95"), "outside_share")
+
+
+def ray_spacing(samples: DataFrame, rows: DataFrame, spacing: float, tol: float) -> DataFrame:
+    """Rays from samples (sample_id, group_id, level, x, y, nx, ny: unit normal) towards the next level, at most 4 * spacing
+    long: first hit on a row (group_id, level, x0, y0, x1, y1); error p95, share outside, unpaired."""
+    reach = 4 * spacing
+    cell = 4 * reach
+    s = samples.withColumns({"ex": c("x") + c("nx") * reach, "ey": c("y") + c("ny") * reach})
+    left = _cells(s.select("sample_id", "group_id", (c("level") + 1).alias("level"), c("x").alias("r_x0"), c("y").alias("r_y0"), c("ex").alias("r_x1"), c("ey").alias("r_y1")), F.lit(0.0), cell, "r_")
+    right = _cells(rows.select("group_id", "level", *[c(k).alias(f"s_{k}") for k in ("x0", "y0", "x1", "y1")]), F.lit(1e-6), cell, "s_")
+    m = left.join(right, ["group_id", "level", "__cx", "__cy"])
+    dx, dy = c("r_x1") - c("r_x0"), c("r_y1") - c("r_y0")
+    ex, ey = c("s_x1") - c("s_x0"), c("s_y1") - c("s_y0")
+    den = dx * ey - dy * ex
+    fx, fy = c("s_x0") - c("r_x0"), c("s_y0") - c("r_y0")
+    t, u = F.try_divide(fx * ey - fy * ex, den), F.try_divide(fx * dy - fy * dx, den)
+    hit = m.filter(F.abs(den) > 1e-12).withColumn("t", t).withColumn("u", u).filter((c("t") >= 0) & (c("t") <= 1) & (c("u") >= -1e-9) & (c("u") <= 1 + 1e-9)).groupBy("sample_id").agg((F.min("t") * reach).alias("d"))
+    every = samples.select("sample_id", "group_id").join(hit, "sample_id", "left").withColumn("err", F.abs(c("d") - spacing))
+    n = F.count(F.lit(1))
+    return every.groupBy("group_id").agg(n.alias("samples"), F.count_if(c("d").isNull()).alias("unpaired"), F.percentile("err", 0.95).alias("error_p95"), (F.count_if(c("d").isNull() | (c("err") > tol)) * 100.0 / n).alias("outside_percent"))
+
+
+def continuity_summary(ends: DataFrame, simple: DataFrame, relations: DataFrame, radii: DataFrame, groups: DataFrame, key: str = "line_id") -> DataFrame:
+    """Per group: end kinds, loops, self-intersections, relations, radius violations, codes, status. groups: line_id, group_id."""
+    e = ends.join(groups, key).groupBy("group_id").agg(F.count_if(c("kind") == "HEADLAND_WORK_EDGE").alias("headland_ends"), F.count_if(c("kind") == "UNCLASSIFIED_OBSTACLE_EDGE").alias("obstacle_ends"), F.count_if(c("kind") == "INTERNAL_UNSUPPORTED_ENDPOINT").alias("unsupported_ends"))
+    s = simple.join(groups, key).groupBy("group_id").agg(F.count_if("ring").alias("loops"), F.count_if(c("self_intersections") > 0).alias("self_crossing"))
+    r = relations.groupBy("group_id").agg(F.count_if(c("relation") == "CROSSING").alias("crossings"), F.count_if(c("relation") == "OVERLAP").alias("overlaps"), F.count_if(c("relation") == "TOUCH").alias("touches"))
+    k = radii.join(groups, key).groupBy("group_id").agg(F.sum("violations").alias("radius_violations"))
+    out = groups.select("group_id").distinct().join(e, "group_id", "left").join(s, "group_id", "left").join(r, "group_id", "left").join(k, "group_id", "left").fillna(0)
+    codes = F.array_compact(F.array(
+        F.when(c("loops") > 0, "CLOSED_LOOP_WITHOUT_APPROVED_ENTRY"), F.when(c("unsupported_ends") > 0, "INTERNAL_UNSUPPORTED_ENDPOINT"), F.when(c("radius_violations") > 0, "MINIMUM_RADIUS_VIOLATION"),
+        F.when(c("crossings") > 0, "ROW_CROSSING"), F.when(c("overlaps") > 0, "ROW_OVERLAP"), F.when(c("touches") > 0, "ROW_TOUCH"), F.when(c("self_crossing") > 0, "SELF_INTERSECTION"),
+    ))
+    warn = F.when(c("obstacle_ends") > 0, "OBSTACLE_EDGE_UNCLASSIFIED").otherwise("")
+    return out.withColumn("blockers", F.array_join(codes, ",")).withColumn("warnings", warn).withColumn("status", F.when(c("blockers") == "", "CONTINUOUS_SCREENING").otherwise("BLOCKED"))
+
+
+def family_gate(summary: DataFrame) -> DataFrame:
+    """GEOMETRIC_PASS iff no code of the acceptance list stands against a group."""
+    accept = F.array(*[F.lit(x) for x in ("INTERNAL_UNSUPPORTED_ENDPOINT", "MINIMUM_RADIUS_VIOLATION", "ROW_CROSSING", "ROW_TOUCH", "SELF_INTERSECTION")])
+    hit = F.array_intersect(F.split("blockers", ","), accept)
+    return summary.select("group_id", F.array_join(F.array_sort(hit), ",").alias("blockers"), F.when(F.size(hit) == 0, "GEOMETRIC_PASS").otherwise("GEOMETRIC_FAIL").alias("verdict"))
+
+
+def polygon_measures(vertices: DataFrame) -> DataFrame:
+    """Closed rings (feature_id, part, ring, seq, x, y; ring 0 is the outer one): area in ha, perimeter, parts, holes."""
+    w = Window.partitionBy("feature_id", "part", "ring").orderBy("seq")
+    v = vertices.withColumn("nx", F.lead("x").over(w)).withColumn("ny", F.lead("y").over(w)).filter("nx IS NOT NULL")
+    ring = v.groupBy("feature_id", "part", "ring").agg(F.abs(F.sum(c("x") * c("ny") - c("nx") * c("y")) / 2).alias("a"), F.sum(X.distance(c("x"), c("y"), c("nx"), c("ny"))).alias("p"))
+    area = F.sum(F.when(c("ring") == 0, c("a")).otherwise(-c("a")))
+    return ring.groupBy("feature_id").agg((area / 1e4).alias("area_ha"), F.sum("p").alias("perimeter"), F.countDistinct("part").alias("parts"), F.count_if(c("ring") > 0).alias("holes"))
+
+
+def oriented_extent(vertices: DataFrame, key: str = "feature_id", sectors: int = 16) -> DataFrame:
+    """Angle and width of the narrowest enclosing rectangle. Only points extreme in one of `sectors` directions or on
+    the hull between two such can be on the hull; those inside the polygon of extremes are dropped first, and the rest
+    give the directions: each pair's."""
+    import math
+
+    v = vertices.select(key, "x", "y").distinct()
+    dirs = [(math.cos(2 * math.pi * i / sectors), math.sin(2 * math.pi * i / sectors)) for i in range(sectors)]
+    ext = v.groupBy(key).agg(*[F.max_by(F.struct("x", "y"), F.struct(c("x") * a + c("y") * b, "x", "y")).alias(f"e{i}") for i, (a, b) in enumerate(dirs)])
+    # outside or on the boundary of the polygon of extremes: left of no edge strictly
+    out = F.lit(False)
+    for i in range(sectors):
+        p, q = c(f"e{i}"), c(f"e{(i + 1) % sectors}")
+        out = out | (X.cross(p["x"], p["y"], q["x"], q["y"], c("x"), c("y")) <= 1e-9) & (p != q)
+    rim = v.join(ext, key).withColumn("rim", out).filter("rim").select(key, "x", "y")
+    pair = rim.alias("a").join(rim.alias("b"), key).filter("a.x < b.x OR (a.x = b.x AND a.y < b.y)").select(key, F.atan2(F.expr("b.y - a.y"), F.expr("b.x - a.x")).alias("t")).distinct()
+    u, w = c("x") * F.cos("t") + c("y") * F.sin("t"), c("y") * F.cos("t") - c("x") * F.sin("t")
+    box = pair.join(rim, key).groupBy(key, "t").agg((F.max(u) - F.min(u)).alias("along"), (F.max(w) - F.min(w)).alias("across"))
+    best = box.groupBy(key).agg(F.min(F.struct(F.round(c("along") * c("across"), 6).alias("area"), F.least("along", "across").alias("width"), F.greatest("along", "across").alias("length"))).alias("b"))
+    return best.select(key, "b.area", "b.width", "b.length")
+
+
+def filter_blocks(components: DataFrame, cell: float, spacing: float) -> DataFrame:
+    """Components (field, component, area, width), numbered by falling area before any is dropped; reasons for rejects."""
+    w = Window.partitionBy("field").orderBy(c("area").desc(), "component")
+    least = max(cell, 2 * spacing)
+    why = F.array_compact(F.array(F.when(c("area") < 9 * cell * cell, "AREA_BELOW_NINE_CELLS"), F.when(c("width") < least, "WIDTH_BELOW_MINIMUM")))
+    return components.withColumn("number", F.row_number().over(w)).withColumn("reasons", F.array_join(why, ",")).withColumn("kept", c("reasons") == "")
+
+
+def clip_lattice(edges: DataFrame, theta: float, spacing: float, phase: float, min_len: float = 8.0) -> DataFrame:
+    """field, k, piece, lo, hi: straight rows k * spacing + phase across direction theta, clipped to polygons (field, x0,
+    y0, x1, y1): the crossings of a row with the edges, sorted, pair up inside and outside."""
+    import math
+
+    ct, st = math.cos(math.radians(theta)), math.sin(math.radians(theta))
+    u = lambda i: c(f"x{i}") * ct + c(f"y{i}") * st
+    v = lambda i: c(f"y{i}") * ct - c(f"x{i}") * st
+    e = edges.select("field", u(0).alias("u0"), v(0).alias("v0"), u(1).alias("u1"), v(1).alias("v1"))
+    lo, hi = F.least("v0", "v1"), F.greatest("v0", "v1")
+    k0, k1 = F.ceil((lo - phase) / spacing), F.ceil((hi - phase) / spacing) - 1  # the upper end belongs to the next edge
+    x = e.withColumn("k", F.explode(F.when(k1 >= k0, F.sequence(k0, k1)).otherwise(F.array().cast("array<bigint>"))))
+    at = c("k") * spacing + phase
+    x = x.select("field", "k", (c("u0") + F.try_divide((c("u1") - c("u0")) * (at - c("v0")), c("v1") - c("v0"))).alias("u"))
+    w = Window.partitionBy("field", "k").orderBy("u")
+    x = x.withColumn("n", F.row_number().over(w)).withColumn("hi", F.lead("u").over(w)).filter("n % 2 = 1 AND hi IS NOT NULL").filter(c("hi") - c("u") >= min_len)
+    return x.select("field", "k", ((c("n") + 1) / 2).cast("int").alias("piece"), c("u").alias("lo"), "hi")
+
+
+def clip_to_strips(rows: DataFrame, strip_edges: DataFrame, min_len: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (row_id, x0, y0, x1, y1) cut into strips (strip_id, x0..y1 edges of closed rings): pieces, and their summary."""
+    r = rows.select("row_id", *[c(k).alias(f"r_{k}") for k in ("x0", "y0", "x1", "y1")])
+    a = _cells(r, F.lit(0.0), 50.0, "r_")
+    b = _cells(strip_edges.select("strip_id", F.monotonically_increasing_id().alias("edge"), *[c(k).alias(f"s_{k}") for k in ("x0", "y0", "x1", "y1")]), F.lit(1e-6), 50.0, "s_")
+    dx, dy = c("r_x1") - c("r_x0"), c("r_y1") - c("r_y0")
+    ex, ey = c("s_x1") - c("s_x0"), c("s_y1") - c("s_y0")
+    den = dx * ey - dy * ex
+    fx, fy = c("s_x0") - c("r_x0"), c("s_y0") - c("r_y0")
+    hit = a.join(b, ["__cx", "__cy"]).filter(F.abs(den) > 1e-12).withColumn("t", F.try_divide(fx * ey - fy * ex, den)).withColumn("u", F.try_divide(fx * dy - fy * dx, den))
+    hit = hit.filter((c("u") >= 0) & (c("u") < 1)).dropDuplicates(["row_id", "strip_id", "edge"])
+    # crossings of the whole line pair up; the row is the part between 0 and 1. A row's far crossings lie in cells it doesn't pass, so ends inside a strip are told by parity of those it does pass
+    inside = strip_edges.select("strip_id", "x0", "y0", "x1", "y1").join(rows.select("row_id", c("x0").alias("px"), c("y0").alias("py")), (c("y0") > c("py")) != (c("y1") > c("py"))).filter(c("px") < c("x0") + F.try_divide((c("x1") - c("x0")) * (c("py") - c("y0")), c("y1") - c("y0")))
+    starts = inside.groupBy("row_id", "strip_id").agg((F.count(F.lit(1)) % 2).alias("odd")).filter("odd = 1").select("row_id", "strip_id", F.lit(0.0).alias("t"))
+    cuts = hit.filter((c("t") > 0) & (c("t") < 1)).select("row_id", "strip_id", "t").unionByName(starts)
+    w = Window.partitionBy("row_id", "strip_id").orderBy("t")
+    p = cuts.withColumn("n", F.row_number().over(w)).withColumn("to", F.coalesce(F.lead("t").over(w), F.lit(1.0))).filter("n % 2 = 1").join(r, "row_id")
+    p = p.withColumn("len", (c("to") - c("t")) * F.sqrt(dx * dx + dy * dy)).filter(c("len") >= min_len).select("row_id", "strip_id", "t", "to", "len")
+    q = F.percentile("len", [0.05, 0.5, 0.95])
+    many = p.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(c("n") > 1).alias("split_rows"))
+    return p, p.agg(F.count(F.lit(1)).alias("pieces"), F.sum("len").alias("total"), q.alias("q"), F.max("len").alias("max")).select("pieces", "total", c("q")[0].alias("p05"), c("q")[1].alias("p50"), c("q")[2].alias("p95"), "max").crossJoin(many)
+
+
+def infer_connections(a: DataFrame, b: DataFrame, max_gap: float = 100.0) -> DataFrame:
+    """Rows of two fields with the same id (row_id, x0, y0, x1, y1): the nearest of the four pairs of ends, if not farther
+    than max_gap; angle of the row to the connector from the offset h across it."""
+    m = a.select("row_id", *[c(k).alias(f"a_{k}") for k in ("x0", "y0", "x1", "y1")]).join(b.select("row_id", *[c(k).alias(f"b_{k}") for k in ("x0", "y0", "x1", "y1")]), "row_id")
+    four = F.array(*[F.struct(X.distance(c(f"a_x{i}"), c(f"a_y{i}"), c(f"b_x{j}"), c(f"b_y{j}")).alias("gap"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    m = m.withColumn("best", F.array_min(four)).filter(c("best.gap") <= max_gap)
+    at = lambda p, k, n: F.when(c(f"best.{k}") == 0, c(f"{p}_{n}0")).otherwise(c(f"{p}_{n}1"))
+    gx, gy = at("b", "j", "x") - at("a", "i", "x"), at("b", "j", "y") - at("a", "i", "y")
+    ux, uy = c("a_x1") - c("a_x0"), c("a_y1") - c("a_y0")
+    h = F.abs(gx * uy - gy * ux) / F.sqrt(ux * ux + uy * uy)
+    angle = F.degrees(F.asin(F.least(F.lit(1.0), h * 2 / F.nullif(c("best.gap"), F.lit(0.0)))))
+    return m.select("row_id", c("best.gap").alias("gap"), c("best.i").alias("a_end"), c("best.j").alias("b_end"), angle.alias("angle"))
+
+
+def connection_summary(df: DataFrame, speeds: list[float], turn_s: float) -> DataFrame:
+    """Per speed (km/h): pairs, five numbers of the gap, turns saved, net minutes of crossing instead of turning."""
+    s = df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(float(v),) for v in speeds], "speed double")))
+    q = F.percentile("gap", [0.0, 0.25, 0.5, 0.75, 1.0])
+    g = s.groupBy("speed").agg(F.count(F.lit(1)).alias("pairs"), q.alias("q"), (F.sum(F.lit(turn_s) - c("gap") / (c("speed") / 3.6)) / 60).alias("net_minutes"))
+    return g.select("speed", "pairs", *[c("q")[i].alias(f"gap_q{i}") for i in range(5)], "net_minutes")
+
+
+def rank_trials(df: DataFrame) -> DataFrame:
+    """Trials (delta, phase, pairs, paired_m, median_gap) in order of preference."""
+    order = [c("pairs").desc(), c("paired_m").desc(), c("median_gap").asc(), F.abs("delta").asc(), c("phase").asc(), c("delta").asc()]
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy("pair_id").orderBy(*order)))
+
+
+def interface(a: DataFrame, b: DataFrame, reach: float, tol: float, cell: float = 50.0) -> DataFrame:
+    """Of two sets of field edges (field, id, seq, x0..y1) per pair of fields within reach: least distance, and length of
+    a's edges that run within tol of b's."""
+    near = segments_within(a, b, reach, cell)
+    af, bf = a.select(c("id").alias("a_id"), c("seq").alias("a_seq"), c("field").alias("a_field"), X.distance(c("x0"), c("y0"), c("x1"), c("y1")).alias("len")), b.select(c("id").alias("b_id"), c("seq").alias("b_seq"), c("field").alias("b_field"))
+    m = near.join(af, ["a_id", "a_seq"]).join(bf, ["b_id", "b_seq"])
+    shared = m.filter(c("dist") <= tol).select("a_field", "b_field", "a_id", "a_seq", "len").distinct().groupBy("a_field", "b_field").agg(F.sum("len").alias("near_m"))
+    return m.groupBy("a_field", "b_field").agg(F.min("dist").alias("min_dist")).join(shared, ["a_field", "b_field"], "left").fillna(0.0, ["near_m"])

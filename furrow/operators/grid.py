@@ -49,7 +49,7 @@ def mask_cells(cells: DataFrame, edges: DataFrame, all_touched: bool = False, re
     keys = cells.select(*RC)
     met = keys.join(banded, "row")
     crosses = (c("y0") > y) != (c("y1") > y)
-    right = x < c("x0") + (c("x1") - c("x0")) * (y - c("y0")) / (c("y1") - c("y0"))
+    right = x < c("x0") + F.try_divide((c("x1") - c("x0")) * (y - c("y0")), c("y1") - c("y0"))
     out = met.filter(crosses & right).groupBy("field", *RC).agg((F.count(F.lit(1)) % 2).alias("odd")).filter("odd = 1").select("field", *RC)
     if all_touched:
         dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
