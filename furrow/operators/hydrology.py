@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from furrow.functions import expr as X
 
-EVENT = Window.partitionBy("event_id").orderBy("idx")
 EPS = 1e-12
 
 
+def _event() -> Window:
+    return Window.partitionBy("event_id").orderBy("idx")
+
+
 def mass_balance(intervals: DataFrame, catchments: DataFrame, tol: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Intervals with volumes, residual and mean rates; events with totals and PASS or FAIL."""
     rows = intervals.join(catchments, "event_id")
@@ -36,7 +39,7 @@ def mass_balance(intervals: DataFrame, catchments: DataFrame, tol: float = 0.05)
 
 def storage_breaks(intervals: DataFrame) -> DataFrame:
     """Intervals that don't start where the one before ended."""
-    before = F.lag("storage_end_m3").over(EVENT)
+    before = F.lag("storage_end_m3").over(_event())
     gap = F.col("storage_start_m3") - F.col("before_m3")
     return intervals.withColumn("before_m3", before).withColumn("gap_m3", gap).filter(F.abs("gap_m3") > 1e-9).select("event_id", "idx", "gap_m3")
 
@@ -44,10 +47,10 @@ def storage_breaks(intervals: DataFrame) -> DataFrame:
 def rainfall_excess(intervals: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Incremental excess of the running curve-number runoff; and the event roll-up.
     params: event_id, area_ha, curve_number, ia_ratio."""
-    run = EVENT.rowsBetween(Window.unboundedPreceding, 0)
+    run = _event().rowsBetween(Window.unboundedPreceding, 0)
     rows = intervals.join(params, "event_id").withColumn("cumulative_mm", F.sum("rain_mm").over(run)).withColumn("elapsed_s", F.sum("duration_s").over(run))
     rows = rows.withColumn("runoff_mm", X.cn_runoff(F.col("cumulative_mm"), F.col("curve_number"), F.col("ia_ratio")))
-    rows = rows.withColumn("excess_mm", F.greatest(F.lit(0.0), F.col("runoff_mm") - F.coalesce(F.lag("runoff_mm").over(EVENT), F.lit(0.0))))
+    rows = rows.withColumn("excess_mm", F.greatest(F.lit(0.0), F.col("runoff_mm") - F.coalesce(F.lag("runoff_mm").over(_event()), F.lit(0.0))))
     rows = rows.withColumn("loss_mm", F.col("rain_mm") - F.col("excess_mm")).withColumn("intensity_mm_h", F.col("rain_mm") / F.col("duration_s") * 3600)
     events = rows.groupBy("event_id", "area_ha").agg(F.sum("rain_mm").alias("rain_mm"), F.sum("excess_mm").alias("excess_mm"), F.max("intensity_mm_h").alias("peak_intensity_mm_h"))
     events = events.withColumn("excess_m3", F.col("excess_mm") * F.col("area_ha") * 10)
