@@ -8,12 +8,15 @@ different seeds; the number of seeds is a power of two that follows from the set
 two such powers is banded under both, so that sets similar enough to be linked always share one.
 
 ROWS neighbouring registers make a band; classes that agree in a band share a bucket. Buckets are not turned into all
-pairs. Each round picks a hub in every open bucket and compares the other members with it: the estimate from the
+pairs. First each bucket's smallest member is its hub, and the other members are compared with it: the estimate from the
 registers, corrected for chance collisions, first; then, where it doesn't rule a link out, the full sets. Links merge
-components. A member that is linked to the hub can still be the only bridge to a member that is not, but by the
-triangle inequality of the Jaccard distance only if that one is at least half similar to the hub. So a bucket keeps its
-linked members for the next round only while such half-similar members are left, and it closes when all its members are
-in one component. Every round takes at least one member out of each open bucket, and rounds go on until none is open.
+components. Most buckets then lie within one component and are closed. In the others a member that is linked to the hub
+can still be the bridge to one that is not, but by the triangle inequality of the Jaccard distance only if that one is
+at least half similar to the hub; without such a member the linked ones leave the bucket. What is left of the open
+buckets hangs together in clusters; a cluster is cut into chunks of at most about CHUNK members, and each pair of chunks
+is one task, which intersects their full sets exactly (as products of 0/1 matrices) and sends on one link for each two
+components that have any. The work of this step grows with the square of a cluster of members that resemble each other
+without being linked, but no task, and no row count between tasks, does.
 
 Defined cases: a null text or one without words has an empty set and is its own component; fewer than five words are
 one shingle; repeated rows are linked as equal sets; a null id is left out of links (component null, kept true); an
@@ -36,12 +39,16 @@ REGISTERS = 128
 ROWS = 4
 MANTISSA = 10
 #: Items that a set should have, seeds counted, so that next to no register stays empty.
-FULL = 1024
+FULL = 512
 SHARE = (3, 4)
 #: Estimates under this leave no doubt that a pair isn't linked (over five standard errors at 128 registers).
 SURELY_NOT = 0.55
 #: Estimates under this leave no doubt that a pair isn't half similar.
 SURELY_FAR = 0.30
+#: Members of a cluster on either side of one task.
+CHUNK = 512
+#: Of the table that thins out documents; 2.1 MB of bits.
+BITS = 1 << 24
 
 _ODD = np.array([0x9E3779B97F4A7C15 * k % 2**64 | 1 for k in (1, 3, 5, 7, 11)], dtype=np.uint64)
 
@@ -54,9 +61,11 @@ def shingles(raw: bytes, hashes: WordHashes, k: int = SHINGLE) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     h = hashes(words)
     m = max(n - k + 1, 1)
-    out = np.zeros(m, dtype=np.uint64)
-    for j in range(min(k, n)):
-        out += mix(h[j : j + m] * _ODD[j % 5] + np.uint64(j + 1))
+    out = h[:m] * _ODD[0]
+    for j in range(1, min(k, n)):
+        out += h[j : j + m] * _ODD[j % 5]
+    if n < k:
+        out += np.uint64(n)
     return np.unique(mix(out))
 
 
@@ -73,21 +82,29 @@ def seed_classes(n: int, num: int = SHARE[0], den: int = SHARE[1]) -> list[int]:
     return sorted({seeds(n), seeds(max(1, -(-n * num // den))), seeds(n * den // num)})
 
 
-def registers(items: np.ndarray, t: int) -> np.ndarray:
-    """REGISTERS registers of 16 bits: 6 bits of leading zeros (more is rarer, kept inverted) over MANTISSA bits; the
-    smallest wins. 0xFFFF: empty."""
-    x = np.concatenate([mix(items ^ np.uint64(0xA24BAED4963EE407 * (s + 1) % 2**64)) for s in range(t)]) if t > 1 else mix(items ^ np.uint64(0xA24BAED4963EE407))
+def smallest_rests(items: np.ndarray, ts: list[int]) -> np.ndarray:
+    """For each number of seeds, the smallest rest of a hash that each of the REGISTERS registers has seen."""
+    x = mix(items[None, :] ^ _SEEDS[: max(ts), None])
     bucket = (x >> np.uint64(57)).astype(np.int64)
     rest = (x << np.uint64(7)) | np.uint64(64)  # ends the run of zeros at last
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    np.minimum.at(least, bucket, rest)
-    empty = least == np.iinfo(np.uint64).max
+    least = np.full((len(ts), REGISTERS), _NONE, dtype=np.uint64)
+    for row, t in zip(least, ts, strict=True):
+        np.minimum.at(row, bucket[:t].ravel(), rest[:t].ravel())
+    return least
+
+
+_NONE = np.uint64(2**64 - 1)
+_SEEDS = np.array([0xA24BAED4963EE407 * (2 * s + 1) % 2**64 for s in range(FULL)], dtype=np.uint64)
+
+
+def shortened(least: np.ndarray) -> np.ndarray:
+    """Registers of 16 bits: 6 bits of leading zeros (more is rarer, kept inverted) over MANTISSA bits. 0xFFFF: empty."""
     # leading zeros from the exponent of the value; the top bit is then cut off and the mantissa follows it
     top = np.floor(np.log2(np.maximum(least, 1).astype(np.float64) * (1 - 2**-53))).astype(np.int64)
     top = np.minimum(top, 63)
     short = np.where(top > MANTISSA, least >> np.maximum(top - MANTISSA, 0).astype(np.uint64), least) & np.uint64((1 << MANTISSA) - 1)
     out = (top.astype(np.uint64) << np.uint64(MANTISSA)) | short
-    return np.where(empty, 0xFFFF, out).astype("<u2")
+    return np.where(least == _NONE, 0xFFFF, out).astype("<u2")
 
 
 def collisions(n: np.ndarray, m: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -104,14 +121,16 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip((same - c) / (1 - c), 0, 1)
 
 
-def bands(regs: np.ndarray, t: int) -> np.ndarray:
-    """One 64-bit key a band; bands with an empty register have none."""
-    r = regs.reshape(-1, ROWS).astype(np.uint64)
-    key = np.zeros(len(r), dtype=np.uint64)
+def bands(regs: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key for each band of each row of registers (t: its number of seeds), and which of them count: bands
+    with an empty register don't."""
+    r = regs.reshape(len(regs), -1, ROWS).astype(np.uint64)
+    key = np.zeros(r.shape[:2], dtype=np.uint64)
     for j in range(ROWS):
-        key = key << np.uint64(16) | r[:, j]
-    key = mix(mix(key) + np.arange(1, len(r) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t * 0xD1B54A32D192ED03 % 2**64))
-    return key[(r != 0xFFFF).all(1)].astype(np.int64)
+        key = key << np.uint64(16) | r[:, :, j]
+    place = np.arange(1, r.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    key = mix(mix(key) + place[None, :] + (t.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))[:, None])
+    return key.astype(np.int64), (r != 0xFFFF).all(2)
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,7 +143,11 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         for texts in batches:
             sets = [shingles(t, hashes) for t in texts]
             names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield [pa.array(list(map(len, sets)), pa.int64()), pa.array(names, pa.binary()), pa.array([_register_list(s) for s in sets], _SIGNATURE)]
+            classes = [seed_classes(len(s)) if len(s) else [] for s in sets]
+            least = [smallest_rests(s, ts) for s, ts in zip(sets, classes, strict=True) if ts]
+            regs = iter(shortened(np.concatenate(least)) if least else ())
+            sigs = [[{"t": t, "regs": next(regs).tobytes()} for t in ts] for ts in classes]
+            yield [pa.array(list(map(len, sets)), pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, _SIGNATURE)]
 
     return map_texts(docs, run, [("n_shingles", "bigint"), ("class", "binary"), ("signatures", "array<struct<t:int,regs:binary>>")], [doc_id], text)
 
@@ -132,23 +155,18 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 _SIGNATURE = pa.list_(pa.struct([("t", pa.int32()), ("regs", pa.binary())]))
 
 
-def _register_list(items: np.ndarray) -> list[dict]:
-    return [{"t": t, "regs": registers(items, t).tobytes()} for t in seed_classes(len(items))] if len(items) else []
-
-
 def banded(classes: DataFrame) -> DataFrame:
     """key, rep of every band of every class under each of its seed classes."""
     small_batches(classes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys = [], []
-            for rep, sigs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                k = np.unique(np.concatenate([bands(np.frombuffer(s["regs"], "<u2"), s["t"]) for s in sigs]))
-                keys.append(k)
-                ids.append(np.full(len(k), rep, dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "rep"])
+            rows = [(rep, s["t"], s["regs"]) for rep, sigs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s in sigs]
+            if rows:
+                regs = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(len(rows), REGISTERS)
+                key, counts = bands(regs, np.array([r[1] for r in rows], dtype=np.int64))
+                rep = np.repeat(np.array([r[0] for r in rows], dtype=np.int64)[:, None], key.shape[1], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(key[counts]), pa.array(rep[counts])], names=["key", "rep"])
 
     return classes.select("rep", "signatures").mapInArrow(run, "key bigint, rep bigint")
 
@@ -174,15 +192,66 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "hub bigint, rep bigint, guess double")
 
 
+def block_links(members: DataFrame) -> DataFrame:
+    """hub, rep: a link for each two components that have one within the pair of chunks. members: block (a pair of
+    chunks), side (0, 1; 2: both, where a chunk meets itself), rep, component, items."""
+    num, den = SHARE
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, component, side = (np.asarray(table.column(c).to_numpy()) for c in ("rep", "component", "side"))
+        sets = [np.frombuffer(v.as_buffer(), "<u8") for v in table.column("items").combine_chunks()]
+        size = np.array(list(map(len, sets)), dtype=np.int64)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        common = np.zeros((len(left), len(right)), dtype=np.float32)
+        if len(left) and len(right):
+            items, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            owner = np.repeat(np.arange(len(sets)), size)
+            shared = often[at] > 1  # an item of one member is in no intersection
+            column = np.cumsum(often > 1) - 1
+            at, owner = column[at[shared]], owner[shared]
+            order = np.argsort(at, kind="stable")
+            at, owner = at[order], owner[order]
+            for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 8192):
+                i, j = np.searchsorted(at, [lo, lo + 8192])
+                x = np.zeros((len(sets), 8192), dtype=np.float32)
+                x[owner[i:j], at[i:j] - lo] = 1
+                common += x[left] @ x[right].T
+        union = size[left][:, None] + size[right][None, :] - common
+        hit = (den * common >= num * union) & (component[left][:, None] != component[right][None, :])
+        a, b = np.nonzero(hit)
+        a, b = left[a], right[b]
+        low, high = np.minimum(component[a], component[b]), np.maximum(component[a], component[b])
+        _, one = np.unique(np.stack([low, high], 1), axis=0, return_index=True)
+        return pa.table({"hub": pa.array(rep[a[one]], pa.int64()), "rep": pa.array(rep[b[one]], pa.int64())})
+
+    return members.groupBy("block").applyInArrow(run, "hub bigint, rep bigint")
+
+
+def chunk_pairs(members: DataFrame) -> DataFrame:
+    """members (rep, component, cluster, items) once for each pair of chunks of its cluster that its chunk is in."""
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    m = members.join(sizes, "cluster").withColumn("chunks", F.ceil(F.col("size") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    own, other = F.col("chunk"), F.col("other")
+    return m.select(F.struct("cluster", F.least(own, other).alias("i"), F.greatest(own, other).alias("j")).alias("block"), F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side"), "rep", "component", "items")
+
+
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, items (sorted 64-bit shingle hashes, little-endian) of the given documents' whole texts."""
+    """id, items (sorted 64-bit shingle hashes, little-endian) of the given documents' whole texts.
+
+    A bit table of fixed size, at most BITS / 63 rows, thins the documents out before their sets are shuffled to the
+    ids; where there are more ids than it can tell apart it lets more through, and the join drops them."""
 
     def run(batches: Iterator[list[bytes]]) -> Iterator[list[pa.Array]]:
         hashes = WordHashes()
         for texts in batches:
             yield [pa.array([shingles(t, hashes).astype("<u8").tobytes() for t in texts], pa.binary())]
 
-    return map_texts(docs.join(ids, "id", "left_semi"), run, [("items", "binary")], ["id"]).dropDuplicates(["id"])
+    place = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    word, mask = F.floor(place / 63), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {BITS}L) % 63 AS INT))")
+    bits = ids.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__mask"))
+    some = docs.withColumn("__w", word).join(F.broadcast(bits), F.col("__w") == F.col("__word")).filter(F.col("__mask").bitwiseAND(mask) != 0).select("id", "text")
+    return map_texts(some, run, [("items", "binary")], ["id"]).join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -238,46 +307,36 @@ def groups(docs: DataFrame, work: str, doc_id: str = "doc_id", text: str = "text
     open_ = materialise(banded(classes), f"{work}/bands")
     shared = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     open_ = materialise(open_.join(shared.select("key"), "key", "left_semi"), f"{work}/open0")
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    label = None
-    done = None
-    round_ = 0
-    while not open_.isEmpty():
-        at = f"{work}/round{round_}"
-        # the hub of a bucket: its smallest member at first (most buckets of a group agree on it), then by hash
-        order = F.struct("rep") if round_ == 0 else F.struct(F.xxhash64("rep", F.lit(round_)), "rep")
-        hubs = open_.groupBy("key").agg(F.min(order).alias("m")).select("key", F.col("m.rep").alias("hub"))
-        member = materialise(open_.join(hubs, "key").filter("rep != hub"), f"{at}/members")
-        pairs = member.select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("rep")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("hub", "rep"), ["hub", "rep"], "left_anti")
-        guess = materialise(estimated(pairs, classes), f"{at}/guess")
-        close = guess.filter(F.col("guess") >= SURELY_NOT)
-        ids = close.select(F.explode(F.array("hub", "rep")).alias("id")).distinct()
-        sets = materialise(full_sets(own, ids), f"{at}/sets")
-        seen = guess.join(verified(close.select("hub", "rep"), sets), ["hub", "rep"], "left").select("hub", "rep", "guess", F.coalesce("linked", F.lit(False)).alias("linked"))
-        seen = materialise(seen, f"{at}/seen")
-        done = seen if done is None else materialise(done.unionByName(seen), f"{at}/done")
-        links = materialise(links.unionAll(seen.filter("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))), f"{at}/links")
-        label = components(links, f"{at}/components")
-        # what is still open
-        pair = [F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("rep")]
-        told = member.select("key", F.col("rep").alias("own"), *pair).join(done, ["hub", "rep"])
-        told = told.select("key", F.col("own").alias("rep"), "linked", (~F.col("linked") & (F.col("guess") >= SURELY_FAR)).alias("half"))
-        told = told.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        told = materialise(told, f"{at}/told")
-        by_key = told.groupBy("key").agg(F.max("half").alias("any_half"), (F.min("component") != F.max("component")).alias("several"), F.max(~F.col("linked")).alias("any_out"))
-        go_on = by_key.filter("several AND any_out")
-        left = told.join(go_on, "key").filter("any_half OR NOT linked").select("key", "rep", "component")
-        again = left.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).filter("several").select("key")
-        open_ = materialise(left.join(again, "key", "left_semi").select("key", "rep"), f"{at}/open")
-        round_ += 1
+    # most buckets of a group agree on their smallest member, so it is the hub of all of them
+    hubs = open_.groupBy("key").agg(F.min("rep").alias("hub"))
+    member = materialise(open_.join(hubs, "key").filter("rep != hub"), f"{work}/members")
+    guess = materialise(estimated(member.select("hub", "rep").distinct(), classes), f"{work}/guess")
+    close = guess.filter(F.col("guess") >= SURELY_NOT).select("hub", "rep")
+    sets = materialise(full_sets(own, close.select(F.explode(F.array("hub", "rep")).alias("id")).distinct()), f"{work}/sets")
+    seen = guess.join(verified(close, sets), ["hub", "rep"], "left").select("hub", "rep", "guess", F.coalesce("linked", F.lit(False)).alias("linked"))
+    seen = materialise(seen, f"{work}/seen")
+    links = seen.filter("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    label = components(links, f"{work}/first")
+    # what is still open
+    told = member.join(seen, ["hub", "rep"]).select("key", "rep", "linked", (~F.col("linked") & (F.col("guess") >= SURELY_FAR)).alias("half"))
+    told = told.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    told = materialise(told, f"{work}/told")
+    several = (F.min("component") != F.max("component")).alias("several")
+    by_key = told.groupBy("key").agg(F.max("half").alias("any_half"), several).filter("several")
+    left = told.join(by_key, "key").filter("any_half OR NOT linked").select("key", "rep", "component")
+    again = left.groupBy("key").agg(several, F.min("rep").alias("first")).filter("several").select("key", "first")
+    left = materialise(left.join(again, "key"), f"{work}/left")
+    # a member ties its buckets' first members together: as a star around the smallest of them, not bucket by bucket
+    star = left.groupBy("rep").agg(F.min("first").alias("low"))
+    ties = left.join(star, "rep").select(F.col("low").alias("a"), F.col("first").alias("b")).unionAll(star.select(F.col("low").alias("a"), F.col("rep").alias("b")))
+    cluster = components(ties.filter("a != b").distinct(), f"{work}/clusters")
+    few = left.select("rep", "component").distinct().join(cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    few = materialise(few.join(full_sets(own, few.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep"), f"{work}/few")
+    more = materialise(block_links(chunk_pairs(few)), f"{work}/more")
+    if not more.isEmpty():
+        label = components(links.unionAll(more), f"{work}/second")
     named = classes.select("class", "rep")
-    if label is not None:
-        named = named.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    else:
-        named = named.withColumnRenamed("rep", "component")
+    named = named.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     named = materialise(named, f"{work}/named")
     out = rows.select("id", "n_shingles", "class").join(named.hint("merge"), "class", "left")
     smallest = F.coalesce("component", "id")
