@@ -61,7 +61,7 @@ def publish(path: str, write: Callable[[str], None]) -> None:
 
 def materialise(df: DataFrame, path: str) -> DataFrame:
     """Cut the lineage with a written table in the shared folder; it outlives the executors that made it."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
