@@ -65,7 +65,7 @@ def ge2(spark, d):
     return rounded(G.resample(feed(spark, d, "steps"), 150.0).select("line_id", "station", "x", "y", "z"), ["x", "y", "z"], 8).withColumn("station", R("station", 7))
 
 
-@query("ge3_z_at", """SELECT line_id, station, round(z0 + (z1 - z0) * (least(station, len) - c0) / (c1 - c0), 6) AS z FROM (SELECT e.line_id, s.station, e.len, l.* FROM line_ends e, (VALUES (7e1), (3e2), (5e3)) s(station), legs l WHERE l.line_id = e.line_id AND c1 > c0 AND c0 <= least(station, len) AND (least(station, len) < c1 OR c1 = len AND station >= len)) q""".replace("e.line_id, s.station, e.len, l.*", "e.line_id AS lid, s.station, e.len, l.*").replace("SELECT line_id, station", "SELECT lid AS line_id, station", 1))
+@query("ge3_z_at", """SELECT line_id, station, CASE WHEN abs(z0 + (z1 - z0) * (least(station, len) - c0) / (c1 - c0)) < 1e-9 THEN 0e0 ELSE round(z0 + (z1 - z0) * (least(station, len) - c0) / (c1 - c0), 6) END AS z FROM (SELECT e.line_id, s.station, e.len, l.* FROM line_ends e, (VALUES (7e1), (3e2), (5e3)) s(station), legs l WHERE l.line_id = e.line_id AND c1 > c0 AND c0 <= least(station, len) AND (least(station, len) < c1 OR c1 = len AND station >= len)) q""".replace("e.line_id, s.station, e.len, l.*", "e.line_id AS lid, s.station, e.len, l.*").replace("SELECT line_id, station", "SELECT lid AS line_id, station", 1))
 def ge3(spark, d):
     st = feed(spark, d, "SELECT DISTINCT line_id FROM steps").withColumn("station", F.explode(F.array(F.lit(70.0), F.lit(300.0), F.lit(5000.0))))
     return G.z_at(feed(spark, d, "steps"), st).select("line_id", "station", R("z").alias("z"))

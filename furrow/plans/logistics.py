@@ -50,7 +50,7 @@ def lo1(spark, d):
     return rounded(L.segment_mass(feed(spark, d, "mass_rows"), 12.0), ["mass_t"], 8).drop("length_m", "yield_t_ha")
 
 
-@query("lo2_load_events", """WITH s AS (SELECT *, sum(mass_t) OVER (PARTITION BY run_id ORDER BY sequence, segment_id ROWS UNBOUNDED PRECEDING) AS m1, row_number() OVER (PARTITION BY run_id ORDER BY sequence DESC, segment_id DESC) AS back FROM run_segments)
+@query("lo2_load_events", """WITH s AS (SELECT *, sum(mass_t) OVER (PARTITION BY run_id ORDER BY sequence, segment_id, mass_t ROWS UNBOUNDED PRECEDING) AS m1, row_number() OVER (PARTITION BY run_id ORDER BY sequence DESC, segment_id DESC, mass_t DESC) AS back FROM run_segments)
 SELECT run_id, k, 'FULL' AS kind, segment_id, k * 4e1 - (m1 - mass_t) AS offset_mass, 4e1 AS mass_t FROM s, LATERAL (SELECT unnest(range(CAST(floor((m1 - mass_t) / 40) AS BIGINT) + 1, CAST(floor(m1 / 40) AS BIGINT) + 1)) AS k)
 UNION ALL SELECT run_id, CAST(floor(m1 / 40) AS BIGINT) + 1, 'PARTIAL', segment_id, mass_t, m1 - 40 * floor(m1 / 40) FROM s WHERE back = 1 AND m1 - 40 * floor(m1 / 40) > 0""")
 def lo2(spark, d):
