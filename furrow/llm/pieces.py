@@ -72,6 +72,7 @@ class Lattice:
         # no piece holds these characters, so they part words as well
         self.parts = re.compile(f"[{''.join(lone)}]|{MARK}+[^{MARK}{''.join(lone)}]*|[^{MARK}{''.join(lone)}]+")
         self.cache = Bounded(cached)
+        self.chosen = Bounded(cached // 10)
 
     def edges(self, w: str) -> list[list[tuple[int, float]]]:
         """For each place, (where it begins, score) of the pieces that end there; a character without a piece of its
@@ -160,8 +161,18 @@ class Lattice:
                     got[i] = v
         return got
 
-    def segmentations(self, raw: bytes, all_ids: bool = True) -> list[tuple[float, bytes]]:
-        """(score, ids) of a text's best segmentations, best first; ids of the first only unless all are asked for."""
+    def choices(self, w: str) -> list[tuple[float, bytes]]:
+        """(what it costs against the best, ids) of the best segmentations of a word, kept for words asked for lately."""
+        out = self.chosen.get(w) or self.chosen.old.get(w)
+        if out is None:
+            found = self.nbest(w, self.best)
+            out = [(found[0][0] - s, self.code_of(w, ends)) for s, ends in found]
+        self.chosen.room()
+        self.chosen[w] = out
+        return out
+
+    def segmentations(self, raw: bytes) -> list[tuple[float, bytes]]:
+        """(score, ids) of a text's best segmentations, best first."""
         words = self.words(raw)
         top = sum(map(itemgetter(0), words))
         ids = list(map(itemgetter(2), words))
@@ -172,19 +183,17 @@ class Lattice:
         while costs and len(places) < self.best - 1 and (least := min(costs)) < _NEVER:
             places.append(costs.index(least))
             costs[places[-1]] = _NEVER
-        choices = [self.nbest(words[i][3], self.best) for i in places]
-        more = [[c[0][0] - s for s, _ in c] for c in choices]
+        choices = [self.choices(words[i][3]) for i in places]
+        more = [[c for c, _ in found] for found in choices]
         start = (0,) * len(places)
         heap, seen = [(0.0, start)], {start}
         while heap and len(out) < self.best:
             cost, choice = heapq.heappop(heap)
             if choice != start:
-                own = ids
-                if all_ids:
-                    own = list(ids)
-                    for i, c, j in zip(places, choices, choice, strict=True):
-                        own[i] = self.code_of(words[i][3], c[j][1])
-                out.append((top - cost, b"".join(own) if all_ids else b""))
+                own = list(ids)
+                for i, c, j in zip(places, choices, choice, strict=True):
+                    own[i] = c[j][1]
+                out.append((top - cost, b"".join(own)))
             for k, j in enumerate(choice):
                 if j + 1 < len(more[k]):
                     nxt = choice[:k] + (j + 1,) + choice[k + 1 :]
@@ -197,34 +206,39 @@ class Lattice:
         """The text of a segmentation."""
         if not ids:
             return b""
-        byte, text = self.values, self.utf8
-        out = b"".join([bytes((byte[i],)) if i in byte else text[i] for i in np.frombuffer(ids, "<u2").tolist()])
+        out = b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u2").tolist()))
         return out.replace(MARK.encode(), b" ")[1:]
 
     @property
-    def utf8(self) -> list[bytes]:
-        if not hasattr(self, "_utf8"):
-            self._utf8 = [t.encode("utf-8", "surrogatepass") for t in self.text]
-        return self._utf8
+    def spelled(self) -> list[bytes]:
+        """What each piece stands for: its text with blanks for marks, or its byte."""
+        if not hasattr(self, "_spelled"):
+            texts = [t.replace(MARK, " ").encode("utf-8", "surrogatepass") for t in self.text]
+            self._spelled = [bytes((self.values[i],)) if i in self.values else t for i, t in enumerate(texts)]
+        return self._spelled
 
 
 def encode(docs: DataFrame, path: str | None = None, best: int = BEST, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_pieces, score and ids_crc32 of the best segmentation, round_trip (whether it decodes to the text),
-    scores of the best N, and, if asked for, ids: their piece ids (little-endian, two bytes each)."""
+    """doc_id, n_pieces, score and ids_crc32 of the best segmentation, round_trip (whether it decodes to the text); of
+    each of the best N, best first: scores, all_n_pieces, all_ids_crc32 and all_round_trip; and, if asked for, ids: their
+    piece ids (little-endian, two bytes each)."""
     path = path or vocabulary_path(MODEL)
 
     def run(batches: Iterator[list[bytes]]) -> Iterator[list[pa.Array]]:
         lattice = kept(Lattice, path, best)
         for texts in batches:
-            found = [lattice.segmentations(t, keep_ids) for t in texts]
-            first = [f[0] for f in found]
-            n = [len(b) // 2 for _, b in first]
-            same = [lattice.decode(b) == t.replace(MARK.encode(), b" ") for (_, b), t in zip(first, texts, strict=True)]
-            new = [pa.array(n, pa.int64()), pa.array([s for s, _ in first], pa.float64()), pa.array([zlib.crc32(b) for _, b in first], pa.int64()), pa.array(same, pa.bool_())]
-            new.append(pa.array([[s for s, _ in f] for f in found], pa.list_(pa.float64())))
+            found = [lattice.segmentations(t) for t in texts]
+            n = [[len(b) // 2 for _, b in f] for f in found]
+            crc = [[zlib.crc32(b) for _, b in f] for f in found]
+            plain = [t.replace(MARK.encode(), b" ") for t in texts]
+            same = [[lattice.decode(b) == t for _, b in f] for f, t in zip(found, plain, strict=True)]
+            scores = [[s for s, _ in f] for f in found]
+            new = [pa.array([x[0] for x in v], k) for v, k in ((n, pa.int64()), (scores, pa.float64()), (crc, pa.int64()), (same, pa.bool_()))]
+            new += [pa.array(v, pa.list_(k)) for v, k in ((scores, pa.float64()), (n, pa.int64()), (crc, pa.int64()), (same, pa.bool_()))]
             yield new + ([pa.array([[b for _, b in f] for f in found], pa.list_(pa.binary()))] if keep_ids else [])
 
     fields = [("n_pieces", "bigint"), ("score", "double"), ("ids_crc32", "bigint"), ("round_trip", "boolean"), ("scores", "array<double>")]
+    fields += [("all_n_pieces", "array<bigint>"), ("all_ids_crc32", "array<bigint>"), ("all_round_trip", "array<boolean>")]
     return map_texts(docs, run, fields + ([("ids", "array<binary>")] if keep_ids else []), [doc_id], text)
 
 

@@ -364,3 +364,15 @@ def test_marginals_are_those_of_all_paths():
             on += math.exp(s) * np.array(path)
         assert p[at : at + n] == pytest.approx(on / mass)
         at += n
+
+
+def test_every_choice_of_pieces_is_made(docs):
+    lattice = pieces.Lattice(pieces.vocabulary_path(pieces.MODEL), pieces.BEST)
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in got(docs)}
+    rows = got(pieces.encode(docs, keep_ids=False))
+    for r in rows:
+        found = lattice.segmentations(text[r["doc_id"]])
+        assert r["scores"] == pytest.approx([s for s, _ in found])
+        assert r["all_n_pieces"] == [len(b) // 2 for _, b in found] and r["all_ids_crc32"] == [zlib.crc32(b) for _, b in found]
+        assert r["all_round_trip"] == [True] * len(found) and (r["n_pieces"], r["ids_crc32"]) == (r["all_n_pieces"][0], r["all_ids_crc32"][0])
+    assert sum(len(set(r["all_ids_crc32"])) == pieces.BEST for r in rows) > 60
