@@ -1,10 +1,11 @@
 """Packing pieces of texts into as few fixed-capacity sequences as possible.
 
 The pieces enter the optimisation only as a histogram over lengths, which has at most `capacity` entries whatever the
-corpus. The configuration linear program over it (one variable for each way to fill a sequence) is solved by
-multiplicative weights: every length has a weight; a round prices the best configuration by a knapsack dynamic program
-over the capacity, and the weights of the lengths that it covers fall. The fractional solution is rounded down, what it
-leaves is filled pattern by pattern, largest lengths first, and each pattern is repeated as often as the counts allow.
+corpus. The configuration linear program over it
+(one variable for each way to fill a sequence) is solved by multiplicative weights: every length has a price; a round
+prices the best configurations by a knapsack dynamic program over the capacity, and the prices of the lengths that they
+cover fall. The fractional solution is rounded to whole sequences and solved again for what is left, a few times; what
+then remains is filled pattern by pattern, largest lengths first, each pattern repeated as often as the counts allow.
 Both steps work on counts, so their cost doesn't grow with the number of pieces. Ranks of pieces within a length then
 say which sequence and which place each piece gets.
 """
@@ -12,6 +13,7 @@ say which sequence and which place each piece gets.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,76 +28,118 @@ from furrow.llm.tokens import IdCoder, kept, vocabulary_path
 CAPACITY = 4096
 END_ID = 1
 ROUNDS = 240
+#: Of the linear program: how strongly prices follow the cover, how near the best and how many the
+#: configurations of a round are, how much of a length may stay uncovered, and how often the program is solved.
+WEIGHT, PRICED, WIDE, ERROR, SOLVED = 1.0, 0.05, 256, 0.05, 4
 
 
-def best_configuration(values: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable way to fill one sequence (unbounded knapsack by dynamic programming), cut to what is left.
-
-    values, lengths, limits: of each distinct length its price, itself, and how many pieces there are.
-    """
+def best_fillings(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: for every room up to capacity the best value, and the length (its
+    index) to take first, -1 where one unit is better left over. lengths are in order."""
     best = np.zeros(capacity + 1)
     take = np.full(capacity + 1, -1, dtype=np.int64)
+    fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for c in range(int(lengths[0]), capacity + 1):
-        n = int(np.searchsorted(lengths, c, side="right"))
+        n = fit[c]
         with_one = best[c - lengths[:n]] + values[:n]
         i = int(with_one.argmax())
         if with_one[i] > best[c - 1]:
             best[c], take[c] = with_one[i], i
         else:
             best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c >= lengths[0]:
-        i = int(take[c])
-        if i < 0:
-            c -= 1
-            continue
-        if out.get(i, 0) < limits[i]:
-            out[i] = out.get(i, 0) + 1
-        c -= int(lengths[i])
-    return out
+    return best, take
 
 
-def fractional_solution(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often to use each, by multiplicative weights on the covering constraints."""
-    total = float((lengths * counts).sum())
+def fractional_solution(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Configurations (indexes of lengths and how many of each) and how often to use each, by multiplicative weights on
+    the covering constraints; and the share of its count to which the least covered length is covered.
+
+    Prices start at the lengths, which are the dual solution where sequences can be filled to the end, and fall
+    exponentially with what is covered. A round takes steps of equal size: one knapsack prices the best configuration
+    around every length, and the step is shared among those within PRICED of the best, by how far the cover of that
+    length lags behind: the WIDE that lag most. Rounds go on, to four times as many, until every length is covered to within ERROR.
+    """
     covered = np.zeros(len(lengths))
     found: dict[tuple, float] = {}
-    step = total / capacity / rounds
-    for _ in range(rounds):
-        short = covered / counts
-        values = np.exp(-rounds / 12 * (short - short.min())) / counts + lengths * 1e-9 / total
-        config = best_configuration(values / values.max(), lengths, counts, capacity)
-        key = tuple(sorted(config.items()))
-        often = min([step, *(counts[i] / k for i, k in key)])
-        found[key] = found.get(key, 0.0) + often
-        for i, k in key:
-            covered[i] += k * often
-    over = max(1.0, float((covered / counts).max()))
-    return [(dict(k), v / over) for k, v in found.items()]
+    step = float((lengths * counts).sum()) / capacity / rounds
+    last = np.arange(capacity + 1)
+    for done in range(1, 4 * rounds + 1):
+        values = lengths * np.exp(-WEIGHT * np.clip(covered / counts - (done - 1) / rounds, -1.0, 1.0))
+        best, take = best_fillings(values, lengths, capacity)
+        np.maximum.accumulate(np.where(take >= 0, np.arange(capacity + 1), 0), out=last)
+        behind = np.maximum(min(done / rounds, 1.0) * counts - covered, 0) * lengths
+        behind[values + best[capacity - lengths] < (1 - PRICED) * best[capacity]] = 0
+        around = np.argsort(-behind, kind="stable")[:WIDE]
+        around = around[behind[around] > 0]
+        if not len(around):
+            around, behind = np.array([take[last[capacity]]]), np.ones(len(lengths))
+        often = step * behind[around] / behind[around].sum()
+        # the configurations around all these lengths are read off the same table at once
+        members, room = [around], last[capacity - lengths[around]]
+        while (open_ := room > 0).any():
+            i = np.where(open_, take[room], -1)
+            members.append(i)
+            room = np.where(open_, last[np.maximum(room - np.where(open_, lengths[i], 0), 0)], 0)
+        for row, x in zip(np.stack(members, axis=1).tolist(), often.tolist(), strict=True):
+            config: dict[int, int] = {}
+            for i in row:
+                if i >= 0 and config.get(i, 0) < counts[i]:
+                    config[i] = config.get(i, 0) + 1
+            key = tuple(sorted(config.items()))
+            found[key] = found.get(key, 0.0) + x
+            for i, k in key:
+                covered[i] += k * x
+        if done >= rounds and (covered / counts).min() >= 1 - ERROR:
+            break
+    return [(dict(k), v) for k, v in found.items()], float((covered / counts).min())
+
+
+def planned(left: dict[int, int], capacity: int, rounds: int) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of sequences from the linear program; takes their pieces out of left.
+
+    Every configuration takes part in the rounding: the fractions are summed in order and a sequence is made whenever
+    the sum passes a whole number, as long as its pieces last; room that it leaves is filled. The program is solved again for what is left.
+    """
+    out = []
+    for again in range(SOLVED):
+        lengths = np.array(sorted(n for n, c in left.items() if c > 0), dtype=np.int64)
+        if not len(lengths):
+            break
+        counts = np.array([left[int(n)] for n in lengths], dtype=np.float64)
+        found, _ = fractional_solution(lengths, counts, capacity, rounds if not again else max(1, rounds // 4))
+        # scaled once to the bound; where that is short of the cover, the next solution makes up for it
+        scale = float((lengths * counts).sum()) / capacity / sum(v for _, v in found)
+        plan = [({int(lengths[i]): k for i, k in c.items()}, v * scale) for c, v in found]
+        plan = sorted(plan, key=lambda p: (-sum(n * k for n, k in p[0].items()), -max(p[0])))
+        made, total = 0, 0.5
+        for config, often in plan:
+            times = min([int(total + often) - int(total), *(left[n] // k for n, k in config.items())])
+            total += often
+            if times > 0:
+                made += times
+                # what a configuration leaves open is filled with pieces that are left
+                room = capacity - sum(n * k for n, k in config.items())
+                if room:
+                    spare = {n: (left[n] - config.get(n, 0) * times) // times for n in lengths[: np.searchsorted(lengths, room, side="right")].tolist()}
+                    config = dict(Counter(config) + Counter(_closest(room, {n: c for n, c in spare.items() if c > 0})))
+                out.append((config, times))
+                for n, k in config.items():
+                    left[n] -= k * times
+        if made < total / 50:
+            break
+    return out
 
 
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """(pieces of each length in one sequence, number of such sequences); every piece of the histogram is in one."""
+    return [p for part in parts(histogram, capacity, rounds) for p in part]
+
+
+def parts(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[list[tuple[dict[int, int], int]]]:
+    """The patterns of pieces that are full already, of the linear program, and of the filling."""
     left = {int(n): int(c) for n, c in histogram.items() if c > 0}
-    out: list[tuple[dict[int, int], int]] = []
-    if full := left.pop(capacity, 0):
-        out.append(({capacity: 1}, full))
-    if not left:
-        return out
-    lengths = np.array(sorted(left), dtype=np.int64)
-    counts = np.array([left[int(n)] for n in lengths], dtype=np.float64)
-    plan = [({int(lengths[i]): k for i, k in c.items()}, v) for c, v in fractional_solution(lengths, counts, capacity, rounds)]
-    for config, often in sorted(plan, key=lambda p: (-sum(n * k for n, k in p[0].items()), -p[1])):
-        if sum(n * k for n, k in config.items()) < capacity * 0.998:
-            continue
-        times = min([int(often), *(left[n] // k for n, k in config.items())])
-        if times > 0:
-            out.append((config, times))
-            for n, k in config.items():
-                left[n] -= k * times
-    out += _fill(left, capacity)
-    return out
+    full = left.pop(capacity, 0)
+    return [[({capacity: 1}, full)] if full else [], planned(left, capacity, rounds), _fill(left, capacity)]
 
 
 def _fill(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:

@@ -376,3 +376,21 @@ def test_every_choice_of_pieces_is_made(docs):
         assert r["all_n_pieces"] == [len(b) // 2 for _, b in found] and r["all_ids_crc32"] == [zlib.crc32(b) for _, b in found]
         assert r["all_round_trip"] == [True] * len(found) and (r["n_pieces"], r["ids_crc32"]) == (r["all_n_pieces"][0], r["all_ids_crc32"][0])
     assert sum(len(set(r["all_ids_crc32"])) == pieces.BEST for r in rows) > 60
+
+
+def test_the_linear_program_supplies_the_packing():
+    rng = random.Random(5)
+    h = Counter(min(512, 1 + int(rng.expovariate(1 / 90))) for _ in range(6000))
+    full, planned, filled = [sum(t for _, t in p) for p in packing.parts(h, 512)]
+    assert planned > 3 * filled
+    assert full + planned + filled <= math.ceil(sum(n * c for n, c in h.items()) / 512) * 1.01 + 1
+    lengths = np.array(sorted(h))
+    counts = np.array([float(h[n]) for n in lengths.tolist()])
+    found, least = packing.fractional_solution(lengths, counts, 512)
+    cover = np.zeros(len(lengths))
+    for config, often in found:
+        assert sum(int(lengths[i]) * k for i, k in config.items()) <= 512
+        for i, k in config.items():
+            cover[i] += k * often
+    assert (cover / counts).min() == pytest.approx(least) and least >= 1 - packing.ERROR
+    assert sum(x for _, x in found) <= (lengths * counts).sum() / 512 * 1.2
