@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
@@ -27,11 +28,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and
+    driver and executors are one process (elsewhere a folder of the driver's is an error, as executors can't read it)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.sparkContext.getCheckpointDir()
         if not at:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             at = "file://" + tempfile.mkdtemp(prefix="furrow-")
             spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -131,23 +135,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Longer keys stay out of caches, which bounds these in bytes: texts without blanks are few long keys that never come back.
+KEY_BYTES = 48
+
+
 class Bounded(dict):
-    """A cache of two generations: full, the younger becomes the older, and what the older holds is found once more."""
+    """A cache that drops the older half of its entries when it is full (looked at once a batch).
+
+    Keys have at most KEY_BYTES; an entry takes some 200 bytes, and no more than about 500, so size bounds it in bytes."""
 
     def __init__(self, size: int):
         super().__init__()
-        self.size, self.old = size, {}
+        self.size = size
 
     def room(self) -> None:
         if len(self) > self.size:
-            self.old = dict(self)
+            young = list(itertools.islice(self.items(), len(self) - self.size // 2, None))
             self.clear()
+            self.update(young)
 
 
 class WordHashes:
     """64-bit hashes of words, kept for the words seen lately."""
 
-    def __init__(self, size: int = 200_000):
+    def __init__(self, size: int = 400_000):
         import xxhash
 
         self.cache, self.hash = Bounded(size), xxhash.xxh3_64_intdigest
@@ -157,13 +168,10 @@ class WordHashes:
         c.room()
         got = list(map(c.get, words))
         if None in got:
-            old = c.old
             for i, v in enumerate(got):
                 if v is None:
                     w = words[i]
-                    v = c.get(w)
-                    if v is None:
-                        v = old.get(w)
-                        c[w] = v = h(w) if v is None else v
-                    got[i] = v
+                    got[i] = v = h(w)
+                    if len(w) <= KEY_BYTES:
+                        c[w] = v
         return np.array(got, dtype=np.uint64)

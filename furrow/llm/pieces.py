@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm.common import Bounded, load, map_texts
+from furrow.llm.common import KEY_BYTES, Bounded, load, map_texts
 from furrow.llm.tokens import kept, vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
@@ -43,7 +43,7 @@ _NEVER = float("inf")
 class Lattice:
     """The pieces of a model file."""
 
-    def __init__(self, path: str, best: int = BEST, cached: int = 500_000):
+    def __init__(self, path: str, best: int = BEST, cached: int = 800_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -150,25 +150,26 @@ class Lattice:
         ws = self.parts.findall((b" " + raw).decode("utf-8", "replace").replace(" ", MARK))
         got = list(map(c.get, ws))
         if None in got:
-            old = c.old
             for i, v in enumerate(got):
                 if v is None:
                     w = ws[i]
                     v = c.get(w)
                     if v is None:
-                        v = old.get(w)
-                        c[w] = v = self.word(w) if v is None else v
+                        v = self.word(w)
+                        if len(w) <= KEY_BYTES:
+                            c[w] = v
                     got[i] = v
         return got
 
     def choices(self, w: str) -> list[tuple[float, bytes]]:
         """(what it costs against the best, ids) of the best segmentations of a word, kept for words asked for lately."""
-        out = self.chosen.get(w) or self.chosen.old.get(w)
+        out = self.chosen.get(w)
         if out is None:
             found = self.nbest(w, self.best)
             out = [(found[0][0] - s, self.code_of(w, ends)) for s, ends in found]
-        self.chosen.room()
-        self.chosen[w] = out
+            self.chosen.room()
+            if len(w) <= KEY_BYTES:
+                self.chosen[w] = out
         return out
 
     def segmentations(self, raw: bytes) -> list[tuple[float, bytes]]:

@@ -8,21 +8,24 @@ The caches are bounded; a chunk that fell out is worked out once more.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm.common import Bounded, load, map_texts
+from furrow.llm.common import KEY_BYTES, Bounded, load, map_texts
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED = 250_000
-#: Of id coders, whose misses cost more: about 120 MB a generation.
-CACHED_IDS = 600_000
+CACHED = 500_000
+#: Of id coders, whose misses cost more: about 200 MB.
+CACHED_IDS = 1_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -88,12 +91,11 @@ class PairCounter:
     def word(self, w: str) -> int:
         n = self.words.get(w)
         if n is None:
-            n = self.words.old.get(w)
-            if n is None:
-                symbols = [self.letters[b] for b in w.encode()]
-                symbols[-1] += self.end
-                n = merged_length(symbols, self.ranks)
-            self.words[w] = n
+            symbols = [self.letters[b] for b in w.encode()]
+            symbols[-1] += self.end
+            n = merged_length(symbols, self.ranks)
+            if len(w) <= KEY_BYTES:
+                self.words[w] = n
         return n
 
     def plain(self, s: str) -> int:
@@ -115,85 +117,132 @@ class PairCounter:
         chunks = text.split()
         got = list(map(c.get, chunks))
         if None in got:
-            old = c.old
             for i, n in enumerate(got):
                 if n is None:
                     w = chunks[i]
                     n = c.get(w)
                     if n is None:
-                        n = old.get(w)
-                        c[w] = n = self.chunk(w) if n is None else n
+                        n = self.chunk(w)
+                        if len(w) <= KEY_BYTES:
+                            c[w] = n
                     got[i] = n
         return sum(got)
 
 
 class IdCoder:
-    """Token ids of UTF-8 texts as little-endian bytes, by the tokenizers library (which sees only unseen chunks)."""
+    """Token ids of UTF-8 texts by the tokenizers library, which sees only chunks that the cache lacks.
 
-    def __init__(self, path: str, kind: str = "<u4", cached: int = CACHED_IDS):
-        import os
+    A batch of texts is split and its chunks are numbered by Arrow; ids are looked up once for each distinct chunk of the
+    batch and laid out for all its texts at once.
+    """
+
+    #: One of these after a letter or digit is a token of its own, and letters are put in lower case: such chunks are
+    #: put together from the ids of what stands before, which is seen more often.
+    TAILS = b".,;:!?"
+    PARTING = "<|endoftext|>"
 
+    def __init__(self, path: str, kind: str = "<u4", cached: int = CACHED_IDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
-        self.kind, self.cache = kind, Bounded(cached)
-        self.parting = "<|endoftext|>"
-        self.part = self.coder.token_to_id(self.parting)
+        self.kind, self.cache = np.dtype(kind), Bounded(cached)
+        self.part = self.coder.token_to_id(self.PARTING)
+        # of each id, whether its token ends a pre-token: plain words, joined by blanks, are told apart by these
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.coder.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in self.coder.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self.tails = {bytes([t]): b for t, b in zip(self.TAILS, self.ids([chr(t) for t in self.TAILS]), strict=True)} | {b"": b""}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    #: One of these after a letter or digit is a token of its own, and letters are put in lower case: such chunks are
-    #: put together from the ids of what stands before, which is seen more often.
-    TAILS = b".,;:!?"
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Put the ids of chunks into the cache: joined by a special string where they hold none, else one by one."""
-        c, need, made = self.cache, set(), []
-        odd = []
+    def joined(self, some: list[str], by: str) -> np.ndarray:
+        return np.array(self.coder.encode_batch_fast([by.join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
+
+    def plain(self, some: list[str]) -> list[bytes]:
+        """Of words that are letters alone, so one pre-token each, whose last token says so."""
+        ids = self.joined(some, " ")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(some):  # the library's letters aren't Python's
+            return self.parted(some)
+        raw, w = ids.tobytes(), self.kind.itemsize
+        ends = (ends * w).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def parted(self, some: list[str]) -> list[bytes]:
+        """Of chunks without special strings, joined by one."""
+        ids = self.joined(some, self.PARTING)
+        cuts = np.append(np.flatnonzero(ids == self.part), len(ids)).tolist()
+        return [ids[i:j].tobytes() for i, j in zip([0, *[c + 1 for c in cuts]], cuts, strict=False)]
+
+    def learn(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of chunks that the cache lacks, which take their place in it."""
+        c, own, made, letters, others, odd = self.cache, {}, [], {}, {}, []
         for w in chunks:
+            if not w:
+                own[w] = b""
+                continue
             if b"<|" in w:
                 odd.append(w)
                 continue
             stem, tail = (w[:-1], w[-1:]) if w[-1] in self.TAILS and len(w) > 1 else (w, b"")
-            if tail and not (stem[-1:].isalnum() or stem[-1] > 127 and stem.decode("utf-8", "replace")[-1].lower()[-1].isalpha()):
-                stem, tail = w, b""
-            low = stem.lower()
-            if low == w:
-                need.add(w)
-                continue
-            made.append((w, low, tail))
-            if low not in c:
-                if low in c.old:
-                    c[low] = c.old[low]
-                else:
-                    need.add(low)
-        plain = list(need)
-        for i in range(0, len(plain), 256):
-            some = plain[i : i + 256]
-            ids = np.array(self.coder.encode_batch_fast([self.parting.join(w.decode("utf-8", "replace") for w in some)], add_special_tokens=False)[0].ids, dtype=self.kind)
-            ends = np.append(np.flatnonzero(ids == self.part), len(ids)).tolist()
-            at = 0
-            for w, end in zip(some, ends, strict=True):
-                self.cache[w] = ids[at:end].tobytes()
-                at = end + 1
-        for w, b in zip(odd, self.ids([w.decode("utf-8", "replace") for w in odd]), strict=True):
-            self.cache[w] = b
+            if stem.isalpha():
+                low, s = stem.lower(), None
+            else:
+                s = stem.decode("utf-8", "replace")
+                if tail and not s[-1].lower()[-1].isalnum():
+                    stem, tail, s = w, b"", w.decode("utf-8", "replace")
+                low = stem.lower() if stem.isascii() else stem
+            if low != w:
+                made.append((w, low, tail))
+                if low in own:
+                    continue
+                v = c.get(low)
+                if v is not None:
+                    own[low] = v
+                    continue
+            if s is None or s.isalpha() and s.lower().isalpha():
+                letters[low] = low.decode() if s is None else s
+            else:
+                others[low] = s
+        for ask, by in ((letters, self.plain), (others, self.parted)):
+            keys, texts = list(ask), list(ask.values())
+            for i in range(0, len(keys), 256):
+                own.update(zip(keys[i : i + 256], by(texts[i : i + 256]), strict=True))
+        own.update(zip(odd, self.ids([w.decode("utf-8", "replace") for w in odd]), strict=True))
         for w, low, tail in made:
-            c[w] = c[low] + self.tails[tail]
+            own[w] = own[low] + self.tails[tail]
+        c.update([e for e in own.items() if len(e[0]) <= KEY_BYTES])
+        return [own[w] for w in chunks]
+
+    def codes(self, chunks: list[bytes]) -> list[bytes]:
+        self.cache.room()
+        got = list(map(self.cache.get, chunks))
+        lack = [i for i, v in enumerate(got) if v is None]
+        for i, v in zip(lack, self.learn([chunks[i] for i in lack]), strict=True):
+            got[i] = v
+        return got
+
+    def coded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each begins (the last entry: where all end)."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string(), safe=False))
+        numbered = split.flatten().dictionary_encode()
+        which = numbered.indices.to_numpy(zero_copy_only=False)
+        codes = self.codes(numbered.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // self.kind.itemsize
+        data = np.frombuffer(b"".join(codes), dtype=self.kind)
+        n = size[which]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        return data[at], np.concatenate([[0], ends])[split.offsets.to_numpy()]
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
-        c, out = self.cache, []
-        c.room()
-        split, old = [t.split() for t in texts], c.old
-        new = {w for chunks in split for w in chunks if w not in c}
-        c.update((w, old[w]) for w in new if w in old)
-        self.learn({w for w in new if w not in c})
-        for chunks in split:
-            out.append(b"".join([c[w] for w in chunks]))
-        return out
+        """The ids of each text as little-endian bytes."""
+        ids, edge = self.coded(texts)
+        raw, edge = ids.tobytes(), (edge * self.kind.itemsize).tolist()
+        return [raw[i:j] for i, j in itertools.pairwise(edge)]
 
 
 _KEPT: dict = {}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import load, map_texts, materialise, remainder, run_dir
+from furrow.llm.common import KEY_BYTES, Bounded, load, map_texts, materialise, remainder, run_dir
 from furrow.llm.quality import labelled_sample
 
 SAMPLE = 4_000
@@ -196,9 +196,7 @@ def marginals(e: np.ndarray, first: np.ndarray, model: Field) -> np.ndarray:
 class Tagger:
     """Marginals of whole texts; emissions of words seen lately are kept."""
 
-    def __init__(self, model: Field, cached: int = 150_000):
-        from furrow.llm.common import Bounded
-
+    def __init__(self, model: Field, cached: int = 300_000):
         self.model, self.cache = model, Bounded(cached)
 
     def __call__(self, texts: list[bytes]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
@@ -216,8 +214,9 @@ class Tagger:
                         w = words[i]
                         v = c.get(w)
                         if v is None:
-                            v = c.old.get(w)
-                            c[w] = v = emission(w) if v is None else v
+                            v = emission(w)
+                            if len(w) <= KEY_BYTES:
+                                c[w] = v
                         got[i] = v
             e[at : at + len(got)] = got
             at += len(got)
