@@ -1,37 +1,46 @@
 """Token sequences in training order, in binary shards of fixed stride.
 
-The texts' ids, each text followed by an end id, form one tape in the order of their ranges and ids; the tape is cut
-into sequences of a fixed number of tokens (the last one is padded). A keyed Feistel permutation with cycle walking
-gives every sequence its slot: any worker computes it from the sequence's number alone, no shuffle order is stored, and
-another key is another order. A shard holds a range of slots; slot s lies at (s mod slots-per-shard) * stride in shard
-s div slots-per-shard, so a reader seeks to any step and a stopped training run resumes there.
-
-Shards are written under another name and renamed, so a task that is lost or repeated leaves whole shards only.
-
-Defined cases: a null text counts as empty and gives its end id; null ids come first; repeated rows are written each;
-an empty table gives no sequence and no shard; other columns are not looked at.
+The texts' ids, each text followed by an end id, form one tape: the texts of each task of the scan in their order, task
+after task. It is written once, by the tasks that make the ids and without a shuffle, and is then what it is, whatever is
+lost or run again. The tape is cut into sequences of a fixed number of tokens (the last one is padded). A keyed Feistel
+permutation with cycle walking gives every sequence its slot: any worker computes it from the sequence's number alone, no
+shuffle order is stored, and another key is another order. A shard holds a range of slots; slot s lies at
+(s mod slots-per-shard) * stride in shard s div slots-per-shard, so a reader seeks to any step and a stopped training run
+resumes there. The one shuffle moves the sequences to the tasks that write their ranges of shards; a task has at most
+SHARDS_A_TASK of them, whatever the input.
+
+write_shards is an action: when it returns, every shard is there, and so is the manifest, which it returns as a table.
+Shards are written under another name and renamed, so a task that is lost or repeated leaves whole shards only. Folders
+may be in any store that pyarrow can write to.
+
+Defined cases: a null text counts as empty and gives its end id; the order of rows is that of the scan, whatever their
+ids, null or repeated; repeated rows are written each; ids of the vocabulary that don't fit into the width are an error;
+an empty table gives no sequence and no shard; other columns are not looked at, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import load, map_texts, materialise, mounted, publish, run_dir, small_batches
+from furrow.llm.common import load, materialise, raw_texts, run_dir, small_batches
 from furrow.llm.tokens import IdCoder, kept, vocabulary_path
-from furrow.llm.winnowing import in_ranges
 
 LENGTH = 1024
 END_ID = 1
 PAD_ID = 0
 #: Bytes of a shard, about.
 SHARD_BYTES = 8 << 20
+#: A task that writes shards holds the sequences of so many at most.
+SHARDS_A_TASK = 8
 KEY = 0x5DEECE66D
 ROUNDS = 4
 
@@ -77,73 +86,65 @@ class Shape:
         return -(-self.sequences // self.slots)
 
 
-def tape(docs: DataFrame, work: str, ranges: int, width: int = 2, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, dict[int, int]]:
-    """The ids of all texts, written once: range, place in the range, ids; and where each range starts on the tape.
-    The driver gets one number a range."""
+def tape(docs: DataFrame, work: str, width: int = 2, path: str | None = None, text: str = "text") -> tuple[DataFrame, int, dict[int, int]]:
+    """The ids of all texts, written once: part (a task of the scan), start within it, ids of a run of texts; the number
+    of ids; and where each part starts on the tape. The driver gets one number a part."""
     path = path or vocabulary_path()
-    kind, end = f"<u{width}", int(END_ID).to_bytes(width, "little")
-
-    def encode(batches: Iterator[list[bytes]]) -> Iterator[list[pa.Array]]:
-        coder = kept(IdCoder, path, kind)
-        for texts in batches:
-            yield [pa.array([b + end for b in coder.batch(texts)], pa.binary())]
-
-    ranged = in_ranges(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", ranges)
-    coded = map_texts(ranged, encode, [("ids", "binary")], ["__range", "doc_id"])
-    coded = coded.repartition(ranges, "__range").sortWithinPartitions("__range", F.col("doc_id").asc_nulls_first(), "ids")
     small_batches(docs.sparkSession)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict[int, int] = {}
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = kept(IdCoder, path, f"<u{width}")
+        if len(coder.ends) > 1 << 8 * width:
+            raise ValueError(f"ids of this vocabulary don't fit into {width} bytes")
+        at = 0
         for b in batches:
-            starts = []
-            for r, ids in zip(b.column(0).to_pylist(), b.column(2), strict=True):
-                starts.append(at.get(r, 0))
-                at[r] = starts[-1] + len(ids.as_buffer()) // width
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(starts, pa.int64()), b.column(2)], names=["range", "start", "ids"])
-
-    placed = materialise(coded.mapInArrow(place, "range int, start bigint, ids binary"), f"{work}/tape")
-    sizes = placed.groupBy("range").agg(F.max(F.col("start") + F.length("ids") / width).cast("bigint").alias("n")).orderBy("range").collect()
+            ids, edge = coder.coded(raw_texts(b.column(0)))
+            ids = np.insert(ids, edge[1:], END_ID)
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([b.column(1)[:1], pa.array([at], pa.int64()), pa.array([ids.tobytes()], pa.binary())], names=["part", "start", "ids"])
+            at += len(ids)
+
+    source = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.spark_partition_id().alias("part"))
+    runs = materialise(source.mapInArrow(encode, "part int, start bigint, ids binary"), f"{work}/tape")
     starts, at = {}, 0
-    for r in sizes:
-        starts[r["range"]] = at
+    for r in runs.groupBy("part").agg(F.sum(F.length("ids") / width).cast("bigint").alias("n")).orderBy("part").collect():
+        starts[r["part"]] = at
         at += r["n"]
-    return placed, at, starts
+    return runs, at, starts
 
 
-def write_shards(docs: DataFrame, out: str, work: str, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES, ranges: int = 64, width: int = 2, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Shape]:
-    """Write the shards of all texts under out (mounted), and say of each sequence where it is: sequence_id, slot,
-    shard, byte_offset, n_tokens (without padding), ids_crc32 (over the stride)."""
+def write_shards(
+    docs: DataFrame, out: str, work: str, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES, width: int = 2, path: str | None = None, text: str = "text"
+) -> tuple[DataFrame, Shape]:
+    """Write the shards of all texts under out, and return the manifest, which says of each sequence where it is:
+    sequence_id, slot, shard, byte_offset, n_tokens (without padding), ids_crc32 (over the stride). work: a folder in the
+    shared folder."""
     spark = docs.sparkSession
-    placed, total, starts = tape(docs, work, ranges, width, path, doc_id, text)
+    runs, total, starts = tape(docs, work, width, path, text)
     sequences = -(-total // length)
     slots = max(1, shard_bytes // (length * width))
     shape = Shape(length, sequences, slots, width, key)
     small_batches(spark)
-    into = mounted(out)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seq, off, part = [], [], []
-            for r, start, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                at, i, n = starts[r] + start, 0, len(ids) // width
-                while i < n:
-                    s, o = divmod(at + i, length)
-                    k = min(n - i, length - o)
-                    seq.append(s)
-                    off.append(o)
-                    part.append(ids[i * width : (i + k) * width])
-                    i += k
-            s = np.array(seq, dtype=np.int64)
-            slot = feistel(s, sequences, key)
-            for i in range(0, len(s), 4096):
-                j = i + 4096
-                yield pa.RecordBatch.from_arrays([pa.array((slot[i:j] // slots).astype(np.int32)), pa.array(slot[i:j]), pa.array(s[i:j]), pa.array(off[i:j], pa.int32()), pa.array(part[i:j], pa.binary())], names=["shard", "slot", "seq", "offset", "part"])
-
-    parts = placed.mapInArrow(cut, "shard int, slot bigint, seq bigint, offset int, part binary")
-    n = max(1, min(shape.shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # a range of slots goes to one task
-    parts = parts.repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard", "slot", "offset")
+            for part, start, ids in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                # a run of texts is mostly whole sequences; only its two ends are parts of one
+                first = starts[part] + start
+                last = first + len(ids) // width
+                s = np.arange(first // length, -(-last // length))
+                low, high = np.maximum(s * length, first), np.minimum((s + 1) * length, last)
+                slot = feistel(s, sequences, key)
+                cuts = zip(((low - first) * width).tolist(), ((high - first) * width).tolist(), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((slot // slots).astype(np.int32)), pa.array(slot), pa.array(s), pa.array((low - s * length).astype(np.int32)), pa.array([ids[i:j] for i, j in cuts], pa.binary())],
+                    names=["shard", "slot", "seq", "offset", "part"],
+                )
+
+    parts = runs.mapInArrow(cut, "shard int, slot bigint, seq bigint, offset int, part binary")
+    # neighbouring shards go to one task: as many tasks as there are cores to use, and none with more than its bound
+    tasks = max(1, min(shape.shards, max(2 * spark.sparkContext.defaultParallelism, -(-shape.shards // SHARDS_A_TASK))))
+    parts = parts.repartitionById(tasks, F.floor(F.col("shard").cast("bigint") * tasks / max(shape.shards, 1)).cast("int")).sortWithinPartitions("slot", "offset")
     pad = int(PAD_ID).to_bytes(width, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +160,7 @@ def write_shards(docs: DataFrame, out: str, work: str, length: int = LENGTH, key
 
         def end_shard() -> None:
             if shard is not None:
-                publish(f"{into}/shard-{shard:06d}.bin", lambda f: open(f, "wb").write(body))
+                publish_shard(out, shard, bytes(body))
                 body.clear()
 
         def told() -> pa.RecordBatch:
@@ -185,19 +186,41 @@ def write_shards(docs: DataFrame, out: str, work: str, length: int = LENGTH, key
             yield told()
 
     rows = parts.mapInArrow(write, "sequence_id bigint, slot bigint, shard int, byte_offset bigint, n_tokens int, ids_crc32 bigint")
-    return rows, shape
+    return materialise(rows, f"{work}/manifest"), shape
+
+
+def store(out: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, and its path there."""
+    return fs.FileSystem.from_uri(out if "://" in out else "file://" + out.removeprefix("file:"))
+
+
+def publish_shard(out: str, shard: int, body: bytes) -> None:
+    """Write a shard under another name and rename it, so that a repeated or lost task leaves a whole one or none."""
+    files, folder = store(out)
+    files.create_dir(folder, recursive=True)
+    at = f"{folder}/shard-{shard:06d}.bin"
+    part = f"{at}.{uuid.uuid4().hex}"
+    with files.open_output_stream(part) as f:
+        f.write(body)
+    files.move(part, at)
 
 
 def read_slots(out: str, shape: Shape, first: int, count: int) -> Iterator[np.ndarray]:
-    """Sequences in training order from slot `first` on, as a trainer reads them: by seeking, shard after shard."""
-    into = mounted(out)
-    for slot in range(first, min(first + count, shape.sequences)):
-        shard, place = divmod(slot, shape.slots)
-        yield np.fromfile(f"{into}/shard-{shard:06d}.bin", dtype=f"<u{shape.width}", count=shape.length, offset=place * shape.stride)
+    """Sequences in training order from slot `first` on, as a trainer reads them: a shard is opened once, at the first
+    slot that is wanted of it, and read on."""
+    files, folder = store(out)
+    end = min(first + count, shape.sequences)
+    while first < end:
+        shard, place = divmod(first, shape.slots)
+        n = min(shape.slots - place, end - first)
+        with files.open_input_file(f"{folder}/shard-{shard:06d}.bin") as f:
+            f.seek(place * shape.stride)
+            for _ in range(n):
+                yield np.frombuffer(f.read(shape.stride), dtype=f"<u{shape.width}")
+        first += n
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = run_dir(spark, "order")
-    ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows, _ = write_shards(load(spark, sf_dir, "documents"), f"{work}/shards", work, ranges=ranges)
+    rows, _ = write_shards(load(spark, sf_dir, "documents"), f"{work}/shards", work)
     return rows
