@@ -134,7 +134,8 @@ def _quantile_cut(s: np.ndarray, y: np.ndarray) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text, label of at most `size` learnable rows of either class (crc32(doc_id) mod 5 not 0, label known)."""
+    """doc_id, text, label of at most `size` learnable rows of either class (crc32(doc_id) mod 5 not 0, label known; of labels
+    that contradict each other the greater counts)."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.filter(remainder(F.col("doc_id")) != 0)
     some = known.filter("label = 1").orderBy(F.xxhash64("doc_id")).limit(size).unionAll(known.filter("label = 0").orderBy(F.xxhash64("doc_id")).limit(size))

@@ -1,22 +1,26 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Labels exist for documents only, so tokens are labelled first: a greedy cover picks words and stems that occur in toxic documents
-and next to never in others, until they explain the toxic documents or the next word would explain too few; tokens
-with one of these in toxic documents are the toxic tokens. The field has two states; a token's features are its word and two
-beginnings of it, and transitions join neighbours. It is fitted by forward-backward gradients on windows around toxic tokens and on
-windows elsewhere. Scoring takes whole texts: forward and backward messages of a two-state chain are ratios that each
+Labels exist for documents only, so tokens are labelled first: a greedy cover picks words and stems that occur in toxic
+documents and next to never in others. Each must be significant: the toxic documents that it explains and no other word
+does must be more than chance would give, at a level that is divided by the number of words that could pass. Tokens with
+one of these in toxic documents are the toxic tokens. The field has two states; a token's features are its word and two
+beginnings of it, and transitions join neighbours. It is fitted by forward-backward gradients on windows around all toxic
+tokens of the sample, a document's windows weighing as much as one, and on windows elsewhere. Scoring takes whole texts: forward and backward messages of a two-state chain are ratios that each
 token maps by a fraction (a x + b) / (c x + d), so blocks of tokens are composed side by side and then chained.
 
 A document's score is the largest marginal of its tokens; the spans are the runs of tokens whose marginal is at least
 one half, as code-point offsets.
 
 The fit uses a bounded sample: at most SAMPLE labelled rows of either class (those with the smallest hash of their id),
-of which tasks send words once a document, and then windows. Every row is scored on its whole text.
+of which tasks send words once a document, and then windows. Repeated texts of the sample count once in the choice of
+words. Every row is scored on its whole text.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +37,12 @@ WINDOW = 5
 THRESHOLD = 0.5
 #: A word must explain at least this share of the toxic documents that are still unexplained at the start.
 LEAST_SHARE = 0.004
+#: Chance that any word at all is taken for toxic by accident, and how much likelier a word must be in toxic documents.
+ALPHA, ODDS = 0.05, 20
+#: Words of toxic documents that are explained already are taken too from this share of the toxic documents on.
+KNOWN_SHARE = 0.02
+#: Weight of all windows around a document's toxic tokens; its two other windows weigh one each.
+HEAVY = 4.0
 WORD = re.compile(r"\w+")
 
 
@@ -52,33 +62,66 @@ def names(w: str) -> tuple[str, str, str]:
     return "w=" + w, "4=" + w[:4], "5=" + w[:5]
 
 
-def cover(toxic: list[set[str]], other_counts: dict[str, int], others: int, least: float = LEAST_SHARE) -> list[str]:
-    """Words that explain the toxic documents, most first. A word qualifies if it is at least 20 times as frequent
-    (in documents, by share) in toxic ones as in others."""
+def chance(k: int, n: int, share: float) -> float:
+    """A bound from above (Chernoff's) on the chance that of n documents with a word k or more are toxic, if share of all
+    documents are; exact for k = n."""
+    x = k / n
+    if x <= share:
+        return 1.0
+    rest = (1 - x) * math.log((1 - x) / (1 - share)) if x < 1 else 0.0
+    return math.exp(-n * (x * math.log(x / share) + rest))
+
+
+def level(sizes: dict[int, int], share: float, alpha: float = ALPHA) -> float:
+    """alpha over the number of words that could pass: those in so many documents that chance() can be low enough at all.
+    sizes: number of words by the number of documents that have them."""
+    k, more = 1, sum(sizes.values())
+    while more and share**k > alpha / more:
+        more -= sizes.get(k, 0)
+        k += 1
+    return alpha / max(more, 1)
+
+
+def cover(toxic: list[set[str]], other_counts: dict[str, int], others: int, at: float, least: float = LEAST_SHARE) -> list[str]:
+    """Words that explain the toxic documents, most first (of equal ones, the last in order). A word qualifies if it is
+    at least ODDS times as frequent (in documents, by share) in toxic ones as in others; it is taken if its chance among
+    the documents that are not explained yet is at most `at`."""
     where: dict[str, list[int]] = {}
     for i, words in enumerate(toxic):
         for w in words:
             where.setdefault(w, []).append(i)
     need = max(3, round(least * len(toxic)))
-    where = {w: d for w, d in where.items() if len(d) >= need and len(d) / len(toxic) >= 20 * other_counts.get(w, 0) / max(others, 1)}
+    where = {w: d for w, d in where.items() if len(d) >= need and len(d) / len(toxic) >= ODDS * other_counts.get(w, 0) / max(others, 1)}
     open_, chosen = np.ones(len(toxic), dtype=bool), []
     gains = {w: len(d) for w, d in where.items()}
     while gains:
         w = max(gains, key=lambda k: (gains[k], k))
         now = int(open_[where[w]].sum())
-        if now == gains[w]:  # gains only fall, so the largest is right once it is up to date
-            if now < need:
-                break
-            chosen.append(w)
-            open_[where[w]] = False
+        if now < need:
             del gains[w]
-        elif now < need:
-            del gains[w]
-        else:
+        elif now < gains[w]:  # gains only fall, so the largest is right once it is up to date
             gains[w] = now
-    # words as telling as the chosen ones that the cover passed over, because their documents were explained already
-    floor = min((len(where[w]) for w in chosen[:3]), default=0) / 4
-    return chosen + sorted(w for w, d in where.items() if w not in set(chosen) and len(d) >= max(floor, need) and not other_counts.get(w) and len(d) >= 0.05 * len(toxic))
+        else:
+            del gains[w]
+            left, c = int(open_.sum()), other_counts.get(w, 0)
+            if chance(now, now + c, left / (left + others)) <= at:
+                chosen.append(w)
+                open_[where[w]] = False
+    # words that the cover passed over, because their documents were explained already
+    share = len(toxic) / (len(toxic) + others)
+    known = {w for w, d in where.items() if not other_counts.get(w) and len(d) >= KNOWN_SHARE * len(toxic) and chance(len(d), len(d), share) <= at}
+    return chosen + sorted(known - set(chosen))
+
+
+def blocks(hits: list[int], size: int, wide: int = WINDOW) -> list[tuple[int, int]]:
+    """The tokens within wide of a hit, in blocks of at most 2 * wide + 1 that don't overlap."""
+    out: list[tuple[int, int]] = []
+    end = 0
+    for i in hits:
+        while (start := max(i - wide, end)) <= min(i + wide, size - 1):
+            end = min(start + 2 * wide + 1, i + wide + 1, size)
+            out.append((start, end))
+    return out
 
 
 @dataclass(frozen=True)
@@ -95,7 +138,7 @@ class Field:
         return self.bias + sum(g(n, 0.0) for n in names(w))
 
 
-def fit(windows: list[list[str]], tags: list[list[int]], rounds: int = 250, ridge: float = 1e-3) -> Field:
+def fit(windows: list[list[str]], tags: list[list[int]], weights: list[float] | None = None, rounds: int = 150, ridge: float = 1e-3) -> Field:
     """Adaptive gradient ascent on the conditional likelihood of the windows, all windows side by side."""
     if not windows or not any(map(any, tags)):
         return Field()
@@ -109,6 +152,8 @@ def fit(windows: list[list[str]], tags: list[list[int]], rounds: int = 250, ridg
             ids[i, t] = [index.setdefault(k, len(index)) for k in names(w)]
         y[i, : len(ts)] = ts
     inside = np.arange(longest)[None, :] < n[:, None]
+    heavy = np.ones(len(windows)) if weights is None else np.array(weights)
+    mass = heavy.sum()
     size = len(index)
     theta = np.zeros(size + 6)  # features, bias, start, four transitions
     theta[size] = -2.0
@@ -130,7 +175,7 @@ def fit(windows: list[list[str]], tags: list[list[int]], rounds: int = 250, ridg
             lb[:, t] = np.where(inside[:, t + 1, None], step, lb[:, t + 1])
         whole = np.logaddexp(lf[:, -1, 0], lf[:, -1, 1])
         p = np.exp(np.clip(lf[:, :, 1] + lb[:, :, 1] - whole[:, None], -60, 0))
-        miss = np.where(inside, y - p, 0.0)
+        miss = np.where(inside, y - p, 0.0) * heavy[:, None]
         up = np.zeros_like(theta)
         up[:size] = np.bincount(flat.ravel(), weights=np.repeat(miss[inside], 3), minlength=size)
         up[size] = miss.sum()
@@ -139,9 +184,9 @@ def fit(windows: list[list[str]], tags: list[list[int]], rounds: int = 250, ridg
         for i in (0, 1):
             for j in (0, 1):
                 joint = lf[:, :-1, i] + a[i, j] + (e[:, 1:] if j else 0) + lb[:, 1:, j] - whole[:, None]
-                seen = ((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum()
-                up[size + 2 + 2 * i + j] = seen - np.exp(np.clip(joint, -60, 0))[both].sum()
-        up = up / len(windows) - ridge * theta / len(windows)
+                seen = (y[:, :-1] == i) & (y[:, 1:] == j)
+                up[size + 2 + 2 * i + j] = (np.where(both, seen - np.exp(np.clip(joint, -60, 0)), 0.0) * heavy[:, None]).sum()
+        up = up / mass - ridge * theta / mass
         second += up * up
         theta += 0.4 * up / np.sqrt(second)
     w = {k: float(theta[i]) for k, i in index.items() if abs(theta[i]) > 1e-4}
@@ -228,24 +273,30 @@ class Tagger:
 
 def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> Field:
     """Words first, windows then: the driver gets words of toxic sample rows, counts for the others, and windows."""
-    sample = materialise(labelled_sample(docs, labels, label, size, doc_id, text), f"{run_dir(docs.sparkSession, 'toxic')}/sample")
+    work = run_dir(docs.sparkSession, "toxic")
+    sample = materialise(labelled_sample(docs, labels, label, size, doc_id, text), f"{work}/sample")
 
     def distinct(batches: Iterator[list[bytes]]) -> Iterator[list[pa.Array]]:
         for texts in batches:
             yield [pa.array([sorted({k for w in set(tokens(t)) for k in names(w)}) for t in texts], pa.list_(pa.string()))]
 
-    words = map_texts(sample, distinct, [("words", "array<string>")], ["doc_id", "label"])
-    long = words.select("doc_id", "label", F.explode("words").alias("word"))
-    tally = long.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("other"))
-    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    words = map_texts(sample.dropDuplicates(["label", "text"]), distinct, [("words", "array<string>")], ["doc_id", "label"])
+    words = materialise(words, f"{work}/words")
+    n = {r["label"]: r["n"] for r in words.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Field()
+    long = words.select("doc_id", "label", F.explode("words").alias("word"))
+    tally = long.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("other"))
+    tally = materialise(tally, f"{work}/tally")
+    # one row for each number of documents, of which the sample has few
+    sizes = {r["size"]: r["n"] for r in tally.groupBy((F.col("toxic") + F.col("other")).alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    at = level(sizes, n[1] / (n[0] + n[1]))
     need = max(3, round(LEAST_SHARE * n[1]))
-    telling = tally.filter((F.col("toxic") >= need) & (F.col("toxic") * n[0] >= 20 * F.col("other") * n[1])).toPandas()
+    telling = tally.filter((F.col("toxic") >= need) & (F.col("toxic") * n[0] >= ODDS * F.col("other") * n[1])).toPandas()
     other = dict(zip(telling["word"], telling["other"].astype(int), strict=True))
     some = long.filter("label = 1").join(telling_frame(docs.sparkSession, list(other)), "word").groupBy("doc_id").agg(F.sort_array(F.collect_set("word")).alias("words")).orderBy("doc_id").toPandas()
     found = [set(w) for w in some["words"]]
-    chosen = set(cover(found + [set()] * (n[1] - len(found)), other, n[0]))
+    chosen = set(cover(found + [set()] * (n[1] - len(found)), other, n[0], at))
     if not chosen:
         return Field()
 
@@ -255,18 +306,22 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, label: str = "
             for t in texts:
                 ws = tokens(t)
                 hits = [i for i, w in enumerate(ws) if not chosen.isdisjoint(names(w))]
-                spots = hits[:4] + ([len(ws) // 3, len(ws) * 2 // 3] if ws else [])
-                out.append([" ".join(ws[max(0, i - WINDOW) : i + WINDOW + 1]) for i in spots])
-            yield [pa.array(out, pa.list_(pa.string()))]
-
-    rows = map_texts(sample, windows, [("windows", "array<string>")], ["doc_id", "label"]).orderBy("doc_id").toPandas()
-    seqs, tags = [], []
-    for lab, many in zip(rows["label"], rows["windows"], strict=True):
-        for one in many:
-            ws = one.split(" ")
+                # around all hits; and at two places of every text
+                near = Counter(" ".join(ws[i:j]) for i, j in blocks(hits, len(ws)))
+                far = [" ".join(ws[max(0, i - WINDOW) : i + WINDOW + 1]) for i in ((len(ws) // 3, len(ws) * 2 // 3) if ws else ())]
+                many = sum(near.values())
+                out.append([{"words": w, "weight": HEAVY * k / many} for w, k in sorted(near.items())] + [{"words": w, "weight": 1.0} for w in far])
+            yield [pa.array(out, pa.list_(pa.struct([("words", pa.string()), ("weight", pa.float64())])))]
+
+    rows = map_texts(sample, windows, [("windows", "array<struct<words:string,weight:double>>")], ["doc_id", "label"]).orderBy("doc_id").collect()
+    seqs, tags, weights = [], [], []
+    for r in rows:
+        for one in r["windows"]:
+            ws = one["words"].split(" ")
             seqs.append(ws)
-            tags.append([int(lab == 1 and not chosen.isdisjoint(names(w))) for w in ws])
-    return fit(seqs, tags)
+            tags.append([int(r["label"] == 1 and not chosen.isdisjoint(names(w))) for w in ws])
+            weights.append(one["weight"])
+    return fit(seqs, tags, weights)
 
 
 def telling_frame(spark: SparkSession, words: list[str]) -> DataFrame:

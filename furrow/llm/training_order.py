@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ PAD_ID = 0
 #: Bytes of a shard, about.
 SHARD_BYTES = 8 << 20
 #: A task that writes shards holds the sequences of so many at most.
-SHARDS_A_TASK = 8
+SHARDS_A_TASK = 4
 KEY = 0x5DEECE66D
 ROUNDS = 4
 
@@ -87,13 +88,13 @@ class Shape:
 
 
 def tape(docs: DataFrame, work: str, width: int = 2, path: str | None = None, text: str = "text") -> tuple[DataFrame, int, dict[int, int]]:
-    """The ids of all texts, written once: part (a task of the scan), start within it, ids of a run of texts; the number
-    of ids; and where each part starts on the tape. The driver gets one number a part."""
+    """The ids of all texts, written once: part (a task of the scan), start within it, number and ids (zstandard) of a run
+    of texts; the number of all ids; and where each part starts on the tape. The driver gets one number a part."""
     path = path or vocabulary_path()
     small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = kept(IdCoder, path, f"<u{width}")
+        coder, squeeze = kept(IdCoder, path, f"<u{width}"), zstandard.ZstdCompressor(level=6).compress
         if len(coder.ends) > 1 << 8 * width:
             raise ValueError(f"ids of this vocabulary don't fit into {width} bytes")
         at = 0
@@ -101,13 +102,13 @@ def tape(docs: DataFrame, work: str, width: int = 2, path: str | None = None, te
             ids, edge = coder.coded(raw_texts(b.column(0)))
             ids = np.insert(ids, edge[1:], END_ID)
             if len(ids):
-                yield pa.RecordBatch.from_arrays([b.column(1)[:1], pa.array([at], pa.int64()), pa.array([ids.tobytes()], pa.binary())], names=["part", "start", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(1)[:1], pa.array([at], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([squeeze(ids.tobytes())], pa.binary())], names=["part", "start", "n", "ids"])
             at += len(ids)
 
     source = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.spark_partition_id().alias("part"))
-    runs = materialise(source.mapInArrow(encode, "part int, start bigint, ids binary"), f"{work}/tape")
+    runs = materialise(source.mapInArrow(encode, "part int, start bigint, n bigint, ids binary"), f"{work}/tape")
     starts, at = {}, 0
-    for r in runs.groupBy("part").agg(F.sum(F.length("ids") / width).cast("bigint").alias("n")).orderBy("part").collect():
+    for r in runs.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
         starts[r["part"]] = at
         at += r["n"]
     return runs, at, starts
@@ -127,27 +128,29 @@ def write_shards(
     small_batches(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, unsqueeze = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for part, start, ids in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for part, start, n, ids in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 # a run of texts is mostly whole sequences; only its two ends are parts of one
-                first = starts[part] + start
-                last = first + len(ids) // width
+                first, ids = starts[part] + start, unsqueeze(ids)
+                last = first + n
                 s = np.arange(first // length, -(-last // length))
                 low, high = np.maximum(s * length, first), np.minimum((s + 1) * length, last)
                 slot = feistel(s, sequences, key)
                 cuts = zip(((low - first) * width).tolist(), ((high - first) * width).tolist(), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((slot // slots).astype(np.int32)), pa.array(slot), pa.array(s), pa.array((low - s * length).astype(np.int32)), pa.array([ids[i:j] for i, j in cuts], pa.binary())],
+                    [pa.array((slot // slots).astype(np.int32)), pa.array(slot), pa.array(s), pa.array((low - s * length).astype(np.int32)), pa.array([squeeze(ids[i:j]) for i, j in cuts], pa.binary())],
                     names=["shard", "slot", "seq", "offset", "part"],
                 )
 
     parts = runs.mapInArrow(cut, "shard int, slot bigint, seq bigint, offset int, part binary")
-    # neighbouring shards go to one task: as many tasks as there are cores to use, and none with more than its bound
-    tasks = max(1, min(shape.shards, max(2 * spark.sparkContext.defaultParallelism, -(-shape.shards // SHARDS_A_TASK))))
+    # neighbouring shards go to one task
+    tasks = max(1, -(-shape.shards // SHARDS_A_TASK))
     parts = parts.repartitionById(tasks, F.floor(F.col("shard").cast("bigint") * tasks / max(shape.shards, 1)).cast("int")).sortWithinPartitions("slot", "offset")
     pad = int(PAD_ID).to_bytes(width, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsqueeze = zstandard.ZstdDecompressor().decompress
         done: list[tuple] = []
         shard, body, slot, seq, have = None, bytearray(), None, None, []
 
@@ -177,7 +180,7 @@ def write_shards(
                         end_shard()
                         shard = h
                     slot, seq, have = s, q, []
-                have.append(part)
+                have.append(unsqueeze(part))
             if done:
                 yield told()
         end_sequence()

@@ -407,3 +407,35 @@ def test_the_linear_program_supplies_the_packing():
             cover[i] += k * often
     assert (cover / counts).min() == pytest.approx(least) and least >= 1 - packing.ERROR
     assert sum(x for _, x in found) <= (lengths * counts).sum() / 512 * 1.2
+
+
+def test_words_are_chosen_by_significance():
+    rng = random.Random(8)
+    # 60 toxic and 400 other documents of random words, and one toxic word in half of the toxic ones
+    draw = lambda: {rng.choice("bcdfg") + str(rng.randrange(400)) for _ in range(80)}
+    toxic, other = [draw() | ({"grumbo"} if i % 2 else set()) for i in range(60)], [draw() for _ in range(400)]
+    seen, both = Counter(w for d in other for w in d), Counter(w for d in toxic + other for w in d)
+    at = toxicity.level(Counter(both.values()), 60 / 460)
+    assert toxicity.cover(toxic, seen, 400, at) == ["grumbo"]
+    for n, k, share in ((12, 12, 0.1), (40, 20, 0.1), (9, 4, 0.3)):
+        exact = sum(math.comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(k, n + 1))
+        assert exact <= toxicity.chance(k, n, share) * (1 + 1e-12) and (k < n or toxicity.chance(k, n, share) == pytest.approx(exact))
+
+
+def test_blocks_hold_the_neighbourhood_of_every_hit():
+    rng = random.Random(9)
+    for _ in range(300):
+        size = rng.randint(1, 80)
+        hits = sorted(rng.sample(range(size), rng.randint(0, size)))
+        got_ = toxicity.blocks(hits, size, 3)
+        near = {j for i in hits for j in range(max(0, i - 3), min(size, i + 4))}
+        flat = [j for a, b in got_ for j in range(a, b)]
+        assert len(flat) == len(set(flat)) and set(flat) == near and all(b - a <= 7 for a, b in got_)
+
+
+def test_toxic_offsets(spark):
+    model = toxicity.Field({"w=bad": 20.0}, -10.0)
+    rows = [(1, "A bad, BAD thing; bad"), (2, "İ bad"), (3, ""), (4, None), (5, "bad"), (5, "bad")]
+    out = got(toxicity.score(spark.createDataFrame(rows, "doc_id int, text string"), model))
+    spans = [[(s["start"], s["end"]) for s in r["toxic_spans"]] for r in sorted(out, key=lambda r: r["doc_id"])]
+    assert spans == [[(2, 10), (18, 21)], [(2, 5)], [], [], [(0, 3)], [(0, 3)]]
