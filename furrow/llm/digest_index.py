@@ -1,7 +1,7 @@
 """Exact duplicates by a persistent index of text digests (DataFrame and SQL functions only).
 
 The index is a Parquet table bucketed and sorted by digest. A batch is reduced to one row per digest, held against the
-index by a sort-merge anti-join that shuffles the batch alone, and what is new is appended. A group of copies of any
+index by a sort-merge anti-join that shuffles the batch alone, and what is new is appended under the batch's name. A group of copies of any
 size is one row before anything is joined, and the last join, which gives each row its group, reads both sides through
 plain exchanges, so that Spark splits hot groups there.
 
@@ -12,6 +12,7 @@ columns of the input are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from furrow.llm.common import SPACE, load, materialise, run_dir
 
 BUCKETS = 64
+#: Digests of a bucket after compaction, about; and files of a bucket, on average, that call for one.
+BUCKET_ROWS, BUCKET_FILES = 4_000_000, 8
 
 
 def normalised(text: Column) -> Column:
@@ -27,50 +30,86 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """The index under one path. Another session that opens the same path goes on with the same digests."""
+    """The index under one path. Another session that opens the same path goes on with the same digests.
+
+    Each version of the index is a folder of its own, named by its number and its buckets; the last that was written to
+    its end counts. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path = spark, path
-        self.table = "digest_index_" + re.sub(r"\W", "_", path)[-80:].lower()
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS `{self.table}` (digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+        self.spark, self.path = spark, path.rstrip("/")
+        whole = [v for v in self._versions() if v[2]]
+        self._open(*(max(whole)[:2] if whole else (0, buckets)))
+
+    def _versions(self) -> list[tuple[int, int, bool]]:
+        """Number, buckets, and whether it is whole (a version that batches are still appended to counts from its first)."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(at):
+            return []
+        found = [re.fullmatch(r"v(\d+)-b(\d+)", f.getPath().getName()) for f in files.listStatus(at)]
+        return [(int(m[1]), int(m[2]), files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{m[0]}/_SUCCESS"))) for m in found if m]
+
+    def _open(self, version: int, buckets: int) -> None:
+        self.version, self.buckets = version, buckets
+        self.table = self._create(version, buckets)
+
+    def _create(self, version: int, buckets: int) -> str:
+        at = f"{self.path}/v{version}-b{buckets}"
+        table = "digest_index_" + hashlib.md5(at.encode()).hexdigest()
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS `{table}` (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{at}'"
         )
-        self.buckets = buckets
+        return table
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
     def add(self, groups: DataFrame, batch: str) -> None:
-        """Append the digests that the index lacks. groups: digest (once each), keep_id, keep_row."""
+        """Append the digests that the index lacks, under the name of their batch. groups: digest (once each), keep_id.
+        Adding a batch again, after a job that died at whatever point, appends only what is still missing."""
         new = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        new.select("digest", "keep_id", "keep_row", F.lit(batch).alias("batch")).repartition(self.buckets, "digest").write.insertInto(self.table)
-        self.spark.catalog.refreshTable(self.table)
+        self._append(new.select("digest", "keep_id", F.lit(batch).alias("batch")), self.table, self.buckets)
+        if len(self.rows().inputFiles()) > BUCKET_FILES * self.buckets:
+            self.compact()
+
+    def _append(self, rows: DataFrame, table: str, buckets: int) -> None:
+        rows.repartition(buckets, "digest").write.insertInto(table)
+        self.spark.catalog.refreshTable(table)
+
+    def compact(self, bucket_rows: int = BUCKET_ROWS) -> None:
+        """Write the index anew, one sorted file a bucket and as many buckets as its size asks for. With one file a bucket,
+        Spark relies on the order in which it was written."""
+        buckets = max(1, -(-self.rows().count() // bucket_rows))
+        version = 1 + max([v[0] for v in self._versions()], default=0)
+        self._append(self.rows().select("digest", "keep_id", "batch"), self._create(version, buckets), buckets)
+        self._open(version, buckets)
 
 
-def exact_groups(docs: DataFrame, index: DigestIndex, work: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, index: DigestIndex, work: str, batch: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size (rows of this batch with the text), kept, digest.
 
     keep_id is the smallest id of the batch that first brought the text; kept is true for one row of each text that
     this batch brought first. work: a folder for the digests of the batch, which are written once and read thrice.
+    batch: its name; a batch that is run again under its name gives the same rows as it would have the first time.
     """
-    spark = docs.sparkSession
+    spark, batch = docs.sparkSession, batch or work
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text)).cast("binary"), 256)).alias("digest"))
     keyed = materialise(keyed.withColumn("row", F.monotonically_increasing_id()), f"{work}/digests")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
     groups = keyed.groupBy("digest").agg(first, F.count(F.lit(1)).alias("group_size"))
     groups = materialise(groups.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"), f"{work}/groups")
-    index.add(groups, work)
-    known = groups.select("digest", "group_size").join(index.rows().hint("merge"), "digest")
+    index.add(groups, batch)
+    known = groups.select("digest", "group_size", "keep_row").join(index.rows().hint("merge"), "digest")
     known = materialise(known, f"{work}/known")
     return keyed.join(known.hint("merge"), "digest").select(
-        "doc_id", "keep_id", "group_size", ((F.col("batch") == work) & (F.col("row") == F.col("keep_row"))).alias("kept"), "digest"
+        "doc_id", "keep_id", "group_size", ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"), "digest"
     )
 
 
-def keep_first(docs: DataFrame, index: DigestIndex, work: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, index: DigestIndex, work: str, batch: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns. Rows are found again by id and digest; of rows alike in both, one."""
-    stays = exact_groups(docs, index, work, doc_id, text).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    stays = exact_groups(docs, index, work, batch, doc_id, text).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
     keyed = docs.withColumn("__digest2", F.unhex(F.sha2(normalised(F.col(text)).cast("binary"), 256)))
     same = keyed[doc_id].eqNullSafe(stays["__id"]) & (keyed["__digest2"] == stays["__digest"])
     found = keyed.join(stays, same, "left_semi")

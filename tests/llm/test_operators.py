@@ -66,6 +66,18 @@ def test_exact_groups_and_a_second_batch(spark, docs, none):
     again = {r["doc_id"]: r for r in got(digest_index.exact_groups(more, digest_index.DigestIndex(spark, f"{work}/index", 4), f"{work}/2"))}
     assert not again[1000]["kept"] and again[1000]["keep_id"] == min(by["one"]) and again[1001]["kept"]
     assert got(digest_index.exact_groups(none, index, f"{work}/3")) == []
+    # a batch whose job died after it was appended gives the same rows when it is run again, however its rows lie
+    twice = docs.limit(50).withColumn("text", digest_index.F.concat("text", digest_index.F.lit(" again"))).cache()
+    first = got(digest_index.exact_groups(twice, index, f"{work}/5", "fifty"))
+    second = got(digest_index.exact_groups(twice.repartition(7), digest_index.DigestIndex(spark, f"{work}/index", 4), f"{work}/6", "fifty"))
+    key = lambda r: (r["doc_id"], r["keep_id"], r["group_size"], r["digest"])
+    assert Counter(map(key, first)) == Counter(map(key, second)) and sum(r["kept"] for r in first) == sum(r["kept"] for r in second) > 0
+    # and in a compacted index, which another session finds
+    index.compact(20)
+    fresh = digest_index.DigestIndex(spark, f"{work}/index", 4)
+    assert fresh.version == 1 and fresh.buckets == -(-fresh.rows().count() // 20) and len(fresh.rows().inputFiles()) <= fresh.buckets
+    assert Counter(map(key, got(digest_index.exact_groups(twice, fresh, f"{work}/7", "fifty")))) == Counter(map(key, first))
+    assert not any(r["kept"] for r in got(digest_index.exact_groups(twice, fresh, f"{work}/8", "other")))
     left = digest_index.keep_first(docs, digest_index.DigestIndex(spark, f"{work}/other", 4), f"{work}/4")
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in got(left)) == sorted(min(v) for v in by.values())
 
@@ -187,20 +199,70 @@ def test_blocks_find_links_across_chunks(spark, monkeypatch):
     assert found == {(i, i + 1) for i in range(0, 10, 2)}
 
 
-def test_winnowing(spark, docs):
+def kept_by_hand(text, h, gram=winnowing.GRAM, window=winnowing.WINDOW):
+    """{(hash, position)} of a text by the definition: a rolling hash of each run, the rightmost minimum of each window.
+    h: a word's hash, and that of a whole short sequence."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x] or ([" "] if text else [])
+    turn = lambda x, k: (x << k | x >> (64 - k)) & (2**64 - 1) if k else x
+    if not w:
+        return set()
+    if len(w) < gram:
+        runs = [h(tuple(w))]
+    else:
+        x = 0
+        for v in w[:gram]:
+            x = turn(x, 1) ^ h(v)
+        runs = [x]
+        for k in range(gram, len(w)):  # rolled on: the first word leaves, the next comes
+            x = turn(x, 1) ^ turn(h(w[k - gram]), gram) ^ h(w[k])
+            runs.append(x)
+    short = [x >> winnowing.PLACE + 1 for x in runs]
+    out = set()
+    for i in range(max(1, len(short) - window + 1)):
+        part = short[i : i + window]
+        j = max(k for k, v in enumerate(part) if v == min(part))
+        out.add((part[j], i + j))
+    return out
+
+
+@pytest.fixture(scope="module")
+def spark_hash(spark):
+    """xxhash64 as Spark has it, of words and of sequences of words."""
+    F, every = winnowing.F, set()
+    rows = [t or "" for t in texts()]
+    for t in rows:
+        every.update(x for x in re.split(r"[\x20\x09-\x0D]+", t) if x)
+    every = sorted(every | {" "})
+    one = {r["w"]: r["h"] % 2**64 for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+
+    def h(x):
+        if isinstance(x, str):
+            if x not in one:
+                one[x] = spark.createDataFrame([(x,)], "w string").select(F.xxhash64("w").alias("h")).first()["h"] % 2**64
+            return one[x]
+        return spark.createDataFrame([(list(x),)], "w array<string>").select(F.xxhash64(F.transform("w", lambda v: F.xxhash64(v))).alias("h")).first()["h"] % 2**64
+
+    return h
+
+
+def entries(numbers):
+    return {(x >> winnowing.PLACE, winnowing._LOW - (x & winnowing._LOW)) for x in numbers}
+
+
+def test_winnowing(spark, docs, spark_hash):
     df = docs.select("doc_id", "text").distinct()
-    out = {r["doc_id"]: r for r in got(winnowing.winnow(df, "text", "f").select("doc_id", "text", "f", winnowing.positions(winnowing.F.col("f")).alias("p")))}
-    for r in out.values():
-        w = [x for x in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if x]
-        grams = max(1, len(w) - winnowing.GRAM + 1) if w else (1 if r["text"] else 0)
-        assert len(r["f"]) == len(set(r["f"])) and all(0 <= p < max(grams, 1) for p in r["p"])
-        # every window of hashes has a kept position
-        for i in range(max(0, grams - winnowing.WINDOW + 1)):
-            assert any(i <= p < i + winnowing.WINDOW for p in r["p"])
-    same = {}
-    for r in out.values():
-        same.setdefault(r["text"] or "", set()).add(tuple(r["f"]))
-    assert all(len(v) == 1 for v in same.values())
+    out = got(winnowing.winnow(df, "text", "f").select("doc_id", "text", "f", winnowing.positions(winnowing.F.col("f")).alias("p")))
+    for r in out:
+        assert len(r["f"]) == len(set(r["f"])) and entries(r["f"]) == kept_by_hand(r["text"] or "", spark_hash)
+        assert set(r["p"]) == {p for _, p in entries(r["f"])}
+
+
+@pytest.mark.parametrize(("gram", "window"), [(1, 1), (2, 3), (3, 4), (7, 5), (8, 9)])
+def test_winnowing_of_other_sizes(spark, docs, spark_hash, monkeypatch, gram, window):
+    monkeypatch.setattr(winnowing, "GRAM", gram)
+    monkeypatch.setattr(winnowing, "WINDOW", window)
+    for r in got(winnowing.winnow(docs.filter("doc_id < 25").select("doc_id", "text").distinct(), "text", "f")):
+        assert entries(r["f"]) == kept_by_hand(r["text"] or "", spark_hash, gram, window)
 
 
 def test_winnowing_takes_the_rightmost_of_equal_hashes(spark):
@@ -209,6 +271,41 @@ def test_winnowing_takes_the_rightmost_of_equal_hashes(spark):
     assert sorted(r["p"]) == [3, 4, 5, 6, 7]
 
 
+def test_fingerprint_query_by_hand(spark, spark_hash, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, t) for i, t in enumerate(texts(20)) if t is None or len(t) < 2000]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in got(winnowing.op8_fingerprints(spark, str(tmp_path)))}
+    by_id = [(i, t or "") for i, t in sorted(rows)]
+    assert sorted(out) == [i for i, _ in by_id]
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, (i, t) in enumerate(by_id):
+        nxt = by_id[(k + 1) % len(by_id)][1]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + nxt[:cut]
+        a, b, c = ({h for h, _ in kept_by_hand(x, spark_hash)} for x in (t, edited, nxt))
+        r = out[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((alike(a, b), alike(a, c)))
+        assert sorted(r["positions"]) == sorted(p for _, p in kept_by_hand(t, spark_hash))
+
+
+def test_fingerprints_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert got(winnowing.op8_fingerprints(spark, str(tmp_path))) == []
+
+
+def test_ranges_are_found_by_bisection(spark):
+    df = spark.createDataFrame([(i % 37 - 9,) for i in range(300)] + [(None,)], "doc_id bigint")
+    for ranges in (1, 2, 5, 8, 30):
+        rows = got(winnowing.in_ranges(df, "doc_id", ranges))
+        assert {r["__range"] for r in rows if r["doc_id"] is None} == {-1}
+        known = sorted((r["doc_id"], r["__range"]) for r in rows if r["doc_id"] is not None)
+        at = [x for _, x in known]
+        assert at == sorted(at) and len(set(known)) == 37 and max(at) >= min(ranges, 10) - 2
+
+
 def test_fingerprints_follow_the_next_id(spark, docs):
     rows = sorted({(r["doc_id"], r["text"] or "") for r in got(docs)})
     df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id bigint, text string").repartition(5)
