@@ -1,15 +1,20 @@
 """Document fingerprints by winnowing (DataFrame and SQL functions only).
 
-The units are words. Each run of GRAM words is hashed; of every WINDOW neighbouring hashes the smallest is kept, the
-rightmost on ties, with its position. Two texts that share a run of at least GRAM + WINDOW - 1 words share a kept hash.
+The units are words. Every run of GRAM words has a cyclic polynomial (rolling) hash: the exclusive or of its words' hashes,
+each rotated by its distance from the end of the run. Instead of rolling it along word by word, which has no column
+function, the same values are made of their halves: runs of two from neighbouring words, runs of four from neighbouring
+twos, and so on, so that a word is hashed once, and a run takes a few shifts. Of every WINDOW neighbouring hashes the
+smallest is kept, the rightmost on ties, with its position. Two texts that share a run of at least GRAM + WINDOW - 1
+words share a kept hash.
 
-Hash and position are one number: 39 bits of hash above 24 bits that fall as the position grows. Its minimum is then
-the smallest hash at its rightmost place, and sliding minima of width 2 and 4 come from zipping an array with itself
-shifted, so no window is ever listed.
+Hash and position are one number: 35 bits of hash above 28 bits that fall as the position grows; an array of 2^28 hashes
+is the longest that Spark holds, so every position fits. Its minimum is then the smallest hash at its rightmost place, and
+sliding minima come from zipping an array with itself shifted, so no window is ever listed.
 
 Defined cases: a null text counts as empty; a text without words has the hash of its white space as its one entry
 (an empty one has no entry); with fewer than GRAM words the whole sequence is one run; likeness is shared over all
-distinct hashes, 1 if both have none; positions beyond 2^24 words count as 2^24.
+distinct hashes, 1 if both have none; null and repeated ids follow one another by their texts' hashes; an empty table
+gives an empty result; columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -21,33 +26,58 @@ from furrow.llm.common import load
 
 GRAM = 5
 WINDOW = 4
-_LOW = 0xFFFFFF
-_HIGH = 0x7FFFFFFFFF000000
+#: Bits of a position, of those of a number above its sign.
+PLACE = 28
+_LOW = (1 << PLACE) - 1
+
+
+def rotated(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+
+
+def doublings(size: int) -> list[int]:
+    """By how much a run grows at each step, from one to size: powers of two, none more than it has come."""
+    out, done = [], 1
+    while done < size:
+        out.append(1 << min(done, size - done).bit_length() - 1)
+        done += out[-1]
+    return out
+
+
+def zipped(a: str, b: str, at: int, n: Column, fn) -> Column:
+    """fn of the first n entries of a and of n entries of b from place `at` on."""
+    n = F.greatest(n, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(at + 1), n), fn)
 
 
 def winnow(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the array of kept (hash, position) numbers of a text column. The steps are columns of their own, so that
     none is worked out twice."""
-    n = F.size("__words")
-    df = df.withColumn("__words", F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    df = df.withColumn("__words", F.when((n == 0) & (F.length(F.coalesce(F.col(text), F.lit(""))) > 0), F.array(F.lit(" "))).otherwise(F.col("__words")))
-    packed = lambda i: F.xxhash64(F.slice("__words", i + 1, GRAM)).bitwiseAND(F.lit(_HIGH)).bitwiseOR(F.lit(_LOW).cast("long") - F.least(i, F.lit(_LOW)))
-    df = df.withColumn("__h1", F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - GRAM, F.lit(0))), packed)))
-    for narrow, wide, shift in (("__h1", "__h2", 1), ("__h2", "__h4", 2)):
-        m = F.size(narrow)
-        shifted = F.slice(narrow, F.lit(shift + 1), F.greatest(m - shift, F.lit(0)))
-        df = df.withColumn(wide, F.when(m > shift, F.zip_with(F.slice(narrow, F.lit(1), m - shift), shifted, lambda a, b: F.least(a, b))).otherwise(F.array(F.array_min(narrow))))
-    kept = F.array_compact(F.array_distinct("__h4"))
-    return df.withColumn(out, kept).drop("__words", "__h1", "__h2", "__h4")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumn("__words", F.filter(F.split(whole, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    df = df.withColumn("__words", F.when((F.size("__words") == 0) & (F.length(whole) > 0), F.array(F.lit(" "))).otherwise(F.col("__words")))
+    df = df.withColumn("__r1", F.transform("__words", lambda w: F.xxhash64(w))).drop("__words")
+    n, done = F.size("__r1"), 1
+    for by in doublings(GRAM):
+        # a run of done + by words: one of done words, rotated by `by`, and the run of `by` words that follows it
+        df = df.withColumn(f"__r{done + by}", zipped(f"__r{done}", f"__r{by}", done, n - (done + by - 1), lambda x, y: rotated(x, by).bitwiseXOR(y)))  # noqa: B023 (built at once)
+        done += by
+    runs = F.when(n >= GRAM, F.col(f"__r{GRAM}")).when(n > 0, F.array(F.xxhash64("__r1"))).otherwise(F.array().cast("array<bigint>"))
+    pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, PLACE + 1), PLACE).bitwiseOR(F.lit(_LOW).cast("long") - i)
+    df = df.withColumn("__m", F.transform(runs, pack)).drop(*[c for c in df.columns if c.startswith("__r") and c != "__range"])
+    for by in doublings(WINDOW):
+        m = F.size("__m")
+        df = df.withColumn("__m", F.when(m > by, zipped("__m", "__m", by, m - by, lambda x, y: F.least(x, y))).otherwise(F.array(F.array_min("__m"))))
+    return df.withColumn(out, F.array_compact(F.array_distinct("__m"))).drop("__m")
 
 
 def hashes(fingerprint: Column) -> Column:
-    return F.array_distinct(F.transform(fingerprint, lambda x: F.shiftright(x, 24)))
+    return F.array_distinct(F.transform(fingerprint, lambda x: F.shiftright(x, PLACE)))
 
 
 def positions(fingerprint: Column) -> Column:
     """The word positions (from 0) of a fingerprint's entries."""
-    return F.transform(fingerprint, lambda x: F.lit(_LOW).cast("long") - x.bitwiseAND(F.lit(_LOW).cast("long")))
+    return F.transform(fingerprint, lambda x: (F.lit(_LOW).cast("long") - x.bitwiseAND(F.lit(_LOW).cast("long"))).cast("int"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -67,7 +97,13 @@ def in_ranges(docs: DataFrame, doc_id: str, ranges: int) -> DataFrame:
     The driver gets the cuts, one number a range."""
     cuts = docs.agg(F.percentile_approx(doc_id, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("q")).collect()[0]["q"] if ranges > 1 else None
     cuts = sorted({int(c) for c in cuts or []})
-    where = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(doc_id))) if cuts else F.lit(0)
+    if not cuts:
+        where = F.lit(0)
+    else:
+        # how many cuts lie below an id, by bisection: steps of falling powers of two
+        every, n = F.array(*[F.lit(c) for c in cuts]), len(cuts)
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+        where = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(every, at + step - 1) < F.col(doc_id)), at + step).otherwise(at))
     return docs.withColumn("__range", F.when(F.col(doc_id).isNull(), -1).otherwise(where))
 
 
@@ -105,5 +141,5 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({"__a": hashes(F.col("fingerprint")), "__b": hashes(F.col("edited_print")), "__c": hashes(F.col("next_fingerprint"))})
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digest(F.col("fingerprint")).alias("fingerprint"), digest(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness("__a", "__b").alias("near_edited"), likeness("__a", "__c").alias("near_next"),
+        likeness("__a", "__b").alias("near_edited"), likeness("__a", "__c").alias("near_next"), positions(F.col("fingerprint")).alias("positions"),
     )
