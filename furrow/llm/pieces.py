@@ -11,11 +11,12 @@ of few words' second and later choices: only the N - 1 words whose second choice
 over these gives the combinations in order.
 
 Characters that no piece covers become byte pieces at a score below every piece's. Spaces become U+2581, one is put
-before the text, and decoding undoes both, so that decode(encode(x)) = x.
+before the text, and decoding undoes both, so that decode(encode(x)) = x for texts without that mark.
 
-Defined cases: a null text counts as empty and has no pieces and one empty segmentation of score 0; ties are broken by
-fewer pieces first; repeated rows are segmented each; a null
-id stays null; an empty table gives an empty result.
+Defined cases: a null text counts as empty and has no pieces and one empty segmentation of score 0; of equal scores fewer
+pieces come first, and of equal numbers an order that depends on the text alone, so the first N are the same whatever N;
+repeated rows are segmented each; a null id stays null; an empty table gives an empty result; other columns are not looked
+at. A U+2581 of a text is read as a space, as the mark means one, so such a text doesn't come back: round_trip is false.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ MODEL = "piece_bpe_32k.model"
 BEST = 3
 MARK = "▁"
 _NEVER = float("inf")
+#: What a piece costs besides its score, so that of equal scores fewer pieces win: less than any difference of scores, which
+#: are whole numbers, for words of up to a million pieces.
+TIE = 2.0**-20
 
 
 class Lattice:
@@ -60,13 +64,13 @@ class Lattice:
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.values = {i: v for v, i in self.bytes.items()}
         self.off_score = low - 10.0
-        # a tree of characters; the score of a piece is under the empty string at its last character
+        # a tree of characters; the cost of a piece is under the empty string at its last character
         self.root: dict = {}
         for p, score in self.score.items():
             node = self.root
             for c in p:
                 node = node.setdefault(c, {})
-            node[""] = score
+            node[""] = TIE - score
         self.code = {p: i.to_bytes(2, "little") for p, i in self.ids.items()}
         lone = [c for c in "\n\r\t" if not any(c in p for p in self.score)]
         # no piece holds these characters, so they part words as well
@@ -75,7 +79,7 @@ class Lattice:
         self.chosen = Bounded(cached // 10)
 
     def edges(self, w: str) -> list[list[tuple[int, float]]]:
-        """For each place, (where it begins, score) of the pieces that end there; a character without a piece of its
+        """For each place, (where it begins, cost) of the pieces that end there; a character without a piece of its
         own is one edge of byte pieces. A start is followed down the tree of pieces, no further than one can go."""
         n = len(w)
         out: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
@@ -89,43 +93,44 @@ class Lattice:
                 if s is not None:
                     out[j + 1].append((i, s))
             if not out[i + 1] or out[i + 1][-1][0] != i:
-                out[i + 1].append((i, self.off_score * len(w[i].encode("utf-8", "surrogatepass"))))
+                out[i + 1].append((i, (TIE - self.off_score) * len(w[i].encode("utf-8", "surrogatepass"))))
         return out
 
     def nbest(self, w: str, best: int) -> list[tuple[float, list[int]]]:
-        """(score, places of the piece ends) of the best segmentations of a word, best first."""
+        """(cost, places of the piece ends) of the best segmentations of a word, best first; a cost is minus the score,
+        and TIE for each piece."""
         edges, n = self.edges(w), len(w)
         ahead = [0.0] * (n + 1)
         for j in range(1, n + 1):
-            ahead[j] = max([ahead[i] + s for i, s in edges[j]])
-        # minus (score so far backwards + best score ahead), pieces so far, place, running number, score so far,
-        # (place, what follows).
-        # The heuristic is exact, so each entry stands for at least one whole segmentation of just that score, and no
+            ahead[j] = min([ahead[i] + s for i, s in edges[j]])
+        # cost so far backwards + least cost ahead, running number, place, cost so far, (place, what follows).
+        # The heuristic is exact, so each entry stands for at least one whole segmentation of just that cost, and no
         # more entries than segmentations still wanted need to be kept.
-        # A running number settles ties, so that no two paths are ever compared.
-        queue = [(-ahead[n], 0, n, 0, 0.0, None)]
+        # Of equal costs the newest comes first: a path that is as good as others is followed to its end before them, so
+        # the order of segmentations doesn't depend on how many are wanted.
+        queue = [(ahead[n], 0, n, 0.0, None)]
         number = 0
         out: list[tuple[float, list[int]]] = []
         while queue:
-            f, k, j, _, g, path = queue.pop(0)
+            f, _, j, g, path = queue.pop(0)
             if not j:
                 ends = []
                 while path is not None:
                     ends.append(path[0])
                     path = path[1]
-                out.append((-f, ends))
+                out.append((f, ends))
                 if len(out) == best:
                     break
                 continue
-            path, k, want = (j, path), k + 1, best - len(out)
+            path, want = (j, path), best - len(out)
             for i, s in edges[j]:
                 h = g + s
-                f = -(h + ahead[i])
-                if len(queue) < want or f < queue[-1][0]:
-                    number += 1
-                    if len(queue) >= want:
+                f = h + ahead[i]
+                if len(queue) < want or f <= queue[-1][0]:
+                    number -= 1
+                    insort(queue, (f, number, i, h, path))
+                    if len(queue) > want:
                         queue.pop()
-                    insort(queue, (f, k, i, number, h, path))
         return out
 
     def code_of(self, w: str, ends: list[int]) -> bytes:
@@ -140,7 +145,8 @@ class Lattice:
     def word(self, w: str) -> tuple[float, float, bytes, str]:
         """Best score, what the second choice costs, ids of the best, and the word itself."""
         found = self.nbest(w, min(2, self.best))
-        return found[0][0], found[0][0] - found[1][0] if len(found) > 1 else _NEVER, self.code_of(w, found[0][1]), w
+        code = self.code_of(w, found[0][1])
+        return TIE * (len(code) // 2) - found[0][0], found[1][0] - found[0][0] if len(found) > 1 else _NEVER, code, w
 
     def words(self, raw: bytes) -> list[tuple]:
         c = self.cache
@@ -166,7 +172,7 @@ class Lattice:
         out = self.chosen.get(w)
         if out is None:
             found = self.nbest(w, self.best)
-            out = [(found[0][0] - s, self.code_of(w, ends)) for s, ends in found]
+            out = [(cost - found[0][0], self.code_of(w, ends)) for cost, ends in found]
             self.chosen.room()
             if len(w) <= KEY_BYTES:
                 self.chosen[w] = out
@@ -187,20 +193,23 @@ class Lattice:
         choices = [self.choices(words[i][3]) for i in places]
         more = [[c for c, _ in found] for found in choices]
         start = (0,) * len(places)
+        # of equal costs, later choices of earlier words come first, whatever words stand behind them
         heap, seen = [(0.0, start)], {start}
         while heap and len(out) < self.best:
             cost, choice = heapq.heappop(heap)
+            choice = tuple(-j for j in choice)
             if choice != start:
                 own = list(ids)
                 for i, c, j in zip(places, choices, choice, strict=True):
                     own[i] = c[j][1]
-                out.append((top - cost, b"".join(own)))
+                code = b"".join(own)
+                out.append((top - cost + TIE * ((len(code) - len(out[0][1])) // 2), code))
             for k, j in enumerate(choice):
                 if j + 1 < len(more[k]):
                     nxt = choice[:k] + (j + 1,) + choice[k + 1 :]
                     if nxt not in seen:
                         seen.add(nxt)
-                        heapq.heappush(heap, (sum(m[x] for m, x in zip(more, nxt, strict=True)), nxt))
+                        heapq.heappush(heap, (sum(m[x] for m, x in zip(more, nxt, strict=True)), tuple(-j for j in nxt)))
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -231,8 +240,7 @@ def encode(docs: DataFrame, path: str | None = None, best: int = BEST, doc_id: s
             found = [lattice.segmentations(t) for t in texts]
             n = [[len(b) // 2 for _, b in f] for f in found]
             crc = [[zlib.crc32(b) for _, b in f] for f in found]
-            plain = [t.replace(MARK.encode(), b" ") for t in texts]
-            same = [[lattice.decode(b) == t for _, b in f] for f, t in zip(found, plain, strict=True)]
+            same = [[lattice.decode(b) == t for _, b in f] for f, t in zip(found, texts, strict=True)]
             scores = [[s for s, _ in f] for f in found]
             new = [pa.array([x[0] for x in v], k) for v, k in ((n, pa.int64()), (scores, pa.float64()), (crc, pa.int64()), (same, pa.bool_()))]
             new += [pa.array(v, pa.list_(k)) for v, k in ((scores, pa.float64()), (n, pa.int64()), (crc, pa.int64()), (same, pa.bool_()))]
@@ -253,7 +261,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataFr
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([lattice.decode(x or b"").decode("utf-8", "replace") for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return first.mapInArrow(run, "doc_id bigint, text string")
+    return first.mapInArrow(run, f"doc_id {first.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def op5_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
