@@ -13,14 +13,15 @@ registers, corrected for chance collisions, first; then, where it doesn't rule a
 components. Most buckets then lie within one component and are closed. In the others a member that is linked to the hub
 can still be the bridge to one that is not, but by the triangle inequality of the Jaccard distance only if that one is
 at least half similar to the hub; without such a member the linked ones leave the bucket. What is left of the open
-buckets hangs together in clusters; a cluster is cut into chunks of at most about CHUNK members, and each pair of chunks
+buckets hangs together in clusters; a cluster is cut into chunks of about CHUNK members and CHUNK_BYTES at most, and each pair of chunks
 is one task, which intersects their full sets exactly (as products of 0/1 matrices) and sends on one link for each two
 components that have any. The work of this step grows with the square of a cluster of members that resemble each other
 without being linked, but no task, and no row count between tasks, does.
 
 Defined cases: a null text or one without words has an empty set and is its own component; fewer than five words are
-one shingle; repeated rows are linked as equal sets; a null id is left out of links (component null, kept true); an
-empty table gives an empty result.
+one shingle; repeated rows are linked as equal sets; rows that share an id but not a set are told apart, and each has the
+smallest id of its own component; a null id is left out of links (component null, kept true); an empty table gives an
+empty result; columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ SURELY_NOT = 0.55
 SURELY_FAR = 0.30
 #: Members of a cluster on either side of one task.
 CHUNK = 512
+#: And bytes of their sets.
+CHUNK_BYTES = 32 << 20
 #: Of the table that thins out documents; 2.1 MB of bits.
 BITS = 1 << 24
 
@@ -108,9 +111,10 @@ def shortened(least: np.ndarray) -> np.ndarray:
 
 
 def collisions(n: np.ndarray, m: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Chance that registers of disjoint sets agree: of a short form with MANTISSA bits, both drawn near one another."""
+    """Chance that registers of disjoint sets of n and m items agree. Smallest rests fall off exponentially with rates in
+    proportion to n and m; one at x shares its short form with a stretch of x / (2 ln 2) / 2^MANTISSA on average."""
     x = np.minimum(n, m) / np.maximum(n, m)
-    return 2.0**-MANTISSA * 1.44 * x / (1 + x) ** 2 * 2 * np.ones_like(t, dtype=np.float64)
+    return 2.0**-MANTISSA / (2 * np.log(2)) * x / (1 + x) ** 2 * np.ones_like(t, dtype=np.float64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -229,36 +233,42 @@ def block_links(members: DataFrame) -> DataFrame:
 
 def chunk_pairs(members: DataFrame) -> DataFrame:
     """members (rep, component, cluster, items) once for each pair of chunks of its cluster that its chunk is in."""
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    m = members.join(sizes, "cluster").withColumn("chunks", F.ceil(F.col("size") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum(F.length("items")) / CHUNK_BYTES)).alias("chunks"))
+    m = members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
     own, other = F.col("chunk"), F.col("other")
     return m.select(F.struct("cluster", F.least(own, other).alias("i"), F.greatest(own, other).alias("j")).alias("block"), F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side"), "rep", "component", "items")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, items (sorted 64-bit shingle hashes, little-endian) of the given documents' whole texts.
+def full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, items (sorted 64-bit shingle hashes, little-endian) of the given classes (rep, id, class), from the whole texts
+    of the documents of those ids.
 
     A bit table of fixed size, at most BITS / 63 rows, thins the documents out before their sets are shuffled to the
     ids; where there are more ids than it can tell apart it lets more through, and the join drops them."""
 
     def run(batches: Iterator[list[bytes]]) -> Iterator[list[pa.Array]]:
+        import xxhash
+
         hashes = WordHashes()
         for texts in batches:
-            yield [pa.array([shingles(t, hashes).astype("<u8").tobytes() for t in texts], pa.binary())]
+            items = [shingles(t, hashes).astype("<u8").tobytes() for t in texts]
+            yield [pa.array(list(map(xxhash.xxh3_128_digest, items)), pa.binary()), pa.array(items, pa.binary())]
 
     place = F.pmod(F.xxhash64("id"), F.lit(BITS))
     word, mask = F.floor(place / 63), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {BITS}L) % 63 AS INT))")
-    bits = ids.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__mask"))
+    bits = reps.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__mask"))
     some = docs.withColumn("__w", word).join(F.broadcast(bits), F.col("__w") == F.col("__word")).filter(F.col("__mask").bitwiseAND(mask) != 0).select("id", "text")
-    return map_texts(some, run, [("items", "binary")], ["id"]).join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    sets = map_texts(some, run, [("class", "binary"), ("items", "binary")], ["id"])
+    # a class has one set, whichever of its rows with that id it is read from
+    return sets.join(reps.hint("merge"), ["class", "id"]).select("rep", "items").dropDuplicates(["rep"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """hub, rep, linked: whether SHARE[1] * intersection >= SHARE[0] * union on the full sets."""
     num, den = SHARE
-    rows = pairs.join(sets.select(F.col("id").alias("rep"), F.col("items").alias("rep_items")), "rep")
-    rows = rows.join(sets.select(F.col("id").alias("hub"), F.col("items").alias("hub_items")), "hub").select("hub", "rep", "hub_items", "rep_items")
+    rows = pairs.join(sets.select("rep", F.col("items").alias("rep_items")), "rep")
+    rows = rows.join(sets.select(F.col("rep").alias("hub"), F.col("items").alias("hub_items")), "hub").select("hub", "rep", "hub_items", "rep_items")
     small_batches(pairs.sparkSession, 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,21 +308,23 @@ def components(links: DataFrame, work: str) -> DataFrame:
 def groups(docs: DataFrame, work: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    rows = materialise(signatures(own, "id"), f"{work}/signatures")
+    # rows are numbered, and a class goes by its first row's number: ids may repeat, numbers don't
+    rows = materialise(signatures(own, "id").withColumn("row", F.monotonically_increasing_id()), f"{work}/signatures")
     usable = rows.filter("id IS NOT NULL AND class IS NOT NULL")
-    classes = usable.groupBy("class").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n_shingles"))
-    # the signature is a function of the class, so any row's will do; the representative's is read again
-    reps = usable.select(F.col("id").alias("rep"), "signatures").dropDuplicates(["rep"])
-    classes = materialise(classes.join(reps, "rep"), f"{work}/classes")
+    classes = usable.groupBy("class").agg(F.min("row").alias("rep"), F.min("id").alias("id"))
+    # the signature is a function of the class, so any row's will do
+    classes = materialise(classes.join(usable.select(F.col("row").alias("rep"), "n_shingles", "signatures"), "rep"), f"{work}/classes")
+    named = classes.select("rep", "id", "class")
     open_ = materialise(banded(classes), f"{work}/bands")
     shared = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     open_ = materialise(open_.join(shared.select("key"), "key", "left_semi"), f"{work}/open0")
-    # most buckets of a group agree on their smallest member, so it is the hub of all of them
+    # most buckets of a group agree on their first member, so it is the hub of all of them
     hubs = open_.groupBy("key").agg(F.min("rep").alias("hub"))
     member = materialise(open_.join(hubs, "key").filter("rep != hub"), f"{work}/members")
     guess = materialise(estimated(member.select("hub", "rep").distinct(), classes), f"{work}/guess")
     close = guess.filter(F.col("guess") >= SURELY_NOT).select("hub", "rep")
-    sets = materialise(full_sets(own, close.select(F.explode(F.array("hub", "rep")).alias("id")).distinct()), f"{work}/sets")
+    wanted = close.select(F.explode(F.array("hub", "rep")).alias("rep")).distinct()
+    sets = materialise(full_sets(own, named.join(wanted, "rep", "left_semi")), f"{work}/sets")
     seen = guess.join(verified(close, sets), ["hub", "rep"], "left").select("hub", "rep", "guess", F.coalesce("linked", F.lit(False)).alias("linked"))
     seen = materialise(seen, f"{work}/seen")
     links = seen.filter("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
@@ -331,16 +343,19 @@ def groups(docs: DataFrame, work: str, doc_id: str = "doc_id", text: str = "text
     ties = left.join(star, "rep").select(F.col("low").alias("a"), F.col("first").alias("b")).unionAll(star.select(F.col("low").alias("a"), F.col("rep").alias("b")))
     cluster = components(ties.filter("a != b").distinct(), f"{work}/clusters")
     few = left.select("rep", "component").distinct().join(cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
-    few = materialise(few.join(full_sets(own, few.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep"), f"{work}/few")
+    few = materialise(few, f"{work}/open")
+    few = materialise(few.join(full_sets(own, named.join(few.select("rep"), "rep", "left_semi")), "rep"), f"{work}/few")
     more = materialise(block_links(chunk_pairs(few)), f"{work}/more")
     if not more.isEmpty():
         label = components(links.unionAll(more), f"{work}/second")
-    named = classes.select("class", "rep")
-    named = named.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    named = materialise(named, f"{work}/named")
-    out = rows.select("id", "n_shingles", "class").join(named.hint("merge"), "class", "left")
-    smallest = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(doc_id), "n_shingles", F.when(F.col("id").isNull(), None).otherwise(smallest).alias("component_id"), F.coalesce(F.col("id") == smallest, F.lit(True)).alias("kept"))
+    named = named.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = materialise(named.select("class", "id", "component"), f"{work}/named")
+    # a component is told by its smallest id
+    smallest = named.groupBy("component").agg(F.min("id").alias("smallest"))
+    by_class = materialise(named.select("class", "component").join(smallest, "component").select("class", "smallest"), f"{work}/by_class")
+    out = rows.select("id", "n_shingles", "class").join(by_class.hint("merge"), "class", "left")
+    at = F.coalesce("smallest", "id")
+    return out.select(F.col("id").alias(doc_id), "n_shingles", F.when(F.col("id").isNull(), None).otherwise(at).alias("component_id"), F.coalesce(F.col("id") == at, F.lit(True)).alias("kept"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,11 @@ def test_near_duplicates(spark, docs, none):
     assert {i: r["component_id"] for i, r in out.items()} == want
     assert all(out[i]["n_shingles"] == len(sets[i]) and out[i]["kept"] == (want[i] == i) for i in out)
     assert got(near_dup.groups(none, run_dir(spark, "t"))) == []
+    # rows that share an id but not a text, and a repeated row
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    shared = spark.createDataFrame([(i, t, None, None, 0, None, None) for i, t in [(3, a), (3, b), (4, a), (9, b + " x"), (9, b), (4, a)]], SCHEMA)
+    found = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got(near_dup.groups(shared, run_dir(spark, "t")))]
+    assert sorted(found) == sorted([(3, 3, 3, True), (3, 2, 3, True), (4, 3, 3, False), (9, 3, 9, True), (9, 2, 3, False), (4, 3, 3, False)])
     nulls = spark.createDataFrame([(None, "a b c d e f", None, None, 0, None, None)] * 2, SCHEMA)
     assert [(r["component_id"], r["kept"]) for r in got(near_dup.groups(nulls, run_dir(spark, "t")))] == [(None, True)] * 2
 
@@ -188,7 +193,22 @@ def test_estimates_are_near_the_truth():
         b = np.concatenate([a[: int(900 * share)], rng.integers(0, 2**63, 900 - int(900 * share)).astype(np.uint64)])
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         ra, rb = (near_dup.shortened(near_dup.smallest_rests(np.unique(x), [1])) for x in (a, b))
-        assert abs(near_dup.estimate(ra, rb, np.array([900]), np.array([900]))[0] - true) < 0.16
+        error = (true * (1 - true) / near_dup.REGISTERS) ** 0.5
+        assert abs(near_dup.estimate(ra, rb, np.array([900]), np.array([900]))[0] - true) < 3 * error
+
+
+@pytest.mark.parametrize("sizes", [(900, 900), (900, 300)])
+def test_collisions_are_as_often_as_said(monkeypatch, sizes):
+    # with two mantissa bits, registers of disjoint sets agree often
+    monkeypatch.setattr(near_dup, "MANTISSA", 2)
+    rng = np.random.default_rng(4)
+    same = []
+    for _ in range(100):
+        ra, rb = (near_dup.shortened(near_dup.smallest_rests(rng.integers(0, 2**63, n).astype(np.uint64), [1])) for n in sizes)
+        same.append((ra == rb).mean())
+    c = near_dup.collisions(np.array(sizes[0]), np.array(sizes[1]), np.array(1))
+    assert abs(np.mean(same) - c) < 4 * (c / (100 * near_dup.REGISTERS)) ** 0.5
+    assert near_dup.estimate(*(np.tile(r, (1, 1)) for r in (ra, ra)), np.array([900]), np.array([900]))[0] == 1
 
 
 def test_blocks_find_links_across_chunks(spark, monkeypatch):
@@ -411,6 +431,25 @@ def test_nbest_pieces(docs, none):
         found = lattice.segmentations(s.encode())
         assert [x for x, _ in found] == pytest.approx(brute_nbest(lattice, s, 4))
         assert all(lattice.decode(i) == s.encode() for _, i in found) and len({i for _, i in found}) == len(found)
+    # ties: fewer pieces first, and the first ones are the same however many are wanted
+    letters = ["abcd", "e", "de", "c", "b", "a", "cde", "ab", "d", "bcde"]
+    few = pieces.Lattice(pieces.vocabulary_path(pieces.MODEL), 8)
+    few.score = {p: -float(6 * len(p)) for p in letters}
+    few.root = {}
+    for p in letters:
+        node = few.root
+        for ch in p:
+            node = node.setdefault(ch, {})
+        node[""] = pieces.TIE - few.score[p]
+    every = [(c, e) for c, e in few.nbest("abcde", 99)]
+    cuts = [len(e) for _, e in every]
+    assert cuts == sorted(cuts) and cuts[0] == 2 and len(every) == len({tuple(e) for _, e in every}) == 8
+    assert all(few.nbest("abcde", n) == every[:n] for n in range(1, 9))
+    for n in (1, 2, 3, 5):
+        one, two = pieces.Lattice(pieces.vocabulary_path(pieces.MODEL), n), pieces.Lattice(pieces.vocabulary_path(pieces.MODEL), n + 1)
+        for s in ("the thing in the thing", "aaaa aaaa bbbb", "in in in in", "xyzxyz " * 20):
+            assert two.segmentations(s.encode())[:n] == one.segmentations(s.encode())
+    assert not got(pieces.encode(docs.limit(1).withColumn("text", winnowing.F.lit("a\u2581b"))))[0]["round_trip"]
     rows = pieces.encode(docs)
     assert all(r["round_trip"] for r in got(rows))
     back = {r["doc_id"]: r["text"] for r in got(pieces.decode(rows))}
