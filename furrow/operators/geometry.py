@@ -104,6 +104,13 @@ def barrier_spans(vertices: DataFrame, barriers: DataFrame, half_width: float, k
     near = segments_within(seg.select(c(key).alias("id"), "seq", "x0", "y0", "x1", "y1"), barriers, half_width, cell)
     df = near.select(c("a_id").alias(key), c("a_seq").alias("seq"), c("b_id"), c("b_seq")).join(seg, [key, "seq"])
     df = df.join(barriers.select(c("id").alias("b_id"), c("seq").alias("b_seq"), c("x0").alias("p0"), c("y0").alias("q0"), c("x1").alias("p1"), c("y1").alias("q1")), ["b_id", "b_seq"])
+    df = df.withColumn("ts", capsule_stay(half_width)).filter(F.size("ts") > 0).select(key, (c("chainage") + F.array_min("ts") * c("len")).alias("lo"), (c("chainage") + F.array_max("ts") * c("len")).alias("hi"))
+    return merge_intervals(df.filter("hi > lo + 1e-9"), [key], tol=1e-6)
+
+
+def capsule_stay(half_width: float) -> Column:
+    """Parameters, from 0 to 1 along a segment (x0, y0, x1, y1), that bound its stay within half_width of an axis (p0, q0,
+    p1, q1): its ends and its crossings with the capsule's rim, those of them that are inside."""
     r = F.lit(float(half_width))
     dx, dy, ex, ey = c("x1") - c("x0"), c("y1") - c("y0"), c("p1") - c("p0"), c("q1") - c("q0")
     a = dx * dx + dy * dy
@@ -122,9 +129,7 @@ def barrier_spans(vertices: DataFrame, barriers: DataFrame, half_width: float, k
     side = F.when((axis > 0) & (F.abs(s1 - s0) > 1e-12), F.array((r - s0) / (s1 - s0), (-r - s0) / (s1 - s0))).otherwise(F.array().cast("array<double>"))
     at = F.concat(F.array(F.lit(0.0), F.lit(1.0)), circle(c("p0"), c("q0")), circle(c("p1"), c("q1")), side)
     far = lambda t: X.pt_seg_dist(c("x0") + dx * t, c("y0") + dy * t, c("p0"), c("q0"), c("p1"), c("q1"))
-    inside = F.filter(at, lambda t: (t >= 0) & (t <= 1) & (far(t) <= r + 1e-7))
-    df = df.withColumn("ts", inside).filter(F.size("ts") > 0).select(key, (c("chainage") + F.array_min("ts") * c("len")).alias("lo"), (c("chainage") + F.array_max("ts") * c("len")).alias("hi"))
-    return merge_intervals(df.filter("hi > lo + 1e-9"), [key], tol=1e-6)
+    return F.filter(at, lambda t: (t >= 0) & (t <= 1) & (far(t) <= r + 1e-7))
 
 
 def split_lines(lengths: DataFrame, spans: DataFrame, min_len: float, key: str = "line_id") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -382,7 +387,11 @@ def clip_to_strips(rows: DataFrame, strip_edges: DataFrame, min_len: float) -> t
     hit = a.join(b, ["__cx", "__cy"]).filter(F.abs(den) > 1e-12).withColumn("t", F.try_divide(fx * ey - fy * ex, den)).withColumn("u", F.try_divide(fx * dy - fy * dx, den))
     hit = hit.filter((c("u") >= 0) & (c("u") < 1)).dropDuplicates(["row_id", "strip_id", "edge"])
     # crossings of the whole line pair up; the row is the part between 0 and 1. A row's far crossings lie in cells it doesn't pass, so ends inside a strip are told by parity of those it does pass
-    inside = strip_edges.select("strip_id", "x0", "y0", "x1", "y1").join(rows.select("row_id", c("x0").alias("px"), c("y0").alias("py")), (c("y0") > c("py")) != (c("y1") > c("py"))).filter(c("px") < c("x0") + F.try_divide((c("x1") - c("x0")) * (c("py") - c("y0")), c("y1") - c("y0")))
+    # ends and edges meet by stretch of height
+    high = lambda y: F.floor(y / 50.0)
+    spread = strip_edges.select("strip_id", "x0", "y0", "x1", "y1", F.explode(F.sequence(high(F.least("y0", "y1")), high(F.greatest("y0", "y1")))).alias("__y"))
+    points = rows.select("row_id", c("x0").alias("px"), c("y0").alias("py"), high(c("y0")).alias("__y"))
+    inside = spread.join(points, "__y").filter((c("y0") > c("py")) != (c("y1") > c("py"))).filter(c("px") < c("x0") + F.try_divide((c("x1") - c("x0")) * (c("py") - c("y0")), c("y1") - c("y0")))
     starts = inside.groupBy("row_id", "strip_id").agg((F.count(F.lit(1)) % 2).alias("odd")).filter("odd = 1").select("row_id", "strip_id", F.lit(0.0).alias("t"))
     cuts = hit.filter((c("t") > 0) & (c("t") < 1)).select("row_id", "strip_id", "t").unionByName(starts)
     w = Window.partitionBy("row_id", "strip_id").orderBy("t")
@@ -422,10 +431,17 @@ def rank_trials(df: DataFrame) -> DataFrame:
 
 
 def interface(a: DataFrame, b: DataFrame, reach: float, tol: float, cell: float = 50.0) -> DataFrame:
-    """Of two sets of field edges (field, id, seq, x0..y1) per pair of fields within reach: least distance, and length of
+    """Of two sets of field edges (field, id, seq, x0..y1) per pair of fields within reach: least distance, the pair of
+    edges that has it (of equal ones the first), the direction of a's edge there (degrees, mod 180), and the length of those parts of
     a's edges that run within tol of b's."""
     near = segments_within(a, b, reach, cell)
-    af, bf = a.select(c("id").alias("a_id"), c("seq").alias("a_seq"), c("field").alias("a_field"), X.distance(c("x0"), c("y0"), c("x1"), c("y1")).alias("len")), b.select(c("id").alias("b_id"), c("seq").alias("b_seq"), c("field").alias("b_field"))
-    m = near.join(af, ["a_id", "a_seq"]).join(bf, ["b_id", "b_seq"])
-    shared = m.filter(c("dist") <= tol).select("a_field", "b_field", "a_id", "a_seq", "len").distinct().groupBy("a_field", "b_field").agg(F.sum("len").alias("near_m"))
-    return m.groupBy("a_field", "b_field").agg(F.min("dist").alias("min_dist")).join(shared, ["a_field", "b_field"], "left").fillna(0.0, ["near_m"])
+    geo = lambda df, p, names: df.select(c("id").alias(f"{p}_id"), c("seq").alias(f"{p}_seq"), c("field").alias(f"{p}_field"), *[c(o).alias(n) for o, n in zip(("x0", "y0", "x1", "y1"), names, strict=True)])
+    m = near.join(geo(a, "a", ("x0", "y0", "x1", "y1")), ["a_id", "a_seq"]).join(geo(b, "b", ("p0", "q0", "p1", "q1")), ["b_id", "b_seq"])
+    length = X.distance(c("x0"), c("y0"), c("x1"), c("y1"))
+    part = m.filter(c("dist") <= tol).withColumn("ts", capsule_stay(tol)).filter(F.size("ts") > 0)
+    part = part.select("a_field", "b_field", "a_id", "a_seq", (F.array_min("ts") * length).alias("lo"), (F.array_max("ts") * length).alias("hi"))
+    shared = merge_intervals(part, ["a_field", "b_field", "a_id", "a_seq"], tol=1e-9).groupBy("a_field", "b_field").agg(F.sum(c("hi") - c("lo")).alias("near_m"))
+    turn = F.degrees(F.atan2(c("y1") - c("y0"), c("x1") - c("x0")))
+    best = F.min(F.struct(F.round("dist", 9).alias("dist"), "a_id", "a_seq", "b_id", "b_seq", F.pmod(turn, F.lit(180.0)).alias("direction"))).alias("b")
+    out = m.groupBy("a_field", "b_field").agg(best).select("a_field", "b_field", c("b.dist").alias("min_dist"), c("b.a_id").alias("near_a"), c("b.b_id").alias("near_b"), c("b.direction").alias("direction"))
+    return out.join(shared, ["a_field", "b_field"], "left").fillna(0.0, ["near_m"])

@@ -40,18 +40,27 @@ def bands(df: DataFrame, v: str, breaks: list[float], by: list[str]) -> DataFram
 
 
 def mask_cells(cells: DataFrame, edges: DataFrame, all_touched: bool = False, res: float = 1.0) -> DataFrame:
-    """field, grid_id, row, col of cells whose centre is in a polygon (holes respected): a ray to the right crosses its
-    edges (field, x0, y0, x1, y1) an odd number of times. Edges and cells meet by grid row. all_touched adds cells
-    that an edge passes."""
+    """field, grid_id, row, col of cells whose centre is in a polygon (holes respected). The crossings of each grid row
+    with a field's edges (field, x0, y0, x1, y1), in order, pair up to the stretches that lie inside; these give the
+    columns, which meet the cells by row and column. all_touched adds cells that an edge passes."""
     y0, y1 = F.least("y0", "y1"), F.greatest("y0", "y1")
     banded = edges.withColumn("row", F.explode(F.sequence(F.floor(y0 / res).cast("int"), F.floor(y1 / res).cast("int"))))
-    y, x = (c("row") + 0.5) * res, (c("col") + 0.5) * res
+    y = (c("row") + 0.5) * res
     keys = cells.select(*RC)
-    met = keys.join(banded, "row")
-    crosses = (c("y0") > y) != (c("y1") > y)
-    right = x < c("x0") + F.try_divide((c("x1") - c("x0")) * (y - c("y0")), c("y1") - c("y0"))
-    out = met.filter(crosses & right).groupBy("field", *RC).agg((F.count(F.lit(1)) % 2).alias("odd")).filter("odd = 1").select("field", *RC)
+    at = banded.filter((c("y0") > y) != (c("y1") > y)).select("field", "row", (c("x0") + (c("x1") - c("x0")) * (y - c("y0")) / (c("y1") - c("y0"))).alias("x"))
+    w = Window.partitionBy("field", "row").orderBy("x")
+    inside = at.withColumn("n", F.row_number().over(w)).withColumn("to", F.lead("x").over(w)).filter("n % 2 = 1 AND to IS NOT NULL")
+    # the first column whose centre isn't left of an end
+    first = lambda x: F.ceil(x / res - 0.5).cast("int")
+    cols = inside.filter(first(c("to")) > first(c("x"))).select("field", "row", F.explode(F.sequence(first(c("x")), first(c("to")) - 1)).alias("col"))
+    out = keys.join(cols.distinct(), ["row", "col"]).select("field", *RC)
     if all_touched:
+        # an edge's columns in a row lie between its ends there
+        e = lambda y: c("x0") + F.when(c("y1") != c("y0"), (c("x1") - c("x0")) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - c("y0")) / (c("y1") - c("y0"))))).otherwise(F.lit(None))
+        low, high = e(c("row") * res), e((c("row") + 1) * res)
+        a, b = F.least(F.coalesce(low, c("x0")), F.coalesce(high, c("x1"))), F.greatest(F.coalesce(low, c("x0")), F.coalesce(high, c("x1")))
+        passed = banded.withColumn("col", F.explode(F.sequence(F.floor(a / res - 1e-9).cast("int"), F.floor(b / res + 1e-9).cast("int"))))
+        met = keys.join(passed, ["row", "col"])
         dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
         # the part of the edge within the cell's square has positive length or is a point
         t = lambda lo, d, a: (lo - a) / d
@@ -174,12 +183,13 @@ def normal_spacing(cells: DataFrame, step: float, nominal: float, tol: float, re
 def spacing_from_levels(cells: DataFrame, levels: DataFrame) -> DataFrame:
     """Each cell (phi, grad) takes the interval between declared levels that holds its phase, clipped to the first and
     last; spacing is interval over gradient, infinite where the gradient is next to nothing. levels: grid_id, level."""
-    w = Window.partitionBy("grid_id").orderBy("level")
-    iv = levels.withColumn("up", F.lead("level").over(w)).withColumn("first", F.row_number().over(w) == 1).filter("up IS NOT NULL")
-    last = Window.partitionBy("grid_id").orderBy(c("level").desc())
-    iv = iv.withColumn("last", F.row_number().over(last) == 1).withColumnRenamed("level", "lo")
-    inside = ((c("phi") >= c("lo")) | c("first")) & ((c("phi") < c("up")) | c("last"))
-    return cells.join(iv, "grid_id").filter(inside).withColumn("spacing", F.when(c("grad") > 1e-6, (c("up") - c("lo")) / c("grad")).otherwise(float("inf"))).drop("lo", "up", "first", "last")
+    every = levels.groupBy("grid_id").agg(F.sort_array(F.collect_set("level")).alias("__levels")).filter(F.size("__levels") > 1)
+    # of n levels, the interval that begins with the last one not above the phase, and no further than the last interval
+    n = F.size(F.filter("__levels", lambda x: x <= c("phi")))
+    at = F.greatest(F.lit(1), F.least(n, F.size("__levels") - 1))
+    gap = F.get("__levels", at) - F.get("__levels", at - 1)
+    out = cells.join(every, "grid_id").filter(c("phi").isNotNull())
+    return out.withColumn("spacing", F.when(c("grad") > 1e-6, gap / c("grad")).otherwise(float("inf"))).drop("__levels")
 
 
 def orientation_sweep(cells: DataFrame, angles: list[float], lambdas: list[float], step: float, target: float, alert: float) -> DataFrame:
@@ -270,19 +280,20 @@ def mask_boundary(mask: DataFrame) -> DataFrame:
 
 
 def crossing_candidates(cells: DataFrame, mask: DataFrame, k: int = 8, radius: float = 40.0, least: float = 0.5, res: float = 1.0) -> DataFrame:
-    """The k best boundary cells that are local maxima of area (v), best first, none within radius of a better pick.
-    k rounds, each of which takes the best row left and drops what is near it."""
+    """Of each grid, the k best boundary cells that are local maxima of area (v), best first, none within radius of a
+    better pick of that grid: rank, grid_id, row, col, v. k rounds for all grids at once; each takes the best cell that a
+    grid has left (of equal ones the first by row and column) and drops what is near it."""
     peak = focal_max(cells, 7).filter("v = focal AND v >= " + str(least)).drop("focal")
-    left = peak.join(mask_boundary(mask), RC).checkpoint()
-    out = []
+    left, out = peak.join(mask_boundary(mask), RC).select(*RC, "v").checkpoint(), None
     for rank in range(1, k + 1):
-        best = left.orderBy(c("v").desc(), "row", "col").limit(1).collect()
-        if not best:
-            break
-        b = best[0]
-        out.append((rank, b["grid_id"], b["row"], b["col"], float(b["v"])))
-        left = left.filter(X.distance(c("row").cast("double"), c("col").cast("double"), F.lit(float(b["row"])), F.lit(float(b["col"]))) * res > radius)
-    return cells.sparkSession.createDataFrame(out, "rank int, grid_id int, row int, col int, v double")
+        best = left.groupBy("grid_id").agg(F.max(F.struct("v", -c("row"), -c("col"))).alias("b"))
+        best = best.select(F.lit(rank).alias("rank"), "grid_id", (-c("b")["col2"]).alias("row"), (-c("b")["col3"]).alias("col"), c("b.v").alias("v"))
+        out = best if out is None else out.unionByName(best)
+        if rank < k:
+            at = best.select("grid_id", c("row").alias("__r"), c("col").alias("__c"))
+            far = X.distance(c("row").cast("double"), c("col").cast("double"), c("__r").cast("double"), c("__c").cast("double")) * res > radius
+            left = left.join(at, "grid_id").filter(far).drop("__r", "__c").checkpoint()
+    return out
 
 
 def isoline_segments(cells: DataFrame, interval: float, offset: float = 0.0, res: float = 1.0) -> DataFrame:

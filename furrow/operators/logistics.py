@@ -77,11 +77,20 @@ def subsets(sites: DataFrame, k: int, most: int = 50_000) -> DataFrame:
     return every.select(F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("subset_id"), F.size("members").alias("size"), F.explode("members").alias("site_id"))
 
 
+def by_demand(cost: DataFrame, subset: DataFrame) -> DataFrame:
+    """A row for each demand and subset, with the least distance to its members (dist, null if none is reached).
+
+    A demand's distances (to a decision's few candidate sites) become one map, and the subsets, of which subsets() makes a
+    bounded number, are broadcast: the product of both is aggregated where it is made and never shuffled."""
+    own = cost.groupBy("demand_id", "mass_t").agg(F.map_from_entries(F.collect_list(F.struct("site_id", "dist"))).alias("far"))
+    few = subset.groupBy("subset_id").agg(F.first("size").alias("size"), F.collect_list("site_id").alias("members")) if "size" in subset.columns else subset.groupBy("subset_id").agg(F.collect_list("site_id").alias("members"))
+    return own.crossJoin(F.broadcast(few)).withColumn("dist", F.array_min(F.transform("members", lambda m: F.try_element_at("far", m))))
+
+
 def score_subsets(cost: DataFrame, subset: DataFrame, penalties: DataFrame) -> DataFrame:
     """subset_id, size, objective: mass times least distance over members, summed, plus the members' penalties.
     cost: demand_id, mass_t, site_id, dist."""
-    reach = cost.join(subset, "site_id").groupBy("subset_id", "size", "demand_id", "mass_t").agg(F.min("dist").alias("dist"))
-    moved = reach.groupBy("subset_id", "size").agg(F.sum(c("mass_t") * c("dist")).alias("moved"))
+    moved = by_demand(cost, subset).groupBy("subset_id", "size").agg(F.sum(c("mass_t") * c("dist")).alias("moved"))
     fixed = subset.join(penalties, "site_id").groupBy("subset_id").agg(F.sum("penalty").alias("fixed"))
     return moved.join(fixed, "subset_id").select("subset_id", "size", (c("moved") + c("fixed")).alias("objective"))
 
@@ -89,21 +98,20 @@ def score_subsets(cost: DataFrame, subset: DataFrame, penalties: DataFrame) -> D
 def coverage_score(cost: DataFrame, subset: DataFrame, penalties: DataFrame, capacities: DataFrame) -> DataFrame:
     """Like score_subsets where some demands can't reach some sites (dist null): mass that reaches no member, and mass
     beyond the members' capacity, cost (20 x the largest distance + 1) each."""
-    far = cost.agg((F.max("dist") * 20 + 1).alias("rate"), F.sum(F.lit(0.0)).alias("zero"))
-    total = cost.select("demand_id", "mass_t").distinct().agg(F.sum("mass_t").alias("total"))
-    reach = cost.join(subset, "site_id").groupBy("subset_id", "demand_id", "mass_t").agg(F.min("dist").alias("dist"))
-    g = reach.groupBy("subset_id").agg(F.sum(F.when(c("dist").isNotNull(), c("mass_t") * c("dist")).otherwise(0.0)).alias("moved"), F.sum(F.when(c("dist").isNull(), c("mass_t")).otherwise(0.0)).alias("lost"))
+    far = cost.agg((F.max("dist") * 20 + 1).alias("rate"))
+    moved = F.sum(F.when(c("dist").isNotNull(), c("mass_t") * c("dist")).otherwise(0.0)).alias("moved")
+    g = by_demand(cost, subset).groupBy("subset_id").agg(moved, F.sum(F.when(c("dist").isNull(), c("mass_t")).otherwise(0.0)).alias("lost"), F.sum("mass_t").alias("total"))
     fixed = subset.join(penalties, "site_id").join(capacities, "site_id").groupBy("subset_id").agg(F.sum("penalty").alias("fixed"), F.sum("capacity_t").alias("capacity"))
-    df = g.join(fixed, "subset_id").crossJoin(far).crossJoin(total)
+    df = g.join(fixed, "subset_id").crossJoin(far)
     short = F.greatest(c("total") - c("capacity"), F.lit(0.0))
     return df.select("subset_id", c("lost").alias("unreachable_t"), short.alias("shortfall_t"), (c("moved") + c("fixed") + c("rate") * (c("lost") + short)).alias("score"))
 
 
 def feasibility(cost: DataFrame, subset: DataFrame, capacities: DataFrame) -> DataFrame:
-    reach = cost.join(subset, "site_id").groupBy("subset_id", "demand_id", "mass_t").agg(F.count("dist").alias("n"))
-    g = reach.groupBy("subset_id").agg(F.sum("mass_t").alias("mass"), F.min("n").alias("least"))
+    """Whether each subset reaches all demands and holds their mass."""
+    g = by_demand(cost, subset).groupBy("subset_id").agg(F.sum("mass_t").alias("mass"), F.bool_and(c("dist").isNotNull()).alias("all_reached"))
     cap = subset.join(capacities, "site_id").groupBy("subset_id").agg(F.sum("capacity_t").alias("capacity"))
-    return g.join(cap, "subset_id").select("subset_id", ((c("capacity") >= c("mass")) & (c("least") > 0)).alias("feasible"))
+    return g.join(cap, "subset_id").select("subset_id", ((c("capacity") >= c("mass")) & c("all_reached")).alias("feasible"))
 
 
 def regret(cost: DataFrame) -> DataFrame:

@@ -18,10 +18,10 @@ FEEDS["levels_ct"] = """SELECT s_suppkey AS package_id, concat('E', k) AS level
 FEEDS["options_ct"] = """SELECT l_partkey AS parameter_id, l_suppkey AS model_id, min(l_linenumber) = 1 AS is_default, max(l_quantity) > 20 AS selectable FROM lineitem GROUP BY l_partkey, l_suppkey"""
 FEEDS["modes_ct"] = """SELECT l_partkey AS parameter_id, CASE l_linenumber % 6 WHEN 1 THEN 'REFERENCE' WHEN 2 THEN 'ASSEMBLY' WHEN 3 THEN 'LOOKUP' WHEN 4 THEN 'TEMPLATE' ELSE 'DIRECT' END AS mode, l_quantity AS value, l_returnflag AS source FROM lineitem WHERE l_partkey % 3 = 0 AND l_quantity > 35 OR l_partkey % 3 = 1 AND l_linenumber = 1 AND l_quantity > 40"""
 FEEDS["custom_ct"] = """SELECT p_partkey AS parameter_id, p_size * 1e0 AS value FROM part WHERE p_partkey % 11 = 0"""
-FEEDS["texts_ct"] = """SELECT l_partkey AS parameter_id, CASE WHEN l_partkey % 2 = 0 THEN CAST(l_linenumber AS VARCHAR(10)) ELSE concat('{"', l_returnflag, '":"', l_linenumber % 3, '"}') END AS json FROM lineitem WHERE l_partkey % 4 < 2 AND l_linenumber < 4 AND l_suppkey < 30"""
+FEEDS["texts_ct"] = """SELECT l_partkey AS parameter_id, CASE WHEN l_partkey % 2 = 0 THEN CAST(l_linenumber AS VARCHAR(10)) ELSE concat('{"', l_returnflag, '":"', l_linenumber % 3, '"}') END AS json FROM lineitem"""
 FEEDS["base_ct"] = """SELECT p_partkey AS parameter_id, p_size AS value FROM part WHERE p_partkey % 3 <> 0"""
 FEEDS["resolved_ct"] = """SELECT p_partkey AS parameter_id, CASE WHEN p_partkey % 4 = 0 THEN p_size ELSE p_size % 10 END AS value, p_partkey % 7 = 0 AS safety, p_partkey % 2 = 0 AS e0 FROM part WHERE p_partkey % 5 <> 1"""
-FEEDS["overrides_ct"] = """SELECT l_partkey AS parameter_id, l_orderkey * 10 + l_linenumber AS seq, l_quantity AS value, CASE WHEN l_linestatus = 'F' THEN 'APPROVED' ELSE 'PENDING' END AS status FROM lineitem WHERE l_suppkey = 5"""
+FEEDS["overrides_ct"] = """SELECT l_partkey AS parameter_id, l_orderkey * 1000000 + l_linenumber * 100000 + l_suppkey AS seq, l_quantity AS value, CASE WHEN l_linestatus = 'F' THEN 'APPROVED' ELSE 'PENDING' END AS status FROM lineitem"""
 FEEDS["assets"] = """SELECT c_nationkey AS project_id, c_custkey AS asset_id, concat('ROLE', c_custkey % 4) AS role, c_custkey % 5 <> 0 AND c_nationkey % 6 <> c_custkey % 4 AS verified, c_acctbal AS created_at FROM customer"""
 FEEDS["products_ct"] = """SELECT concat('P', r_regionkey) AS product_id, CASE WHEN r_regionkey = 0 THEN NULL ELSE concat('P', r_regionkey - 1) END AS requires FROM region"""
 FEEDS["roles_ct"] = """SELECT concat('P', r_regionkey) AS product_id, concat('ROLE', r_regionkey % 4) AS role FROM region"""
@@ -95,7 +95,7 @@ def ct7(spark, d):
 
 @query("ct8_value_conflicts", """SELECT parameter_id, 'VALUES_DIFFER' AS conflict FROM texts_ct WHERE json NOT LIKE '{%' GROUP BY parameter_id HAVING count(DISTINCT json) > 1 UNION ALL SELECT parameter_id, 'KEY_DIFFERS:' || k FROM (SELECT parameter_id, substr(json, 3, 1) AS k, substr(json, 7, 1) AS v FROM texts_ct WHERE json LIKE '{%') GROUP BY parameter_id, k HAVING count(DISTINCT v) > 1""")
 def ct8(spark, d):
-    df = feed(spark, d, "SELECT l_partkey AS parameter_id, l_linenumber, l_returnflag FROM lineitem WHERE l_partkey % 4 < 2 AND l_linenumber < 4 AND l_suppkey < 30")
+    df = feed(spark, d, "SELECT l_partkey AS parameter_id, l_linenumber, l_returnflag FROM lineitem")
     obj = F.concat(F.lit('{"'), c("l_returnflag"), F.lit('":"'), (c("l_linenumber") % 3).cast("string"), F.lit('"}'))
     return C.value_conflicts(df.select("parameter_id", F.when(c("parameter_id") % 2 == 0, c("l_linenumber").cast("string")).otherwise(obj).alias("json")))
 

@@ -23,7 +23,7 @@ FEEDS["parcels"] = """SELECT s_suppkey AS feature_id, ((s_suppkey * 13 + k * 29)
 FEEDS["field_poly"] = """SELECT p_brand AS field, k AS seq, ((k * 37 + CAST(substr(p_brand, 7) AS INT) * 5) % 11) * 0e0 + CASE k WHEN 0 THEN 0e0 WHEN 1 THEN 8e1 + CAST(substr(p_brand, 7) AS INT) WHEN 2 THEN 9.5e1 WHEN 3 THEN 4e1 WHEN 4 THEN 1e1 ELSE 0e0 END AS x, CASE k WHEN 0 THEN 0e0 WHEN 1 THEN 3e0 WHEN 2 THEN 6e1 WHEN 3 THEN 3e1 WHEN 4 THEN 7e1 ELSE 0e0 END AS y
 FROM (SELECT DISTINCT p_brand FROM part) b CROSS JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 6) q"""
 FEEDS["poly_edges"] = """SELECT a.field, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM field_poly a JOIN field_poly b ON a.field = b.field AND b.seq = a.seq + 1"""
-FEEDS["strips_ge"] = """SELECT s_suppkey AS strip_id, k, s_suppkey * 2e1 + CASE WHEN k IN (0, 3, 4) THEN 0e0 ELSE 1.2e1 END AS x, CASE WHEN k IN (0, 1, 4) THEN -1e1 ELSE 5e2 END AS y FROM supplier CROSS JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 5) q WHERE s_suppkey < 8"""
+FEEDS["strips_ge"] = """SELECT s_suppkey AS strip_id, k, s_suppkey * 2e1 + CASE WHEN k IN (0, 3, 4) THEN 0e0 ELSE 1.2e1 END AS x, CASE WHEN k IN (0, 1, 4) THEN -1e1 ELSE 5e2 END AS y FROM supplier CROSS JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 5) q"""
 FEEDS["strip_edges"] = """SELECT a.strip_id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM strips_ge a JOIN strips_ge b ON a.strip_id = b.strip_id AND b.k = a.k + 1"""
 FEEDS["cut_rows"] = """SELECT line_id AS row_id, xa + 5e-1 AS x0, y AS y0, xb + 2.5e-1 AS x1, y + 3e0 AS y1 FROM plain_rows"""
 FEEDS["rows_a"] = """SELECT p_partkey AS row_id, 0e0 AS x0, p_partkey * 1.5e0 AS y0, 1e2 AS x1, p_partkey * 1.5e0 + p_size AS y1 FROM part"""
@@ -254,6 +254,16 @@ def ge27(spark, d):
     return G.rank_trials(feed(spark, d, "trials_ge")).select("trial", "rank")
 
 
-@query("ge28_interface", f"""WITH m AS (SELECT a.field AS a_field, b.field AS b_field, a.id, sqrt(power(a.x1 - a.x0, 2) + power(a.y1 - a.y0, 2)) AS len, {_SEGD} AS dist FROM sides a, sides_b b), n AS (SELECT * FROM m WHERE dist <= 20.0001) SELECT a_field, b_field, round(min(dist), 6) AS min_dist, round(coalesce((SELECT sum(len) FROM (SELECT DISTINCT q.a_field, q.b_field, q.id, q.len FROM n q WHERE q.dist <= 5.0001) z WHERE z.a_field = n.a_field AND z.b_field = n.b_field), 0), 6) AS near_m FROM n GROUP BY a_field, b_field""")
+# a point at t on a's edge is within r of b's: ends, crossings with the circles round b's ends and with b's line moved by r, those of them that are near
+_AT = "(a.x0 + (a.x1 - a.x0) * t)", "(a.y0 + (a.y1 - a.y0) * t)"
+_ROOT = lambda p, q, s: f"(-((a.x0 - {p}) * (a.x1 - a.x0) + (a.y0 - {q}) * (a.y1 - a.y0)) {s} sqrt(greatest(0, power((a.x0 - {p}) * (a.x1 - a.x0) + (a.y0 - {q}) * (a.y1 - a.y0), 2) - (power(a.x1 - a.x0, 2) + power(a.y1 - a.y0, 2)) * (power(a.x0 - {p}, 2) + power(a.y0 - {q}, 2) - power(5.0001, 2))))) / (power(a.x1 - a.x0, 2) + power(a.y1 - a.y0, 2))"
+_OFF = lambda n: f"((b.x1 - b.x0) * (a.y{n} - b.y0) - (b.y1 - b.y0) * (a.x{n} - b.x0)) / sqrt(power(b.x1 - b.x0, 2) + power(b.y1 - b.y0, 2))"
+_CUTS = ", ".join(["0", "1"] + [_ROOT(f"b.x{n}", f"b.y{n}", s) for n in (0, 1) for s in "+-"] + [f"({s}5.0001 - {_OFF(0)}) / nullif({_OFF(1)} - {_OFF(0)}, 0)" for s in ("", "-")])
+
+
+@query("ge28_interface", f"""WITH m AS (SELECT a.field AS a_field, b.field AS b_field, a.id, b.id AS bid, degrees(atan2(a.y1 - a.y0, a.x1 - a.x0)) AS turn, sqrt(power(a.x1 - a.x0, 2) + power(a.y1 - a.y0, 2)) AS len, {_SEGD} AS dist, list_filter([{_CUTS}], lambda t: t >= 0 AND t <= 1 AND {_PD(*_AT, 'b.')} <= 5.0001 + 1e-7) AS ts FROM sides a, sides_b b WHERE {_SEGD} <= 20.0001),
+i AS (SELECT a_field, b_field, id, list_min(ts) * len AS lo, list_max(ts) * len AS hi FROM m WHERE len(ts) > 0), j AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY a_field, b_field, id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM i), k AS (SELECT *, sum(fresh) OVER (PARTITION BY a_field, b_field, id ORDER BY lo, hi) AS g FROM j),
+s AS (SELECT a_field, b_field, sum(hi - lo) AS near_m FROM (SELECT a_field, b_field, id, g, min(lo) AS lo, max(hi) AS hi FROM k GROUP BY ALL) GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY a_field, b_field ORDER BY round(dist, 9), id, bid) AS rn FROM m)
+SELECT a_field, b_field, round(dist, 6) AS min_dist, id AS near_a, bid AS near_b, round(turn - 180 * floor(turn / 180), 6) AS direction, round(coalesce(near_m, 0), 5) AS near_m FROM n LEFT JOIN s USING (a_field, b_field) WHERE rn = 1""")
 def ge28(spark, d):
-    return rounded(G.interface(feed(spark, d, "sides"), feed(spark, d, "sides_b"), 20.0001, 5.0001), ["min_dist", "near_m"])
+    return rounded(rounded(G.interface(feed(spark, d, "sides"), feed(spark, d, "sides_b"), 20.0001, 5.0001), ["min_dist", "direction"]), ["near_m"], 5)

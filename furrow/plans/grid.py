@@ -9,9 +9,11 @@ from furrow.plans.feeds import FEEDS, feed, oracle
 
 FEEDS["cells"] = """SELECT 0 AS grid_id, CAST(floor(p_partkey / 5e1) AS INT) AS row, CAST(p_partkey % 50 AS INT) AS col, CASE WHEN p_size = 1 THEN NULL ELSE p_retailprice / 1e1 + p_size * p_size * 1e-2 END AS v FROM part"""
 FEEDS["cells_b"] = """SELECT 0 AS grid_id, CAST(floor(p_partkey / 5e1) AS INT) AS row, CAST(p_partkey % 50 AS INT) AS col, CASE WHEN p_size = 2 THEN NULL ELSE p_retailprice / 1e1 + p_size * 1e-1 END AS v FROM part"""
-FEEDS["corners"] = """SELECT 'F1' AS field, 1 AS ring, 1 AS seq, 2e0 AS x, 1.25e0 AS y UNION ALL SELECT 'F1', 1, 2, 30e0, 1.25e0 UNION ALL SELECT 'F1', 1, 3, 33e0, 17.75e0 UNION ALL SELECT 'F1', 1, 4, 4e0, 15.25e0 UNION ALL SELECT 'F1', 1, 5, 2e0, 1.25e0
+# the corners of two fields, one with a hole, once in each block of twenty grid rows
+FEEDS["outlines"] = """SELECT 'F1' AS f, 1 AS ring, 1 AS seq, 2e0 AS x, 1.25e0 AS y UNION ALL SELECT 'F1', 1, 2, 30e0, 1.25e0 UNION ALL SELECT 'F1', 1, 3, 33e0, 17.75e0 UNION ALL SELECT 'F1', 1, 4, 4e0, 15.25e0 UNION ALL SELECT 'F1', 1, 5, 2e0, 1.25e0
 UNION ALL SELECT 'F1', 2, 1, 10e0, 5.25e0 UNION ALL SELECT 'F1', 2, 2, 16e0, 5.25e0 UNION ALL SELECT 'F1', 2, 3, 16e0, 9.75e0 UNION ALL SELECT 'F1', 2, 4, 10e0, 5.25e0
 UNION ALL SELECT 'F2', 1, 1, 36e0, 2.25e0 UNION ALL SELECT 'F2', 1, 2, 48.5e0, 2.25e0 UNION ALL SELECT 'F2', 1, 3, 42e0, 18.25e0 UNION ALL SELECT 'F2', 1, 4, 36e0, 2.25e0"""
+FEEDS["corners"] = """SELECT concat(f, '.', b) AS field, ring, seq, x, y + 2e1 * b AS y FROM outlines CROSS JOIN (SELECT DISTINCT CAST(floor(p_partkey / 1e3) AS INT) AS b FROM part) q"""
 FEEDS["field_edges"] = """SELECT a.field, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM corners a JOIN corners b ON a.field = b.field AND a.ring = b.ring AND b.seq = a.seq + 1"""
 FEEDS["field_mask"] = """SELECT field, grid_id, row, col FROM (SELECT e.field, k.grid_id, k.row, k.col, count(*) AS n FROM cells k JOIN field_edges e ON (y0 > k.row + 5e-1) <> (y1 > k.row + 5e-1) AND k.col + 5e-1 < x0 + (x1 - x0) * (k.row + 5e-1 - y0) / (y1 - y0) GROUP BY e.field, k.grid_id, k.row, k.col) q WHERE n % 2 = 1"""
 FEEDS["grads"] = """SELECT grid_id, row, col, v, CASE WHEN v IS NOT NULL THEN coalesce((vr - vl) / 2, vr - v, v - vl) END AS gx, CASE WHEN v IS NOT NULL THEN coalesce((vd - vu) / 2, vd - v, v - vu) END AS gy FROM (SELECT a.grid_id, a.row, a.col, a.v, r.v AS vr, l.v AS vl, d.v AS vd, u.v AS vu
@@ -190,9 +192,25 @@ def gr19p(spark, d):
     return G.path_summary(feed(spark, d, _IDS), _mask(spark, d), 5.0)
 
 
-@query("gr20_crossing_candidates")
+FEEDS["two_grids"] = """SELECT grid_id, row, col, v FROM cells UNION ALL SELECT grid_id + 1, row, col, v * 1.1e0 - col * 1e-1 FROM cells_b"""
+
+
+def _picks(k, radius):
+    """k rounds: the best of each grid that is left, and what is out of its reach."""
+    out = ["""peaks AS (SELECT a.grid_id, a.row, a.col, a.v FROM two_grids a JOIN two_grids b ON b.grid_id = a.grid_id AND b.row BETWEEN a.row - 3 AND a.row + 3 AND b.col BETWEEN a.col - 3 AND a.col + 3 GROUP BY ALL HAVING a.v = max(b.v) AND a.v >= 0.5)""",
+        """u AS (SELECT DISTINCT row, col FROM field_mask)""", """rim AS (SELECT a.row, a.col FROM u a JOIN u b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL HAVING count(*) < 9)""",
+        """l0 AS (SELECT peaks.* FROM peaks JOIN rim USING (row, col))"""]
+    for i in range(1, k + 1):
+        out.append(f"b{i} AS (SELECT {i} AS rank, * FROM l{i - 1} QUALIFY row_number() OVER (PARTITION BY grid_id ORDER BY v DESC, row, col) = 1)")
+        out.append(f"l{i} AS (SELECT l.* FROM l{i - 1} l JOIN b{i} b USING (grid_id) WHERE sqrt(power(l.row - b.row, 2) + power(l.col - b.col, 2)) > {radius})")
+    return "WITH " + ",\n".join(out) + "\n" + " UNION ALL ".join(f"SELECT rank, grid_id, row, col, round(v, 6) AS v FROM b{i}" for i in range(1, k + 1))
+
+
+@query("gr20_crossing_candidates", _picks(8, 6))
 def gr20(spark, d):
-    return G.crossing_candidates(feed(spark, d, "cells"), _mask(spark, d), 8, 6.0)
+    mask = _mask(spark, d)
+    both = mask.unionByName(mask.withColumn("grid_id", F.col("grid_id") + 1))
+    return rounded(G.crossing_candidates(feed(spark, d, "two_grids"), both, 8, 6.0), ["v"])
 
 
 @query("gr21_focal_max", "SELECT a.row, a.col, round(max(b.v), 6) AS focal FROM cells a LEFT JOIN cells b ON b.row BETWEEN a.row - 3 AND a.row + 3 AND b.col BETWEEN a.col - 3 AND a.col + 3 GROUP BY a.row, a.col")
@@ -231,7 +249,7 @@ def gr24(spark, d):
     return verts.agg(F.count(F.lit(1)).alias("vertices")).crossJoin(q)
 
 
-@query("gr25_grid_components", """WITH RECURSIVE k AS (SELECT field, row, col, row * 100 + col AS id FROM field_mask WHERE (row + col) % 7 <> 0 OR field = 'F2'), w AS (SELECT field, id, id AS seen, row, col FROM k UNION SELECT w.field, w.id, k.id, k.row, k.col FROM w JOIN k ON k.field = w.field AND abs(k.row - w.row) + abs(k.col - w.col) = 1)
+@query("gr25_grid_components", """WITH RECURSIVE k AS (SELECT field, row, col, row * 100 + col AS id FROM field_mask WHERE (row + col) % 7 <> 0 OR field LIKE 'F2%'), w AS (SELECT field, id, id AS seen, row, col FROM k UNION SELECT w.field, w.id, k.id, k.row, k.col FROM w JOIN k ON k.field = w.field AND abs(k.row - w.row) + abs(k.col - w.col) = 1)
 SELECT field, count(DISTINCT low) AS components, CASE WHEN count(DISTINCT low) = 1 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT field, id, min(seen) AS low FROM w GROUP BY field, id) GROUP BY field""")
 def gr25(spark, d):
-    return G.grid_components(_mask(spark, d).filter("(row + col) % 7 != 0 OR field = 'F2'"))
+    return G.grid_components(_mask(spark, d).filter("(row + col) % 7 != 0 OR field LIKE 'F2%'"))

@@ -15,8 +15,8 @@ idx * 2e0 + event_id % 3 + CASE WHEN event_id % 10 = 0 AND idx = 3 THEN 1e0 ELSE
 FEEDS["pulses"] = """SELECT i.event_id, i.idx, i.idx * 6e2 AS start_s, i.duration_s, i.rain_mm * p.area_ha * 1e1 AS volume_m3 FROM intervals i JOIN event_params p ON i.event_id = p.event_id"""
 FEEDS["reaches"] = """SELECT n_nationkey AS reach_id, n_nationkey AS up, CAST(floor(n_nationkey / 2e0) AS INT) AS down, 6e1 * (n_nationkey + 1) AS travel_s FROM nation WHERE n_nationkey > 0"""
 FEEDS["reaches_bad"] = """SELECT reach_id, up, down FROM reaches UNION ALL SELECT 100, 3, 3 UNION ALL SELECT 101, 5, 1 UNION ALL SELECT 102, 0, 7 UNION ALL SELECT 7, 30, 31"""
-FEEDS["inflows"] = """SELECT CAST(user_id AS INT) AS node, time_s, flow FROM (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts)) * 6e2 AS time_s, value / 1e2 AS flow FROM events WHERE user_id BETWEEN 12 AND 24
-UNION ALL SELECT user_id, 0e0, 0e0 FROM events WHERE user_id BETWEEN 12 AND 24 GROUP BY user_id UNION ALL SELECT user_id, (count(*) + 1) * 6e2, 0e0 FROM events WHERE user_id BETWEEN 12 AND 24 GROUP BY user_id)"""
+FEEDS["turns"] = """SELECT CAST(user_id % 13 + 12 AS INT) AS node, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k, value FROM events"""
+FEEDS["inflows"] = """SELECT node, time_s, flow FROM (SELECT node, k * 6e2 AS time_s, sum(value) / 1e2 AS flow FROM turns GROUP BY node, k UNION ALL SELECT DISTINCT node, 0e0, 0e0 FROM turns UNION ALL SELECT node, (max(k) + 1) * 6e2, 0e0 FROM turns GROUP BY node)"""
 FEEDS["peaks"] = """SELECT p_partkey AS section_id, p_retailprice / 4e2 AS peak_flow FROM part"""
 FEEDS["limits"] = """SELECT p_partkey AS section_id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 1e0 + p_partkey % 3 END AS vmax, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 2e1 + p_partkey % 30 END AS tau_max,
 CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'SURVEY' END AS source, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_partkey % 13) * 1e-1 END AS d_depth, (p_partkey % 6) * 1e-1 AS d_velocity, 3e-1 AS loss_coef,
