@@ -365,46 +365,99 @@ def test_shards_round_trip(spark, docs, none):
     assert [r["n_tokens"] for r in got(training_order.write_shards(nulls, run_dir(spark, "shards"), run_dir(spark, "t"))[0])] == [3]
 
 
+def brute_discounts(counts):
+    n = Counter(counts)
+    if not n[1] or not n[2]:
+        return 0, 0.5, 0.75, 0.9
+    y = n[1] / (n[1] + 2 * n[2])
+    d = (1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2] if n[3] else 0.75, 3 - 4 * y * n[4] / n[3] if n[3] and n[4] else 0.9)
+    return (0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1)))
+
+
 def brute_scores(train, every):
-    count, pair = Counter(), Counter()
+    """The model by its definition, from dictionaries of all n-grams."""
+    count, three = Counter(), Counter()
     toks = {i: [*words(t), b"</>"] for i, t in every.items()}
     for i in train:
-        count.update(toks[i])
-        pair.update(zip([b"<>", *toks[i]], toks[i], strict=False))
+        t = toks[i]
+        count.update(t)
+        three.update(zip([b"<>", b"<>", *t], [b"<>", *t], t, strict=False))
     n, v = sum(count.values()), len(count)
-    cc = Counter(min(x, 5) for x in pair.values())
-    d = (0, *kneser_ney.discounts(cc[1], cc[2], cc[3], cc[4]))
-    before, ctx = Counter(b for _, b in pair), {}
-    for (a, _), k in pair.items():
-        t = ctx.setdefault(a, [0, 0, 0, 0])
-        t[0] += k
-        t[min(k, 3)] += 1
-    low = lambda b: (max(before[b] - 0.75, 0) + 0.75 * v / (v + 1)) / len(pair)
-
-    def p(a, b):
-        if a not in ctx:
-            return low(b)
-        t = ctx[a]
-        k = pair.get((a, b), 0)
-        return (max(k - d[min(k, 3)], 0) + (d[1] * t[1] + d[2] * t[2] + d[3] * t[3]) * low(b)) / t[0]
-
-    return {i: (len(t), sum(count[x] > 0 for x in t), sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t), sum(math.log10(p(a, b)) for a, b in zip([b"<>", *t], t, strict=False))) for i, t in toks.items()}
-
-
-def test_language_model(spark, docs, none):
+    two = Counter((b, c) for _, b, c in three)
+    one = Counter(c for _, c in two)
+    d3, d2, d1 = (brute_discounts(x.values()) for x in (three, two, one))
+
+    def sums(grams):
+        out = {}
+        for g, k in grams.items():
+            t = out.setdefault(g[:-1], [0, 0, 0, 0])
+            t[0] += k
+            t[min(k, 3)] += 1
+        return out
+
+    s3, s2 = sums(three), sums(two)
+    free = sum(d1[min(k, 3)] for k in one.values()) / max(len(two), 1)
+
+    def p1(w):
+        return max(one[w] - d1[min(one[w], 3)], 0) / len(two) + free / (v + 1)
+
+    def up(k, d, s, low):
+        return low if s is None else (max(k - d[min(k, 3)], 0) + (d[1] * s[1] + d[2] * s[2] + d[3] * s[3]) * low) / s[0]
+
+    def p(a, b, w):
+        return up(three[a, b, w], d3, s3.get((a, b)), up(two[b, w], d2, s2.get((b,)), p1(w)))
+
+    total = sum(p(b"<>", b"<>", w) for w in count) + p(b"<>", b"<>", b"never seen")
+    assert total == pytest.approx(1)  # over the known words and one that stands for all others
+    return {i: (len(t), sum(count[x] > 0 for x in t), sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t), sum(math.log10(p(a, b, c)) for a, b, c in zip([b"<>", b"<>", *t], [b"<>", *t], t, strict=False))) for i, t in toks.items()}
+
+
+@pytest.mark.parametrize(("buckets", "share"), [(5, 0.02), (23, 1.0)])
+def test_language_model(spark, docs, none, monkeypatch, buckets, share):
+    # with the whole table as the sample, the few words of these texts are hot and are spread over many buckets
+    monkeypatch.setattr(kneser_ney.hot_words, "__defaults__", (share, "text"))
+    monkeypatch.setattr(kneser_ney, "RUN_BYTES", 3000)
     one = docs.dropDuplicates(["doc_id"])
     every = {r["doc_id"]: r["text"] for r in got(one)}
     train = [i for i in every if i % 3]
-    model = kneser_ney.train(one.filter("doc_id % 3 != 0"), run_dir(spark, "t"), 5)
+    model = kneser_ney.train(one.filter("doc_id % 3 != 0"), run_dir(spark, "t"), buckets)
+    assert share < 1 or max(model.deal.parts) > 2
     want = brute_scores(train, every)
     for r in got(kneser_ney.score(one, model, ["doc_id"])):
         assert (r["n_tokens"], r["n_known"]) == want[r["doc_id"]][:2]
         assert (r["base_score"], r["score"]) == pytest.approx(want[r["doc_id"]][2:], rel=1e-9)
-    empty = kneser_ney.train(none, run_dir(spark, "t"), 5)
+    empty = kneser_ney.train(none, run_dir(spark, "t"))
     assert all(math.isfinite(r["score"]) for r in got(kneser_ney.score(one, empty, ["doc_id"])))
     assert got(kneser_ney.score(none, model, ["doc_id"])) == []
 
 
+def test_tables_of_hashes():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 63, 64, 5000):
+        keys = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        values = rng.choice([1, 2, 254, 255, 256, 10**10], len(keys))
+        table = kneser_ney.Table(kneser_ney.table_parts(keys, values, values + 1))
+        other = np.setdiff1d(rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2), keys)
+        found = table.get(np.concatenate([keys, other]))
+        assert found[0].tolist() == values.tolist() + [0] * len(other) and found[1].tolist() == (values + 1).tolist() + [0] * len(other)
+
+
+def test_word_ids_of_odd_texts():
+    many = [b"", b" ", b"A b\ta\n", b"  lead", b"tail  ", "É é\x1c x\x85y\u00a0z".encode(), b"\xff\xfe bad"]
+    ids, h, sizes = kneser_ney.word_ids(many)
+    at = 0
+    for t, n in zip(many, sizes.tolist(), strict=True):
+        own, at = ids[at : at + n], at + n
+        w = t.lower().split()
+        assert own[:2].tolist() == [0, 0] and own[-1] == 1 and len(own) == len(w) + 3
+        import xxhash
+
+        assert h[own[2:-1]].tolist() == [xxhash.xxh3_64_intdigest(x) for x in w]
+    a, b, c, _ = kneser_ney.distinct(ids, kneser_ney.trigrams(ids, sizes), len(h))
+    wide = kneser_ney.distinct(ids, kneser_ney.trigrams(ids, sizes), 1 << 22)
+    assert all(x.tolist() == y.tolist() for x, y in zip((a, b, c), wide[:3], strict=True))
+
+
 def brute_nbest(lattice, s, n):
     w = (" " + s).replace(" ", pieces.MARK) if s else ""
     out = []
