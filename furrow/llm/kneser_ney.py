@@ -39,9 +39,9 @@ from furrow.llm.common import load, map_texts, materialise, mix, mounted, publis
 #: Hashes that stand for the begin and the end of a text.
 BEGIN, END = np.uint64(0x51ED270B27D4EB2F), np.uint64(0x8CB92BA72F3D8DD7)
 #: Distinct trigrams are found over runs of so many bytes of text before anything is sent.
-RUN_BYTES = 10 << 20
+RUN_BYTES = 8 << 20
 #: Bytes of training text whose trigrams make a bucket, about.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Words that would fill more than this share of a bucket are spread; it takes this share of the rows to find them.
 HOT_SHARE, SAMPLE_SHARE = 0.25, 0.02
 
@@ -129,24 +129,41 @@ def sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays in few bytes: all first bytes of an array's numbers, then all second ones, and so on, compressed."""
     head = np.array([len(arrays), *(len(a) for a in arrays)], dtype="<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(a).view("u1").reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
 def unsqueeze(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     sizes, at, out = np.frombuffer(raw, "<i8", len(kinds) + 1)[1:], 8 * (len(kinds) + 1), []
     for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        w = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, "u1", n * w, at).reshape(w, n).T).view(kind).reshape(n))
+        at += n * w
     return out
 
 
-#: Of a bucket's share of a run: words, and of each trigram three indexes into these, and its count.
+def in_groups(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Sums along each run of equal groups: the inverse of steps_in_groups."""
+    head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    c = np.cumsum(x.astype(np.int64))
+    return c - np.repeat(c[head] - x[head], np.diff(np.append(head, len(x))))
+
+
+def steps_in_groups(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How far each number is from the one before it in its run of equal groups; the first of a run as it is."""
+    out = np.diff(x, prepend=x[:1] * 0)
+    head = np.append(True, group[1:] != group[:-1])
+    return np.where(head, x, out).astype(x.dtype)
+
+
+#: Of a bucket's share of a run: words, and of each trigram three indexes into these (the first by its step), and its count.
 _NARROW, _WIDE = ("<u8", "<u2", "<u2", "<u2", "<u4"), ("<u8", "<u4", "<u4", "<u4", "<u4")
 #: Of words: hash, how often, distinct words before it, of the bigrams it begins: the sum of their distinct words before, and how many have one, two and more.
 _WORDS = ("<u8", "<i8", "<i8", "<i8", "<i8", "<i8", "<i8")
-_TABLE = np.dtype([("word", "<u8"), ("n", "<i8"), ("before", "<i8"), ("total", "<i8"), ("one", "<i8"), ("two", "<i8"), ("more", "<i8")])
+_TABLE = np.dtype([("word", "<u8"), ("n", "<i8"), ("before", "<u4"), ("total", "<i8"), ("one", "<u4"), ("two", "<u4"), ("more", "<u4")])
 
 
 def table_parts(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -285,10 +302,16 @@ def train(docs: DataFrame, work: str, buckets: int | None = None, text: str = "t
             for k in range(buckets):
                 i, j = edge[k], edge[k + 1]
                 if i < j:
-                    own, of = np.unique(np.concatenate([a[i:j], b[i:j], c[i:j]]), return_inverse=True)
+                    # the commonest words get the smallest numbers, and first words are told by their steps
+                    own, of, often = np.unique(np.concatenate([a[i:j], b[i:j], c[i:j]]), return_inverse=True, return_counts=True)
+                    first = np.argsort(-often, kind="stable")
                     kind = "<u2" if len(own) <= 1 << 16 else "<u4"
-                    x, y, z = of.astype(kind).reshape(3, -1)
-                    rows.append((k, kind == "<u4", squeeze(h[own], x, y, z, n[i:j].astype("<u4"))))
+                    number = np.empty(len(own), dtype=kind)
+                    number[first] = np.arange(len(own))
+                    x, y, z = number[of].reshape(3, -1)
+                    order = np.lexsort((x, y))
+                    x, y, z = x[order], y[order], z[order]
+                    rows.append((k, kind == "<u4", squeeze(h[own[first]], steps_in_groups(x, y), y, z, n[i:j][order].astype("<u4"))))
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "wide", "blob"])
 
         for b in batches:
@@ -310,17 +333,18 @@ def train(docs: DataFrame, work: str, buckets: int | None = None, text: str = "t
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for wide, blob in parts.pop(k):
                 h, x, y, z, n = unsqueeze(blob, _WIDE if wide else _NARROW)
-                context = chained(h[x], h[y])
+                context = chained(h[in_groups(x, y)], h[y])
                 for col, v in zip(cols, (context, chained(context, h[z]), h[y], h[z], n), strict=True):
                     col.append(v)
-            context, whole, b, c, n = (np.concatenate(v) for v in cols)
-            del cols
-            order = np.argsort(whole, kind="stable")
+            whole = np.concatenate(cols[1])
+            order = np.argsort(whole)
             whole = whole[order]
             head = np.flatnonzero(np.append(True, whole[1:] != whole[:-1]))
-            n = np.add.reduceat(n[order].astype(np.int64), head)
-            first = order[head]
-            whole, context, b, c = whole[head], context[first], b[first], c[first]
+            n = np.add.reduceat(np.concatenate(cols[4])[order].astype(np.int64), head)
+            first, whole = order[head], whole[head]
+            del order
+            context, b, c = (np.concatenate(cols[i])[first] for i in (0, 2, 3))
+            del cols, first
             classes = lambda v: ((v == 1).astype(np.int64), (v == 2).astype(np.int64), (v > 2).astype(np.int64))
             contexts, *sums = sum_by(context, n, *classes(n))
             bigram = chained(b, c)
@@ -468,7 +492,7 @@ def log_scores(texts: list[bytes], model: Model, arrays: Arrays) -> tuple[np.nda
     d1, d2, d3 = (np.array((0.0, *d)) for d in model.discounts)
     # words: in how many distinct bigrams they stand last, discounted towards the uniform distribution
     space = model.vocabulary + 1
-    before = w["before"]
+    before = w["before"].astype(np.int64)
     p1 = (np.maximum(before - d1[np.minimum(before, 3)], 0) / model.bigrams + model.rest / space) if model.bigrams else np.full(len(h), 1 / space)
     # bigrams: in how many distinct trigrams they stand last
     pair, of = np.unique(b * np.int64(len(h)) + c, return_inverse=True)
