@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 
 from furrow.llm.common import load, map_texts, materialise, mix, mounted, publish, remainder, run_dir, small_batches
 
+#: Words go by 48 bits of their hash, as do arrays of some millions of n-grams.
+WORD_BITS = 48
 #: Hashes that stand for the begin and the end of a text.
-BEGIN, END = np.uint64(0x51ED270B27D4EB2F), np.uint64(0x8CB92BA72F3D8DD7)
+BEGIN, END = np.uint64(0x51ED270B27D4), np.uint64(0x8CB92BA72F3D)
 #: Distinct trigrams are found over runs of so many bytes of text before anything is sent.
 RUN_BYTES = 8 << 20
 #: Bytes of training text whose trigrams make a bucket, about.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 20 << 20
 #: Words that would fill more than this share of a bucket are spread; it takes this share of the rows to find them.
 HOT_SHARE, SAMPLE_SHARE = 0.25, 0.02
 
@@ -62,7 +64,7 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     some = pc.greater(pc.binary_length(flat), 0)
     edge = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy()]
     numbered = flat.filter(some).dictionary_encode()
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, numbered.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(numbered.dictionary))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, numbered.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(numbered.dictionary)) >> np.uint64(64 - WORD_BITS)
     n = np.diff(edge)
     sizes = n + 3
     ids = np.zeros(int(sizes.sum()), dtype=np.int64)
@@ -114,10 +116,10 @@ class Deal:
         return out
 
     def part(self, middle: np.ndarray, which: np.ndarray) -> np.ndarray:
-        return (((middle >> np.uint64(40)) + which * np.uint64(0x3779B1)) % np.uint64(self.buckets)).astype(np.int64)
+        return (((middle >> np.uint64(16)) + which * np.uint64(0x3779B1)) % np.uint64(self.buckets)).astype(np.int64)
 
     def bucket(self, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return self.part(middle, (last >> np.uint64(40)) % self.spread(middle))
+        return self.part(middle, (last >> np.uint64(16)) % self.spread(middle))
 
 
 def sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -145,6 +147,11 @@ def unsqueeze(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
+def steps(x: np.ndarray) -> np.ndarray:
+    """How far each number is from the one before it; the first as it is."""
+    return np.diff(x, prepend=x[:1] * x.dtype.type(0))
+
+
 def in_groups(x: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Sums along each run of equal groups: the inverse of steps_in_groups."""
     head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -159,9 +166,9 @@ def steps_in_groups(x: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.where(head, x, out).astype(x.dtype)
 
 
-#: Of a bucket's share of a run: words, and of each trigram three indexes into these (the first by its step), and its count.
-_NARROW, _WIDE = ("<u8", "<u2", "<u2", "<u2", "<u4"), ("<u8", "<u4", "<u4", "<u4", "<u4")
-#: Of words: hash, how often, distinct words before it, of the bigrams it begins: the sum of their distinct words before, and how many have one, two and more.
+#: Of a bucket's share of a run: common words, steps of the others, and of each trigram three indexes into these (the first by its step), and its count.
+_NARROW, _WIDE = ("<u8", "<u8", "<u2", "<u2", "<u2", "<u4"), ("<u8", "<u8", "<u4", "<u4", "<u4", "<u4")
+#: Of words: hash (by its steps), how often, distinct words before it, of the bigrams it begins: the sum of their distinct words before, and how many have one, two and more.
 _WORDS = ("<u8", "<i8", "<i8", "<i8", "<i8", "<i8", "<i8")
 _TABLE = np.dtype([("word", "<u8"), ("n", "<i8"), ("before", "<u4"), ("total", "<i8"), ("one", "<u4"), ("two", "<u4"), ("more", "<u4")])
 
@@ -302,16 +309,20 @@ def train(docs: DataFrame, work: str, buckets: int | None = None, text: str = "t
             for k in range(buckets):
                 i, j = edge[k], edge[k + 1]
                 if i < j:
-                    # the commonest words get the smallest numbers, and first words are told by their steps
+                    # the commonest words get the smallest numbers, the others are told by the steps of their hashes in
+                    # order, and first words by their steps
                     own, of, often = np.unique(np.concatenate([a[i:j], b[i:j], c[i:j]]), return_inverse=True, return_counts=True)
-                    first = np.argsort(-often, kind="stable")
+                    rare = np.flatnonzero(often <= 2)
+                    rare = rare[np.argsort(h[own[rare]])]
+                    common = np.argsort(-often, kind="stable")[: len(own) - len(rare)]
+                    first = np.concatenate([common, rare])
                     kind = "<u2" if len(own) <= 1 << 16 else "<u4"
                     number = np.empty(len(own), dtype=kind)
                     number[first] = np.arange(len(own))
                     x, y, z = number[of].reshape(3, -1)
                     order = np.lexsort((x, y))
                     x, y, z = x[order], y[order], z[order]
-                    rows.append((k, kind == "<u4", squeeze(h[own[first]], steps_in_groups(x, y), y, z, n[i:j][order].astype("<u4"))))
+                    rows.append((k, kind == "<u4", squeeze(h[own[common]], steps(h[own[rare]]), steps_in_groups(x, y), y, z, n[i:j][order].astype("<u4"))))
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "wide", "blob"])
 
         for b in batches:
@@ -332,7 +343,8 @@ def train(docs: DataFrame, work: str, buckets: int | None = None, text: str = "t
         for k in list(parts):
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for wide, blob in parts.pop(k):
-                h, x, y, z, n = unsqueeze(blob, _WIDE if wide else _NARROW)
+                common, rare, x, y, z, n = unsqueeze(blob, _WIDE if wide else _NARROW)
+                h = np.concatenate([common, np.cumsum(rare, dtype=np.uint64)])
                 context = chained(h[in_groups(x, y)], h[y])
                 for col, v in zip(cols, (context, chained(context, h[z]), h[y], h[z], n), strict=True):
                     col.append(v)
@@ -368,7 +380,7 @@ def train(docs: DataFrame, work: str, buckets: int | None = None, text: str = "t
                 pick = order[edge[j] : edge[j + 1]]
                 if len(pick):
                     rows.append(j)
-                    blobs.append(squeeze(w[pick], *[v[pick] for v in sums]))
+                    blobs.append(squeeze(steps(w[pick]), *[v[pick] for v in sums]))
             rows.append(-1 - k)
             blobs.append(np.concatenate([np.bincount(np.minimum(v, 5), minlength=6) for v in (n, m)]).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
@@ -385,7 +397,8 @@ def train(docs: DataFrame, work: str, buckets: int | None = None, text: str = "t
                     parts.setdefault(k, []).append(unsqueeze(blob, _WORDS))
         for k in list(parts):
             some = parts.pop(k)
-            w, *sums = sum_by(*[np.concatenate([p[i] for p in some]) for i in range(len(_WORDS))])
+            w = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in some])
+            w, *sums = sum_by(w, *[np.concatenate([p[i] for p in some]) for i in range(1, len(_WORDS))])
             table = np.zeros(len(w), dtype=_TABLE)
             for name, v in zip(_TABLE.names, (w, *sums), strict=True):
                 table[name] = v
@@ -399,8 +412,8 @@ def train(docs: DataFrame, work: str, buckets: int | None = None, text: str = "t
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in totals], names=names)
 
     names = ["words", "tokens", "bigrams", "more", *[f"c{o}{k}" for o in (1, 2, 3) for k in (1, 2, 3, 4)]]
-    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "bucket int, wide boolean, blob binary").repartition(buckets, "bucket")
-    by_word = counted.mapInArrow(gather, "bucket int, blob binary").repartition(buckets, "bucket")
+    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "bucket int, wide boolean, blob binary").repartitionById(buckets, F.col("bucket"))
+    by_word = counted.mapInArrow(gather, "bucket int, blob binary").repartitionById(buckets, F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")))
     totals = by_word.mapInArrow(finish, ", ".join(f"{n} bigint" for n in names))
     t = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
     d = tuple(discounts(*(t[f"c{o}{k}"] for k in (1, 2, 3, 4))) for o in (1, 2, 3))

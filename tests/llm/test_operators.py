@@ -452,7 +452,7 @@ def test_word_ids_of_odd_texts():
         assert own[:2].tolist() == [0, 0] and own[-1] == 1 and len(own) == len(w) + 3
         import xxhash
 
-        assert h[own[2:-1]].tolist() == [xxhash.xxh3_64_intdigest(x) for x in w]
+        assert h[own[2:-1]].tolist() == [xxhash.xxh3_64_intdigest(x) >> 16 for x in w]
     a, b, c, _ = kneser_ney.distinct(ids, kneser_ney.trigrams(ids, sizes), len(h))
     wide = kneser_ney.distinct(ids, kneser_ney.trigrams(ids, sizes), 1 << 22)
     assert all(x.tolist() == y.tolist() for x, y in zip((a, b, c), wide[:3], strict=True))
