@@ -43,7 +43,7 @@ BEGIN, END = np.uint64(0x51ED270B27D4), np.uint64(0x8CB92BA72F3D)
 #: Distinct trigrams are found over runs of so many bytes of text before anything is sent.
 RUN_BYTES = 8 << 20
 #: Bytes of training text whose trigrams make a bucket, about.
-BUCKET_BYTES = 20 << 20
+BUCKET_BYTES = 14 << 20
 #: Words that would fill more than this share of a bucket are spread; it takes this share of the rows to find them.
 HOT_SHARE, SAMPLE_SHARE = 0.25, 0.02
 
@@ -221,16 +221,16 @@ class Table:
     def find(self, q: np.ndarray) -> np.ndarray:
         """The places of hashes, -1 where there is none: bisection within their groups, all side by side."""
         if not len(self.keys) or not len(q):
-            return np.full(len(q), -1, dtype=np.int64)
-        group = (q >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(q), dtype=np.int64)
+            return np.full(len(q), -1, dtype=np.int32)
+        group = (q >> np.uint64(64 - self.bits)).astype(np.int32) if self.bits else np.zeros(len(q), dtype=np.int32)
         key = (q >> np.uint64(32 - self.bits)).astype(np.uint32)
-        lo, end = self.begins[group].astype(np.int64), self.begins[group + 1].astype(np.int64)
-        hi, top = end, len(self.keys) - 1
+        lo, end = self.begins[group].astype(np.int32), self.begins[group + 1].astype(np.int32)
+        hi, top = end, np.int32(len(self.keys) - 1)
         for _ in range(int((hi - lo).max()).bit_length()):
             mid = (lo + hi) >> 1
             less = (self.keys[np.minimum(mid, top)] < key) & (lo < hi)
-            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-        return np.where((lo < end) & (self.keys[np.minimum(lo, top)] == key), lo, -1)
+            lo, hi = np.where(less, mid + np.int32(1), lo), np.where(less, hi, mid)
+        return np.where((lo < end) & (self.keys[np.minimum(lo, top)] == key), lo, np.int32(-1))
 
     def get(self, q: np.ndarray) -> list[np.ndarray]:
         """The values of hashes, 0 where there is none."""
