@@ -50,7 +50,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: Scores, token ids and packing can't be told in SQL; tests hold the rows against plain Python.
+#: Scores, token ids and packing can't be told in SQL; tests/llm holds each stage's rows against plain Python.
 ORACLE_SQL = None
 
 

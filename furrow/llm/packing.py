@@ -237,7 +237,7 @@ def pack(pieces: DataFrame, work: str, capacity: int = CAPACITY, rounds: int = R
 
     Defined cases: an empty table packs to an empty table; repeated pieces are packed each; equal lengths are placed in
     the order of their partitions; columns named sequence_id or offset are replaced; other columns, nulls in them
-    included, pass through. Lengths outside 1..capacity are an error.
+    included, pass through (names that begin with two underscores are kept for the operator). Lengths outside 1..capacity are an error.
     """
     pieces = pieces.drop("sequence_id", "offset")
     spark = pieces.sparkSession
