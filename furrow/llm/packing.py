@@ -28,6 +28,8 @@ from furrow.llm.tokens import IdCoder, kept, vocabulary_path
 CAPACITY = 4096
 END_ID = 1
 ROUNDS = 240
+#: Rooms of the knapsack that are worked out at once.
+BLOCK = 32
 #: Of the linear program: how strongly prices follow the cover, how near the best and how many the
 #: configurations of a round are, how much of a length may stay uncovered, and how often the program is solved.
 WEIGHT, PRICED, WIDE, ERROR, SOLVED = 1.0, 0.05, 256, 0.05, 4
@@ -35,19 +37,53 @@ WEIGHT, PRICED, WIDE, ERROR, SOLVED = 1.0, 0.05, 256, 0.05, 4
 
 def best_fillings(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Unbounded knapsack by dynamic programming: for every room up to capacity the best value, and the length (its
-    index) to take first, -1 where one unit is better left over. lengths are in order."""
-    best = np.zeros(capacity + 1)
-    take = np.full(capacity + 1, -1, dtype=np.int64)
-    fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
-    for c in range(int(lengths[0]), capacity + 1):
-        n = fit[c]
-        with_one = best[c - lengths[:n]] + values[:n]
-        i = int(with_one.argmax())
-        if with_one[i] > best[c - 1]:
-            best[c], take[c] = with_one[i], i
+    index) to take first, -1 where one unit is better left over. lengths are in order.
+
+    A length is given up where the room of just that length is filled as well without it: whatever fills that room can
+    then stand for it anywhere, so the table stays exact. Rooms are worked out BLOCK at a time for the lengths of at least
+    BLOCK, which only need rooms of earlier blocks, and one by one for the shorter ones.
+    """
+    short = int(np.searchsorted(lengths, BLOCK))
+    starts = np.searchsorted(lengths, np.arange(0, capacity + 1 + BLOCK, BLOCK)).tolist()
+    # rooms below nothing are worth less than nothing
+    padded = np.full(BLOCK + capacity + BLOCK, -np.inf)
+    rows = np.lib.stride_tricks.sliding_window_view(padded, BLOCK)
+    best, take = [0.0], [-1]
+    alive = np.empty(0, dtype=np.int64)
+    few: list[tuple[int, float, int]] = []
+    for k, lo in enumerate(range(0, capacity + 1, BLOCK)):
+        hi = min(lo + BLOCK, capacity + 1)
+        new = np.arange(max(starts[k], short), max(starts[k + 1], short))
+        at = np.concatenate([alive, new])
+        if len(at):
+            with_one = rows[BLOCK + lo - lengths[at]] + values[at][:, None]
+            which = with_one.argmax(0)
+            top, which = with_one[which, np.arange(BLOCK)].tolist(), at[which].tolist()
         else:
-            best[c] = best[c - 1]
-    return best, take
+            top, which = [-np.inf] * BLOCK, [-1] * BLOCK
+        own = dict(zip(lengths[:short].tolist(), range(short), strict=True)) if not k else {}
+        for c in range(max(lo, 1), hi):
+            value, i = -np.inf, -1
+            for n, v, j in few:
+                x = best[c - n] + v
+                if x > value:
+                    value, i = x, j
+            if c in own and values[own[c]] > value:
+                value, i = float(values[own[c]]), own[c]
+            if top[c - lo] > value:
+                value, i = top[c - lo], which[c - lo]
+            if value > best[c - 1]:
+                best.append(value)
+                take.append(i)
+                if c in own and i == own[c]:
+                    few.append((c, value, i))
+            else:
+                best.append(best[c - 1])
+                take.append(-1)
+        padded[BLOCK + lo : BLOCK + hi] = best[lo:hi]
+        if len(new):
+            alive = np.concatenate([alive, new[np.array(take[lo:hi])[lengths[new] - lo] == new]])
+    return np.array(best), np.array(take, dtype=np.int64)
 
 
 def fractional_solution(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], float]], float]:
@@ -63,6 +99,7 @@ def fractional_solution(lengths: np.ndarray, counts: np.ndarray, capacity: int,
     found: dict[tuple, float] = {}
     step = float((lengths * counts).sum()) / capacity / rounds
     last = np.arange(capacity + 1)
+    limit = counts.astype(np.int64).tolist()
     for done in range(1, 4 * rounds + 1):
         values = lengths * np.exp(-WEIGHT * np.clip(covered / counts - (done - 1) / rounds, -1.0, 1.0))
         best, take = best_fillings(values, lengths, capacity)
@@ -81,11 +118,9 @@ def fractional_solution(lengths: np.ndarray, counts: np.ndarray, capacity: int,
             members.append(i)
             room = np.where(open_, last[np.maximum(room - np.where(open_, lengths[i], 0), 0)], 0)
         for row, x in zip(np.stack(members, axis=1).tolist(), often.tolist(), strict=True):
-            config: dict[int, int] = {}
-            for i in row:
-                if i >= 0 and config.get(i, 0) < counts[i]:
-                    config[i] = config.get(i, 0) + 1
-            key = tuple(sorted(config.items()))
+            config = Counter(row)
+            config.pop(-1, None)
+            key = tuple(sorted((i, min(k, limit[i])) for i, k in config.items()))
             found[key] = found.get(key, 0.0) + x
             for i, k in key:
                 covered[i] += k * x
