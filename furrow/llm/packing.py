@@ -30,6 +30,8 @@ END_ID = 1
 ROUNDS = 240
 #: Rooms of the knapsack that are worked out at once.
 BLOCK = 32
+#: Fillings whose values differ by less count as equal, so rounding errors give up no length.
+TIED = 1e-9
 #: Of the linear program: how strongly prices follow the cover, how near the best and how many the
 #: configurations of a round are, how much of a length may stay uncovered, and how often the program is solved.
 WEIGHT, PRICED, WIDE, ERROR, SOLVED = 1.0, 0.05, 256, 0.05, 4
@@ -39,7 +41,7 @@ def best_fillings(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tup
     """Unbounded knapsack by dynamic programming: for every room up to capacity the best value, and the length (its
     index) to take first, -1 where one unit is better left over. lengths are in order.
 
-    A length is given up where the room of just that length is filled as well without it: whatever fills that room can
+    A length is given up where the room of just that length is filled better without it: whatever fills that room can
     then stand for it anywhere, so the table stays exact. Rooms are worked out BLOCK at a time for the lengths of at least
     BLOCK, which only need rooms of earlier blocks, and one by one for the shorter ones.
     """
@@ -75,14 +77,14 @@ def best_fillings(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tup
             if value > best[c - 1]:
                 best.append(value)
                 take.append(i)
-                if c in own and i == own[c]:
-                    few.append((c, value, i))
             else:
                 best.append(best[c - 1])
                 take.append(-1)
+            if c in own and values[own[c]] >= (1 - TIED) * best[c]:
+                few.append((c, float(values[own[c]]), own[c]))
         padded[BLOCK + lo : BLOCK + hi] = best[lo:hi]
         if len(new):
-            alive = np.concatenate([alive, new[np.array(take[lo:hi])[lengths[new] - lo] == new]])
+            alive = np.concatenate([alive, new[values[new] >= (1 - TIED) * np.array(best[lo:hi])[lengths[new] - lo]]])
     return np.array(best), np.array(take, dtype=np.int64)
 
 
