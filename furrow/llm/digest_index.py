@@ -74,7 +74,8 @@ class DigestIndex:
             self.compact()
 
     def _append(self, rows: DataFrame, table: str, buckets: int) -> None:
-        rows.repartition(buckets, "digest").write.insertInto(table)
+        # dealt by the bucket itself, so that a batch adds one file to each bucket, whatever the shuffle's settings
+        rows.repartitionById(buckets, F.pmod(F.hash("digest"), F.lit(buckets))).write.insertInto(table)
         self.spark.catalog.refreshTable(table)
 
     def compact(self, bucket_rows: int = BUCKET_ROWS) -> None:
