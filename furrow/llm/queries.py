@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from furrow.llm import digest_index, kneser_ney, near_dup, packing, pieces, quality, tokens, toxicity, training_order, winnowing
+from furrow.llm import digest_index, kneser_ney, lexical, near_dup, packing, pieces, quality, tokens, toxicity, training_order, winnowing
 
 QUERIES = {
     "op1_lm_scores": kneser_ney.op1_lm_scores,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprints": winnowing.op8_fingerprints,
     "op9_training_order": training_order.op9_training_order,
     "op10_exact_dedup": digest_index.op10_exact_dedup,
+    "op11_lexical_search": lexical.op11_lexical_search,
 }
 
-ORACLES = {"op10_exact_dedup": digest_index.ORACLE}
+ORACLES = {"op10_exact_dedup": digest_index.ORACLE, "op11_lexical_search": lexical.ORACLE}
