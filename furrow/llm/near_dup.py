@@ -196,10 +196,10 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "hub bigint, rep bigint, guess double")
 
 
-def block_links(members: DataFrame) -> DataFrame:
+def block_links(members: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """hub, rep: a link for each two components that have one within the pair of chunks. members: block (a pair of
     chunks), side (0, 1; 2: both, where a chunk meets itself), rep, component, items."""
-    num, den = SHARE
+    num, den = share
 
     def run(table: pa.Table) -> pa.Table:
         rep, component, side = (np.asarray(table.column(c).to_numpy()) for c in ("rep", "component", "side"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from furrow.llm import digest_index, kneser_ney, lexical, near_dup, packing, pieces, prefix_trie, quality, tokens, toxicity, training_order, winnowing
+from furrow.llm import digest_index, kneser_ney, lexical, near_dup, ngram_join, packing, pieces, prefix_trie, quality, tokens, toxicity, training_order, winnowing
 
 QUERIES = {
     "op1_lm_scores": kneser_ney.op1_lm_scores,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_training_order": training_order.op9_training_order,
     "op10_exact_dedup": digest_index.op10_exact_dedup,
     "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_ngram_join": ngram_join.op12_ngram_join,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 

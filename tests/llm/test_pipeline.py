@@ -27,6 +27,6 @@ def test_queries_are_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(e.oracle_sql()) <= set(names)
     assert os.path.exists(SF) or pytest.skip("no tables here")
