@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import expr as X
+from furrow.operators import nearest as N
 from furrow.operators.hydrology import closure
 
 __all__ = ["closure", "components", "split_runs", "build_edges", "snap", "shortest_paths"]
@@ -55,21 +56,32 @@ def build_edges(segments: DataFrame, stops: DataFrame) -> DataFrame:
     return e.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "weight").groupBy("a", "b").agg(F.min("weight").alias("weight"))
 
 
-def snap(points: DataFrame, segments: DataFrame, tol: float, cell: float = 50.0) -> DataFrame:
-    """point_id, segment_id, station, gap, reason: the nearest segment within tol of each point (x, y); points and
-    segments meet in grid cells widened by tol."""
-    from furrow.operators.geometry import _cells
+def snap(points: DataFrame, segments: DataFrame, tol: float, exclusions: DataFrame | None = None, cell: float = 50.0) -> DataFrame:
+    """Where points (point_id, x, y) join a network of segments (segment_id, x0, y0, x1, y1): the nearest segment, however
+    far, with station, gap and the reasons against it (farther than tol; its connector touches an exclusion); and the
+    nearest one that has none (legal_segment_id, legal_station, legal_gap), with the number of nearer ones passed over.
 
-    seg = _cells(segments.select("segment_id", *[c(k).alias(f"s_{k}") for k in ("x0", "y0", "x1", "y1")]), F.lit(tol), cell, "s_")
-    pt = points.select("point_id", "x", "y", F.floor(c("x") / cell).alias("__cx"), F.floor(c("y") / cell).alias("__cy"))
-    s = [c(f"s_{k}") for k in ("x0", "y0", "x1", "y1")]
-    gap = X.pt_seg_dist(c("x"), c("y"), *s)
-    dx, dy = s[2] - s[0], s[3] - s[1]
-    n = dx * dx + dy * dy
-    t = F.when(n > 0, F.least(F.greatest(((c("x") - s[0]) * dx + (c("y") - s[1]) * dy) / n, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    near = pt.join(seg, ["__cx", "__cy"]).withColumn("gap", gap).filter(c("gap") <= tol).groupBy("point_id").agg(F.min(F.struct("gap", "segment_id", (t * F.sqrt(n)).alias("station"))).alias("m"))
-    out = points.select("point_id").join(near, "point_id", "left").select("point_id", "m.segment_id", "m.station", "m.gap")
-    return out.withColumn("reason", F.when(c("segment_id").isNull(), "NO_ROAD_WITHIN_TOLERANCE"))
+    exclusions: edges (polygon_id, x0, y0, x1, y1) of polygons. The nearest comes by rings that grow until they hold one;
+    all others within tol are tried in the order of their gaps."""
+    near = N.nearest(points, segments, tol)
+    legal = N.within(points, segments, tol)
+    every = near.unionByName(legal).dropDuplicates(["point_id", "segment_id"])
+    every = every.withColumn("connector_id", F.struct("point_id", "segment_id")).checkpoint()
+    if exclusions is None:
+        every = every.withColumn("cut", F.lit(False))
+    else:
+        every = every.join(N.blocked(every, exclusions, cell).withColumn("cut", F.lit(True)), "connector_id", "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
+    far = c("gap") > tol
+    w = Window.partitionBy("point_id").orderBy("gap", "segment_id")
+    tried = every.withColumn("place", F.row_number().over(w)).withColumn("why", N.reasons((far, "ACCESS_CONNECTOR_EXCEEDS_TOLERANCE"), (c("cut"), "ACCESS_CONNECTOR_INTERSECTS_EXCLUSION")))
+    own = F.struct("segment_id", "station", "gap", "why")
+    best = tried.groupBy("point_id").agg(F.min(F.when(c("place") == 1, own)).alias("n"), F.min(F.when(c("why") == "", F.struct("place", "segment_id", "station", "gap"))).alias("l"), F.count(F.lit(1)).alias("all"))
+    out = points.select("point_id").join(best, "point_id", "left")
+    none = F.when(c("n").isNull(), "NO_ROAD").otherwise(c("n.why"))
+    return out.select(
+        "point_id", "n.segment_id", "n.station", "n.gap", none.alias("reasons"), c("l.segment_id").alias("legal_segment_id"), c("l.station").alias("legal_station"), c("l.gap").alias("legal_gap"),
+        F.coalesce(c("l.place") - 1, c("all"), F.lit(0)).cast("int").alias("passed_over"),
+    )
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import expr as X
+from furrow.operators.order import summarise
 
 RC = ["grid_id", "row", "col"]
 c = F.col
@@ -25,9 +26,8 @@ def load_cells(df: DataFrame, nodata: float | None = None) -> DataFrame:
 def quantiles(df: DataFrame, v: str, by: list[str]) -> DataFrame:
     """count, extremes, mean, population deviation, and exact percentiles of the valid values."""
     ps = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    q = F.percentile(v, list(ps.values()))
-    out = df.filter(X.finite(c(v))).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), q.alias("q"))
-    return out.select(*by, "n", "min", "max", "mean", "std", *[c("q")[i].alias(p) for i, p in enumerate(ps)])
+    aggs = [F.count(F.lit(1)).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")]
+    return summarise(df.filter(X.finite(c(v))), by, aggs, {n: (v, p) for n, p in ps.items()})
 
 
 def bands(df: DataFrame, v: str, breaks: list[float], by: list[str]) -> DataFrame:
@@ -81,9 +81,9 @@ def coverage(mask: DataFrame, cells: DataFrame) -> DataFrame:
 def compare_surfaces(a: DataFrame, b: DataFrame) -> DataFrame:
     """Differences of two grids on their common valid cells."""
     d = a.select("row", "col", c("v").alias("a")).join(b.select("row", "col", c("v").alias("b")), ["row", "col"]).filter("a IS NOT NULL AND b IS NOT NULL").select((c("a") - c("b")).alias("d"), F.abs(c("a") - c("b")).alias("m"))
-    p = F.percentile("m", [0.5, 0.95, 0.99])
-    out = d.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.median("d").alias("median"), F.sqrt(F.avg(c("d") * c("d"))).alias("rmse"), p.alias("p"), F.max("m").alias("abs_max"))
-    return out.select("n", "mean", "median", "rmse", c("p")[0].alias("abs_median"), c("p")[1].alias("abs_p95"), c("p")[2].alias("abs_p99"), "abs_max")
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.sqrt(F.avg(c("d") * c("d"))).alias("rmse"), F.max("m").alias("abs_max")]
+    out = summarise(d, [], aggs, {"median": ("d", 0.5), "abs_median": ("m", 0.5), "abs_p95": ("m", 0.95), "abs_p99": ("m", 0.99)})
+    return out.select("n", "mean", "median", "rmse", "abs_median", "abs_p95", "abs_p99", "abs_max")
 
 
 def neighbour(cells: DataFrame, drow: int, dcol: int, name: str, v: str = "v") -> DataFrame:
@@ -159,7 +159,8 @@ def axial_jumps(cells: DataFrame, limit: float) -> DataFrame:
     for r, k in ((0, 1), (1, 0)):
         one = neighbour(cells, r, k, "other").filter("v IS NOT NULL AND other IS NOT NULL").select("grid_id", X.axial_diff(c("v"), c("other")).alias("jump"))
         j = one if j is None else j.unionByName(one)
-    return j.groupBy("grid_id").agg(F.count(F.lit(1)).alias("pairs"), F.percentile("jump", 0.95).alias("p95"), F.max("jump").alias("max"), (F.count_if(c("jump") > limit) / F.count(F.lit(1))).alias("share_over"))
+    aggs = [F.count(F.lit(1)).alias("pairs"), F.max("jump").alias("max"), (F.count_if(c("jump") > limit) / F.count(F.lit(1))).alias("share_over")]
+    return summarise(j, ["grid_id"], aggs, {"p95": ("jump", 0.95)}).select("grid_id", "pairs", "p95", "max", "share_over")
 
 
 def critical_indicators(cells: DataFrame, floor: float, curve: float, most: float, res: float = 1.0) -> DataFrame:
@@ -175,9 +176,9 @@ def critical_indicators(cells: DataFrame, floor: float, curve: float, most: floa
 def normal_spacing(cells: DataFrame, step: float, nominal: float, tol: float, res: float = 1.0) -> DataFrame:
     """Spacing of levels `step` apart along the gradient: percentiles, and the share farther than tol from nominal."""
     g = gradient(cells, res).withColumn("g", F.sqrt(c("gx") * c("gx") + c("gy") * c("gy"))).filter("g > 1e-9").withColumn("s", F.lit(step) / c("g"))
-    p = F.percentile("s", [0.05, 0.5, 0.95])
-    out = g.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"), p.alias("p"), (F.count_if(F.abs(c("s") - nominal) > tol * nominal) / F.count(F.lit(1))).alias("outside_share"))
-    return out.select("grid_id", "n", c("p")[0].alias("p05"), c("p")[1].alias("p50"), c("p")[2].alias("p95"), "outside_share")
+    aggs = [F.count(F.lit(1)).alias("n"), (F.count_if(F.abs(c("s") - nominal) > tol * nominal) / F.count(F.lit(1))).alias("outside_share")]
+    out = summarise(g, ["grid_id"], aggs, {"p05": ("s", 0.05), "p50": ("s", 0.5), "p95": ("s", 0.95)})
+    return out.select("grid_id", "n", "p05", "p50", "p95", "outside_share")
 
 
 def spacing_from_levels(cells: DataFrame, levels: DataFrame) -> DataFrame:

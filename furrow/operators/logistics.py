@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import expr as X
+from furrow.operators.nearest import nearest
+from furrow.operators.order import summarise
 
 c = F.col
 
@@ -60,9 +62,13 @@ def costs(demand: DataFrame, sites: DataFrame) -> DataFrame:
     return demand.crossJoin(s).select("demand_id", "mass_t", "site_id", X.distance(c("x"), c("y"), c("sx"), c("sy")).alias("dist"))
 
 
-def assign_nearest(demand: DataFrame, sites: DataFrame) -> DataFrame:
-    near = costs(demand, sites).groupBy("demand_id", "mass_t").agg(F.min(F.struct("dist", "site_id")).alias("b"))
-    return near.select("demand_id", "mass_t", "b.site_id", "b.dist", (c("mass_t") * c("b.dist")).alias("tonne_m"))
+def assign_nearest(demand: DataFrame, sites: DataFrame, start: float = 50.0) -> DataFrame:
+    """Each demand (demand_id, x, y, mass_t) with its nearest site, of equally near ones the least id; any number of
+    either. Extra columns of the demand stay."""
+    place = sites.select(c("site_id").alias("segment_id"), c("x").alias("x0"), c("y").alias("y0"), c("x").alias("x1"), c("y").alias("y1"))
+    near = nearest(demand.select(c("demand_id").alias("point_id"), "x", "y"), place, start)
+    near = near.select(c("point_id").alias("demand_id"), c("segment_id").alias("site_id"), c("gap").alias("dist"))
+    return demand.drop("x", "y").join(near, "demand_id").withColumn("tonne_m", c("mass_t") * c("dist"))
 
 
 def subsets(sites: DataFrame, k: int, most: int = 50_000) -> DataFrame:
@@ -122,8 +128,10 @@ def regret(cost: DataFrame) -> DataFrame:
 
 
 def routing_metrics(assigned: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
-    q = F.percentile("dist", [0.5, 0.95])
-    total = assigned.agg(F.count(F.lit(1)).alias("n"), F.sum("mass_t").alias("mass_t"), F.sum("tonne_m").alias("tonne_m"), q.alias("q"), F.max("dist").alias("max_dist"), (F.sum("tonne_m") / F.sum("mass_t")).alias("mean_dist"))
-    total = total.select("n", "mass_t", "tonne_m", c("q")[0].alias("p50"), c("q")[1].alias("p95"), "max_dist", "mean_dist")
-    use = assigned.groupBy("site_id").agg(F.count(F.lit(1)).alias("events"), F.sum("mass_t").alias("mass_t"))
-    return total, sites.select("site_id", "capacity_t").join(use, "site_id", "left").fillna(0, ["events", "mass_t"]).withColumn("utilisation", F.try_divide(c("mass_t"), c("capacity_t")))
+    """Of all assigned demands (with kind FULL or PARTIAL): counts, mass, distances; and the use of each site."""
+    full, part = (F.count_if(c("kind") == k) for k in ("FULL", "PARTIAL"))
+    aggs = [F.count(F.lit(1)).alias("n"), full.alias("full_loads"), part.alias("partial_loads"), F.sum("mass_t").alias("mass_t"), F.sum("tonne_m").alias("tonne_m"), F.max("dist").alias("max_dist"), F.try_divide(F.sum("tonne_m"), F.sum("mass_t")).alias("mean_dist")]
+    total = summarise(assigned, [], aggs, {"p50": ("dist", 0.5), "p95": ("dist", 0.95)})
+    use = assigned.groupBy("site_id").agg(F.count(F.lit(1)).alias("events"), full.alias("full_loads"), part.alias("partial_loads"), F.sum("mass_t").alias("mass_t"))
+    use = sites.select("site_id", "capacity_t").join(use, "site_id", "left").fillna(0, ["events", "full_loads", "partial_loads", "mass_t"])
+    return total, use.withColumn("utilisation", F.try_divide(c("mass_t"), c("capacity_t")))

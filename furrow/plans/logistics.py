@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from furrow.operators import graph as A
 from furrow.operators import logistics as L
+from furrow.operators import nearest as N
 from furrow.plans.feeds import FEEDS, feed, oracle
 
 FEEDS["run_segments"] = """SELECT l_orderkey AS run_id, l_linenumber AS sequence, l_partkey * 1000 + l_suppkey AS segment_id, l_quantity AS mass_t FROM lineitem"""
@@ -13,6 +14,8 @@ FEEDS["mass_rows"] = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l
 FEEDS["sites_lo"] = """SELECT s_suppkey AS site_id, CASE WHEN s_suppkey % 13 = 5 THEN NULL ELSE s_acctbal END AS capacity_t, CASE WHEN s_suppkey % 11 = 3 THEN -1e0 ELSE (s_suppkey % 7) * 1e2 END AS penalty, (s_suppkey % 10) * 1e1 AS x, floor(s_suppkey / 1e1) * 1e1 AS y FROM supplier"""
 FEEDS["site_hits"] = """SELECT s_suppkey AS site_id, CASE WHEN s_suppkey % 6 = 0 THEN 'POWER_LINE' ELSE 'EXCLUSION' END AS kind FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'EXCLUSION' FROM supplier WHERE s_suppkey % 12 = 0"""
 FEEDS["demand"] = """SELECT o_orderkey AS demand_id, (o_custkey % 97) * 1e0 AS x, (o_orderkey % 89) * 1e0 + 2.5e-1 AS y, 1e0 + o_custkey % 20 AS mass_t FROM orders"""
+FEEDS["loads"] = """SELECT demand_id, x, y, mass_t, CASE WHEN mass_t >= 20 THEN 'FULL' ELSE 'PARTIAL' END AS kind FROM demand"""
+FEEDS["open_sites"] = """SELECT site_id, capacity_t, penalty, x, y FROM sites_lo WHERE capacity_t > 0 AND penalty >= 0"""
 FEEDS["few_sites"] = """SELECT site_id, capacity_t, penalty, x, y FROM sites_lo WHERE site_id IN (2, 17, 34, 51, 68, 85, 97)"""
 FEEDS["cost_rows"] = """SELECT demand_id, mass_t, site_id, sqrt(power(d.x - s.x, 2) + power(d.y - s.y, 2)) AS dist FROM demand d, few_sites s"""
 FEEDS["cost_gaps"] = """SELECT demand_id, mass_t, site_id, CASE WHEN (demand_id + site_id) % 5 < 2 OR demand_id % 50 = 0 AND site_id > 40 THEN NULL ELSE dist END AS dist FROM cost_rows"""
@@ -25,6 +28,8 @@ FEEDS["chords"] = """SELECT c_custkey AS n, c_custkey + 7 AS m, 3e0 + c_nationke
 FEEDS["road_graph"] = """SELECT n AS a, m AS b, w AS weight FROM road_nodes UNION ALL SELECT n, m, w FROM chords"""
 FEEDS["needs_ga"] = """SELECT s_suppkey AS a, CAST(floor(s_suppkey / 3e0) AS BIGINT) AS b FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT s_suppkey, s_suppkey - 5 FROM supplier WHERE s_suppkey % 20 = 5"""
 FEEDS["street"] = """SELECT s_suppkey AS segment_id, (s_suppkey % 9) * 1e1 AS x0, (s_suppkey % 4) * 2e1 + floor(s_suppkey / 3.6e1) * 8e1 AS y0, (s_suppkey % 9) * 1e1 + 2e1 AS x1, (s_suppkey % 4) * 2e1 + floor(s_suppkey / 3.6e1) * 8e1 AS y1 FROM supplier"""
+FEEDS["blocks"] = """SELECT segment_id AS polygon_id, x0 + 6.37e0 AS lo_x, y0 + 1.21e0 AS lo_y, x0 + 13.61e0 AS hi_x, y0 + 2.83e0 AS hi_y FROM street WHERE segment_id % 3 <> 1"""
+FEEDS["block_rings"] = """SELECT polygon_id, 1 AS ring, 1 AS seq, lo_x AS x, lo_y AS y FROM blocks UNION ALL SELECT polygon_id, 1, 2, hi_x, lo_y FROM blocks UNION ALL SELECT polygon_id, 1, 3, hi_x, hi_y FROM blocks UNION ALL SELECT polygon_id, 1, 4, lo_x, hi_y FROM blocks UNION ALL SELECT polygon_id, 1, 5, lo_x, lo_y FROM blocks"""
 FEEDS["stops_ga"] = """SELECT segment_id, 4e0 + segment_id % 3 * 1e0 AS station FROM street WHERE segment_id % 4 = 1"""
 
 QUERIES, ORACLES = {}, {}
@@ -68,9 +73,12 @@ def lo4(spark, d):
     return L.candidate_eligibility(feed(spark, d, "sites_lo"), feed(spark, d, "site_hits")).select("site_id", "reasons", "eligible")
 
 
-@query("lo5_assign_nearest", """SELECT demand_id, mass_t, site_id, round(dist, 6) AS dist, round(mass_t * dist, 6) AS tonne_m FROM (SELECT *, row_number() OVER (PARTITION BY demand_id ORDER BY dist, site_id) AS rn FROM cost_rows) WHERE rn = 1""")
+_NEAR = "cost_all AS (SELECT demand_id, mass_t, kind, site_id, sqrt(power(d.x - s.x, 2) + power(d.y - s.y, 2)) AS dist FROM loads d, open_sites s), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY demand_id ORDER BY dist, site_id) AS rn FROM cost_all) WHERE rn = 1)"
+
+
+@query("lo5_assign_nearest", f"WITH {_NEAR} SELECT demand_id, kind, mass_t, site_id, round(dist, 6) AS dist, round(mass_t * dist, 6) AS tonne_m FROM n")
 def lo5(spark, d):
-    return rounded(L.assign_nearest(feed(spark, d, "demand"), feed(spark, d, "few_sites")), ["dist", "tonne_m"])
+    return rounded(L.assign_nearest(feed(spark, d, "loads"), feed(spark, d, "open_sites"), 8.0), ["dist", "tonne_m"])
 
 
 @query("lo6_score_subsets", """SELECT subset_id, size, round(sum(mass_t * dist) + max(fixed), 4) AS objective FROM (SELECT subset_id, size, demand_id, mass_t, min(dist) AS dist, max(f) AS fixed FROM few_subsets JOIN cost_rows c ON c.site_id IN (m1, m2, m3) JOIN (SELECT s.subset_id AS sid, sum(penalty) AS f FROM few_subsets s JOIN few_sites t ON t.site_id IN (m1, m2, m3) GROUP BY s.subset_id) p ON p.sid = subset_id GROUP BY subset_id, size, demand_id, mass_t) GROUP BY subset_id, size""")
@@ -102,18 +110,15 @@ def lo8r(spark, d):
     return out.select("demand_id", F.when(F.col("regret") != float("inf"), R("regret")).alias("regret"))
 
 
-_NEAR = "n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY demand_id ORDER BY dist, site_id) AS rn FROM cost_rows) WHERE rn = 1)"
-
-
-@query("lo9_routing_metrics", f"WITH {_NEAR} SELECT count(*) AS n, sum(mass_t) AS mass_t, round(sum(mass_t * dist), 3) AS tonne_m, round(quantile_cont(dist, 0.5), 6) AS p50, round(quantile_cont(dist, 0.95), 6) AS p95, round(max(dist), 6) AS max_dist, round(sum(mass_t * dist) / sum(mass_t), 6) AS mean_dist FROM n")
+@query("lo9_routing_metrics", f"""WITH {_NEAR} SELECT count(*) AS n, count(*) FILTER (kind = 'FULL') AS full_loads, count(*) FILTER (kind = 'PARTIAL') AS partial_loads, sum(mass_t) AS mass_t, round(sum(mass_t * dist), 3) AS tonne_m, round(quantile_cont(dist, 0.5), 6) AS p50, round(quantile_cont(dist, 0.95), 6) AS p95, round(max(dist), 6) AS max_dist, round(sum(mass_t * dist) / sum(mass_t), 6) AS mean_dist FROM n""")
 def lo9(spark, d):
-    total, _ = L.routing_metrics(L.assign_nearest(feed(spark, d, "demand"), feed(spark, d, "few_sites")), feed(spark, d, "few_sites"))
+    total, _ = L.routing_metrics(L.assign_nearest(feed(spark, d, "loads"), feed(spark, d, "open_sites"), 8.0), feed(spark, d, "open_sites"))
     return rounded(rounded(total, ["tonne_m"], 3), ["p50", "p95", "max_dist", "mean_dist"])
 
 
-@query("lo9_site_use", f"WITH {_NEAR} SELECT s.site_id, capacity_t, count(n.demand_id) AS events, coalesce(sum(n.mass_t), 0) AS mass_t, round(coalesce(sum(n.mass_t), 0) / capacity_t, 6) AS utilisation FROM few_sites s LEFT JOIN n ON n.site_id = s.site_id GROUP BY s.site_id, capacity_t")
+@query("lo9_site_use", f"""WITH {_NEAR} SELECT s.site_id, capacity_t, count(n.demand_id) AS events, count(*) FILTER (kind = 'FULL') AS full_loads, count(*) FILTER (kind = 'PARTIAL') AS partial_loads, coalesce(sum(n.mass_t), 0) AS mass_t, round(coalesce(sum(n.mass_t), 0) / capacity_t, 6) AS utilisation FROM open_sites s LEFT JOIN n ON n.site_id = s.site_id GROUP BY s.site_id, capacity_t""")
 def lo9s(spark, d):
-    _, use = L.routing_metrics(L.assign_nearest(feed(spark, d, "demand"), feed(spark, d, "few_sites")), feed(spark, d, "few_sites"))
+    _, use = L.routing_metrics(L.assign_nearest(feed(spark, d, "loads"), feed(spark, d, "open_sites"), 8.0), feed(spark, d, "open_sites"))
     return rounded(use, ["utilisation"])
 
 
@@ -140,10 +145,21 @@ def ga3(spark, d):
     return A.build_edges(feed(spark, d, "street"), feed(spark, d, "stops_ga"))
 
 
-@query("ga4_snap", """WITH g AS (SELECT demand_id, segment_id, sqrt(power(d.x - greatest(x0, least(x1, d.x)), 2) + power(d.y - y0, 2)) AS gap, greatest(x0, least(x1, d.x)) - x0 AS st FROM demand d, street), n AS (SELECT *, row_number() OVER (PARTITION BY demand_id ORDER BY round(gap, 9), segment_id) AS rn FROM g WHERE gap <= 12)
-SELECT d.demand_id AS point_id, segment_id, round(st, 6) AS station, round(gap, 6) AS gap, CASE WHEN segment_id IS NULL THEN 'NO_ROAD_WITHIN_TOLERANCE' END AS reason FROM demand d LEFT JOIN (SELECT * FROM n WHERE rn = 1) n ON n.demand_id = d.demand_id""")
+@query("ga4_snap", """WITH g AS (SELECT demand_id, segment_id, d.x, d.y, greatest(x0, least(x1, d.x)) AS sx, y0 AS sy, sqrt(power(d.x - greatest(x0, least(x1, d.x)), 2) + power(d.y - y0, 2)) AS gap, greatest(x0, least(x1, d.x)) - x0 AS st FROM demand d, street),
+o AS (SELECT *, row_number() OVER (PARTITION BY demand_id ORDER BY round(gap, 9), segment_id) AS rn FROM g),
+near AS (SELECT * FROM o WHERE gap <= 12 OR rn = 1),
+clip AS (SELECT demand_id, segment_id, greatest(0, CASE WHEN sx <> x THEN least((lo_x - x) / (sx - x), (hi_x - x) / (sx - x)) ELSE 0 END, CASE WHEN sy <> y THEN least((lo_y - y) / (sy - y), (hi_y - y) / (sy - y)) ELSE 0 END) AS t0,
+ least(1, CASE WHEN sx <> x THEN greatest((lo_x - x) / (sx - x), (hi_x - x) / (sx - x)) ELSE 1 END, CASE WHEN sy <> y THEN greatest((lo_y - y) / (sy - y), (hi_y - y) / (sy - y)) ELSE 1 END) AS t1
+ FROM near, blocks WHERE gap > 1e-9 AND (sx <> x OR x BETWEEN lo_x AND hi_x) AND (sy <> y OR y BETWEEN lo_y AND hi_y) AND greatest(x, sx) >= lo_x AND least(x, sx) <= hi_x AND greatest(y, sy) >= lo_y AND least(y, sy) <= hi_y),
+cut AS (SELECT DISTINCT demand_id, segment_id FROM clip WHERE t0 <= t1),
+t AS (SELECT n.*, concat_ws(',', CASE WHEN gap > 12 THEN 'ACCESS_CONNECTOR_EXCEEDS_TOLERANCE' END, CASE WHEN c.demand_id IS NOT NULL THEN 'ACCESS_CONNECTOR_INTERSECTS_EXCLUSION' END) AS why FROM near n LEFT JOIN cut c USING (demand_id, segment_id)),
+l AS (SELECT demand_id, min(rn) AS rn FROM t WHERE why = '' GROUP BY demand_id), k AS (SELECT demand_id, count(*) AS n FROM t GROUP BY demand_id)
+SELECT a.demand_id AS point_id, a.segment_id, round(a.st, 6) AS station, round(a.gap, 6) AS gap, a.why AS reasons, b.segment_id AS legal_segment_id, round(b.st, 6) AS legal_station, round(b.gap, 6) AS legal_gap, CAST(coalesce(l.rn - 1, k.n) AS INT) AS passed_over
+FROM t a JOIN k ON k.demand_id = a.demand_id LEFT JOIN l ON l.demand_id = a.demand_id LEFT JOIN t b ON b.demand_id = a.demand_id AND b.rn = l.rn WHERE a.rn = 1""")
 def ga4(spark, d):
-    return rounded(A.snap(feed(spark, d, "SELECT demand_id AS point_id, x, y FROM demand"), feed(spark, d, "street"), 12.0), ["station", "gap"])
+    edges = N.ring_edges(feed(spark, d, "block_rings"))
+    out = A.snap(feed(spark, d, "SELECT demand_id AS point_id, x, y FROM demand"), feed(spark, d, "street"), 12.0, edges, 10.0)
+    return rounded(out, ["station", "gap", "legal_station", "legal_gap"])
 
 
 @query("ga5_shortest_paths")  # relaxation has no bounded SQL form; tests hold it against a priority queue
