@@ -104,54 +104,112 @@ def check_series(series: DataFrame, key: str = "event_id") -> DataFrame:
     return out.withColumn("valid", F.col("enough_points") & F.col("increasing") & F.col("non_negative_time") & F.col("non_negative_flow") & F.col("zero_ends"))
 
 
-def closure(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 1000) -> DataFrame:
-    """All (a, b) with a way from a to b. Only what a round finds new goes on, so cycles end."""
-    step = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct().checkpoint()
-    known = frontier = step
-    for _ in range(limit):
-        new = frontier.select("a", F.col("b").alias("m")).join(step.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct().join(known, ["a", "b"], "left_anti").checkpoint()
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, parts)
+
+
+def closure(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """All (a, b) with a way from a to b, of any length. What a round finds new is joined to all that is known, so ways get
+    twice as long each round and the rounds are as many as the logarithm of the depth; cycles end by themselves. Each
+    round's finds are written once."""
+    new = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct().checkpoint()
+    parts = []
+    while not new.isEmpty():
+        parts.append(new)
+        known = _union(parts)
+        longer = new.select("a", F.col("b").alias("m")).join(known.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
+        new = longer.join(known, ["a", "b"], "left_anti").checkpoint()
+    return _union(parts) if parts else new
+
+
+def doubled(step: DataFrame, lags: list[str]) -> tuple[list[DataFrame], DataFrame | None]:
+    """Pointers (node, to, lags) one step down, two steps, four, and so on, until no node has one that far; step has one row
+    a node at most. If some go on past as many steps as there are nodes, they go round: the last pointers, else None."""
+    out, n = [step.select("node", "to", *lags).checkpoint()], step.count()
+    while True:
+        far = out[-1]
+        then = far.select(F.col("node").alias("to"), F.col("to").alias("end"), *[F.col(c).alias(f"__{c}") for c in lags])
+        new = far.join(then, "to").select("node", F.col("end").alias("to"), *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in lags]).checkpoint()
         if new.isEmpty():
-            return known
-        known, frontier = known.unionByName(new).checkpoint(), new
-    raise ValueError("the closure is deeper than its limit")
+            return out, None
+        if 2 ** len(out) > n:
+            return out, new
+        out.append(new)
+
+
+def below(marks: DataFrame, pointers: list[DataFrame]) -> DataFrame:
+    """marks (node) and all nodes down from them along the pointers."""
+    for p in pointers:
+        marks = marks.unionAll(marks.join(p, "node").select(F.col("to").alias("node"))).distinct().checkpoint()
+    return marks
 
 
 def check_network(reaches: DataFrame, lateral_nodes: DataFrame) -> DataFrame:
-    """(rule, key) of what is wrong with a drainage network, and OUTLET and DRY facts."""
+    """(rule, key) of what is wrong with a drainage network, and OUTLET and DRY facts.
+
+    Nodes with one way down are followed by doubled pointers, so a main stem of any length takes as many rounds as the
+    logarithm of its reaches. Only splits, which are faults, need a closure, and that is of the splits alone."""
     r = reaches.select("reach_id", "up", "down")
     fact = lambda df, rule, key: df.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
     many = lambda c: r.groupBy(c).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    reach = closure(r.filter("up != down"), "up", "down")
-    nodes = r.select(F.col("up").alias("node")).union(r.select("down")).distinct()
+    edges = r.filter("up != down").select(F.col("up").alias("node"), F.col("down").alias("to")).distinct().checkpoint()
+    ways = edges.groupBy("node").agg(F.count(F.lit(1)).alias("ways"))
+    single = edges.join(ways.filter("ways = 1"), "node").select("node", "to")
+    split = edges.join(ways.filter("ways > 1"), "node").select("node", "to").checkpoint()
+    pointers, round_ = doubled(single, [])
     loose = lateral_nodes.select("node").distinct()
-    fed = loose.join(reach.select(F.col("a").alias("node"), F.col("b")), "node").select(F.col("b").alias("node")).union(loose).distinct()
+    fed = below(loose.checkpoint(), pointers)
+    cycles = [] if round_ is None else [round_.select(F.col("to").alias("node")).distinct()]
+    if not split.isEmpty():
+        # where the way from each branch of a split ends: the next split, an outlet, or nowhere (a cycle without splits)
+        splits = split.select("node").distinct()
+        ends = pointers[0].select("node", F.col("to").alias("end"))
+        for _ in pointers:
+            ends = ends.join(ends.select(F.col("node").alias("end"), F.col("end").alias("later")), "end", "left").select("node", F.coalesce("later", "end").alias("end")).checkpoint()
+        branch = split.join(ends.withColumnRenamed("node", "to"), "to", "left").select("node", "to", F.coalesce("end", "to").alias("end"))
+        branch = branch.join(splits.withColumnRenamed("node", "end"), "end", "left_semi").checkpoint()
+        ways_on = closure(branch, "node", "end")
+        back = ways_on.select(F.col("a").alias("end"), F.col("b").alias("node")).unionAll(splits.select("node", F.col("node").alias("end")).select("end", "node"))
+        around = branch.join(back, ["node", "end"], "left_semi")
+        cycles.append(below(around.select("node").union(around.select(F.col("to").alias("node"))).distinct().checkpoint(), pointers))
+        met = fed.join(splits, "node", "left_semi")
+        more = met.unionAll(met.join(ways_on, met["node"] == ways_on["a"]).select(F.col("b").alias("node"))).distinct()
+        heads = split.join(more, "node", "left_semi").select(F.col("to").alias("node"))
+        fed = below(fed.unionAll(more).unionAll(heads).distinct().checkpoint(), pointers)
+    nodes = r.select(F.col("up").alias("node")).union(r.select("down")).distinct()
     out = [
-        fact(many("reach_id"), "DUPLICATE_REACH", "reach_id"), fact(r.filter("up = down"), "SELF_LOOP", "reach_id"), fact(many("up"), "SPLIT", "up"), fact(reach.filter("a = b"), "CYCLE", "a"),
+        fact(many("reach_id"), "DUPLICATE_REACH", "reach_id"), fact(r.filter("up = down"), "SELF_LOOP", "reach_id"), fact(many("up"), "SPLIT", "up"), *[fact(x, "CYCLE", "node") for x in cycles],
         fact(loose.join(nodes, "node", "left_anti"), "UNKNOWN_NODE", "node"), fact(nodes.join(r.select(F.col("up").alias("node")), "node", "left_anti"), "OUTLET", "node"),
         fact(r.join(fed, r["up"] == fed["node"], "left_anti"), "DRY", "reach_id"),
     ]
     return reduce(DataFrame.unionAll, out).distinct()
 
 
-def path_lags(reaches: DataFrame, limit: int = 1000) -> DataFrame:
-    """node, reach_id, lag_s: for every node the reaches downstream of it and the travel time to their ends. The
-    network has passed check_network, so each node has one way down."""
-    step = reaches.select("up", "down", "reach_id", "travel_s").checkpoint()
-    front = step.select(F.col("up").alias("node"), "reach_id", F.col("travel_s").alias("lag_s"), F.col("down").alias("at"))
-    out = front
-    for _ in range(limit):
-        front = front.select("node", F.col("lag_s").alias("so_far"), F.col("at").alias("up")).join(step, "up").select("node", "reach_id", (F.col("so_far") + F.col("travel_s")).alias("lag_s"), F.col("down").alias("at")).checkpoint()
-        if front.isEmpty():
-            return out.select("node", "reach_id", "lag_s")
-        out = out.unionByName(front)
-    raise ValueError("the network is deeper than its limit")
+def path_lags(reaches: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, reach_id, lag_s: for each of the nodes (default: all) the reaches downstream of it and the travel time to their
+    ends. Ways double in each round, so there are as many rounds as the logarithm of the depth. Each node must have one
+    way down at most and no cycle may be; else this is an error that names a node."""
+    step = reaches.select(F.col("up").alias("node"), F.col("down").alias("to"), F.col("travel_s").alias("lag_s"), "reach_id").checkpoint()
+    twice = step.groupBy("node").count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"flow splits at node {twice['node']}")
+    pointers, round_ = doubled(step, ["lag_s"])
+    if round_ is not None:
+        raise ValueError(f"the network must be acyclic; node {round_.first()['to']} lies on a cycle")
+    # at: a node that a start's flow passes, and when
+    start = (step.select("node") if nodes is None else nodes.select("node")).distinct()
+    passed = start.select("node", F.col("node").alias("at"), F.lit(0.0).alias("so_far")).checkpoint()
+    for p in pointers:
+        far = passed.join(p.withColumnRenamed("node", "at"), "at").select("node", F.col("to").alias("at"), (F.col("so_far") + F.col("lag_s")).alias("so_far"))
+        passed = passed.unionAll(far).checkpoint()
+    return passed.join(step.select(F.col("node").alias("at"), "reach_id", "lag_s"), "at").select("node", "reach_id", (F.col("so_far") + F.col("lag_s")).alias("lag_s"))
 
 
 def route_by_lag(reaches: DataFrame, lateral: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
     """reach_id, time_s, flow at each reach's end. Pure lag is linear, so every lateral series (node, time_s, flow) is
     shifted by its path's travel time and added to the others on the union of all their times; between its own times
     a series is a straight line, outside it is zero."""
-    moved = lateral.join(path_lags(reaches), "node").select("reach_id", "node", (F.col("time_s") + F.col("lag_s")).alias("time_s"), "flow")
+    moved = lateral.join(path_lags(reaches, lateral), "node").select("reach_id", "node", (F.col("time_s") + F.col("lag_s")).alias("time_s"), "flow")
     w = Window.partitionBy("reach_id", "node").orderBy("time_s")
     seg = moved.withColumn("t1", F.lead("time_s").over(w)).withColumn("q1", F.lead("flow").over(w)).filter("t1 IS NOT NULL").withColumnsRenamed({"time_s": "t0", "flow": "q0"})
     b = lambda t: F.floor(t / bucket_s)
@@ -169,6 +227,21 @@ def routing_summary(reaches: DataFrame, routed: DataFrame) -> DataFrame:
     return reaches.select("reach_id").join(s, "reach_id", "left").withColumn("status", F.when(F.col("peak_flow") > 0, "ROUTED").otherwise("DRY"))
 
 
+def routing_balance(reaches: DataFrame, lateral: DataFrame, routed: DataFrame) -> DataFrame:
+    """One row: the volume of all lateral series, the volume that comes out at outlet nodes (by their reaches, and by
+    laterals at the outlet itself), the residual, and PASS if it is next to nothing."""
+    volume = lambda df, key: integrate_series(df, key).groupBy(key).agg(F.max("cumulative_m3").alias("v"))
+    ends = reaches.select(F.col("down").alias("node")).distinct().join(reaches.select(F.col("up").alias("node")), "node", "left_anti")
+    own = volume(lateral, "node")
+    known = reaches.select(F.col("up").alias("node")).union(reaches.select("down")).distinct()
+    into = volume(routed, "reach_id").join(reaches.select("reach_id", F.col("down").alias("node")), "reach_id").join(ends, "node", "left_semi").select("v")
+    out = into.unionAll(own.join(ends, "node", "left_semi").select("v")).agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("outlet_volume_m3"))
+    total = own.join(known, "node", "left_semi").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("input_volume_m3"))
+    both = total.crossJoin(out).withColumn("residual_m3", F.col("outlet_volume_m3") - F.col("input_volume_m3"))  # one row each
+    both = both.withColumn("relative_residual", F.abs("residual_m3") / F.greatest(F.col("input_volume_m3"), F.lit(1e-12)))
+    return both.withColumn("balance_status", F.when(F.col("relative_residual") <= 1e-10, "PASS").otherwise("FAIL"))
+
+
 def reach_capacity(peaks: DataFrame, sections: DataFrame) -> DataFrame:
     """Capacity, ratio, margin, normal depth and flow state at the peak of each (reach, condition)."""
     c = F.col
@@ -203,10 +276,12 @@ def freeboard_status(control: Column, bankfull: Column, freeboard: Column) -> Co
 
 
 def capacity_summary(df: DataFrame, conditions: tuple[str, ...] = ("NEW", "CURRENT", "DEGRADED")) -> DataFrame:
-    """Counts per status, and per condition, zeros included."""
+    """Counts per status, and per condition, zeros included. df: status, stability, board, overflow_state, control_status
+    and condition of each reach."""
     n = lambda c, name: F.count_if(c).alias(name)
     return df.agg(
-        n(F.col("status") == "WITHIN_CAPACITY", "within"), n(F.col("status") == "EXCEEDS_CAPACITY", "exceeds"), n(F.col("stability") != "NOT_EVALUATED", "stability_evaluated"), n(F.col("stability").startswith("EXCEEDS"), "stability_exceeded"),
+        F.count(F.lit(1)).alias("reaches"), n(F.col("board") != "NOT_EVALUATED", "freeboard_evaluated"), n(F.col("overflow_state") != "NOT_DECLARED", "overflow_declared"),
+        n(F.col("control_status") != "NOT_EVALUATED", "downstream_evaluated"), n(F.col("control_status") == "RAISES", "downstream_controlled"), n(F.col("status") == "WITHIN_CAPACITY", "within"), n(F.col("status") == "EXCEEDS_CAPACITY", "exceeds"), n(F.col("stability") != "NOT_EVALUATED", "stability_evaluated"), n(F.col("stability").startswith("EXCEEDS"), "stability_exceeded"),
         n(F.col("board") == "OVERTOPS", "overtopping"), n(F.col("board") == "BELOW_FREEBOARD", "freeboard_short"), *[n(F.col("condition") == c, f"n_{c.lower()}") for c in conditions],
     )
 

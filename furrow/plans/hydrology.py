@@ -17,6 +17,8 @@ FEEDS["reaches"] = """SELECT n_nationkey AS reach_id, n_nationkey AS up, CAST(fl
 FEEDS["reaches_bad"] = """SELECT reach_id, up, down FROM reaches UNION ALL SELECT 100, 3, 3 UNION ALL SELECT 101, 5, 1 UNION ALL SELECT 102, 0, 7 UNION ALL SELECT 7, 30, 31"""
 FEEDS["turns"] = """SELECT CAST(user_id % 13 + 12 AS INT) AS node, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k, value FROM events"""
 FEEDS["inflows"] = """SELECT node, time_s, flow FROM (SELECT node, k * 6e2 AS time_s, sum(value) / 1e2 AS flow FROM turns GROUP BY node, k UNION ALL SELECT DISTINCT node, 0e0, 0e0 FROM turns UNION ALL SELECT node, (max(k) + 1) * 6e2, 0e0 FROM turns GROUP BY node)"""
+# laterals at upper nodes, and one at the outlet itself
+FEEDS["laterals"] = """SELECT node, time_s, flow FROM inflows UNION ALL SELECT 0, time_s, flow FROM inflows WHERE node = 12"""
 FEEDS["peaks"] = """SELECT p_partkey AS section_id, p_retailprice / 4e2 AS peak_flow FROM part"""
 FEEDS["limits"] = """SELECT p_partkey AS section_id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 1e0 + p_partkey % 3 END AS vmax, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 2e1 + p_partkey % 30 END AS tau_max,
 CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'SURVEY' END AS source, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_partkey % 13) * 1e-1 END AS d_depth, (p_partkey % 6) * 1e-1 AS d_velocity, 3e-1 AS loss_coef,
@@ -27,6 +29,7 @@ CASE WHEN vmax IS NULL AND tau_max IS NULL THEN 'NOT_EVALUATED' WHEN source IS N
  WHEN coalesce(tau > tau_max, false) THEN 'EXCEEDS_SHEAR' ELSE 'WITHIN_DECLARED_LIMITS' END AS stability,
 CASE WHEN bankfull IS NULL AND freeboard IS NULL THEN 'NOT_EVALUATED' WHEN bankfull IS NULL OR freeboard IS NULL THEN 'INVALID_PARTIAL_DECLARATION' WHEN bankfull < max_depth - 1e-9 THEN 'OVERTOPS' WHEN bankfull - max_depth < freeboard - 1e-9 THEN 'BELOW_FREEBOARD' ELSE 'WITHIN_FREEBOARD' END AS board
 FROM full_state f JOIN peaks p ON f.section_id = p.section_id JOIN limits l ON f.section_id = l.section_id"""
+FEEDS["overflow_states"] = """SELECT p_partkey AS section_id, CASE WHEN p_size % 3 = 0 THEN 'NOT_DECLARED' WHEN p_size % 3 = 1 THEN 'DECLARED_UNCHECKED' ELSE 'SCREENED' END AS overflow_state FROM part"""
 FEEDS["profile_points"] = """SELECT p_partkey AS section_id, k AS step, k * 25e0 AS station, 5e-1 + (p_partkey % 10) * 1e-1 + k * 1e-2 AS depth, p_size * 1e-1 AS width, 1.5e0 AS side, 5e-3 AS slope, 4e-2 AS rough
 FROM part CROSS JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 6)"""
 FEEDS["path_vertices"] = """SELECT line_id AS path_id, seq, x, y, 2e1 - seq + z * 1e-1 AS z FROM steps"""
@@ -137,6 +140,16 @@ def hy9(spark, d):
     return H.routing_summary(r, H.route_by_lag(r, feed(spark, d, "inflows"))).select("reach_id", R("volume_m3", 3).alias("volume_m3"), R("peak_flow").alias("peak_flow"), "status")
 
 
+@query("hy9_routing_balance", f"""{_ROUTE}, vol AS (SELECT reach_id, sum((flow + q) / 2 * (time_s - t)) AS v FROM (SELECT *, lag(flow) OVER w AS q, lag(time_s) OVER w AS t FROM routed WINDOW w AS (PARTITION BY reach_id ORDER BY time_s)) GROUP BY reach_id),
+own AS (SELECT node, sum((flow + q) / 2 * (time_s - t)) AS v FROM (SELECT *, lag(flow) OVER w AS q, lag(time_s) OVER w AS t FROM laterals WINDOW w AS (PARTITION BY node ORDER BY time_s)) GROUP BY node),
+b AS (SELECT (SELECT sum(v) FROM own) AS i, (SELECT sum(v) FROM vol JOIN reaches r USING (reach_id) WHERE r.down NOT IN (SELECT up FROM reaches)) + (SELECT sum(v) FROM own WHERE node NOT IN (SELECT up FROM reaches)) AS o)
+SELECT round(i, 3) AS input_volume_m3, round(o, 3) AS outlet_volume_m3, CASE WHEN abs(o - i) / greatest(i, 1e-12) <= 1e-10 THEN 'PASS' ELSE 'FAIL' END AS balance_status FROM b""".replace("FROM inflows", "FROM laterals"))
+def hy9b(spark, d):
+    r, lateral = feed(spark, d, "reaches"), feed(spark, d, "laterals")
+    out = H.routing_balance(r, lateral, H.route_by_lag(r, lateral))
+    return out.select(R("input_volume_m3", 3).alias("input_volume_m3"), R("outlet_volume_m3", 3).alias("outlet_volume_m3"), "balance_status")
+
+
 def _capacity(spark, d):
     return H.reach_capacity(feed(spark, d, "peaks"), feed(spark, d, "sections"))
 
@@ -172,10 +185,14 @@ def hy13(spark, d):
 
 
 @query("hy14_capacity_summary", """SELECT count(*) FILTER (status = 'WITHIN_CAPACITY') AS within, count(*) FILTER (status = 'EXCEEDS_CAPACITY') AS exceeds, count(*) FILTER (stability <> 'NOT_EVALUATED') AS stability_evaluated, count(*) FILTER (stability LIKE 'EXCEEDS%') AS stability_exceeded,
-count(*) FILTER (board = 'OVERTOPS') AS overtopping, count(*) FILTER (board = 'BELOW_FREEBOARD') AS freeboard_short, count(*) FILTER (condition = 'NEW') AS n_new, count(*) FILTER (condition = 'CURRENT') AS n_current, count(*) FILTER (condition = 'DEGRADED') AS n_degraded FROM statuses""")
+count(*) FILTER (board = 'OVERTOPS') AS overtopping, count(*) FILTER (board = 'BELOW_FREEBOARD') AS freeboard_short, count(*) FILTER (s.condition = 'NEW') AS n_new, count(*) FILTER (s.condition = 'CURRENT') AS n_current, count(*) FILTER (s.condition = 'DEGRADED') AS n_degraded,
+count(*) AS reaches, count(*) FILTER (board <> 'NOT_EVALUATED') AS freeboard_evaluated, count(*) FILTER (overflow_state <> 'NOT_DECLARED') AS overflow_declared, count(*) FILTER (d_depth IS NOT NULL) AS downstream_evaluated,
+count(*) FILTER (greatest(max_depth, d_depth) + loss_coef * abs(v * v - d_velocity * d_velocity) / (2 * 9.80665e0) > max_depth + 1e-12 AND d_depth IS NOT NULL) AS downstream_controlled
+FROM statuses s JOIN overflow_states USING (section_id) JOIN limits USING (section_id) JOIN full_state f USING (section_id)""")
 def hy14(spark, d):
     cap = _capacity(spark, d).select("section_id", "condition", "status")
-    return H.capacity_summary(cap.join(hy11(spark, d), "section_id").join(hy13(spark, d), "section_id"))
+    more = hy11(spark, d).join(hy12(spark, d).select("section_id", "control_status"), "section_id").join(hy13(spark, d), "section_id").join(feed(spark, d, "overflow_states"), "section_id")
+    return H.capacity_summary(cap.join(more, "section_id"))
 
 
 @query("hy15_rating_curve", """SELECT section_id, k AS step, round(d, 6) AS depth, round(d * (width + side * d) * pow(d * (width + side * d) / (width + 2 * d * sqrt(1 + side * side)), 2e0 / 3) * sqrt(slope) / rough, 6) AS discharge FROM (SELECT *, max_depth * k / 10 AS d FROM sections, (SELECT unnest(range(1, 11)) AS k))""")
