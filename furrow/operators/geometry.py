@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import expr as X
+from furrow.operators.order import summarise
 
 
 def segments(vertices: DataFrame, key: str | list[str]) -> DataFrame:
@@ -326,26 +331,103 @@ def polygon_measures(vertices: DataFrame) -> DataFrame:
     return ring.groupBy("feature_id").agg((area / 1e4).alias("area_ha"), F.sum("p").alias("perimeter"), F.countDistinct("part").alias("parts"), F.count_if(c("ring") > 0).alias("holes"))
 
 
-def oriented_extent(vertices: DataFrame, key: str = "feature_id", sectors: int = 16) -> DataFrame:
-    """Angle and width of the narrowest enclosing rectangle. Only points extreme in one of `sectors` directions or on
-    the hull between two such can be on the hull; those inside the polygon of extremes are dropped first, and the rest
-    give the directions: each pair's."""
-    import math
-
-    v = vertices.select(key, "x", "y").distinct()
-    dirs = [(math.cos(2 * math.pi * i / sectors), math.sin(2 * math.pi * i / sectors)) for i in range(sectors)]
-    ext = v.groupBy(key).agg(*[F.max_by(F.struct("x", "y"), F.struct(c("x") * a + c("y") * b, "x", "y")).alias(f"e{i}") for i, (a, b) in enumerate(dirs)])
-    # outside or on the boundary of the polygon of extremes: left of no edge strictly
-    out = F.lit(False)
-    for i in range(sectors):
-        p, q = c(f"e{i}"), c(f"e{(i + 1) % sectors}")
-        out = out | (X.cross(p["x"], p["y"], q["x"], q["y"], c("x"), c("y")) <= 1e-9) & (p != q)
-    rim = v.join(ext, key).withColumn("rim", out).filter("rim").select(key, "x", "y")
-    pair = rim.alias("a").join(rim.alias("b"), key).filter("a.x < b.x OR (a.x = b.x AND a.y < b.y)").select(key, F.atan2(F.expr("b.y - a.y"), F.expr("b.x - a.x")).alias("t")).distinct()
-    u, w = c("x") * F.cos("t") + c("y") * F.sin("t"), c("y") * F.cos("t") - c("x") * F.sin("t")
-    box = pair.join(rim, key).groupBy(key, "t").agg((F.max(u) - F.min(u)).alias("along"), (F.max(w) - F.min(w)).alias("across"))
-    best = box.groupBy(key).agg(F.min(F.struct(F.round(c("along") * c("across"), 6).alias("area"), F.least("along", "across").alias("width"), F.greatest("along", "across").alias("length"))).alias("b"))
-    return best.select(key, "b.area", "b.width", "b.length")
+def area_agreement(measures: DataFrame, reported: DataFrame, tol_percent: float) -> DataFrame:
+    """feature_id, computed and reported area (ha), difference in percent of the reported one, and status; a feature on one
+    side only is told."""
+    m = measures.select("feature_id", "area_ha").join(reported.select("feature_id", "reported_ha"), "feature_id", "full")
+    off = (c("area_ha") - c("reported_ha")) * 100 / F.nullif(c("reported_ha"), F.lit(0.0))
+    why = F.when(c("area_ha").isNull(), "NO_GEOMETRY").when(c("reported_ha").isNull(), "NOT_REPORTED").when(c("reported_ha") <= 0, "REPORTED_NOT_POSITIVE")
+    return m.withColumn("difference_percent", off).withColumn("area_status", why.when(F.abs("difference_percent") <= tol_percent, "AGREES").otherwise("DIFFERS"))
+
+
+def hull(xy: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points (n x 2), counter-clockwise from the lowest of the leftmost; without repeats and
+    without points on a side."""
+    xy = np.unique(xy, axis=0)
+    if len(xy) < 3:
+        return xy
+    turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    flat = 1e-13 * float(np.ptp(xy, axis=0).max()) ** 2  # what rounding makes of points on a side
+    out: list[np.ndarray] = []
+    for points in (xy, xy[::-1]):
+        side: list[np.ndarray] = []
+        for p in points:
+            while len(side) > 1 and turn(side[-2], side[-1], p) <= flat:
+                side.pop()
+            side.append(p)
+        out += side[:-1]
+    return np.array(out)
+
+
+def narrowest_box(corners: np.ndarray) -> tuple[float, float, float, float]:
+    """Of a hull: least area of a rectangle around it, its width, its length, and the angle of its long side (degrees, 0 to
+    180). The rectangle lies along a side of the hull; the corners farthest in each direction come from the order of the
+    sides' angles (calipers)."""
+    if len(corners) < 2:
+        return 0.0, 0.0, 0.0, 0.0
+    side = np.roll(corners, -1, axis=0) - corners
+    angle = np.unwrap(np.arctan2(side[:, 1], side[:, 0])) if len(corners) > 2 else np.arctan2(side[:, 1], side[:, 0])
+    if len(corners) == 2:
+        n = float(np.hypot(*side[0]))
+        return 0.0, 0.0, n, float(np.degrees(angle[0]) % 180)
+    u = side / np.hypot(side[:, 0], side[:, 1])[:, None]
+
+    def reach(turned: float, d: np.ndarray) -> np.ndarray:
+        # the farthest corner in direction d is where the sides' angles pass d's angle plus 90 degrees
+        at = np.searchsorted(angle, (angle + turned + np.pi / 2 - angle[0]) % (2 * np.pi) + angle[0] - 1e-12) % len(corners)
+        best = np.full(len(corners), -np.inf)
+        for k in (-1, 0, 1):
+            best = np.maximum(best, (corners[(at + k) % len(corners)] * d).sum(1))
+        return best
+
+    n = np.stack([-u[:, 1], u[:, 0]], 1)
+    along = reach(0.0, u) + reach(np.pi, -u)
+    across = reach(np.pi / 2, n) + reach(-np.pi / 2, -n)
+    area = np.round(along * across, 6)
+    k = int(np.lexsort((np.minimum(along, across), area))[0])
+    long_side = u[k] if along[k] >= across[k] else n[k]
+    return float(area[k]), float(min(along[k], across[k])), float(max(along[k], across[k])), float(np.degrees(np.arctan2(long_side[1], long_side[0])) % 180)
+
+
+def convex_hulls(vertices: DataFrame, key: str = "feature_id", parts: int = 64) -> DataFrame:
+    """key, x, y of the corners of each feature's convex hull. The hull of hulls is the hull, so tasks first reduce what they
+    hold, then `parts` groups of a feature are reduced, and what is left of these is one group a feature."""
+    kind = f"{key} {vertices.schema[key].dataType.simpleString()}, x double, y double"
+    v = vertices.select(key, c("x").cast("double").alias("x"), c("y").cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+
+    def reduce_table(table: pa.Table) -> pa.Table:
+        xy = hull(np.stack([table.column(n).to_numpy() for n in ("x", "y")], 1))
+        return pa.table({key: pa.repeat(table.column(key)[0], len(xy)), "x": xy[:, 0], "y": xy[:, 1]}, schema=pa.schema([table.schema.field(key), ("x", pa.float64()), ("y", pa.float64())]))
+
+    def reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).dictionary_encode()
+            own = ids.indices.to_numpy(zero_copy_only=False) if not ids.indices.null_count else ids.indices.fill_null(len(ids.dictionary)).to_numpy()
+            for k in np.unique(own):
+                yield from reduce_table(pa.Table.from_batches([b.filter(pa.array(own == k))])).to_batches()
+
+    small = v.mapInArrow(reduce_batches, kind)
+    again = small.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts))).groupBy(key, "part").applyInArrow(lambda t: reduce_table(t.select([key, "x", "y"])), kind)
+    return again.groupBy(key).applyInArrow(reduce_table, kind)
+
+
+def oriented_extent(vertices: DataFrame, key: str = "feature_id") -> DataFrame:
+    """area, width, length and axis_deg (direction of the long side, 0 to 180) of the narrowest rectangle around each
+    feature's points. Corners of hulls are all that is looked at."""
+    kind = f"{key} {vertices.schema[key].dataType.simpleString()}, area double, width double, length double, axis_deg double"
+
+    def boxed(table: pa.Table) -> pa.Table:
+        box = narrowest_box(hull(np.stack([table.column(n).to_numpy() for n in ("x", "y")], 1)))
+        return pa.table({key: table.column(key).slice(0, 1), **{n: [v] for n, v in zip(("area", "width", "length", "axis_deg"), box, strict=True)}})
+
+    return convex_hulls(vertices, key).groupBy(key).applyInArrow(boxed, kind)
+
+
+def projection_width(vertices: DataFrame, angle: Column, key: str = "feature_id") -> DataFrame:
+    """How wide each feature is along a direction (degrees; may depend on the row's columns)."""
+    t = F.radians(angle)
+    u = c("x") * F.cos(t) + c("y") * F.sin(t)
+    return vertices.groupBy(key).agg((F.max(u) - F.min(u)).alias("projection_width"))
 
 
 def filter_blocks(components: DataFrame, cell: float, spacing: float) -> DataFrame:
@@ -402,26 +484,56 @@ def clip_to_strips(rows: DataFrame, strip_edges: DataFrame, min_len: float) -> t
     return p, p.agg(F.count(F.lit(1)).alias("pieces"), F.sum("len").alias("total"), q.alias("q"), F.max("len").alias("max")).select("pieces", "total", c("q")[0].alias("p05"), c("q")[1].alias("p50"), c("q")[2].alias("p95"), "max").crossJoin(many)
 
 
-def infer_connections(a: DataFrame, b: DataFrame, max_gap: float = 100.0) -> DataFrame:
-    """Rows of two fields with the same id (row_id, x0, y0, x1, y1): the nearest of the four pairs of ends, if not farther
-    than max_gap; angle of the row to the connector from the offset h across it."""
-    m = a.select("row_id", *[c(k).alias(f"a_{k}") for k in ("x0", "y0", "x1", "y1")]).join(b.select("row_id", *[c(k).alias(f"b_{k}") for k in ("x0", "y0", "x1", "y1")]), "row_id")
-    four = F.array(*[F.struct(X.distance(c(f"a_x{i}"), c(f"a_y{i}"), c(f"b_x{j}"), c(f"b_y{j}")).alias("gap"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
-    m = m.withColumn("best", F.array_min(four)).filter(c("best.gap") <= max_gap)
-    at = lambda p, k, n: F.when(c(f"best.{k}") == 0, c(f"{p}_{n}0")).otherwise(c(f"{p}_{n}1"))
-    gx, gy = at("b", "j", "x") - at("a", "i", "x"), at("b", "j", "y") - at("a", "i", "y")
-    ux, uy = c("a_x1") - c("a_x0"), c("a_y1") - c("a_y0")
-    h = F.abs(gx * uy - gy * ux) / F.sqrt(ux * ux + uy * uy)
-    angle = F.degrees(F.asin(F.least(F.lit(1.0), h * 2 / F.nullif(c("best.gap"), F.lit(0.0)))))
-    return m.select("row_id", c("best.gap").alias("gap"), c("best.i").alias("a_end"), c("best.j").alias("b_end"), angle.alias("angle"))
-
-
-def connection_summary(df: DataFrame, speeds: list[float], turn_s: float) -> DataFrame:
-    """Per speed (km/h): pairs, five numbers of the gap, turns saved, net minutes of crossing instead of turning."""
-    s = df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(float(v),) for v in speeds], "speed double")))
-    q = F.percentile("gap", [0.0, 0.25, 0.5, 0.75, 1.0])
-    g = s.groupBy("speed").agg(F.count(F.lit(1)).alias("pairs"), q.alias("q"), (F.sum(F.lit(turn_s) - c("gap") / (c("speed") / 3.6)) / 60).alias("net_minutes"))
-    return g.select("speed", "pairs", *[c("q")[i].alias(f"gap_q{i}") for i in range(5)], "net_minutes")
+def infer_connections(
+    a: DataFrame, b: DataFrame, area_a: DataFrame | None = None, area_b: DataFrame | None = None, max_gap: float = 100.0, headland: float = 12.0, proximity: float = 15.5, cell: float = 50.0
+) -> DataFrame:
+    """Rows of two fields that share an id (row_id, line_id, x0, y0, x1, y1: ends of each line; several lines may share it):
+    of all pairs of lines and the four pairs of their ends the nearest, if not farther apart than max_gap. With the fields'
+    outlines (edges: polygon_id, x0, y0, x1, y1) it also takes that either end lies within `proximity` of the other field,
+    and that the connector lies within the union of both. angle: of the crossing, by the headlands on either side."""
+    from furrow.operators import nearest as N
+
+    ends = lambda df, p: df.select("row_id", c("line_id").alias(f"{p}_line"), X.distance(c("x0"), c("y0"), c("x1"), c("y1")).alias(f"{p}_length"), F.posexplode(F.array(*[F.struct(c(f"x{i}").alias("x"), c(f"y{i}").alias("y")) for i in (0, 1)])).alias(f"{p}_end", f"{p}_at"))
+    m = ends(a, "a").join(ends(b, "b"), "row_id")
+    gap = X.distance(c("a_at.x"), c("a_at.y"), c("b_at.x"), c("b_at.y"))
+    best = m.withColumn("gap", gap).groupBy("row_id").agg(F.min(F.struct("gap", "a_line", "b_line", "a_end", "b_end", "a_at", "b_at", "a_length", "b_length")).alias("m")).filter(c("m.gap") <= max_gap).select("row_id", "m.*")
+    if area_a is not None and area_b is not None:
+        best = best.checkpoint()
+        facing = lambda at, area: N.near_area(best.select(c("row_id").alias("point_id"), c(f"{at}.x").alias("x"), c(f"{at}.y").alias("y")), area, proximity, cell).withColumnRenamed("point_id", "row_id")
+        best = best.join(facing("a_at", area_b), "row_id", "left_semi").join(facing("b_at", area_a), "row_id", "left_semi")
+        connectors = best.select(c("row_id").alias("connector_id"), c("a_at.x").alias("x"), c("a_at.y").alias("y"), c("b_at.x").alias("sx"), c("b_at.y").alias("sy"))
+        both = area_a.select(F.concat(F.lit("a"), c("polygon_id").cast("string")).alias("polygon_id"), *N.ENDS).unionByName(area_b.select(F.concat(F.lit("b"), c("polygon_id").cast("string")).alias("polygon_id"), *N.ENDS))
+        best = best.join(N.uncovered(connectors, both, cell).withColumnRenamed("connector_id", "row_id"), "row_id", "left_anti")
+    angle = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(2 * headland) / F.greatest(c("gap"), F.lit(1e-9)))))
+    return best.select("row_id", "a_line", "b_line", "gap", "a_end", "b_end", "a_length", "b_length", angle.alias("angle"))
+
+
+#: The five numbers by which connections are summed up.
+FIVE = {"min": 0.0, "p05": 0.05, "p50": 0.5, "p95": 0.95, "max": 1.0}
+
+
+def connection_summary(df: DataFrame, turn_s: float, alert: float, values: tuple[str, ...] = ("gap", "angle", "grade")) -> DataFrame:
+    """One row: pairs, five numbers of each of the values (columns of df), connections whose grade is over the alert, the time
+    that turns would take, and the speed (km/h) at which crossing takes as long."""
+    n = F.count(F.lit(1))
+    aggs = [n.alias("pairs"), (2 * n).alias("segments"), F.coalesce(F.count_if(c("grade") > alert), F.lit(0)).alias("over_alert"), (n * turn_s).alias("turn_seconds"), F.coalesce(F.sum("gap"), F.lit(0.0)).alias("gap_total")]
+    out = summarise(df, [], aggs, {f"{v}_{k}": (v, p) for v in values for k, p in FIVE.items()})
+    return out.withColumn("break_even_kmh", F.try_divide(c("gap_total"), c("turn_seconds")) * 3.6)
+
+
+def speed_cases(df: DataFrame, speeds: list[float], turn_s: float) -> DataFrame:
+    """Per speed (km/h): minutes of crossing, net minutes against turning, and connections that gain."""
+    s = df.select("gap", F.explode(F.array(*[F.lit(float(v)) for v in speeds])).alias("speed"))
+    took = c("gap") / (c("speed") / 3.6)
+    return s.groupBy("speed").agg(F.count(F.lit(1)).alias("pairs"), (F.sum(took) / 60).alias("minutes"), (F.sum(F.lit(turn_s) - took) / 60).alias("net_minutes"), F.count_if(F.lit(turn_s) > took).alias("gaining"))
+
+
+def length_cases(df: DataFrame, lengths: list[float]) -> DataFrame:
+    """Per minimum length of both lines: pairs, segments, and kilometres of lines and of gaps; zeros where none is left."""
+    every = df.select("a_length", "b_length", "gap", F.explode(F.array(*[F.lit(float(v)) for v in lengths])).alias("min_length"))
+    kept = (c("a_length") >= c("min_length")) & (c("b_length") >= c("min_length"))
+    km = lambda x: F.sum(F.when(kept, x).otherwise(0.0)) / 1000
+    return every.groupBy("min_length").agg(F.count_if(kept).alias("pairs"), (2 * F.count_if(kept)).alias("segments"), km(c("a_length") + c("b_length")).alias("paired_km"), km(c("gap")).alias("gap_km"))
 
 
 def rank_trials(df: DataFrame) -> DataFrame:

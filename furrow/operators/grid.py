@@ -318,15 +318,38 @@ def contour_summary(segments: DataFrame, mask: DataFrame) -> DataFrame:
     return m.agg(F.count(F.lit(1)).alias("segments"), F.count_if("inside").alias("inside"), F.countDistinct("level").alias("levels"), F.min("level").alias("lowest"), F.max("level").alias("highest"), F.sum("len").alias("length"), F.sum(F.when(c("inside"), c("len"))).alias("length_inside"))
 
 
-def decimate_mesh(cells: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
-    """Vertices at every step-th row and column that are valid; quads between them whose source cells are all valid,
-    and whether they are kept."""
-    verts = cells.filter((c("row") % step == 0) & (c("col") % step == 0) & c("v").isNotNull())
-    # a source cell belongs to the blocks that it lies in, edges shared
-    one = lambda a: F.array_distinct(F.array(F.floor(c(a) / step), F.when((c(a) % step == 0) & (c(a) > 0), F.floor(c(a) / step) - 1).otherwise(F.floor(c(a) / step))))
-    block = cells.withColumn("br", F.explode(one("row"))).withColumn("bc", F.explode(one("col")))
-    quads = block.groupBy("grid_id", "br", "bc").agg(F.count(F.lit(1)).alias("n"), F.bool_and(c("v").isNotNull()).alias("valid")).filter(c("n") == (step + 1) ** 2)
-    return verts, quads
+def decimate_mesh(cells: DataFrame, max_axis: int = 129) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of each grid at most max_axis evenly spaced rows and columns, the first and the last among them: vertices (valid
+    sampled cells); quads between neighbouring samples, kept if all their source cells are there and valid; and a row a
+    grid with the sampled size, vertices, triangles and quads left out.
+
+    A source cell meets the blocks that hold it by its row's and its column's own sample, so no cell is compared with
+    blocks that it isn't in."""
+    if not 3 <= max_axis <= 257:
+        raise ValueError("mesh dimension must be between 3 and 257")
+    size = cells.groupBy("grid_id").agg((F.max("row") + 1).cast("int").alias("rows"), (F.max("col") + 1).cast("int").alias("cols"))
+    size = size.withColumn("m", F.least(c("rows"), F.lit(max_axis))).withColumn("n", F.least(c("cols"), F.lit(max_axis)))
+    # the i-th of m samples over 0..rows - 1, rounded down
+    sample_at = lambda i, m, last: F.when(m > 1, F.floor(i * (last - 1) / (m - 1) + 1e-9)).otherwise(0).cast("int")
+    axis = lambda count, last, name: size.select("grid_id", count.alias("m"), last.alias("last"), F.explode(F.sequence(F.lit(0), count - 1)).alias("i")).select("grid_id", "i", sample_at(c("i"), c("m"), c("last")).alias(name))
+    rows, cols = axis(c("m"), c("rows"), "row"), axis(c("n"), c("cols"), "col")
+    verts = cells.filter(c("v").isNotNull()).join(rows.withColumnRenamed("i", "mr"), ["grid_id", "row"]).join(cols.withColumnRenamed("i", "mc"), ["grid_id", "col"]).select("grid_id", "mr", "mc", "row", "col", "v")
+
+    # the blocks of a row: that between the samples around it; a sampled row ends one block and begins the next
+    def blocks(x: str, m: Column, last: Column) -> Column:
+        i = F.floor(c(x) * (m - 1) / F.greatest(last - 1, F.lit(1))).cast("int")
+        held = lambda k: (k >= 0) & (k <= m - 2) & (sample_at(k, m, last) <= c(x)) & (c(x) <= sample_at(k + 1, m, last))
+        return F.filter(F.sequence(i - 2, i + 2), held)
+
+    own = cells.join(size, "grid_id").withColumn("br", F.explode(blocks("row", c("m"), c("rows")))).withColumn("bc", F.explode(blocks("col", c("n"), c("cols"))))
+    span = lambda k, m, last: sample_at(k + 1, m, last) - sample_at(k, m, last) + 1
+    need = span(c("br"), c("m"), c("rows")) * span(c("bc"), c("n"), c("cols"))
+    quads = own.groupBy("grid_id", "br", "bc").agg(F.count_if(c("v").isNotNull()).alias("valid"), F.first(need).alias("cells"))
+    quads = quads.withColumn("kept", c("valid") == c("cells"))
+    all_quads = size.select("grid_id", c("m").alias("sampled_rows"), c("n").alias("sampled_cols"), ((c("m") - 1).cast("bigint") * (c("n") - 1)).alias("quads"))
+    kept = quads.groupBy("grid_id").agg(F.count_if("kept").alias("kept"))
+    total = all_quads.join(kept, "grid_id", "left").join(verts.groupBy("grid_id").agg(F.count(F.lit(1)).alias("vertices")), "grid_id", "left").fillna(0, ["kept", "vertices"])
+    return verts, quads, total.select("grid_id", "sampled_rows", "sampled_cols", "vertices", (2 * c("kept")).alias("triangles"), (c("quads") - c("kept")).alias("omitted_quads"))
 
 
 def grid_components(mask: DataFrame, work: str | None = None) -> DataFrame:

@@ -87,5 +87,40 @@ def blocked(connectors: DataFrame, edges: DataFrame, cell: float, key: str = "po
     return cut.unionByName(held).distinct()
 
 
+def on_edges(points: DataFrame, edges: DataFrame, reach: float, cell: float, key: str = "polygon_id") -> DataFrame:
+    """point_id of the points within reach of an edge."""
+    from furrow.operators.geometry import segments_within
+
+    seq = F.lit(0).alias("seq")
+    a = points.select(c("point_id").alias("id"), seq, c("x").alias("x0"), c("y").alias("y0"), c("x").alias("x1"), c("y").alias("y1"))
+    b = edges.select(c(key).alias("id"), F.monotonically_increasing_id().alias("seq"), *ENDS)
+    return segments_within(a, b, reach, cell).select(c("a_id").alias("point_id")).distinct()
+
+
+def near_area(points: DataFrame, edges: DataFrame, reach: float, cell: float, key: str = "polygon_id") -> DataFrame:
+    """point_id of the points that lie in a polygon or within reach of one."""
+    return inside(points, edges, cell, key).select("point_id").union(on_edges(points, edges, reach, cell, key)).distinct()
+
+
+def uncovered(connectors: DataFrame, edges: DataFrame, cell: float, key: str = "polygon_id", tol: float = 1e-7) -> DataFrame:
+    """connector_id of the connectors (connector_id, x, y, sx, sy) that leave the union of the polygons. A connector is cut
+    where it crosses an edge of any polygon; it is covered if the middle of each piece lies in a polygon or on an edge."""
+    from furrow.operators.geometry import _cells
+
+    a = _cells(connectors.select("connector_id", c("x").alias("a_x0"), c("y").alias("a_y0"), c("sx").alias("a_x1"), c("sy").alias("a_y1")), F.lit(0.0), cell, "a_")
+    b = _cells(edges.select(*[c(n).alias(f"b_{n}") for n in ENDS]), F.lit(1e-6), cell, "b_")
+    dx, dy, ex, ey = c("a_x1") - c("a_x0"), c("a_y1") - c("a_y0"), c("b_x1") - c("b_x0"), c("b_y1") - c("b_y0")
+    den, fx, fy = dx * ey - dy * ex, c("b_x0") - c("a_x0"), c("b_y0") - c("a_y0")
+    t, u = F.try_divide(fx * ey - fy * ex, den), F.try_divide(fx * dy - fy * dx, den)
+    cuts = a.join(b, ["__cx", "__cy"]).select("connector_id", t.alias("t"), u.alias("u")).filter("t > 0 AND t < 1 AND u >= -1e-9 AND u <= 1 + 1e-9")
+    cuts = cuts.groupBy("connector_id").agg(F.collect_set("t").alias("ts"))  # as many as a connector crosses edges
+    whole = connectors.join(cuts, "connector_id", "left").withColumn("ts", F.sort_array(F.array_union(F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(0.0), F.lit(1.0)))))
+    piece = whole.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("ts") - 1))).withColumn("t0", F.get("ts", c("k") - 1)).withColumn("t1", F.get("ts", c("k")))
+    piece = piece.filter((c("t1") - c("t0")) * X.distance(c("x"), c("y"), c("sx"), c("sy")) > tol)
+    middle = (c("t0") + c("t1")) / 2
+    points = piece.select(F.struct("connector_id", "k").alias("point_id"), (c("x") + (c("sx") - c("x")) * middle).alias("x"), (c("y") + (c("sy") - c("y")) * middle).alias("y")).checkpoint()
+    return points.join(near_area(points, edges, tol, cell, key), "point_id", "left_anti").select("point_id.connector_id").distinct()
+
+
 def reasons(*pairs: tuple[Column, str]) -> Column:
     return F.array_join(F.array_compact(F.array(*[F.when(cond, code) for cond, code in pairs])), ",")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow.operators import geometry as G
+from furrow.operators import nearest as N
 from furrow.plans.feeds import FEEDS, feed, oracle
 
 FEEDS["chains"] = """SELECT line_id, seq, x, y, z, coalesce(sum(step) OVER (PARTITION BY line_id ORDER BY seq), 0) AS chainage FROM (SELECT *, sqrt(power(x - lag(x) OVER (PARTITION BY line_id ORDER BY seq), 2) + power(y - lag(y) OVER (PARTITION BY line_id ORDER BY seq), 2)) AS step FROM steps) q"""
@@ -29,6 +30,14 @@ FEEDS["cut_rows"] = """SELECT line_id AS row_id, xa + 5e-1 AS x0, y AS y0, xb +
 FEEDS["rows_a"] = """SELECT p_partkey AS row_id, 0e0 AS x0, p_partkey * 1.5e0 AS y0, 1e2 AS x1, p_partkey * 1.5e0 + p_size AS y1 FROM part"""
 FEEDS["rows_b"] = """SELECT p_partkey AS row_id, 1.1e2 + p_size AS x0, p_partkey * 1.5e0 + 3e0 AS y0, 2.6e2 + p_size * 2 AS x1, p_partkey * 1.5e0 AS y1 FROM part WHERE p_partkey % 4 <> 0"""
 FEEDS["links_ge"] = """SELECT a.row_id, sqrt(power(b.x0 - a.x1, 2) + power(b.y0 - a.y1, 2)) AS gap, a.*, b.x0 AS bx, b.y0 AS by_ FROM rows_a a JOIN rows_b b ON a.row_id = b.row_id"""
+# rows of some ids in two lines; fields that touch, that leave a lane of two between them, and that lie too far apart, in turn
+FEEDS["lines_a"] = """SELECT row_id, row_id * 10 AS line_id, x0, y0, x1, y1 FROM rows_a UNION ALL SELECT row_id, row_id * 10 + 1, x0 + 5e0, y0 + 1e0, x1 - 4e0, y1 + 1e0 FROM rows_a WHERE row_id % 5 = 0"""
+FEEDS["lines_b"] = """SELECT row_id, row_id * 10 AS line_id, x0, y0, x1, y1 FROM rows_b UNION ALL SELECT row_id, row_id * 10 + 1, x0 - 5e-1, y0, x1 - 9e1, y1 FROM rows_b WHERE row_id % 7 = 0"""
+FEEDS["area_blocks"] = """SELECT DISTINCT CAST(floor(p_partkey * 1.5e0 / 6e1) AS BIGINT) + n_nationkey AS b FROM part CROSS JOIN nation WHERE n_nationkey < 2"""
+FEEDS["areas"] = """SELECT b * 10 AS polygon_id, 'a' AS side, -5e0 AS lo_x, b * 6e1 - 1e0 AS lo_y, CASE b % 3 WHEN 0 THEN 1.153e2 WHEN 1 THEN 1.123e2 ELSE 1.1e2 END AS hi_x, b * 6e1 + 5.93e1 AS hi_y FROM area_blocks
+UNION ALL SELECT b * 10 + 1, 'b', CASE b % 3 WHEN 0 THEN 1.153e2 WHEN 1 THEN 1.143e2 ELSE 1.177e2 END, b * 6e1 - 1e0, 4e2, b * 6e1 + 5.93e1 FROM area_blocks"""
+FEEDS["area_rings"] = """SELECT polygon_id, side, 1 AS ring, 1 AS seq, lo_x AS x, lo_y AS y FROM areas UNION ALL SELECT polygon_id, side, 1, 2, hi_x, lo_y FROM areas UNION ALL SELECT polygon_id, side, 1, 3, hi_x, hi_y FROM areas UNION ALL SELECT polygon_id, side, 1, 4, lo_x, hi_y FROM areas UNION ALL SELECT polygon_id, side, 1, 5, lo_x, lo_y FROM areas"""
+FEEDS["reported_areas"] = """SELECT CASE WHEN p_partkey % 29 = 0 THEN -p_partkey ELSE p_partkey END AS feature_id, CASE WHEN p_partkey % 11 = 0 THEN 0e0 ELSE p_size * p_retailprice / 1e4 * (1 + (p_partkey % 9 - 4) * 8e-3) END AS reported_ha FROM part WHERE p_partkey % 13 <> 0"""
 FEEDS["trials_ge"] = """SELECT p_brand AS pair_id, p_partkey AS trial, (p_partkey % 9 - 4) * 1e0 AS delta, (p_partkey % 5) * 3e-1 + p_partkey * 1e-6 AS phase, p_size AS pairs, p_retailprice AS paired_m, (p_partkey % 13) * 1e0 AS median_gap FROM part"""
 FEEDS["sides"] = """SELECT s_suppkey AS id, 1 AS seq, s_suppkey % 5 AS field, s_suppkey * 3e1 AS x0, 0e0 AS y0, s_suppkey * 3e1 + 2.5e1 AS x1, (s_suppkey % 3) * 1e0 AS y1 FROM supplier"""
 FEEDS["sides_b"] = """SELECT s_suppkey AS id, 1 AS seq, s_suppkey % 4 AS field, s_suppkey * 3e1 AS x0, 8e0 AS y0, s_suppkey * 3e1 + 2.5e1 AS x1, 4e0 + (s_suppkey % 6) AS y1 FROM supplier"""
@@ -213,10 +222,23 @@ def ge20(spark, d):
     return rounded(rounded(G.polygon_measures(feed(spark, d, "rings").withColumnRenamed("part_no", "part")), ["area_ha"], 8), ["perimeter"])
 
 
-@query("ge21_oriented_extent", """WITH u AS (SELECT DISTINCT feature_id, x, y FROM parcels), t AS (SELECT DISTINCT a.feature_id, atan2(b.y - a.y, b.x - a.x) AS t FROM u a JOIN u b ON a.feature_id = b.feature_id AND (a.x < b.x OR (a.x = b.x AND a.y < b.y))), b AS (SELECT t.feature_id, t.t, max(x * cos(t.t) + y * sin(t.t)) - min(x * cos(t.t) + y * sin(t.t)) AS l, max(y * cos(t.t) - x * sin(t.t)) - min(y * cos(t.t) - x * sin(t.t)) AS w FROM t JOIN u ON u.feature_id = t.feature_id GROUP BY t.feature_id, t.t)
-SELECT feature_id, min(round(l * w, 6)) AS area FROM b GROUP BY feature_id""")
+@query("ge20_area_agreement", """WITH m AS (SELECT p_partkey AS feature_id, (p_size * 10 * p_retailprice / 10 - CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END) / 1e4 AS area_ha FROM part), j AS (SELECT *, (area_ha - reported_ha) * 100 / nullif(reported_ha, 0) AS off FROM m FULL JOIN reported_areas USING (feature_id))
+SELECT feature_id, round(area_ha, 8) AS area_ha, round(reported_ha, 8) AS reported_ha, round(off, 5) AS difference_percent, CASE WHEN area_ha IS NULL THEN 'NO_GEOMETRY' WHEN reported_ha IS NULL THEN 'NOT_REPORTED' WHEN reported_ha <= 0 THEN 'REPORTED_NOT_POSITIVE' WHEN abs(off) <= 2.00001 THEN 'AGREES' ELSE 'DIFFERS' END AS area_status FROM j""")
+def ge20a(spark, d):
+    out = G.area_agreement(G.polygon_measures(feed(spark, d, "rings").withColumnRenamed("part_no", "part")), feed(spark, d, "reported_areas"), 2.00001)
+    return rounded(rounded(out, ["area_ha", "reported_ha"], 8), ["difference_percent"], 5)
+
+
+# directions of all pairs of vertices, which contain those of the hull's sides
+_BOX = """u AS (SELECT DISTINCT feature_id, x, y FROM parcels), t AS (SELECT DISTINCT a.feature_id, atan2(b.y - a.y, b.x - a.x) AS t FROM u a JOIN u b ON a.feature_id = b.feature_id AND (a.x < b.x OR (a.x = b.x AND a.y < b.y))), b AS (SELECT t.feature_id, t.t, max(x * cos(t.t) + y * sin(t.t)) - min(x * cos(t.t) + y * sin(t.t)) AS l, max(y * cos(t.t) - x * sin(t.t)) - min(y * cos(t.t) - x * sin(t.t)) AS w FROM t JOIN u ON u.feature_id = t.feature_id GROUP BY t.feature_id, t.t),
+r AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY round(l * w, 6), round(least(l, w), 6)) AS rn, CASE WHEN l >= w THEN degrees(t) ELSE degrees(t) + 90 END AS deg FROM b)"""
+
+
+@query("ge21_oriented_extent", f"WITH {_BOX} SELECT feature_id, round(l * w, 5) AS area, round(least(l, w), 5) AS width, round(greatest(l, w), 5) AS length, round(deg - 180 * floor(deg / 180), 4) AS axis_deg, round(p, 5) AS projection_width FROM r JOIN (SELECT feature_id, max(x * cos(radians(3e1)) + y * sin(radians(3e1))) - min(x * cos(radians(3e1)) + y * sin(radians(3e1))) AS p FROM parcels GROUP BY feature_id) q USING (feature_id) WHERE rn = 1")
 def ge21(spark, d):
-    return G.oriented_extent(feed(spark, d, "parcels")).select("feature_id", "area")
+    v = feed(spark, d, "parcels")
+    out = G.oriented_extent(v).join(G.projection_width(v, F.lit(30.0)), "feature_id")
+    return rounded(rounded(out, ["area", "width", "length", "projection_width"], 5), ["axis_deg"], 4)
 
 
 @query("ge22_filter_blocks", """SELECT field, component, row_number() OVER (PARTITION BY field ORDER BY area DESC, component) AS number, concat_ws(',', CASE WHEN area < 9 THEN 'AREA_BELOW_NINE_CELLS' END, CASE WHEN width < 2 THEN 'WIDTH_BELOW_MINIMUM' END) AS reasons, NOT (area < 9 OR width < 2) AS kept FROM (SELECT p_brand AS field, p_partkey AS component, p_size % 30 AS area, p_partkey % 5 AS width FROM part)""")
@@ -238,15 +260,45 @@ def ge24(spark, d):
     return out.select("pieces", R("total", 3).alias("total"), R("max", 5).alias("max"))
 
 
-@query("ge25_connections", """SELECT row_id, round(gap, 6) AS gap, 1 AS a_end, 0 AS b_end, round(degrees(asin(least(1, 2 * abs((bx - x1) * (y1 - y0) - (by_ - y1) * (x1 - x0)) / sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) / gap))), 6) AS angle FROM (SELECT a.*, b.x0 AS bx, b.y0 AS by_, sqrt(power(b.x0 - a.x1, 2) + power(b.y0 - a.y1, 2)) AS gap FROM rows_a a JOIN rows_b b ON a.row_id = b.row_id) WHERE gap <= 45.00001""")
+# boxes of a field clip a connector to stretches of its length, and the stretches of both fields are merged
+_LINKS = """pr AS (SELECT a.row_id, a.line_id AS a_line, b.line_id AS b_line, i AS a_end, j AS b_end, CASE i WHEN 0 THEN a.x0 ELSE a.x1 END AS ax, CASE i WHEN 0 THEN a.y0 ELSE a.y1 END AS ay, CASE j WHEN 0 THEN b.x0 ELSE b.x1 END AS bx, CASE j WHEN 0 THEN b.y0 ELSE b.y1 END AS by_, sqrt(power(a.x1 - a.x0, 2) + power(a.y1 - a.y0, 2)) AS a_length, sqrt(power(b.x1 - b.x0, 2) + power(b.y1 - b.y0, 2)) AS b_length FROM lines_a a JOIN lines_b b USING (row_id), (VALUES (0), (1)) p(i), (VALUES (0), (1)) q(j)),
+g AS (SELECT *, sqrt(power(ax - bx, 2) + power(ay - by_, 2)) AS gap FROM pr), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY gap, a_line, b_line, a_end, b_end) AS rn FROM g) WHERE rn = 1 AND gap <= 45.00001),
+d AS (SELECT n.row_id, min(CASE WHEN side = 'b' THEN sqrt(power(greatest(lo_x - ax, 0, ax - hi_x), 2) + power(greatest(lo_y - ay, 0, ay - hi_y), 2)) END) AS da, min(CASE WHEN side = 'a' THEN sqrt(power(greatest(lo_x - bx, 0, bx - hi_x), 2) + power(greatest(lo_y - by_, 0, by_ - hi_y), 2)) END) AS db FROM n, areas GROUP BY n.row_id),
+cl AS (SELECT row_id, greatest(0, CASE WHEN bx <> ax THEN least((lo_x - ax) / (bx - ax), (hi_x - ax) / (bx - ax)) ELSE 0 END, CASE WHEN by_ <> ay THEN least((lo_y - ay) / (by_ - ay), (hi_y - ay) / (by_ - ay)) ELSE 0 END) AS t0, least(1, CASE WHEN bx <> ax THEN greatest((lo_x - ax) / (bx - ax), (hi_x - ax) / (bx - ax)) ELSE 1 END, CASE WHEN by_ <> ay THEN greatest((lo_y - ay) / (by_ - ay), (hi_y - ay) / (by_ - ay)) ELSE 1 END) AS t1 FROM n, areas WHERE (bx <> ax OR ax BETWEEN lo_x AND hi_x) AND (by_ <> ay OR ay BETWEEN lo_y AND hi_y)),
+st AS (SELECT *, coalesce(max(t1) OVER (PARTITION BY row_id ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM cl WHERE t0 <= t1), cov AS (SELECT row_id, max(t0 - so_far) <= 1e-9 AND max(t1) >= 1 - 1e-9 AS whole FROM st GROUP BY row_id),
+con AS (SELECT n.*, degrees(asin(least(1, 24 / gap))) AS angle, (row_id % 17) * 5e-1 AS grade FROM n JOIN d USING (row_id) JOIN cov USING (row_id) WHERE da <= 15.5 AND db <= 15.5 AND whole)"""
+
+
+def _connections(spark, d):
+    area = lambda side: F.col("side") == side
+    rings = feed(spark, d, "area_rings")
+    edges = lambda side: N.ring_edges(rings.filter(area(side)).drop("side"))
+    return G.infer_connections(feed(spark, d, "lines_a"), feed(spark, d, "lines_b"), edges("a"), edges("b"), 45.00001)
+
+
+@query("ge25_connections", f"WITH {_LINKS} SELECT row_id, a_line, b_line, round(gap, 6) AS gap, a_end, b_end, round(a_length, 6) AS a_length, round(b_length, 6) AS b_length, round(angle, 6) AS angle FROM con")
 def ge25(spark, d):
-    return rounded(G.infer_connections(feed(spark, d, "rows_a"), feed(spark, d, "rows_b"), 45.00001), ["gap", "angle"])
+    return rounded(_connections(spark, d), ["gap", "angle", "a_length", "b_length"])
+
 
+_FIVE = ", ".join(f"round(quantile_cont({v}, {p}), 5) AS {v}_{k}" for v in ("gap", "angle", "grade") for k, p in G.FIVE.items())
 
-@query("ge26_connection_summary", """SELECT speed, count(*) AS pairs, round(quantile_cont(gap, 0.0), 6) AS gap_q0, round(quantile_cont(gap, 0.25), 6) AS gap_q1, round(quantile_cont(gap, 0.5), 6) AS gap_q2, round(quantile_cont(gap, 0.75), 6) AS gap_q3, round(quantile_cont(gap, 1.0), 6) AS gap_q4, round(sum(20 - gap / (speed / 3.6e0)) / 60, 5) AS net_minutes FROM (SELECT sqrt(power(b.x0 - a.x1, 2) + power(b.y0 - a.y1, 2)) AS gap FROM rows_a a JOIN rows_b b ON a.row_id = b.row_id), (VALUES (4e0), (6e0), (8e0)) s(speed) WHERE gap <= 45.00001 GROUP BY speed""")
+
+@query("ge26_connection_summary", f"WITH {_LINKS} SELECT count(*) AS pairs, 2 * count(*) AS segments, count(*) FILTER (grade > 5) AS over_alert, 2e1 * count(*) AS turn_seconds, round(coalesce(sum(gap), 0), 4) AS gap_total, round(coalesce(sum(gap), 0) / nullif(2e1 * count(*), 0) * 3.6e0, 6) AS break_even_kmh, {_FIVE} FROM con")
 def ge26(spark, d):
-    con = G.infer_connections(feed(spark, d, "rows_a"), feed(spark, d, "rows_b"), 45.00001)
-    return rounded(rounded(G.connection_summary(con, [4.0, 6.0, 8.0], 20.0), [f"gap_q{i}" for i in range(5)]), ["net_minutes"], 5)
+    con = _connections(spark, d).withColumn("grade", F.col("row_id") % 17 * 0.5)
+    out = rounded(G.connection_summary(con, 20.0, 5.0), [f"{v}_{k}" for v in ("gap", "angle", "grade") for k in G.FIVE], 5)
+    return rounded(rounded(out, ["gap_total"], 4), ["break_even_kmh"])
+
+
+@query("ge26_speed_cases", f"WITH {_LINKS} SELECT speed, count(*) AS pairs, round(sum(gap / (speed / 3.6e0)) / 60, 5) AS minutes, round(sum(20 - gap / (speed / 3.6e0)) / 60, 5) AS net_minutes, count(*) FILTER (20 > gap / (speed / 3.6e0)) AS gaining FROM con, (VALUES (4e0), (6e0), (8e0)) s(speed) GROUP BY speed")
+def ge26s(spark, d):
+    return rounded(G.speed_cases(_connections(spark, d), [4.0, 6.0, 8.0], 20.0), ["minutes", "net_minutes"], 5)
+
+
+@query("ge26_length_cases", f"WITH {_LINKS} SELECT min_length, count(*) FILTER (least(a_length, b_length) >= min_length) AS pairs, 2 * count(*) FILTER (least(a_length, b_length) >= min_length) AS segments, round(coalesce(sum(a_length + b_length) FILTER (least(a_length, b_length) >= min_length), 0) / 1e3, 6) AS paired_km, round(coalesce(sum(gap) FILTER (least(a_length, b_length) >= min_length), 0) / 1e3, 6) AS gap_km FROM con, (VALUES (0e0), (1.02e2), (1.6e2), (9e2)) s(min_length) GROUP BY min_length")
+def ge26l(spark, d):
+    return rounded(G.length_cases(_connections(spark, d), [0.0, 102.0, 160.0, 900.0]), ["paired_km", "gap_km"])
 
 
 @query("ge27_rank_trials", """SELECT trial, row_number() OVER (PARTITION BY pair_id ORDER BY pairs DESC, paired_m DESC, median_gap, abs(delta), phase, delta) AS rank FROM trials_ge""")

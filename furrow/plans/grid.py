@@ -242,11 +242,13 @@ def gr23(spark, d):
     return rounded(rounded(out, ["lowest", "highest"]), ["length", "length_inside"], 4)
 
 
-@query("gr24_decimate_mesh", """SELECT (SELECT count(*) FROM cells WHERE row % 5 = 0 AND col % 5 = 0 AND v IS NOT NULL) AS vertices, count(*) FILTER (n = 36 AND bad = 0) AS quads, count(*) FILTER (n = 36 AND bad > 0) AS omitted FROM (SELECT a.row, a.col, count(*) AS n, count(*) FILTER (b.v IS NULL) AS bad FROM cells a JOIN cells b ON b.row BETWEEN a.row AND a.row + 5 AND b.col BETWEEN a.col AND a.col + 5 WHERE a.row % 5 = 0 AND a.col % 5 = 0 GROUP BY a.row, a.col)""")
+@query("gr24_decimate_mesh", """WITH s AS (SELECT grid_id, max(row) + 1 AS nr, max(col) + 1 AS nc, least(max(row) + 1, 12) AS m, least(max(col) + 1, 12) AS n FROM cells GROUP BY grid_id),
+r AS (SELECT grid_id, i * (nr - 1) // (m - 1) AS lo, (i + 1) * (nr - 1) // (m - 1) AS hi FROM s, LATERAL (SELECT unnest(range(0, m - 1)) AS i)), c AS (SELECT grid_id, i * (nc - 1) // (n - 1) AS lo, (i + 1) * (nc - 1) // (n - 1) AS hi FROM s, LATERAL (SELECT unnest(range(0, n - 1)) AS i)),
+q AS (SELECT r.grid_id, r.lo, c.lo AS k, (r.hi - r.lo + 1) * (c.hi - c.lo + 1) AS need, count(v) AS n FROM r JOIN c USING (grid_id) LEFT JOIN cells x ON x.grid_id = r.grid_id AND x.row BETWEEN r.lo AND r.hi AND x.col BETWEEN c.lo AND c.hi GROUP BY ALL),
+v AS (SELECT count(*) AS n FROM cells x, s WHERE x.grid_id = s.grid_id AND v IS NOT NULL AND row IN (SELECT i * (nr - 1) // (m - 1) FROM (SELECT unnest(range(0, 12)) AS i) WHERE i < m) AND col IN (SELECT i * (nc - 1) // (n - 1) FROM (SELECT unnest(range(0, 12)) AS i) WHERE i < s.n))
+SELECT s.grid_id, m AS sampled_rows, s.n AS sampled_cols, v.n AS vertices, 2 * count(*) FILTER (need = q.n) AS triangles, count(*) FILTER (need > q.n) AS omitted_quads FROM s JOIN q USING (grid_id), v GROUP BY s.grid_id, m, s.n, v.n""")
 def gr24(spark, d):
-    verts, quads = G.decimate_mesh(feed(spark, d, "cells"), 5)
-    q = quads.agg(F.count_if("valid").alias("quads"), F.count_if(~F.col("valid")).alias("omitted"))
-    return verts.agg(F.count(F.lit(1)).alias("vertices")).crossJoin(q)
+    return G.decimate_mesh(feed(spark, d, "cells"), 12)[2]
 
 
 @query("gr25_grid_components", """WITH RECURSIVE k AS (SELECT field, row, col, row * 100 + col AS id FROM field_mask WHERE (row + col) % 7 <> 0 OR field LIKE 'F2%'), w AS (SELECT field, id, id AS seen, row, col FROM k UNION SELECT w.field, w.id, k.id, k.row, k.col FROM w JOIN k ON k.field = w.field AND abs(k.row - w.row) + abs(k.col - w.col) = 1)
