@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,41 +31,46 @@ def query(name, sql=None):
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new folder in the folder that driver and executors share."""
+    """A new folder in the folder that driver and executors share; one of the driver's own only where these are one process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         import tempfile
 
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="furrow-")
         spark.sparkContext.setCheckpointDir(at)
     return f"{at.rstrip('/')}/furrow/{kind}-{uuid.uuid4().hex}"
 
 
-def run_stream(stream: DataFrame, kind: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, into a table of the shared folder, and read that back."""
-    spark = stream.sparkSession
-    out = scratch(spark, kind)
-    q = stream.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/table")
+def run_stream(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], kind: str, done: list | None = None) -> DataFrame:
+    """Run a stream (build makes it of its source) over parts that arrive one after another, into a table of the shared
+    folder, and read that back. Each part is written by all its tasks; the stream then takes it, goes to rest, and goes on
+    from its checkpoint with the next. done: gets the progress of each run's last batches."""
+    spark, at = parts[0].sparkSession, scratch(parts[0].sparkSession, kind)
+    for part in parts:
+        part.write.mode("append").parquet(f"{at}/source")
+        stream = build(spark.readStream.schema(parts[0].schema).parquet(f"{at}/source"))
+        q = stream.writeStream.format("parquet").option("path", f"{at}/table").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        if done is not None:
+            done.append(q.recentProgress)
+    return spark.read.schema(stream.schema).parquet(f"{at}/table")
 
 
-def as_stream(df: DataFrame, kind: str, by: str, last: list[DataFrame] | None = None) -> DataFrame:
-    """A table as a stream of files in the order of a column: two halves, and then what comes last. Files are told apart
-    by when they were written, so each part is written on its own."""
-    at = scratch(df.sparkSession, kind)
-    half = df.agg(F.percentile_approx(c(by).cast("timestamp").cast("double") if dict(df.dtypes)[by] == "timestamp" else c(by), 0.5).alias("h")).collect()[0]["h"]
-    key = c(by).cast("double") if dict(df.dtypes)[by] == "timestamp" else c(by)
-    for part in [df.filter(key <= half), df.filter(key > half), *(last or [])]:
-        part.coalesce(1).write.mode("append").parquet(at)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+def halves(df: DataFrame, by: str) -> list[DataFrame]:
+    """The rows up to about the median of a column, and the others."""
+    key = c(by).cast("double")
+    half = df.agg(F.percentile_approx(key, 0.5).alias("h")).collect()[0]["h"]
+    return [df.filter(key <= half), df.filter(key > half)]
 
 
-def _gauges(spark, d, kind):
-    """The gauges' records as a stream, and two records far ahead, so that the watermark passes the last of them."""
+def _gauges(spark, d):
+    """The gauges' records in two parts, and two records far ahead, so that the watermark passes the last of them."""
     df = feed(spark, d, "gauges").select("gauge_id", c("ts").cast("timestamp").alias("ts"), "rain_mm")
     ahead = [spark.sql(f"SELECT CAST(-1 AS BIGINT) AS gauge_id, TIMESTAMP '{y}-01-01 00:00:00' AS ts, 0e0 AS rain_mm") for y in (2100, 2101)]
-    return as_stream(df, kind, "ts", last=ahead)
+    return [*halves(df, "ts"), *ahead]
 
 
 @query("src1_features", """SELECT l_orderkey AS feature_id, 0 AS part, 0 AS ring, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS seq, l_quantity AS x, l_linenumber * 1e0 AS y, NULL::DOUBLE AS z FROM lineitem""")
@@ -125,27 +131,43 @@ def snk3(spark, d):
     return got.select("feature_id", F.size("f.geometry.coordinates").cast("bigint").alias("vertices"), add(F.transform("f.geometry.coordinates", lambda p: p[0])).alias("sum_x"), add(c("f.properties.source_elevations")).alias("sum_z"))
 
 
-@query("st1_stream_rain", "SELECT gauge_id, time_bucket(INTERVAL '1 hour', ts) AS start, round(sum(rain_mm), 6) AS depth_mm, count(*) AS n FROM gauges GROUP BY ALL")
+@query("st1_stream_rain", "SELECT gauge_id, time_bucket(INTERVAL '30 minutes', ts) AS start, round(sum(rain_mm), 6) AS depth_mm, round(sum(rain_mm) * 2, 6) AS intensity_mm_h, count(*) AS n FROM gauges GROUP BY ALL")
 def st1(spark, d):
-    s = ST.stream_rain(_gauges(spark, d, "rain-in"), "1 hour", None, "10 minutes")
-    return run_stream(s, "rain").filter("gauge_id >= 0").withColumn("depth_mm", F.round("depth_mm", 6))
+    out = run_stream(_gauges(spark, d), lambda s: ST.stream_rain(s, "30 minutes", None, "10 minutes"), "rain").filter("gauge_id >= 0")
+    return out.withColumns({"depth_mm": F.round("depth_mm", 6), "intensity_mm_h": F.round("intensity_mm_h", 6)})
+
+
+def _excess(spark, d, done=None):
+    """Intervals a minute apart in two parts; then a record far ahead, which ends all events; then late ones, of events that
+    have ended and of one that is new."""
+    df = feed(spark, d, "SELECT event_id, CAST(idx AS INT) AS idx, rain_mm FROM intervals").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + c("idx") * 60))
+    far = spark.sql("SELECT CAST(-1 AS BIGINT) AS event_id, 0 AS idx, 0e0 AS rain_mm, TIMESTAMP '2100-01-01 00:00:00' AS ts")
+    late = df.filter("event_id % 7 = 0 AND idx < 2").withColumn("event_id", F.when(c("idx") == 0, c("event_id")).otherwise(-2))
+    end = far.withColumn("ts", F.expr("TIMESTAMP '2101-01-01 00:00:00'"))
+    build = lambda s: ST.stream_excess(s, 80.0, 0.2, "1 hour", 3_600_000)
+    return run_stream([*halves(df, "idx"), far, late.select(*df.columns), end], build, "excess", done).filter("event_id <> -1")
 
 
 @query("st2_stream_excess", f"WITH {PH._EXCESS} SELECT event_id, idx, round(cum, 5) AS cumulative_mm, round(excess, 5) AS excess_mm FROM x")
 def st2(spark, d):
-    df = feed(spark, d, "SELECT event_id, CAST(idx AS INT) AS idx, rain_mm FROM intervals")
-    return run_stream(ST.stream_excess(as_stream(df, "excess-in", "idx"), 80.0, 0.2), "excess").withColumn("cumulative_mm", F.round("cumulative_mm", 5)).withColumn("excess_mm", F.round("excess_mm", 5))
+    out = _excess(spark, d).filter("kind = 'INTERVAL'").drop("kind")
+    return out.withColumn("cumulative_mm", F.round("cumulative_mm", 5)).withColumn("excess_mm", F.round("excess_mm", 5))
+
+
+@query("st2_late_and_ended", f"WITH {PH._EXCESS} SELECT 'ENDED' AS kind, event_id, CAST(max(idx) AS INT) AS idx, round(max(cum), 5) AS cumulative_mm FROM x GROUP BY event_id UNION ALL SELECT 'LATE', CASE idx WHEN 0 THEN event_id ELSE -2 END, CAST(idx AS INT), NULL FROM x WHERE event_id % 7 = 0 AND idx < 2")
+def st2l(spark, d):
+    return _excess(spark, d).filter("kind <> 'INTERVAL'").select("kind", "event_id", "idx", F.round("cumulative_mm", 5).alias("cumulative_mm"))
 
 
 @query("st3_stream_storms", """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL '6 hours' THEN 0 ELSE 1 END AS f FROM gauges WINDOW w AS (PARTITION BY gauge_id ORDER BY ts)), s AS (SELECT *, sum(f) OVER (PARTITION BY gauge_id ORDER BY ts) AS k FROM g)
 SELECT gauge_id, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS "end", round(sum(rain_mm), 6) AS depth_mm, count(*) AS n FROM s GROUP BY gauge_id, k""")
 def st3(spark, d):
-    s = ST.stream_storms(_gauges(spark, d, "storm-in"), "6 hours", "10 minutes")
-    return run_stream(s, "storms").filter("gauge_id >= 0").withColumn("depth_mm", F.round("depth_mm", 6))
+    out = run_stream(_gauges(spark, d), lambda s: ST.stream_storms(s, "6 hours", "10 minutes"), "storms")
+    return out.filter("gauge_id >= 0").withColumn("depth_mm", F.round("depth_mm", 6))
 
 
 @query("st4_stream_artifacts", "SELECT DISTINCT user_id AS run_id, event_type AS sha256, event_type <> 'error' AS declared FROM events")
 def st4(spark, d):
     df = feed(spark, d, "SELECT user_id AS run_id, event_type AS sha256, ts FROM events").withColumn("ts", c("ts").cast("timestamp"))
     dec = feed(spark, d, "SELECT DISTINCT user_id AS run_id, event_type AS sha256 FROM events WHERE event_type <> 'error'")
-    return run_stream(ST.stream_artifacts(as_stream(df, "art-in", "ts"), dec, "3650 days"), "artifacts")
+    return run_stream(halves(df, "ts"), lambda s: ST.stream_artifacts(s, dec, "3650 days"), "artifacts")

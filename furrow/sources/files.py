@@ -85,7 +85,10 @@ def write_layers(layers: dict[str, DataFrame], path: str) -> str:
         df.write.parquet(f"{stage}/{name}.parquet")
     jvm = spark.sparkContext._jvm
     to, frm = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(stage)
-    if not to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(frm, to):
+    files = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # a rename onto a folder that is there would move the staging folder into it
+    if files.exists(to) or not files.rename(frm, to):
+        files.delete(frm, True)
         raise OSError(f"{path} is there already")
     return path
 

@@ -17,10 +17,12 @@ c = F.col
 
 
 def stream_rain(df: DataFrame, width: str, slide: str | None, delay: str) -> DataFrame:
-    """gauge_id, start, depth_mm, n of tumbling (slide null) or sliding windows over ts, rain_mm."""
+    """gauge_id, start, depth_mm, intensity_mm_h (depth over the window's length), n of tumbling (slide null) or sliding
+    windows over ts, rain_mm."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     g = df.withWatermark("ts", delay).groupBy("gauge_id", w.alias("w")).agg(F.sum("rain_mm").alias("depth_mm"), F.count(F.lit(1)).alias("n"))
-    return g.select("gauge_id", c("w.start").alias("start"), "depth_mm", "n")
+    hours = (c("w.end").cast("double") - c("w.start").cast("double")) / 3600
+    return g.select("gauge_id", c("w.start").alias("start"), "depth_mm", (c("depth_mm") / hours).alias("intensity_mm_h"), "n")
 
 
 def stream_storms(df: DataFrame, gap: str, delay: str) -> DataFrame:
@@ -30,39 +32,63 @@ def stream_storms(df: DataFrame, gap: str, delay: str) -> DataFrame:
 
 
 class RunningExcess(StatefulProcessor):
-    """Keeps each event's cumulative rain; intervals come in the order of their index."""
+    """Keeps each event's cumulative rain; intervals come in the order of their index. An event that brings nothing for
+    idle_ms of event time ends by a timer, which drops its state. Intervals behind the watermark change nothing and are
+    told as late."""
 
-    def __init__(self, cn: float, ratio: float):
+    COLUMNS = ("event_id", "kind", "idx", "cumulative_mm", "excess_mm")
+
+    def __init__(self, cn: float, ratio: float, idle_ms: int):
         self.s = 25400.0 / cn - 254.0
-        self.ia = ratio * self.s
+        self.ia, self.idle_ms = ratio * self.s, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "mm double")
+        self.handle = handle
+        self.total = handle.getValueState("total", "mm double, last_ms bigint, idx int")
 
     def runoff(self, p: float) -> float:
         return 0.0 if p <= self.ia else (p - self.ia) ** 2 / (p - self.ia + self.s)
 
+    def rows(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=list(self.COLUMNS))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mm = self.total.get()[0] if self.total.exists() else 0.0
-        out = []
         every = pd.concat(list(rows)).sort_values("idx")
-        for idx, rain in zip(every["idx"], every["rain_mm"], strict=True):
-            before, mm = self.runoff(mm), mm + rain
-            out.append((key[0], idx, mm, max(0.0, self.runoff(mm) - before)))
-        self.total.update((mm,))
-        yield pd.DataFrame(out, columns=["event_id", "idx", "cumulative_mm", "excess_mm"])
+        late = every["ms"] < timerValues.getCurrentWatermarkInMs()
+        out = [(key[0], "LATE", idx, None, None) for idx in every["idx"][late]]
+        every = every[~late]
+        if len(every):
+            mm, last, _ = self.total.get() if self.total.exists() else (0.0, 0, 0)
+            for idx, rain in zip(every["idx"], every["rain_mm"], strict=True):
+                before, mm = self.runoff(mm), mm + rain
+                out.append((key[0], "INTERVAL", idx, mm, max(0.0, self.runoff(mm) - before)))
+            if last:
+                self.handle.deleteTimer(last + self.idle_ms)
+            last = max(last, int(every["ms"].max()))
+            self.total.update((mm, last, int(every["idx"].max())))
+            self.handle.registerTimer(last + self.idle_ms)
+        yield self.rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mm, _, idx = self.total.get()
+        self.total.clear()
+        yield self.rows([(key[0], "ENDED", idx, mm, self.runoff(mm))])
 
     def close(self) -> None:
         pass
 
 
-def stream_excess(df: DataFrame, cn: float, ratio: float) -> DataFrame:
-    """event_id, idx, cumulative_mm, excess_mm of a stream of (event_id, idx, rain_mm); late intervals are those that a
-    watermark upstream has dropped."""
+def stream_excess(df: DataFrame, cn: float, ratio: float, delay: str, idle_ms: int) -> DataFrame:
+    """event_id, kind, idx, cumulative_mm, excess_mm of a stream of (event_id, idx, ts, rain_mm). kind INTERVAL: one row an
+    interval, with the event's rain so far and the interval's excess; LATE: an interval behind the watermark, which counts
+    for nothing else; ENDED: the event is over (nothing for idle_ms), with its rain and its whole excess, and its state is
+    dropped."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the processor also runs beside the driver, where the package may not be on the path
-    return df.groupBy("event_id").transformWithStateInPandas(RunningExcess(cn, ratio), "event_id bigint, idx int, cumulative_mm double, excess_mm double", "Append", "None")
+    # the time goes on as a plain number: rows behind the watermark are to be told, not dropped before they are seen
+    rows = df.withWatermark("ts", delay).select("event_id", "idx", "rain_mm", (F.unix_micros("ts") / 1000).cast("bigint").alias("ms"))
+    return rows.groupBy("event_id").transformWithStateInPandas(RunningExcess(cn, ratio, idle_ms), "event_id bigint, kind string, idx int, cumulative_mm double, excess_mm double", "Append", "EventTime")
 
 
 def stream_artifacts(df: DataFrame, declared: DataFrame, delay: str) -> DataFrame:
