@@ -90,14 +90,31 @@ def value_conflicts(df: DataFrame) -> DataFrame:
 
 
 def applicability(models: DataFrame, contexts: DataFrame, regions: DataFrame) -> DataFrame:
-    """model_id, context_id, how: EXACT, ANY or REGION. models: model_id, countries (array: names, ALL, or region tags);
-    contexts: context_id, country; regions: tag, country. Tags are opened first, so this is an equal join."""
-    m = models.select("model_id", F.explode("countries").alias("tag"))
-    exact = m.join(contexts, m["tag"] == contexts["country"]).select("model_id", "context_id", F.lit(1).alias("k"))
-    any_ = m.filter(c("tag").isin("ALL", "ANY")).crossJoin(contexts).select("model_id", "context_id", F.lit(2).alias("k"))
-    region = m.join(regions, "tag").join(contexts, "country").select("model_id", "context_id", F.lit(3).alias("k"))
-    g = exact.unionByName(any_).unionByName(region).groupBy("model_id", "context_id").agg(F.min("k").alias("k"))
-    return g.select("model_id", "context_id", F.element_at(F.array(F.lit("EXACT"), F.lit("ANY"), F.lit("REGION")), c("k")).alias("how"))
+    """model_id, context_id, how, wildcards. models: model_id, countries, crops, jurisdictions (arrays; ALL and ANY are
+    wildcards, jurisdictions that end in WITH_JUSTIFICATION are conditional); contexts: context_id, country, crop, state,
+    justification; regions: state, tag.
+
+    how: EXACT_OR_NATIONAL; or, where only a conditional jurisdiction fits, JUSTIFIED_EXTRAPOLATION if the context gives a
+    justification, NEEDS_JUSTIFICATION if not. Each context yields its keys with every subset of country, crop and
+    jurisdiction replaced by the wildcard (a state also by its regions' tags), and models meet them by equal key. A wildcard
+    model meets every context: that is the answer asked for. wildcards: how many parts of the best match are wildcards."""
+    wild, conditional = F.lit("*"), F.lit("*CONDITIONAL")
+    folded = lambda x: F.when(x.isin("ALL", "ANY"), wild).when(x.endswith("WITH_JUSTIFICATION"), conditional).otherwise(x)
+    opened = models
+    for name in ("countries", "crops", "jurisdictions"):
+        opened = opened.select(*[x for x in opened.columns if x != name], F.explode(F.array_distinct(F.transform(name, folded))).alias(name))
+    tags = regions.groupBy("state").agg(F.collect_set("tag").alias("tags"))
+    ctx = contexts.join(tags, "state", "left")
+    places = F.array_union(F.array("state", F.concat_ws("-", "country", "state"), wild, conditional), F.coalesce("tags", F.array().cast("array<string>")))
+    ctx = ctx.select("context_id", "justification", F.explode(F.array("country", wild)).alias("countries"), "crop", places.alias("places"))
+    ctx = ctx.select("context_id", "justification", "countries", F.explode(F.array("crop", wild)).alias("crops"), "places").withColumn("jurisdictions", F.explode("places")).drop("places")
+    met = opened.join(ctx, ["countries", "crops", "jurisdictions"])
+    stars = sum(((c(x) == wild).cast("int") for x in ("countries", "crops", "jurisdictions")), F.lit(0))
+    only = (c("jurisdictions") == conditional).alias("conditional")
+    best = met.groupBy("model_id", "context_id").agg(F.min(F.struct(only, stars.alias("wildcards"))).alias("b"), F.first("justification").alias("why"))
+    given = F.coalesce(F.length(F.trim("why")) > 0, F.lit(False))
+    how = F.when(~c("b.conditional"), "EXACT_OR_NATIONAL").when(given, "JUSTIFIED_EXTRAPOLATION").otherwise("NEEDS_JUSTIFICATION")
+    return best.select("model_id", "context_id", how.alias("how"), c("b.wildcards").alias("wildcards"))
 
 
 def compile_request(base: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import re
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.operators.catalog import codes_when, issue
@@ -41,6 +46,73 @@ def check_values(values: DataFrame, rules: DataFrame) -> DataFrame:
     return bad.unionByName(need.join(values, ["row_id", "name"], "left_anti").select("row_id", "name", F.lit("MISSING").alias("rule")))
 
 
+def _canonical(x: Column) -> Column:
+    return F.to_json(x)
+
+
+def _held(v: Column, steps: list[str]) -> Column:
+    """array<struct<at, v>>: the values that a path leads to, with the place of each; none where a step is missing."""
+    here = F.array(F.struct(F.lit("$").alias("at"), v.alias("v")))
+    for step in steps:
+        if step == "[*]":
+            items = lambda x: F.coalesce(F.try_variant_get(x["v"], "$", "array<variant>"), F.array().cast("array<variant>"))
+            here = F.flatten(F.transform(here, lambda x: F.transform(items(x), lambda y, i: F.struct(F.concat(x["at"], F.lit("["), i.cast("string"), F.lit("]")).alias("at"), y.alias("v")))))  # noqa: B023
+        else:
+            here = F.transform(here, lambda x: F.struct(F.concat(x["at"], F.lit(f".{step}")).alias("at"), F.try_variant_get(x["v"], f"$.{step}", "variant").alias("v")))  # noqa: B023
+            here = F.filter(here, lambda x: x["v"].isNotNull())
+    return here
+
+
+def _broken(check: str, arg: str | None) -> Callable[[Column], Column]:
+    """Of a value (variant), whether it breaks a rule; a rule for another type of value doesn't apply."""
+    kind = lambda x: F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0)
+    number = lambda x: F.when(kind(x).isin("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), F.try_variant_get(x, "$", "double"))
+    text = lambda x: F.when(kind(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    items = lambda x: F.when(kind(x) == "ARRAY", F.try_variant_get(x, "$", "array<variant>"))
+    keys = lambda x: F.when(kind(x) == "OBJECT", F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")))
+    value = json.loads(arg) if arg is not None else None
+    types = {"string": ("STRING",), "number": ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "integer": ("BIGINT",), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",), "null": ("VOID",)}
+
+    def equals(x: Column, v: object) -> Column:
+        if isinstance(v, int | float) and not isinstance(v, bool):
+            return F.coalesce(number(x) == float(v), F.lit(False))
+        return _canonical(x) == _canonical(F.parse_json(F.lit(json.dumps(v))))
+
+    any_of = lambda x, vs: reduce(lambda a, b: a | b, [equals(x, v) for v in vs], F.lit(False))
+    named = value if isinstance(value, list) else [value]
+    rules = {
+        "TYPE": lambda x: ~kind(x).isin(*[t for n in named for t in types[n]]), "CONST": lambda x: ~equals(x, value), "ENUM": lambda x: ~any_of(x, named),
+        "MINIMUM": lambda x: number(x) < value, "EXCLUSIVE_MINIMUM": lambda x: number(x) <= value, "MAXIMUM": lambda x: number(x) > value, "EXCLUSIVE_MAXIMUM": lambda x: number(x) >= value,
+        "MIN_LENGTH": lambda x: F.length(text(x)) < value, "MAX_LENGTH": lambda x: F.length(text(x)) > value, "PATTERN": lambda x: ~F.rlike(text(x), F.lit(rf"\A(?:{value})\z")),
+        "MIN_ITEMS": lambda x: F.size(items(x)) < value, "MAX_ITEMS": lambda x: F.size(items(x)) > value,
+        "UNIQUE_ITEMS": lambda x: F.size(F.array_distinct(F.transform(items(x), _canonical))) < F.size(items(x)),
+        "MIN_PROPERTIES": lambda x: F.size(keys(x)) < value, "MAX_PROPERTIES": lambda x: F.size(keys(x)) > value,
+        "REQUIRED": lambda x: F.size(F.array_except(F.array(*[F.lit(n) for n in named]), keys(x))) > 0, "ONLY_KEYS": lambda x: F.size(F.array_except(keys(x), F.array(*[F.lit(n) for n in named]).cast("array<string>"))) > 0,
+    }
+    if check not in rules:
+        raise ValueError(f"no such check: {check}")
+    return lambda x: F.coalesce(rules[check](x), F.lit(False))
+
+
+def check_documents(docs: DataFrame, rules: DataFrame, most: int = 2000) -> DataFrame:
+    """row_id, path, rule: a row for each rule that a value breaks, with the value's place. docs: row_id, json; rules: path
+    ($, keys by dots, [*] for all items of an array), rule, arg (JSON). A text that isn't JSON breaks NOT_JSON.
+
+    The rules, which a schema has a bounded number of, are compiled to expressions over the parsed document, so any number
+    of documents is one pass without a join or a shuffle."""
+    table = sorted({(r["path"], r["rule"], r["arg"]) for r in rules.limit(most + 1).collect()}, key=str)
+    if len(table) > most:
+        raise ValueError(f"more than {most} rules")
+    v = docs.select("row_id", F.try_parse_json("json").alias("v"), c("json").isNotNull().alias("there"))
+    found = [F.when(c("there") & c("v").isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("NOT_JSON").alias("rule"))))]
+    for path, check, arg in table:
+        steps = re.findall(r"\[\*\]|[^.\[\]$]+", path)
+        bad = F.filter(_held(c("v"), steps), lambda x: _broken(check, arg)(x["v"]))  # noqa: B023
+        found.append(F.when(c("v").isNotNull(), F.transform(bad, lambda x: F.struct(x["at"].alias("path"), F.lit(check).alias("rule")))))  # noqa: B023
+    none = F.array().cast("array<struct<path:string,rule:string>>")
+    return v.select("row_id", F.explode(F.flatten(F.array(*[F.coalesce(f, none) for f in found]))).alias("f")).select("row_id", "f.path", "f.rule")
+
+
 def check_periods(df: DataFrame) -> DataFrame:
     """key, from_, to_: inverted periods, and those that start before an earlier one of the key has ended."""
     w = Window.partitionBy("key").orderBy("from_", "to_", "id").rowsBetween(Window.unboundedPreceding, -1)

@@ -31,6 +31,11 @@ FEEDS["files_dq"] = """SELECT s_name AS name, s_nationkey AS size, concat('h', s
 FEEDS["periods"] = """SELECT o_orderkey AS id, o_custkey AS key_, o_orderkey % 90 + o_custkey % 7 AS from_, o_orderkey % 90 + o_totalprice / 5e4 - CASE WHEN o_orderkey % 50 = 0 THEN 20 ELSE 0 END AS to_ FROM orders"""
 FEEDS["sel_dq"] = """SELECT group_id, fraction, CASE WHEN group_id = 'Brand#3' THEN 'DIAGNOSTIC_ONLY' ELSE 'SELECTED' END AS role FROM (SELECT group_id, min(fraction) AS fraction FROM trials WHERE status = 'PASS' AND group_id <> 'Brand#9' GROUP BY group_id) q"""
 
+FEEDS["models_ct"] = """SELECT s_suppkey AS model_id, CASE s_suppkey % 3 WHEN 0 THEN 'ALL' WHEN 1 THEN n_name ELSE concat(n_name, ',BRAZIL') END AS countries, CASE s_suppkey % 4 WHEN 0 THEN 'ANY' WHEN 1 THEN 'CORN,SOY' WHEN 2 THEN 'CORN,ANY' ELSE 'CANE' END AS crops,
+CASE s_suppkey % 5 WHEN 0 THEN 'ALL' WHEN 1 THEN concat('S', s_suppkey % 6) WHEN 2 THEN 'SOUTH,NORTH_WITH_JUSTIFICATION' WHEN 3 THEN concat(n_name, '-S1') ELSE 'OTHER_WITH_JUSTIFICATION' END AS jurisdictions FROM supplier JOIN nation ON n_nationkey = s_nationkey"""
+FEEDS["contexts_ct"] = """SELECT c_custkey AS context_id, n_name AS country, CASE c_custkey % 3 WHEN 0 THEN 'CORN' WHEN 1 THEN 'CANE' ELSE 'SOY' END AS crop, concat('S', c_custkey % 6) AS state, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE 'trial plots' END AS justification FROM customer JOIN nation ON n_nationkey = c_nationkey"""
+FEEDS["regions_ct"] = """SELECT 'S1' AS state, 'SOUTH' AS tag UNION ALL SELECT 'S2', 'SOUTH' UNION ALL SELECT 'S2', 'CENTER_SOUTH' UNION ALL SELECT 'S3', 'NORTH'"""
+
 QUERIES, ORACLES = {}, {}
 c = F.col
 
@@ -100,11 +105,13 @@ def ct8(spark, d):
     return C.value_conflicts(df.select("parameter_id", F.when(c("parameter_id") % 2 == 0, c("l_linenumber").cast("string")).otherwise(obj).alias("json")))
 
 
-@query("ct9_applicability", """WITH m AS (SELECT s_suppkey AS model_id, CASE s_suppkey % 4 WHEN 0 THEN 'ALL' WHEN 1 THEN r_name ELSE n_name END AS tag FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey), x AS (SELECT n_nationkey AS context_id, n_name AS country, r_name FROM nation JOIN region ON r_regionkey = n_regionkey)
-SELECT model_id, context_id, CASE WHEN tag = country THEN 'EXACT' WHEN tag = 'ALL' THEN 'ANY' ELSE 'REGION' END AS how FROM m JOIN x ON tag = country OR tag = 'ALL' OR tag = r_name""")
+@query("ct9_applicability", """WITH mc AS (SELECT model_id, v FROM models_ct, LATERAL (SELECT unnest(string_split(countries, ',')) AS v)), mr AS (SELECT model_id, v FROM models_ct, LATERAL (SELECT unnest(string_split(crops, ',')) AS v)), mj AS (SELECT model_id, v FROM models_ct, LATERAL (SELECT unnest(string_split(jurisdictions, ',')) AS v)),
+a AS (SELECT m.model_id, x.context_id, min(CASE v WHEN 'ALL' THEN 1 ELSE 0 END) AS w FROM models_ct m JOIN mc USING (model_id), contexts_ct x WHERE v = x.country OR v = 'ALL' GROUP BY ALL), b AS (SELECT m.model_id, x.context_id, min(CASE v WHEN 'ANY' THEN 1 ELSE 0 END) AS w FROM models_ct m JOIN mr USING (model_id), contexts_ct x WHERE v = x.crop OR v = 'ANY' GROUP BY ALL),
+j AS (SELECT mj.model_id, x.context_id, min(CASE WHEN v = 'ALL' THEN 1 WHEN v LIKE '%WITH_JUSTIFICATION' THEN 5 ELSE 0 END) AS w FROM mj, contexts_ct x WHERE v IN (x.state, concat(x.country, '-', x.state), 'ALL') OR v IN (SELECT tag FROM regions_ct r WHERE r.state = x.state) OR v LIKE '%WITH_JUSTIFICATION' GROUP BY ALL)
+SELECT a.model_id, a.context_id, CASE WHEN j.w < 5 THEN 'EXACT_OR_NATIONAL' WHEN coalesce(trim(justification), '') <> '' THEN 'JUSTIFIED_EXTRAPOLATION' ELSE 'NEEDS_JUSTIFICATION' END AS how, CAST(a.w + b.w + j.w % 5 AS INT) AS wildcards FROM a JOIN b USING (model_id, context_id) JOIN j USING (model_id, context_id) JOIN contexts_ct x ON x.context_id = a.context_id""")
 def ct9(spark, d):
-    models = feed(spark, d, "SELECT s_suppkey AS model_id, array(CASE s_suppkey % 4 WHEN 0 THEN 'ALL' WHEN 1 THEN r_name ELSE n_name END) AS countries FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
-    return C.applicability(models, feed(spark, d, "SELECT n_nationkey AS context_id, n_name AS country FROM nation"), feed(spark, d, "SELECT r_name AS tag, n_name AS country FROM nation JOIN region ON r_regionkey = n_regionkey"))
+    models = feed(spark, d, "models_ct").select("model_id", *[F.split(x, ",").alias(x) for x in ("countries", "crops", "jurisdictions")])
+    return C.applicability(models, feed(spark, d, "contexts_ct"), feed(spark, d, "regions_ct"))
 
 
 @query("ct10_compile_request", """SELECT coalesce(b.parameter_id, r.parameter_id) AS parameter_id, CASE WHEN b.value IS NOT NULL AND r.value IS NULL THEN 'BASE_WITHOUT_PRESET' WHEN b.value = r.value THEN 'BASE_MATCHES_PRESET' WHEN b.value IS NOT NULL THEN 'BASE_OVERRIDES_PRESET' WHEN NOT safety AND e0 THEN 'MATERIALISED' ELSE 'WITHHELD' END AS outcome,
@@ -186,6 +193,30 @@ def dq4(spark, d):
     return Q.check_values(v, rules)
 
 
+_RULES = [
+    ("$", "REQUIRED", '["kind", "size"]'), ("$", "ONLY_KEYS", '["size", "brand", "code", "unit", "kind", "items", "tags"]'), ("$", "MAX_PROPERTIES", "7"), ("$.size", "TYPE", '["number", "null"]'), ("$.size", "EXCLUSIVE_MINIMUM", "2"), ("$.size", "MAXIMUM", "45"),
+    ("$.brand", "PATTERN", '"Brand#1[0-9]"'), ("$.code", "MIN_LENGTH", "1"), ("$.code", "MAX_LENGTH", "4"), ("$.unit", "CONST", '"mm"'), ("$.kind", "ENUM", '["ECONOMY", "STANDARD"]'), ("$.items", "MIN_ITEMS", "3"), ("$.items[*].w", "EXCLUSIVE_MAXIMUM", "40"), ("$.items[*].h", "MINIMUM", "1.5"),
+    ("$.items[*]", "MIN_PROPERTIES", "2"), ("$.tags", "UNIQUE_ITEMS", "true"),
+]
+
+
+@query("dq4_documents", """WITH p AS (SELECT *, p_partkey AS k FROM part), f AS (SELECT k AS row_id, '$' AS path, 'NOT_JSON' AS rule FROM p WHERE k % 41 = 0
+UNION ALL SELECT k, '$', 'REQUIRED' FROM p WHERE k % 7 = 0 AND k % 41 <> 0 UNION ALL SELECT k, '$', 'ONLY_KEYS' FROM p WHERE k % 11 = 0 AND k % 41 <> 0 UNION ALL SELECT k, '$', 'MAX_PROPERTIES' FROM p WHERE k % 11 = 0 AND k % 7 <> 0 AND k % 41 <> 0
+UNION ALL SELECT k, '$.size', 'TYPE' FROM p WHERE k % 20 = 0 AND k % 41 <> 0 UNION ALL SELECT k, '$.size', 'EXCLUSIVE_MINIMUM' FROM p WHERE k % 20 <> 0 AND p_size <= 2 AND k % 41 <> 0 UNION ALL SELECT k, '$.size', 'MAXIMUM' FROM p WHERE k % 20 <> 0 AND p_size > 45 AND k % 41 <> 0
+UNION ALL SELECT k, '$.brand', 'PATTERN' FROM p WHERE p_brand NOT LIKE 'Brand#1_' AND k % 41 <> 0 UNION ALL SELECT k, '$.code', 'MIN_LENGTH' FROM p WHERE k % 6 = 0 AND k % 41 <> 0 UNION ALL SELECT k, '$.code', 'MAX_LENGTH' FROM p WHERE k % 6 = 5 AND k % 41 <> 0
+UNION ALL SELECT k, '$.unit', 'CONST' FROM p WHERE k % 3 = 0 AND k % 41 <> 0 UNION ALL SELECT k, '$.kind', 'ENUM' FROM p WHERE k % 7 <> 0 AND p_type NOT IN ('ECONOMY', 'STANDARD') AND k % 41 <> 0 UNION ALL SELECT k, '$.items', 'MIN_ITEMS' FROM p WHERE k % 2 = 0 AND k % 41 <> 0
+UNION ALL SELECT k, concat('$.items[', i, '].w'), 'EXCLUSIVE_MAXIMUM' FROM p, (VALUES (0), (1), (2)) x(i) WHERE p_size - 1 + i >= 40 AND i < 2 + k % 2 AND k % 41 <> 0 UNION ALL SELECT k, concat('$.items[', i, '].h'), 'MINIMUM' FROM p, (VALUES (0), (1)) x(i) WHERE (k + i) % 5 < 2 AND k % 41 <> 0
+UNION ALL SELECT k, '$.items[2]', 'MIN_PROPERTIES' FROM p WHERE k % 2 = 1 AND k % 41 <> 0 UNION ALL SELECT k, '$.tags', 'UNIQUE_ITEMS' FROM p WHERE k % 3 = k % 4 AND k % 41 <> 0) SELECT * FROM f""")
+def dq4d(spark, d):
+    k = "p_partkey"
+    item = lambda i: f"""'«"w":', p_size - 1 + {i}, ',"h":', ({k} + {i}) % 5, '»'"""
+    text = f"""CASE WHEN {k} % 41 = 0 THEN 'no json «' ELSE concat('«"size":', CASE WHEN {k} % 20 = 0 THEN '"n/a"' ELSE CAST(p_size AS STRING) END, ',"brand":"', p_brand, '","code":"', repeat('x', CAST({k} % 6 AS INT)), '","unit":"', CASE WHEN {k} % 3 = 0 THEN 'cm' ELSE 'mm' END, '"',
+    CASE WHEN {k} % 7 = 0 THEN '' ELSE concat(',"kind":"', p_type, '"') END, ',"items":[', {item(0)}, ',', {item(1)}, CASE WHEN {k} % 2 = 1 THEN concat(',«"w":', p_size + 1, '»') ELSE '' END, '],"tags":[', {k} % 3, ',«"t":', {k} % 4, '»,', {k} % 4, ']', CASE WHEN {k} % 11 = 0 THEN ',"zzz":null' ELSE '' END, '»') END"""
+    docs = feed(spark, d, f"SELECT {k} AS row_id, {text} AS json FROM part").withColumn("json", F.translate("json", "«»", "{}"))  # braces mean tables in a feed
+    rules = spark.createDataFrame(_RULES, "path string, rule string, arg string")
+    return Q.check_documents(docs, rules)
+
+
 @query("dq5_periods", """SELECT id, key_ AS key, CASE WHEN from_ > to_ THEN 'INVERTED' ELSE 'OVERLAPS' END AS rule FROM (SELECT *, max(to_) OVER (PARTITION BY key_ ORDER BY from_, to_, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM periods) WHERE from_ > to_ OR from_ < b""")
 def dq5(spark, d):
     return Q.check_periods(feed(spark, d, "periods").withColumnRenamed("key_", "key"))
