@@ -175,8 +175,13 @@ def keys_within_one(items: np.ndarray, asked: dict[int, set[int]], share: tuple[
                 yield s, int(key), b == band and (s in twice or s in empty)
 
 
+#: A band and one of its segments as one number.
+PLACE_BITS = 40
+
+
 def signatures(docs: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """id, n_shingles, class (128-bit name of the set; null if it is empty), keys, asks, needs of every row."""
+    """id, n_shingles, class (128-bit name of the set; null if it is empty), keys, asks, needs of every row, and of sets that
+    are short of segments: where they ask besides (places) and with what (more)."""
 
     def run(batches: Iterator[list[bytes]]) -> Iterator[list[pa.Array]]:
         import xxhash
@@ -188,9 +193,15 @@ def signatures(docs: DataFrame, share: tuple[int, int]) -> DataFrame:
             ends = np.cumsum([0, *(len(k) for k, _, _ in found)])
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([k for k, _, _ in found]).astype(np.int64) if found else [], pa.int64()))
             names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield [pa.array(list(map(len, sets)), pa.int64()), pa.array(names, pa.binary()), keys, *(pa.array([f[k] for f in found], pa.int64()) for k in (1, 2))]
+            places, more = [], []
+            for s, (_, asks, needs) in zip(sets, found, strict=True):
+                band, twice, empty = wanted(s, share) if needs > asks else (0, [], [])
+                places.append([band << PLACE_BITS | k for k in twice + empty] or None)
+                more.append([k for _, k, a in keys_within_one(s, {band: {*twice, *empty}}, share) if a] if needs > asks else None)
+            yield [pa.array(list(map(len, sets)), pa.int64()), pa.array(names, pa.binary()), keys, *(pa.array([f[k] for f in found], pa.int64()) for k in (1, 2)), *(pa.array(x, pa.list_(pa.int64())) for x in (places, more))]
 
-    return map_texts(docs, run, [("n_shingles", "bigint"), ("class", "binary"), ("keys", "array<bigint>"), ("asks", "bigint"), ("needs", "bigint")], ["id"], "text")
+    arrays = [(n, "array<bigint>") for n in ("places", "more")]
+    return map_texts(docs, run, [("n_shingles", "bigint"), ("class", "binary"), ("keys", "array<bigint>"), ("asks", "bigint"), ("needs", "bigint"), *arrays], ["id"], "text")
 
 
 def thinned(rows: DataFrame, often: DataFrame) -> DataFrame:
@@ -204,37 +215,31 @@ def thinned(rows: DataFrame, often: DataFrame) -> DataFrame:
 
 def asked_buckets(rows: DataFrame, classes: DataFrame, work: str) -> DataFrame:
     """key, rep: all sets that share a key which one of them asks with, by the cheapest choice of each set."""
-    exploded = rows.select("row", "asks", "needs", F.posexplode("keys").alias("pos", "key"))
-    often = materialise(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), f"{work}/often")
-    held = thinned(exploded, often).join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    keys = rows.select(F.explode("keys").alias("key"))
+    often = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), f"{work}/often")
+    exploded = rows.select("row", "asks", F.posexplode("keys").alias("pos", "key")).select("row", "key", (F.col("pos") < F.col("asks")).alias("own"))
+    # an inner join, as a semi-join would be pushed below the thinning and shuffle all keys
+    held = thinned(exploded, often).join(classes.select(F.col("rep").alias("row")), "row").select("row", "key", "own")
     held = materialise(held, f"{work}/held")
     cost = held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = materialise(held.join(cost, "key"), f"{work}/shared")
     # what no other set holds is free; of the rest a set takes the cheapest that it still needs
-    own = held.filter("pos < asks").groupBy("row").agg(F.first("asks").alias("asks"), F.first("needs").alias("needs"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    own = held.filter("own").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
     take = F.greatest(F.lit(0), F.col("needs") - F.col("asks") + F.size("shared")).cast("int")
-    asked = own.select(F.explode(F.slice("shared", F.lit(1), take)).alias("c")).select("c.key").distinct()
+    asked = own.join(rows.select("row", "asks", "needs"), "row").select(F.explode(F.slice("shared", F.lit(1), take)).alias("c")).select("c.key").distinct()
     return held.join(asked, "key", "left_semi").select("key", F.col("row").alias("rep"))
 
 
 def short_buckets(docs: DataFrame, rows: DataFrame, classes: DataFrame, share: tuple[int, int]) -> DataFrame | None:
     """key, rep of the buckets in which sets ask that are short of segments; None if there is no such set.
 
-    The driver gets which segments of which bands are asked: no more than bands have segments."""
-    short = rows.filter("needs > asks").select("id").distinct()
-    if short.isEmpty():
-        return None
-
-    def ask(batches: Iterator[list[bytes]]) -> Iterator[list[pa.Array]]:
-        hashes = WordHashes()
-        for texts in batches:
-            found = [wanted(shingles(t, hashes), share) for t in texts]
-            yield [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] + f[2] for f in found], pa.list_(pa.int64()))]
-
-    some = map_texts(docs.join(short, "id", "left_semi"), ask, [("band", "bigint"), ("segments", "array<bigint>")], ["id"])
+    The driver gets which segments of which bands are asked: no more than bands have segments. Another pass over the texts
+    makes the keys of these segments, and those that nobody asks for are dropped before anything is shuffled."""
     asked: dict[int, set[int]] = {}
-    for r in some.select("band", F.explode("segments").alias("segment")).distinct().collect():
-        asked.setdefault(r["band"], set()).add(r["segment"])
+    for r in rows.select(F.explode("places").alias("p")).distinct().collect():
+        asked.setdefault(r["p"] >> PLACE_BITS, set()).add(r["p"] & (1 << PLACE_BITS) - 1)
+    if not asked:
+        return None
     longest = bounds(share)[max(asked) + 2]  # no larger set lies in the bands asked, nor is indexed there
 
     def run(batches: Iterator[list[bytes]]) -> Iterator[list[pa.Array]]:
@@ -245,16 +250,15 @@ def short_buckets(docs: DataFrame, rows: DataFrame, classes: DataFrame, share: t
             names, keys = [], []
             for t in texts:
                 items = shingles(t, hashes)
-                held = list(keys_within_one(items, asked, share)) if len(items) and len(items) < longest else []
+                held = [k for _, k, _ in keys_within_one(items, asked, share)] if 0 < len(items) < longest else []
                 names.append(xxhash.xxh3_128_digest(items.tobytes()) if held else None)
-                keys.append([{"key": k, "asked": a} for _, k, a in held])
-            yield [pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.struct([("key", pa.int64()), ("asked", pa.bool_())])))]
-
-    found = map_texts(docs, run, [("class", "binary"), ("keys", "array<struct<key:bigint,asked:boolean>>")], ["id"])
-    found = found.filter("class IS NOT NULL").join(classes.select("class", "id", "rep"), ["class", "id"]).dropDuplicates(["rep"])
-    found = found.select("rep", F.explode("keys").alias("k")).select("rep", "k.key", "k.asked")
-    asked_keys = found.filter("asked").select("key").distinct()
-    return found.join(asked_keys, "key", "left_semi").select("key", "rep").distinct()
+                keys.append(held)
+            yield [pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+
+    wanted_keys = rows.select(F.explode("more").alias("key")).distinct()
+    found = map_texts(docs, run, [("class", "binary"), ("keys", "array<bigint>")], ["id"]).filter("id IS NOT NULL").select("class", F.explode("keys").alias("key"))
+    found = thinned(found, wanted_keys).join(wanted_keys, "key").select("key", "class").distinct()
+    return found.join(classes.select("class", "rep"), "class").select("key", "rep")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
