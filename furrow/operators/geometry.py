@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,31 +23,54 @@ def segments(vertices: DataFrame, key: str | list[str]) -> DataFrame:
     return out.withColumn("len", X.distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
 
 
+def _column(prefix: str, k: Column, pad: Column, cell: float) -> tuple[Column, Column]:
+    """First and last grid row of the cells that a segment passes, widened by pad, in grid column k."""
+    c = lambda n: F.col(f"{prefix}{n}")
+    left, right = k * cell - pad, (k + 1) * cell + pad
+    dx = c("x1") - c("x0")
+    at = lambda x: F.when(F.abs(dx) < 1e-12, F.lit(None)).otherwise(c("y0") + (c("y1") - c("y0")) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - c("x0")) / dx)))
+    low = F.coalesce(F.least(at(left), at(right)), F.least(c("y0"), c("y1"))) - pad
+    high = F.coalesce(F.greatest(at(left), at(right)), F.greatest(c("y0"), c("y1"))) + pad
+    return F.floor(low / cell), F.floor(high / cell)
+
+
 def _cells(df: DataFrame, pad: Column, cell: float, prefix: str) -> DataFrame:
     """A row for each grid cell that a segment passes, widened by pad. The segment is cut at cell columns, so a long one
     takes the cells along it, not its whole bounding box."""
     c = lambda n: F.col(f"{prefix}{n}")
     lo, hi = F.least(c("x0"), c("x1")) - pad, F.greatest(c("x0"), c("x1")) + pad
     df = df.withColumn("__cx", F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell))))
-    left, right = F.col("__cx") * cell - pad, (F.col("__cx") + 1) * cell + pad
-    dx = c("x1") - c("x0")
-    at = lambda x: F.when(F.abs(dx) < 1e-12, F.lit(None)).otherwise(c("y0") + (c("y1") - c("y0")) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - c("x0")) / dx)))
-    y_lo = F.coalesce(F.least(at(left), at(right)), F.least(c("y0"), c("y1"))) - pad
-    y_hi = F.coalesce(F.greatest(at(left), at(right)), F.greatest(c("y0"), c("y1"))) + pad
-    return df.withColumn("__cy", F.explode(F.sequence(F.floor(y_lo / cell), F.floor(y_hi / cell))))
+    low, high = _column(prefix, F.col("__cx"), pad, cell)
+    return df.withColumn("__cy", F.explode(F.sequence(low, high)))
 
 
-def segments_within(a: DataFrame, b: DataFrame, buffer: str | float, cell: float = 50.0, on: list[str] | None = None) -> DataFrame:
+def segments_within(a: DataFrame, b: DataFrame, buffer: str | float, cell: float = 50.0, on: list[str] | None = None, more: tuple[list[str], list[str]] = ([], []), ends: bool = False) -> DataFrame:
     """a_id, a_seq, b_id, b_seq, dist of segments (id, seq, x0, y0, x1, y1) no farther apart than the buffer (a number,
-    or a column of b). Both sides are spread over grid cells and meet by equal cell (and by equal `on` columns)."""
+    or a column of b). Both sides are spread over grid cells and meet by equal cell (and by equal `on` columns). more:
+    columns of a and of b to carry along; ends: carry the coordinates (a_x0 and so on).
+
+    A pair counts in the first cell that both share (by column, then row), which either row can tell from the two
+    segments; so nothing is measured twice, and nothing is shuffled after it is measured."""
     on = on or []
-    side = lambda df, p, more: df.select(*on, *[F.col(c).alias(f"{p}_{c}") for c in ("id", "seq", "x0", "y0", "x1", "y1")], *more)
+    side = lambda df, p, extra: df.select(*on, *[F.col(c).alias(f"{p}_{c}") for c in ("id", "seq", "x0", "y0", "x1", "y1")], *extra)
     width = F.col(buffer) if isinstance(buffer, str) else F.lit(float(buffer))
-    left = _cells(side(a, "a", []), F.lit(0.0), cell, "a_")
-    right = _cells(side(b, "b", [width.alias("__buffer")]), F.col("__buffer") + 1e-6, cell, "b_")
+    pad = F.col("__buffer") + 1e-6
+    left = _cells(side(a, "a", more[0]), F.lit(0.0), cell, "a_")
+    right = _cells(side(b, "b", [width.alias("__buffer"), *more[1]]), pad, cell, "b_")
+    x = lambda f, p, n: f(F.col(f"{p}_{n}0"), F.col(f"{p}_{n}1"))
+    apart = reduce(lambda p, q: p | q, [(x(F.least, "a", n) > x(F.greatest, "b", n) + pad) | (x(F.least, "b", n) - pad > x(F.greatest, "a", n)) for n in "xy"])
+
+    def shared(k: Column) -> tuple[Column, Column]:
+        (a0, a1), (b0, b1) = _column("a_", k, F.lit(0.0), cell), _column("b_", k, pad, cell)
+        return F.greatest(a0, b0), F.least(a1, b1)
+
+    first = F.greatest(F.floor(x(F.least, "a", "x") / cell), F.floor((x(F.least, "b", "x") - pad) / cell))
+    before = F.exists(F.sequence(first, F.col("__cx") - 1), lambda k: shared(k)[0] <= shared(k)[1])
+    canonical = (F.col("__cy") == shared(F.col("__cx"))[0]) & F.when(F.col("__cx") > first, ~before).otherwise(True)
     d = X.seg_seg_dist(*[F.col(f"{p}_{c}") for p in "ab" for c in ("x0", "y0", "x1", "y1")])
-    hit = left.join(right, [*on, "__cx", "__cy"]).withColumn("dist", d).filter(F.col("dist") <= F.col("__buffer"))
-    return hit.select(*on, "a_id", "a_seq", "b_id", "b_seq", "dist").dropDuplicates([*on, "a_id", "a_seq", "b_id", "b_seq"])
+    hit = left.join(right, [*on, "__cx", "__cy"]).filter(~apart).filter(canonical).withColumn("dist", d).filter(F.col("dist") <= F.col("__buffer"))
+    coordinates = [f"{p}_{n}" for p in "ab" for n in ("x0", "y0", "x1", "y1")] if ends else []
+    return hit.select(*on, "a_id", "a_seq", "b_id", "b_seq", "dist", *coordinates, *more[0], *more[1])
 
 
 c = F.col
@@ -104,11 +128,11 @@ def barrier_spans(vertices: DataFrame, barriers: DataFrame, half_width: float, k
     """Chainage spans of lines within half_width of barrier axes (id, seq, x0, y0, x1, y1), merged. A segment's stay in a
     capsule is an interval, because the capsule is convex: it is bounded by its crossings with the two end circles and
     the two sides, in closed form."""
-    ch = chainage(vertices, key).select(key, "seq", "chainage")
-    seg = segments(vertices, key).join(ch, [key, "seq"])
-    near = segments_within(seg.select(c(key).alias("id"), "seq", "x0", "y0", "x1", "y1"), barriers, half_width, cell)
-    df = near.select(c("a_id").alias(key), c("a_seq").alias("seq"), c("b_id"), c("b_seq")).join(seg, [key, "seq"])
-    df = df.join(barriers.select(c("id").alias("b_id"), c("seq").alias("b_seq"), c("x0").alias("p0"), c("y0").alias("q0"), c("x1").alias("p1"), c("y1").alias("q1")), ["b_id", "b_seq"])
+    w = Window.partitionBy(key).orderBy("seq")
+    ch = chainage(vertices, key)
+    seg = ch.select(key, "seq", "chainage", *[x for n in "xy" for x in (c(n).alias(f"{n}0"), F.lead(n).over(w).alias(f"{n}1"))]).filter("x1 IS NOT NULL").withColumn("len", X.distance(c("x0"), c("y0"), c("x1"), c("y1")))
+    near = segments_within(seg.withColumnRenamed(key, "id"), barriers, half_width, cell, more=(["chainage", "len"], []), ends=True)
+    df = near.withColumnsRenamed({"a_id": key, **{f"a_{n}": n for n in ("x0", "y0", "x1", "y1")}, "b_x0": "p0", "b_y0": "q0", "b_x1": "p1", "b_y1": "q1"})
     df = df.withColumn("ts", capsule_stay(half_width)).filter(F.size("ts") > 0).select(key, (c("chainage") + F.array_min("ts") * c("len")).alias("lo"), (c("chainage") + F.array_max("ts") * c("len")).alias("hi"))
     return merge_intervals(df.filter("hi > lo + 1e-9"), [key], tol=1e-6)
 
@@ -216,10 +240,8 @@ def row_relations(vertices: DataFrame, group: list[str], cell: float = 50.0, key
     """group, a_id, b_id, relation of pairs of lines of one group that meet (each pair once): CROSSING if any two
     segments cross properly, else OVERLAP if any two share more than a point, else TOUCH."""
     s = segments(vertices, [*group, key]).select(*group, c(key).alias("id"), "seq", "x0", "y0", "x1", "y1")
-    near = segments_within(s, s, 1e-9, cell, group).filter("a_id < b_id")
-    pick = lambda p: s.select(*group, c("id").alias(f"{p}_id"), c("seq").alias(f"{p}_seq"), *[c(n).alias(f"{p}{n}") for n in ("x0", "y0", "x1", "y1")])
-    both = near.join(pick("a"), [*group, "a_id", "a_seq"]).join(pick("b"), [*group, "b_id", "b_seq"])
-    a, b, p, q = (c("ax0"), c("ay0")), (c("ax1"), c("ay1")), (c("bx0"), c("by0")), (c("bx1"), c("by1"))
+    both = segments_within(s, s, 1e-9, cell, group, ends=True).filter("a_id < b_id")
+    a, b, p, q = (c("a_x0"), c("a_y0")), (c("a_x1"), c("a_y1")), (c("b_x0"), c("b_y0")), (c("b_x1"), c("b_y1"))
     o = [X.cross(*a, *b, *p), X.cross(*a, *b, *q), X.cross(*p, *q, *a), X.cross(*p, *q, *b)]
     eps = 1e-9
     proper = (o[0] * o[1] < -eps) & (o[2] * o[3] < -eps)
@@ -546,9 +568,8 @@ def interface(a: DataFrame, b: DataFrame, reach: float, tol: float, cell: float
     """Of two sets of field edges (field, id, seq, x0..y1) per pair of fields within reach: least distance, the pair of
     edges that has it (of equal ones the first), the direction of a's edge there (degrees, mod 180), and the length of those parts of
     a's edges that run within tol of b's."""
-    near = segments_within(a, b, reach, cell)
-    geo = lambda df, p, names: df.select(c("id").alias(f"{p}_id"), c("seq").alias(f"{p}_seq"), c("field").alias(f"{p}_field"), *[c(o).alias(n) for o, n in zip(("x0", "y0", "x1", "y1"), names, strict=True)])
-    m = near.join(geo(a, "a", ("x0", "y0", "x1", "y1")), ["a_id", "a_seq"]).join(geo(b, "b", ("p0", "q0", "p1", "q1")), ["b_id", "b_seq"])
+    near = segments_within(a.withColumn("a_field", c("field")), b.withColumn("b_field", c("field")), reach, cell, more=(["a_field"], ["b_field"]), ends=True)
+    m = near.withColumnsRenamed({**{f"a_{n}": n for n in ("x0", "y0", "x1", "y1")}, "b_x0": "p0", "b_y0": "q0", "b_x1": "p1", "b_y1": "q1"})
     length = X.distance(c("x0"), c("y0"), c("x1"), c("y1"))
     part = m.filter(c("dist") <= tol).withColumn("ts", capsule_stay(tol)).filter(F.size("ts") > 0)
     part = part.select("a_field", "b_field", "a_id", "a_seq", (F.array_min("ts") * length).alias("lo"), (F.array_max("ts") * length).alias("hi"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import expr as X
-from furrow.operators.order import summarise
+from furrow.operators.order import MOST, summarise
 
 RC = ["grid_id", "row", "col"]
 c = F.col
@@ -193,19 +193,32 @@ def spacing_from_levels(cells: DataFrame, levels: DataFrame) -> DataFrame:
     return out.withColumn("spacing", F.when(c("grad") > 1e-6, gap / c("grad")).otherwise(float("inf"))).drop("__levels")
 
 
-def orientation_sweep(cells: DataFrame, angles: list[float], lambdas: list[float], step: float, target: float, alert: float) -> DataFrame:
-    """Cells (field, gx, gy in percent) x angles x lambdas: grade along rows of each orientation, cross grade, shares over
-    target and alert, and near-singular cells. Each lambda turns the row with the local slope. The parameter table is
-    of fixed size, and every (field, angle, lambda) is one group of an aggregation."""
-    params = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("theta"), F.lit(float(k)).alias("lam")) for a in angles for k in lambdas]))
-    df = cells.filter("gx IS NOT NULL AND gy IS NOT NULL").select("field", "gx", "gy", params.alias("p")).select("field", "gx", "gy", "p.theta", "p.lam")
-    slope_ = F.sqrt(c("gx") * c("gx") + c("gy") * c("gy"))
-    t = F.radians(c("theta") + c("lam") * F.least(slope_ / 10, F.lit(1.0)))
-    df = df.withColumn("along", F.abs(c("gx") * F.cos(t) + c("gy") * F.sin(t))).withColumn("cross", F.abs(c("gy") * F.cos(t) - c("gx") * F.sin(t))).withColumn("slope", slope_)
-    n = F.count(F.lit(1))
-    q, r = F.percentile("along", [0.5, 0.95]), F.percentile("cross", 0.95)
-    out = df.groupBy("field", "theta", "lam").agg(n.alias("n"), q.alias("q"), r.alias("cross_p95"), (F.count_if(c("along") > target) / n).alias("over_target"), (F.count_if(c("along") > alert) / n).alias("over_alert"), (F.count_if(c("slope") < 1e-6) / n).alias("singular"), (F.lit(step) * F.avg("slope")).alias("level_step"))
-    return out.select("field", "theta", "lam", "n", c("q")[0].alias("grade_p50"), c("q")[1].alias("grade_p95"), "cross_p95", "over_target", "over_alert", "singular", "level_step")
+def orientation_sweep(cells: DataFrame, angles: list[float], lambdas: list[float], spacing: float, target: float, alert: float, tol: float, most: int = MOST) -> DataFrame:
+    """Cells (field, gx, gy: rise over run) x angles x lambdas. The rows of an orientation are the level lines of a phase
+    whose gradient is the normal of angle theta plus lambda times the terrain's; returned are the grades along and across
+    them (percent), how far they turn from theta, their spacing if levels are `spacing` times the median phase gradient
+    apart, and the shares (percent) over target and alert, outside the spacing's tolerance, and next to singular.
+
+    A cell's 180 or so orientations are made where it is read, and made again by each pass; what is shuffled are counts
+    and extremes, or, of groups of at most `most` cells, their distinct values."""
+    params = F.array(*[F.struct(F.lit(float(a)).alias("theta"), F.lit(float(k)).alias("lam"), *[F.lit(f(math.radians(a))).alias(n) for f, n in ((math.cos, "bx"), (math.sin, "by"))]) for a in angles for k in lambdas])
+    p = cells.filter("gx IS NOT NULL AND gy IS NOT NULL").select("field", "gx", "gy", F.explode(params).alias("p")).select("field", "gx", "gy", "p.*")
+    px, py = c("lam") * c("gx") - c("by"), c("lam") * c("gy") + c("bx")
+    p = p.withColumn("px", px).withColumn("py", py).withColumn("mag", F.sqrt(c("px") * c("px") + c("py") * c("py")))
+    unit = lambda x: F.when(c("mag") > 1e-6, x / c("mag")).otherwise(0.0)
+    nx, ny = unit(c("px")), unit(c("py"))
+    p = p.withColumn("along", F.abs(c("gy") * nx - c("gx") * ny) * 100).withColumn("cross", F.abs(c("gx") * nx + c("gy") * ny) * 100)
+    p = p.withColumn("deflection", F.degrees(F.acos(F.least(F.lit(1.0), F.abs(c("by") * nx - c("bx") * ny))))).withColumn("inverse", F.when(c("mag") > 1e-6, 1 / c("mag")).otherwise(float("inf")))
+    by, n = ["field", "theta", "lam"], F.count(F.lit(1))
+    percent = lambda cond: F.count_if(cond) * 100.0 / n
+    aggs = [n.alias("n"), F.max("along").alias("along_max"), F.max("cross").alias("cross_max"), percent(c("along") > target).alias("over_target"), percent(c("along") > alert).alias("over_alert"), percent(c("mag") < 0.35).alias("singular")]
+    wants = {"along_p50": ("along", 0.5), "along_p90": ("along", 0.9), "along_p95": ("along", 0.95), "cross_p95": ("cross", 0.95), "deflection_p95": ("deflection", 0.95), "mag_p50": ("mag", 0.5), **{f"spacing_{k}": ("inverse", q) for k, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))}}
+    out = summarise(p, by, aggs, wants, most, write=False)
+    out = out.withColumn("level_step", c("mag_p50") * spacing).checkpoint()
+    # a level interval is the same everywhere, so spacing is in proportion to the inverse gradient
+    off = F.abs(c("inverse") * c("level_step") / spacing - 1) > tol
+    outside = p.join(out.select(*by, "level_step"), by).groupBy(*by).agg(percent(off).alias("spacing_outside"))
+    return out.join(outside, by).withColumns({f"spacing_{k}": c(f"spacing_{k}") * c("level_step") for k in ("p05", "p50", "p95")}).drop("mag_p50")
 
 
 def sample(cells: DataFrame, points: DataFrame, res: float = 1.0) -> DataFrame:

@@ -50,9 +50,10 @@ def at_ranks(rows: DataFrame, ranks: DataFrame) -> DataFrame:
         left = held.select("g", "r", c("least").alias("lo"), c("most").alias("hi"), (c("below") + c("before")).alias("below")).checkpoint()
 
 
-def summarise(df: DataFrame, by: list[str], aggs: list[Column], wants: dict[str, tuple[str, float]], most: int = MOST) -> DataFrame:
+def summarise(df: DataFrame, by: list[str], aggs: list[Column], wants: dict[str, tuple[str, float]], most: int = MOST, write: bool = True) -> DataFrame:
     """df.groupBy(by).agg(aggs) with exact percentiles besides: wants has (column, share) by the name of each. Values
-    between two ranks are interpolated; nulls and values that aren't finite take no part; a group without values has null."""
+    between two ranks are interpolated; nulls and values that aren't finite take no part; a group without values has null.
+    write: whether the values of large groups are written once and read by each pass, or made anew in each."""
     values = sorted({v for v, _ in wants.values()})
     finite = lambda v: c(v).isNotNull() & ~F.isnan(v) & (F.abs(c(v)) != float("inf"))
     large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(c("__n") > most).select(F.struct(F.lit(1).alias("__"), *by).alias("g")).checkpoint()
@@ -73,7 +74,8 @@ def summarise(df: DataFrame, by: list[str], aggs: list[Column], wants: dict[str,
         rest = rest.limit(0)
     big = keyed.join(keys, "g", "left_semi")
     long = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.when(finite(v), c(v).cast("double")).alias("v")) for v in values]))
-    rows = big.select("g", long.alias("x")).select("g", "x.*").filter("v IS NOT NULL").checkpoint()
+    rows = big.select("g", long.alias("x")).select("g", "x.*").filter("v IS NOT NULL")
+    rows = rows.checkpoint() if write else rows
     sizes = rows.groupBy("g", "name").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     asked = F.explode(F.filter(F.array(*[F.struct(F.lit(v).alias("name"), F.lit(n).alias("out"), F.lit(float(p)).alias("p")) for n, (v, p) in wants.items()]), lambda x: x["name"] == c("name")))
     place = sizes.select("g", "name", "n", "lo", "hi", asked.alias("a")).select("g", "name", "lo", "hi", "a.out", ((c("n") - 1) * c("a.p")).alias("at"))

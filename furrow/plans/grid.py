@@ -133,14 +133,18 @@ def gr13(spark, d):
     return out.select("row", "col", F.when(~inf, R("spacing")).alias("spacing"), inf.alias("infinite"))
 
 
-@query("gr14_orientation_sweep", """WITH p AS (SELECT a * 5e0 AS theta, l * 3e0 AS lam FROM (SELECT unnest(range(0, 36)) AS a), (SELECT unnest(range(-2, 3)) AS l)),
-s AS (SELECT field, theta, lam, sqrt(gx * gx + gy * gy) AS sl, radians(theta + lam * least(sqrt(gx * gx + gy * gy) / 10, 1)) AS t, gx, gy FROM field_mask JOIN grads USING (grid_id, row, col), p WHERE gx IS NOT NULL AND gy IS NOT NULL)
-SELECT field, theta, lam, count(*) AS n, round(quantile_cont(abs(gx * cos(t) + gy * sin(t)), 0.5), 5) AS grade_p50, round(quantile_cont(abs(gx * cos(t) + gy * sin(t)), 0.95), 5) AS grade_p95, round(quantile_cont(abs(gy * cos(t) - gx * sin(t)), 0.95), 5) AS cross_p95, round(count(*) FILTER (abs(gx * cos(t) + gy * sin(t)) > 2.00001e0) / count(*), 6) AS over_target, round(count(*) FILTER (abs(gx * cos(t) + gy * sin(t)) > 5.00001e0) / count(*), 6) AS over_alert,
-round(count(*) FILTER (sl < 1e-6) / count(*), 6) AS singular, round(1.5e0 * avg(sl), 5) AS level_step FROM s GROUP BY field, theta, lam""")
+@query("gr14_orientation_sweep", """WITH p AS (SELECT a * 5e0 AS theta, l * 3e0 AS lam, cos(radians(a * 5e0)) AS bx, sin(radians(a * 5e0)) AS by_ FROM (SELECT unnest(range(0, 36)) AS a), (SELECT unnest(range(-2, 3)) AS l)),
+m AS (SELECT field, theta, lam, bx, by_, gx / 100 AS gx, gy / 100 AS gy, -by_ + lam * gx / 100 AS px, bx + lam * gy / 100 AS py FROM field_mask JOIN grads USING (grid_id, row, col), p WHERE gx IS NOT NULL AND gy IS NOT NULL),
+u AS (SELECT *, sqrt(px * px + py * py) AS mag FROM m), t AS (SELECT *, CASE WHEN mag > 1e-6 THEN -py / mag ELSE 0 END AS tx, CASE WHEN mag > 1e-6 THEN px / mag ELSE 0 END AS ty FROM u),
+s AS (SELECT *, abs(gx * tx + gy * ty) * 100 AS along, abs(gx * ty - gy * tx) * 100 AS crossing, degrees(acos(least(1, abs(tx * bx + ty * by_)))) AS turn, 1.5e0 * median(mag) OVER (PARTITION BY field, theta, lam) AS step FROM t)
+SELECT field, theta, lam, count(*) AS n, round(quantile_cont(along, 0.5), 5) AS along_p50, round(quantile_cont(along, 0.9), 5) AS along_p90, round(quantile_cont(along, 0.95), 5) AS along_p95, round(max(along), 5) AS along_max, round(quantile_cont(crossing, 0.95), 5) AS cross_p95, round(max(crossing), 5) AS cross_max, round(quantile_cont(turn, 0.95), 4) AS deflection_p95,
+round(count(*) FILTER (along > 2.00001e0) * 1e2 / count(*), 6) AS over_target, round(count(*) FILTER (along > 5.00001e0) * 1e2 / count(*), 6) AS over_alert, round(count(*) FILTER (mag < 0.35) * 1e2 / count(*), 6) AS singular, round(max(step), 5) AS level_step,
+round(quantile_cont(step / mag, 0.05) FILTER (mag > 1e-6), 5) AS spacing_p05, round(quantile_cont(step / mag, 0.5) FILTER (mag > 1e-6), 5) AS spacing_p50, round(quantile_cont(step / mag, 0.95) FILTER (mag > 1e-6), 5) AS spacing_p95, round(count(*) FILTER (mag <= 1e-6 OR abs(step / mag / 1.5e0 - 1) > 1.00001e-1) * 1e2 / count(*), 6) AS spacing_outside FROM s GROUP BY field, theta, lam""")
 def gr14(spark, d):
-    cells = G.mask_cells(feed(spark, d, "cells"), feed(spark, d, "field_edges")).join(G.gradient(feed(spark, d, "cells")), G.RC)
-    out = G.orientation_sweep(cells, [5.0 * a for a in range(36)], [-6.0, -3.0, 0.0, 3.0, 6.0], 1.5, 2.00001, 5.00001)
-    return rounded(rounded(out, ["grade_p50", "grade_p95", "cross_p95", "level_step"], 5), ["over_target", "over_alert", "singular"])
+    cells = G.mask_cells(feed(spark, d, "cells"), feed(spark, d, "field_edges")).join(G.gradient(feed(spark, d, "cells")), G.RC).withColumns({"gx": F.col("gx") / 100, "gy": F.col("gy") / 100})
+    out = G.orientation_sweep(cells, [5.0 * a for a in range(36)], [-6.0, -3.0, 0.0, 3.0, 6.0], 1.5, 2.00001, 5.00001, 0.100001)
+    five = [f"along_{k}" for k in ("p50", "p90", "p95", "max")] + ["cross_p95", "cross_max", "level_step"] + [f"spacing_{k}" for k in ("p05", "p50", "p95")]
+    return rounded(rounded(rounded(out, five, 5), ["deflection_p95"], 4), ["over_target", "over_alert", "singular", "spacing_outside"])
 
 
 @query("gr15_sample", """WITH p AS (SELECT *, CAST(floor(x - 5e-1) AS INT) AS c0, CAST(floor(y - 5e-1) AS INT) AS r0, x - 5e-1 - floor(x - 5e-1) AS fx, y - 5e-1 - floor(y - 5e-1) AS fy FROM probes), o AS (SELECT p.*, r0 + a AS row, c0 + b AS col, (CASE a WHEN 1 THEN fy ELSE 1 - fy END) * (CASE b WHEN 1 THEN fx ELSE 1 - fx END) AS w FROM p, (VALUES (0), (1)) x(a), (VALUES (0), (1)) z(b)),
