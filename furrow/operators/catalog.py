@@ -54,6 +54,27 @@ def inventory_summary(inventory: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def capability_counts(inventory: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """Per capability (package_id, capability): packages, verified ones, and those that lack (MISSING or not in the inventory)."""
+    df = capabilities.join(inventory, "package_id", "left")
+    lack = c("status").isNull() | (c("status") == "MISSING")
+    return df.groupBy("capability").agg(F.count(F.lit(1)).alias("packages"), F.count_if(c("status") == "VERIFIED").alias("verified"), F.count_if(lack).alias("lacking"))
+
+
+def unresolved_parameters(params: DataFrame, resolved: DataFrame) -> DataFrame:
+    """parameter_id of the parameters without a value."""
+    return params.select("parameter_id").join(resolved.filter("value IS NOT NULL").select("parameter_id"), "parameter_id", "left_anti")
+
+
+def option_coverage(matrix: DataFrame) -> DataFrame:
+    """Of an option matrix: parameters, those with options, with a default, with several options, and per behaviour."""
+    n = lambda cond, name: F.count_if(cond).alias(name)
+    return matrix.agg(
+        F.count(F.lit(1)).alias("parameters"), n(c("options") > 0, "with_options"), n(c("default_model").isNotNull(), "with_default"), n(c("options") > 1, "with_choice"), n(c("behaviour") == "FAIL_CLOSED", "fail_closed"), n(c("behaviour") == "E0_VALUE", "e0_value"),
+        n(c("behaviour") == "REFERENCE", "reference"), n(~c("behaviour").isin("FAIL_CLOSED", "E0_VALUE", "REFERENCE"), "by_policy"),
+    )
+
+
 def top_blockers(df: DataFrame, n: int = 5) -> DataFrame:
     w = Window.partitionBy("level").orderBy("position", "package_id")
     return df.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= n)
@@ -180,6 +201,17 @@ def operation_limit(values: DataFrame, scope: DataFrame, how: str = "max") -> Da
     return values.select("project_id").join(g, "project_id", "left")
 
 
+def limit_conflicts(legacy: DataFrame, new: DataFrame, scope: DataFrame, consumed: DataFrame) -> DataFrame:
+    """project_id, key, rule. legacy: project_id, value (one limit for all operations); new: project_id, limits (map operation
+    to value); scope: project_id, operation; consumed: project_id, parameter. A legacy limit must not differ from the new
+    one of an operation in scope, and a registered operation that nothing consumes is told."""
+    ops = new.select("project_id", F.explode("limits").alias("operation", "value"))
+    both = ops.join(scope, ["project_id", "operation"], "left_semi").join(legacy.select("project_id", c("value").alias("old")), "project_id")
+    differ = both.filter("value != old").select("project_id", c("operation").alias("key"), F.lit("LEGACY_AND_NEW_CONFLICT").alias("rule"))
+    unused = ops.join(consumed.select("project_id", c("parameter").alias("operation")), ["project_id", "operation"], "left_anti").select("project_id", c("operation").alias("key"), F.lit("REGISTERED_BUT_UNUSED").alias("rule"))
+    return differ.unionByName(unused)
+
+
 def resolution_gate(df: DataFrame) -> DataFrame:
     """native, output, row_spacing, source, ground_filtered, verified: whether the terrain is fine enough."""
     eff = F.when(c("native").isNotNull() & c("output").isNotNull(), F.greatest("native", "output"))

@@ -162,20 +162,28 @@ def capsule_stay(half_width: float) -> Column:
 
 
 def split_lines(lengths: DataFrame, spans: DataFrame, min_len: float, key: str = "line_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines (key, length) without their merged spans: kept pieces with numbers and end states, pieces too short to keep,
-    and each line's length balance."""
+    """Lines (key, length) without their merged spans: kept pieces with numbers, ids, and state, termination and maneuver
+    status of either end; breaks (what was taken out and pieces too short to keep, numbered along the line); and each
+    line's length balance."""
     w = Window.partitionBy(key).orderBy("lo")
     inner = spans.join(lengths, key).select(key, F.greatest("lo", F.lit(0.0)).alias("lo"), F.least("hi", "length").alias("hi"), "length").filter("hi > lo")
     gaps = inner.select(key, F.coalesce(F.lag("hi").over(w), F.lit(0.0)).alias("lo"), c("lo").alias("hi"), F.when(F.lag("hi").over(w).isNull(), "SOURCE").otherwise("BARRIER").alias("start_state"), F.lit("BARRIER").alias("end_state"))
     tail = inner.groupBy(key, "length").agg(F.max("hi").alias("lo")).select(key, "lo", c("length").alias("hi"), F.lit("BARRIER").alias("start_state"), F.lit("SOURCE").alias("end_state"))
     free = lengths.join(inner.select(key).distinct(), key, "left_anti").select(key, F.lit(0.0).alias("lo"), c("length").alias("hi"), F.lit("SOURCE").alias("start_state"), F.lit("SOURCE").alias("end_state"))
     pieces = gaps.unionByName(tail).unionByName(free).filter("hi > lo + 1e-9").withColumn("kept", (c("hi") - c("lo")) >= min_len)
-    kept = pieces.filter("kept").withColumn("piece", F.row_number().over(Window.partitionBy(key).orderBy("lo"))).drop("kept")
+    numbered = lambda df, name, mark: df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy("lo"))).withColumn(f"{name}_id", F.concat(c(key).cast("string"), F.lit(f":{mark}"), F.lpad(c(name).cast("string"), 4, "0")))
+    kept = numbered(pieces.filter("kept").drop("kept"), "piece", "W")
+    for end in ("start", "end"):
+        cut = c(f"{end}_state") == "BARRIER"
+        kept = kept.withColumn(f"{end}_termination", F.when(cut, "WORK_TERMINATION_REQUIRED_BY_BARRIER").otherwise("SOURCE_TERMINATION_PRESERVED"))
+        kept = kept.withColumn(f"{end}_maneuver", F.when(cut, "PROHIBITED_BARRIER").otherwise("SOURCE_STATUS_PRESERVED"))
     removed = inner.groupBy(key).agg(F.sum(c("hi") - c("lo")).alias("removed"))
     both = pieces.groupBy(key).agg(F.sum(F.when(c("kept"), c("hi") - c("lo")).otherwise(0.0)).alias("kept_m"), F.sum(F.when(~c("kept"), c("hi") - c("lo")).otherwise(0.0)).alias("discarded_m"))
     bal = lengths.join(both, key, "left").join(removed, key, "left").fillna(0.0, ["kept_m", "discarded_m", "removed"])
     bal = bal.withColumn("balanced", F.abs(c("length") - c("kept_m") - c("discarded_m") - c("removed")) <= 1e-5)
-    return kept, pieces.filter("NOT kept").drop("kept"), bal
+    short = pieces.filter("NOT kept").select(key, "lo", "hi", F.lit("TOO_SHORT").alias("why"))
+    breaks = numbered(inner.select(key, "lo", "hi", F.lit("BARRIER").alias("why")).unionByName(short), "break", "B")
+    return kept, breaks, bal
 
 
 def line_metrics(vertices: DataFrame, step: float, target: float, alert: float, key: str = "line_id") -> DataFrame:
@@ -265,18 +273,51 @@ def simplicity(vertices: DataFrame, key: str = "line_id", cell: float = 50.0) ->
 
 
 def classify_endpoints(vertices: DataFrame, edges: DataFrame, tol: float, key: str = "line_id", cell: float = 50.0) -> DataFrame:
-    """Both ends of each line: nearest headland or obstacle edge (surface, id, seq, x0..y1) within tol; ties within 1e-6
-    go to the obstacle; beyond it the end is unsupported."""
+    """Both ends of each line: kind of the nearest surface, distance to it, and what that says of ending work and of turning
+    there. edges: surface (HEADLAND, OBSTACLE, BOUNDARY), x0..y1. Ties within 1e-6 go to the obstacle; a boundary counts
+    only where there is neither headland nor obstacle at all; beyond tol the end is unsupported."""
+    from furrow.operators import nearest as N
+
     e = vertices.groupBy(key).agg(F.min_by(F.struct("x", "y"), "seq").alias("START"), F.max_by(F.struct("x", "y"), "seq").alias("END"))
-    pts = e.select(key, F.expr("stack(2, 'START', START, 'END', END) AS (which, p)")).select(key, "which", c("p.x").alias("x"), c("p.y").alias("y"))
-    seg = _cells(edges.select("surface", *[c(k).alias(f"s_{k}") for k in ("x0", "y0", "x1", "y1")]), F.lit(tol + 1e-6), cell, "s_")
-    at = pts.withColumn("__cx", F.floor(c("x") / cell)).withColumn("__cy", F.floor(c("y") / cell))
-    d = X.pt_seg_dist(c("x"), c("y"), c("s_x0"), c("s_y0"), c("s_x1"), c("s_y1"))
-    near = at.join(seg, ["__cx", "__cy"]).withColumn("d", d).groupBy(key, "which").agg(F.min(F.when(c("surface") == "HEADLAND", c("d"))).alias("head"), F.min(F.when(c("surface") == "OBSTACLE", c("d"))).alias("obst"))
-    out = pts.select(key, "which").join(near, [key, "which"], "left").withColumn("big", F.lit(1e300))
-    h, o = F.coalesce("head", "big"), F.coalesce("obst", "big")
-    kind = F.when((o <= tol) & (o <= h + 1e-6), "UNCLASSIFIED_OBSTACLE_EDGE").when(h <= tol, "HEADLAND_WORK_EDGE").otherwise("INTERNAL_UNSUPPORTED_ENDPOINT")
-    return out.select(key, "which", kind.alias("kind"))
+    pts = e.select(key, F.expr("stack(2, 'START', START, 'END', END) AS (which, p)")).select(F.struct(key, "which").alias("point_id"), c("p.x").alias("x"), c("p.y").alias("y")).checkpoint()
+    segs = edges.select("surface", F.monotonically_increasing_id().alias("segment_id"), *N.ENDS).checkpoint()
+    away = lambda surface, name: N.nearest(pts, segs.filter(c("surface") == surface), max(cell, tol)).select("point_id", c("gap").alias(name))
+    out = pts.select("point_id").join(away("HEADLAND", "head"), "point_id", "left").join(away("OBSTACLE", "obst"), "point_id", "left").join(away("BOUNDARY", "edge"), "point_id", "left")
+    far = F.lit(float("inf"))
+    h, o = F.coalesce("head", far), F.coalesce("obst", far)
+    b = F.when(c("head").isNull() & c("obst").isNull(), F.coalesce("edge", far)).otherwise(far)
+    d = F.least(h, o, b)
+    kind = F.when(o <= d + 1e-6, F.struct(F.lit("UNCLASSIFIED_OBSTACLE_EDGE").alias("k"), o.alias("d"))).when(b <= d + 1e-6, F.struct(F.lit("WORK_AREA_BOUNDARY_UNCLASSIFIED").alias("k"), b.alias("d"))).otherwise(F.struct(F.lit("HEADLAND_WORK_EDGE").alias("k"), h.alias("d")))
+    out = out.withColumn("n", kind).withColumn("kind", F.when(c("n.d") > tol, "INTERNAL_UNSUPPORTED_ENDPOINT").otherwise(c("n.k")))
+    pick = lambda head, obst, edge, none: F.when(c("kind") == "HEADLAND_WORK_EDGE", head).when(c("kind") == "UNCLASSIFIED_OBSTACLE_EDGE", obst).when(c("kind") == "WORK_AREA_BOUNDARY_UNCLASSIFIED", edge).otherwise(none)
+    ends = pick("WORK_TERMINATION_GEOMETRICALLY_SUPPORTED", "WORK_TERMINATION_REQUIRED_BY_OBSTACLE", "WORK_TERMINATION_GEOMETRICALLY_SUPPORTED", "UNSUPPORTED_INTERNAL_TERMINATION")
+    turns = pick("NOT_EVALUATED_MISSING_FLEET_ENVELOPE", "NOT_AUTHORIZED_UNCLASSIFIED_OBSTACLE", "NOT_EVALUATED_UNCLASSIFIED_BOUNDARY", "PROHIBITED_NO_MANEUVER_SURFACE")
+    return out.select(f"point_id.{key}", "point_id.which", "kind", F.when(c("n.d") < far, c("n.d")).alias("distance"), ends.alias("termination"), turns.alias("maneuver"))
+
+
+def relation_counts(relations: DataFrame, groups: DataFrame, key: str = "line_id") -> DataFrame:
+    """Per line (of groups): in how many pairs it crosses, overlaps and touches others, and the codes of that; a pair counts
+    for both of its rows."""
+    own = relations.select(F.explode(F.array("a_id", "b_id")).alias(key), "relation")
+    n = own.groupBy(key).agg(*[F.count_if(c("relation") == k).alias(name) for k, name in (("CROSSING", "crossings"), ("OVERLAP", "overlaps"), ("TOUCH", "touches"))])
+    out = groups.select(key).distinct().join(n, key, "left").fillna(0, ["crossings", "overlaps", "touches"])
+    codes = F.array_compact(F.array(F.when(c("crossings") > 0, "ROW_CROSSING"), F.when(c("overlaps") > 0, "ROW_OVERLAP"), F.when(c("touches") > 0, "ROW_TOUCH")))
+    return out.withColumn("codes", F.array_join(codes, ","))
+
+
+def line_diagnostics(ends: DataFrame, simple: DataFrame, relations: DataFrame, radii: DataFrame, groups: DataFrame, key: str = "line_id") -> DataFrame:
+    """Per line: blockers and warnings of its ends, its own shape, its radii and its relations to others of its group."""
+    e = ends.groupBy(key).agg(*[F.max(c("kind") == k).alias(n) for k, n in (("INTERNAL_UNSUPPORTED_ENDPOINT", "loose"), ("HEADLAND_WORK_EDGE", "head"), ("UNCLASSIFIED_OBSTACLE_EDGE", "obst"), ("WORK_AREA_BOUNDARY_UNCLASSIFIED", "edge"))])
+    rel = relation_counts(relations, groups, key)
+    df = rel.join(e, key, "left").join(simple, key, "left").join(radii.select(key, "violations"), key, "left")
+    some = lambda *pairs: F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(x, F.lit(False)), F.lit(n)) for x, n in pairs])), ",")
+    blockers = some(
+        (c("ring"), "CLOSED_LOOP_WITHOUT_APPROVED_ENTRY"), (c("loose"), "INTERNAL_UNSUPPORTED_ENDPOINT"), (c("violations") > 0, "MINIMUM_RADIUS_VIOLATION"), (c("crossings") > 0, "ROW_CROSSING"), (c("overlaps") > 0, "ROW_OVERLAP"), (c("touches") > 0, "ROW_TOUCH"),
+        (c("self_intersections") > 0, "SELF_INTERSECTION"),
+    )
+    warnings = some((c("head"), "HEADLAND_MANEUVER_NOT_VERIFIED"), (c("obst"), "OBSTACLE_ACCESS_AND_MANEUVER_NOT_VERIFIED"), (c("edge"), "TERMINAL_SURFACE_NOT_CLASSIFIED"))
+    out = df.select(key, blockers.alias("blockers"), warnings.alias("warnings"), "crossings", "overlaps", "touches")
+    return out.withColumn("topology", F.when(c("blockers") == "", "PASS").otherwise("FAIL")).withColumn("continuity", F.when(c("blockers") == "", "E0_GEOMETRY_ONLY_PENDING_FLEET_AND_MANEUVER_REVIEW").otherwise("FAIL_GEOMETRY"))
 
 
 def adjacent_spacing(vertices: DataFrame, levels: DataFrame, spacing: float, factor: float = 2.0, step: float = 12.0, trim: float = 3.0, outside: float = 0.15, key: str = "line_id") -> DataFrame:

@@ -6,6 +6,7 @@ Unit spacing unless res says otherwise; the centre of cell (row, col) is ((col +
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,8 +186,11 @@ def spacing_from_levels(cells: DataFrame, levels: DataFrame) -> DataFrame:
     """Each cell (phi, grad) takes the interval between declared levels that holds its phase, clipped to the first and
     last; spacing is interval over gradient, infinite where the gradient is next to nothing. levels: grid_id, level."""
     every = levels.groupBy("grid_id").agg(F.sort_array(F.collect_set("level")).alias("__levels")).filter(F.size("__levels") > 1)
-    # of n levels, the interval that begins with the last one not above the phase, and no further than the last interval
-    n = F.size(F.filter("__levels", lambda x: x <= c("phi")))
+    # how many levels aren't above the phase, by bisection: steps of falling powers of two
+    steps = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.lit(1 << 30) / F.pow(F.lit(2.0), k)).cast("array<int>")
+    below = lambda at, step: F.when((at + step <= F.size("__levels")) & (F.get("__levels", at + step - 1) <= c("phi")), at + step).otherwise(at)
+    n = F.aggregate(steps, F.lit(0), below)
+    # the interval that begins with the last of them, and no further than the last interval
     at = F.greatest(F.lit(1), F.least(n, F.size("__levels") - 1))
     gap = F.get("__levels", at) - F.get("__levels", at - 1)
     out = cells.join(every, "grid_id").filter(c("phi").isNotNull())
@@ -251,7 +255,12 @@ def density_grid(points: DataFrame, res: float) -> DataFrame:
 
 
 def point_profile(points: DataFrame) -> DataFrame:
+    """One row: extremes, classes, returns and times of a point table, and whether it has colours: the columns red, green
+    and blue with a value other than zero in any row."""
+    rgb = [n for n in ("red", "green", "blue") if n in points.columns]
+    coloured = F.coalesce(F.max(reduce(lambda a, b: a | b, [F.coalesce(c(n) != 0, F.lit(False)) for n in rgb])), F.lit(False)) if len(rgb) == 3 else F.lit(False)
     return points.agg(
+        coloured.alias("has_rgb"),
         F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{n}_{a}") for a in ("x", "y", "z") for n, f in (("min", F.min), ("max", F.max))], F.min("classification").alias("min_class"), F.max("classification").alias("max_class"),
         F.count_if(c("classification") == 2).alias("ground"), F.avg("returns").alias("mean_returns"), F.min("time").alias("min_time"), F.max("time").alias("max_time"),
     )
@@ -373,7 +382,6 @@ def grid_components(mask: DataFrame, work: str | None = None) -> DataFrame:
     nodes = mask.select(key(0, 0).alias("n"), "field").distinct()
     right = nodes.select("n", F.explode(F.array(*[F.struct(c("n.field").alias("field"), c("n.grid_id").alias("grid_id"), (c("n.row") + r).alias("row"), (c("n.col") + k).alias("col")) for r, k in ((0, 1), (1, 0))])).alias("m"))
     edges = right.join(nodes.select(c("n").alias("m")), "m").select(c("n").alias("a"), c("m").alias("b"))
-    text = lambda x: F.format_string("%s:%d:%d:%d", c(f"{x}.field"), c(f"{x}.grid_id"), c(f"{x}.row"), c(f"{x}.col"))
-    label = components(nodes.select(text("n").alias("node")), edges.select(text("a").alias("a"), text("b").alias("b")))
-    out = label.groupBy(F.substring_index("node", ":", 1).alias("field")).agg(F.countDistinct("component").alias("components"))
+    label = components(nodes.select(c("n").alias("node")), edges)
+    out = label.groupBy("node.field").agg(F.countDistinct("component").alias("components"))
     return out.withColumn("verdict", F.when(c("components") == 1, "PASS").otherwise("FAIL"))

@@ -20,18 +20,20 @@ def segment_mass(df: DataFrame, width: float, uniform: float | None = None) -> D
 
 
 def load_events(segments: DataFrame, capacity: float, tol: float = 1e-8) -> DataFrame:
-    """run_id, k, kind, segment_id, offset_mass, mass_t: a FULL event each time a run's mass reaches a multiple of the
-    capacity (in the segment that reaches it), and what is left as PARTIAL at the run's end. The multiples come from
-    running sums, not from a loop. Order within a run: (sequence, segment_id), then mass."""
+    """run_id, k, kind, segment_id, station_m, mass_t: a FULL event each time a run's mass reaches a multiple of the capacity,
+    at its station in the segment (run_id, sequence, segment_id, mass_t, length_m) that reaches it, and what is left as
+    PARTIAL at the end of the run's last segment. The multiples come from running sums, not from a loop. Order within a
+    run: (sequence, segment_id), then mass."""
     w = Window.partitionBy("run_id").orderBy("sequence", "segment_id", "mass_t")
     s = segments.withColumn("m1", F.sum("mass_t").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("m0", c("m1") - c("mass_t"))
     k0, k1 = F.floor((c("m0") + tol) / capacity), F.floor((c("m1") + tol) / capacity)
     full = s.filter(k1 > k0).withColumn("k", F.explode(F.sequence(k0 + 1, k1)))
-    full = full.select("run_id", "k", F.lit("FULL").alias("kind"), "segment_id", (c("k") * capacity - c("m0")).alias("offset_mass"), F.lit(float(capacity)).alias("mass_t"))
-    last = s.groupBy("run_id").agg(F.max_by(F.struct("segment_id", "m1", "mass_t"), F.struct("sequence", "segment_id", "m1")).alias("e")).select("run_id", "e.*")
+    station = F.least(c("length_m"), F.coalesce(F.try_divide(c("k") * capacity - c("m0"), c("mass_t")), F.lit(1.0)) * c("length_m"))
+    full = full.select("run_id", "k", F.lit("FULL").alias("kind"), "segment_id", F.greatest(station, F.lit(0.0)).alias("station_m"), F.lit(float(capacity)).alias("mass_t"))
+    last = s.groupBy("run_id").agg(F.max_by(F.struct("segment_id", "m1", "length_m"), F.struct("sequence", "segment_id", "m1")).alias("e")).select("run_id", "e.*")
     done = F.floor((c("m1") + tol) / capacity)
     part = last.withColumn("rest", c("m1") - done * capacity).filter(c("rest") > tol)
-    part = part.select("run_id", (done + 1).alias("k"), F.lit("PARTIAL").alias("kind"), "segment_id", c("mass_t").alias("offset_mass"), c("rest").alias("mass_t"))
+    part = part.select("run_id", (done + 1).alias("k"), F.lit("PARTIAL").alias("kind"), "segment_id", c("length_m").alias("station_m"), c("rest").alias("mass_t"))
     return full.unionByName(part)
 
 

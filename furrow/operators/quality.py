@@ -32,6 +32,16 @@ def reconcile(declared: DataFrame, observed: DataFrame, key: str, tol: float = 1
     return df.withColumn("rule", why).filter("rule IS NOT NULL")
 
 
+def check_line_nodes(lines: DataFrame, nodes: DataFrame, key: str = "line_id") -> DataFrame:
+    """key, rule of lines that don't have exactly one START and one END node (nodes: key, endpoint), and of nodes without a line."""
+    n = lambda k: F.count_if(c("endpoint") == k).alias(k)
+    g = nodes.groupBy(key).agg(n("START"), n("END"), F.count(F.lit(1)).alias("all")).withColumn("__node", F.lit(True))
+    df = lines.select(key).distinct().withColumn("__line", F.lit(True)).join(g, key, "full")
+    one = lambda k: F.coalesce(c(k), F.lit(0)) != 1
+    codes = codes_when(("NO_SUCH_LINE", c("__line").isNull()), ("START_NOT_ONE", one("START")), ("END_NOT_ONE", one("END")), ("OTHER_NODES", F.coalesce(c("all") > c("START") + c("END"), F.lit(False))))
+    return df.select(key, codes.alias("codes")).filter("codes != ''")
+
+
 def check_values(values: DataFrame, rules: DataFrame) -> DataFrame:
     """values: row_id, name, value (text); rules: name, kind (number, text, enum), low, high, pattern, choices (array),
     required. First violated rule of each value; and required names that a row lacks."""
@@ -137,10 +147,39 @@ def check_requirements(requests: DataFrame, values: DataFrame, rules: DataFrame)
     return df.withColumn("rule", why).filter("rule IS NOT NULL").select("request_id", "name", "rule")
 
 
-def check_artifacts(declared: DataFrame, scan: DataFrame) -> DataFrame:
-    """name, size, sha256 on both sides."""
-    df = declared.select("name", c("size").alias("ds"), c("sha256").alias("dh")).join(scan.select("name", c("size").alias("ss"), c("sha256").alias("sh")), "name", "full")
-    return df.select("name", F.when(c("ss").isNull(), "MISSING").when(c("ds").isNull(), "UNDECLARED").when((c("ds") != c("ss")) | (c("dh") != c("sh")), "CHANGED").otherwise("OK").alias("verdict"))
+def check_artifacts(declared: DataFrame, scan: DataFrame, prefix: str | None = None) -> DataFrame:
+    """name, verdict of files (name, size, sha256 on both sides). With a prefix both sides also have a project: a declared
+    name must lie under prefix/project/, and a file that another project declares is told."""
+    more = ["project"] if prefix is not None else []
+    d = declared.select("name", c("size").alias("ds"), c("sha256").alias("dh"), *[c(x).alias(f"d_{x}") for x in more])
+    s = scan.select("name", c("size").alias("ss"), c("sha256").alias("sh"), *[c(x).alias(f"s_{x}") for x in more])
+    df = d.join(s, "name", "full")
+    why = F.when(c("ss").isNull(), "MISSING").when(c("ds").isNull(), "UNDECLARED")
+    if prefix is not None:
+        why = why.when(~c("name").startswith(F.concat(F.lit(f"{prefix.rstrip('/')}/"), c("d_project").cast("string"), F.lit("/"))), "OUTSIDE_PREFIX").when(c("d_project") != c("s_project"), "WRONG_PROJECT")
+    return df.select("name", why.when((c("ds") != c("ss")) | (c("dh") != c("sh")), "CHANGED").otherwise("OK").alias("verdict"))
+
+
+def artifact_totals(scan: DataFrame, most_files: int = 2000, most_bytes: int = 2 << 30) -> DataFrame:
+    """Per project: files, bytes, and which of the limits of a delivery they pass."""
+    g = scan.groupBy("project").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    return g.select("project", "files", "bytes", codes_when(("TOO_MANY_FILES", c("files") > most_files), ("TOO_MANY_BYTES", c("bytes") > most_bytes)).alias("codes"))
+
+
+def set_digests(rows: DataFrame, by: list[str], items: list[str]) -> DataFrame:
+    """by, n, digest: how many distinct items each group has, and 128 bits that don't depend on their order or repeats.
+    Partial digests merge, so a group of any size is never gathered."""
+    half = lambda k: F.bit_xor(F.xxhash64(F.lit(k), *items))
+    g = rows.select(*by, *items).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n"), half(1).alias("__a"), half(2).alias("__b"))
+    return g.select(*by, "n", F.concat(F.hex("__a"), F.lit("-"), F.hex("__b")).alias("digest"))
+
+
+def check_frozen_sets(run: DataFrame, frozen: DataFrame, by: list[str], items: list[str]) -> DataFrame:
+    """by, n_run, n_frozen, verdict: whether a run's set is the one that was frozen."""
+    a, b = (set_digests(df, by, items).select(*by, c("n").alias(f"n_{k}"), c("digest").alias(f"d_{k}")) for df, k in ((run, "run"), (frozen, "frozen")))
+    df = a.join(b, by, "full")
+    why = F.when(c("n_frozen").isNull(), "NOT_FROZEN").when(c("n_run").isNull(), "NOT_RUN").when((c("n_run") != c("n_frozen")) | (c("d_run") != c("d_frozen")), "SET_DIFFERS").otherwise("SAME")
+    return df.select(*by, F.coalesce("n_run", F.lit(0)).alias("n_run"), F.coalesce("n_frozen", F.lit(0)).alias("n_frozen"), why.alias("verdict"))
 
 
 def check_claims(df: DataFrame, flags: list[str], required: list[str]) -> DataFrame:
@@ -186,10 +225,21 @@ def check_products(requested: DataFrame, deps: DataFrame) -> DataFrame:
     return need.join(requested, ["request_id", "product_id"], "left_anti")
 
 
-def check_publication(summaries: DataFrame, min_lines: int = 1, cover: tuple[float, float] = (70.0, 130.0)) -> DataFrame:
-    """group_id, n_lines, shortest, blockers, grade_p95, coverage: codes against publication."""
+def check_publication(summaries: DataFrame, min_lines: int = 1, cover: tuple[float, float] = (70.0, 130.0), most_grade: float = 5.0, most_cross: float | None = None) -> DataFrame:
+    """group_id, n_lines, shortest, blockers, grade_p95, coverage (and cross_p95 where there is a limit to it): codes against
+    publication."""
     real = F.filter(F.split(F.coalesce("blockers", F.lit("")), ","), lambda x: (x != "") & (x != "DIAGNOSTIC_ONLY"))
-    return summaries.select("group_id", codes_when(("EMPTY", c("n_lines") < min_lines), ("TOO_SHORT", c("shortest") < 8), ("BLOCKED", F.size(real) > 0), ("GRADE", c("grade_p95") > 5), ("COVERAGE", ~c("coverage").between(*cover))).alias("codes"))
+    cross = [("CROSS_SLOPE", c("cross_p95") > most_cross)] if most_cross is not None else []
+    return summaries.select("group_id", codes_when(("EMPTY", c("n_lines") < min_lines), ("TOO_SHORT", c("shortest") < 8), ("BLOCKED", F.size(real) > 0), ("GRADE", c("grade_p95") > most_grade), *cross, ("COVERAGE", ~c("coverage").between(*cover))).alias("codes"))
+
+
+def check_summary_count(summaries: DataFrame, fields: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """field, n, expected, rule of the fields that don't have one summary for each scenario."""
+    want = scenarios.agg(F.countDistinct("scenario_id").alias("expected"))  # one row
+    n = summaries.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("scenario_id").alias("distinct"))
+    df = fields.select("field").distinct().join(n, "field", "full").fillna(0, ["n", "distinct"]).crossJoin(want)
+    why = F.when(c("n") != c("distinct"), "REPEATED_SUMMARY").when(c("n") < c("expected"), "SUMMARY_MISSING").when(c("n") > c("expected"), "SUMMARY_UNEXPECTED")
+    return df.select("field", "n", "expected", why.alias("rule")).filter("rule IS NOT NULL")
 
 
 def barrier_decision(df: DataFrame) -> DataFrame:

@@ -34,12 +34,18 @@ def add_losses(df: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumn("loss_grade", F.greatest("grade_n", "cross_n")).withColumn("loss_balanced", weighted(BALANCED))
 
 
-def gate(df: DataFrame, by: list[str], most_singular: float = 0.5, most_spacing: float = 35.0, fall_back: bool = True) -> DataFrame:
-    """Rows under the limits; a group without any falls back to all its rows, or goes."""
-    ok = F.coalesce((c("singular") <= most_singular) & (c("spacing") <= most_spacing), F.lit(False))
+def gate(df: DataFrame, by: list[str], most_singular: float = 0.5, most_spacing: float = 35.0, fall_back: bool = True, most_grade: float | None = None, most_cross: float | None = None) -> DataFrame:
+    """Rows under the limits (singular, spacing; grade_max and cross_max where a limit is given). A group without any falls
+    back to all its rows; without fall_back that is an error that names such a group."""
+    ok = (c("singular") <= most_singular) & (c("spacing") <= most_spacing)
+    for name, most in (("grade_max", most_grade), ("cross_max", most_cross)):
+        ok = ok & (c(name) <= most) if most is not None else ok
+    ok = F.coalesce(ok, F.lit(False))
     any_ok = df.groupBy(*by).agg(F.max(ok).alias("__any"))
+    if not fall_back and (none := any_ok.filter("NOT __any").first()):
+        raise ValueError(f"no feasible candidate in {', '.join(f'{n}={none[n]}' for n in by)}")
     out = df.join(any_ok, by).withColumn("gated", ok)
-    return out.filter(c("gated") | ~c("__any") if fall_back else c("gated")).drop("__any")
+    return out.filter(c("gated") | ~c("__any")).drop("__any")
 
 
 def select_candidate(df: DataFrame, by: list[str], loss: str, alert: float | None = None) -> DataFrame:
@@ -155,6 +161,12 @@ def interval_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def candidate_ratios(df: DataFrame, key: str) -> DataFrame:
+    """Per candidate the ratios of interval_summary: fragmentation, retained length and split source rows in percent; null
+    where there is nothing to compare with."""
+    return df.select(key, F.try_divide(c("segments"), c("n_rows")).alias("fragmentation"), (F.try_divide(c("kept_m"), c("base_m")) * 100).alias("retained_percent"), (F.try_divide(c("split_rows"), c("n_rows")) * 100).alias("split_percent"))
+
+
 def shortlist(df: DataFrame, n: int = 3) -> DataFrame:
     """The first n rows of each run, eligible ones first, then by score."""
     w = Window.partitionBy("run_id").orderBy(c("eligible").desc(), c("score").desc(), "scenario_id")

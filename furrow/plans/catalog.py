@@ -36,6 +36,10 @@ CASE s_suppkey % 5 WHEN 0 THEN 'ALL' WHEN 1 THEN concat('S', s_suppkey % 6) WHEN
 FEEDS["contexts_ct"] = """SELECT c_custkey AS context_id, n_name AS country, CASE c_custkey % 3 WHEN 0 THEN 'CORN' WHEN 1 THEN 'CANE' ELSE 'SOY' END AS crop, concat('S', c_custkey % 6) AS state, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE 'trial plots' END AS justification FROM customer JOIN nation ON n_nationkey = c_nationkey"""
 FEEDS["regions_ct"] = """SELECT 'S1' AS state, 'SOUTH' AS tag UNION ALL SELECT 'S2', 'SOUTH' UNION ALL SELECT 'S2', 'CENTER_SOUTH' UNION ALL SELECT 'S3', 'NORTH'"""
 
+FEEDS["delivery_dq"] = """SELECT p_partkey AS k, p_partkey % 7 + CASE WHEN p_size > 40 THEN 0 ELSE 10 END AS project, concat(CASE WHEN p_partkey % 6 = 1 THEN 'tmp/' ELSE 'out/' END, p_partkey % 7 + CASE WHEN p_size > 40 THEN 0 ELSE 10 END, '/', p_partkey, '.tif') AS name, CAST(p_size * 100 AS BIGINT) AS size, p_name AS sha256 FROM part"""
+FEEDS["frozen_dq"] = """SELECT l_orderkey AS request_id, l_partkey % 7 AS product_id FROM lineitem WHERE l_orderkey % 13 <> 2"""
+FEEDS["run_dq"] = """SELECT l_orderkey AS request_id, l_partkey % 7 AS product_id FROM lineitem WHERE l_orderkey % 17 <> 3 AND NOT (l_orderkey % 10 = 0 AND l_linenumber = 1) UNION ALL SELECT l_orderkey, 9 FROM lineitem WHERE l_orderkey % 15 = 1 AND l_orderkey % 17 <> 3 UNION ALL SELECT l_orderkey, l_partkey % 7 FROM lineitem WHERE l_orderkey % 4 = 1 AND l_orderkey % 17 <> 3"""
+
 QUERIES, ORACLES = {}, {}
 c = F.col
 
@@ -80,6 +84,16 @@ def ct4(spark, d):
     return C.inventory_summary(feed(spark, d, "inventory"))
 
 
+@query("ct4_capability_counts", """SELECT level AS capability, count(*) AS packages, count(*) FILTER (status = 'VERIFIED') AS verified, count(*) FILTER (status IS NULL OR status = 'MISSING') AS lacking FROM (SELECT package_id, level FROM levels_ct UNION ALL SELECT -1, 'E9') l LEFT JOIN inventory USING (package_id) GROUP BY level""")
+def ct4c(spark, d):
+    return C.capability_counts(feed(spark, d, "inventory"), feed(spark, d, "SELECT package_id, level AS capability FROM levels_ct UNION ALL SELECT -1, 'E9'"))
+
+
+@query("ct4_unresolved", """SELECT parameter_id FROM params_ct WHERE parameter_id NOT IN (SELECT parameter_id FROM base_ct WHERE value IS NOT NULL)""")
+def ct4u(spark, d):
+    return C.unresolved_parameters(feed(spark, d, "params_ct"), feed(spark, d, "base_ct"))
+
+
 @query("ct5_top_blockers", """SELECT level, package_id, rank FROM (SELECT level, l.package_id, row_number() OVER (PARTITION BY level ORDER BY l.package_id % 10, l.package_id) AS rank FROM levels_ct l JOIN inventory i ON i.package_id = l.package_id WHERE status = 'MISSING') WHERE rank <= 5""")
 def ct5(spark, d):
     df = feed(spark, d, "SELECT l.level, l.package_id, l.package_id % 10 AS position FROM levels_ct l JOIN inventory i ON i.package_id = l.package_id WHERE status = 'MISSING'")
@@ -91,6 +105,12 @@ def ct6(spark, d):
     return C.option_matrix(feed(spark, d, "params_ct"), feed(spark, d, "options_ct")).select("parameter_id", "options", "default_model", "behaviour")
 
 
+@query("ct6_option_coverage", """WITH o AS (SELECT parameter_id, count(*) AS options, min(model_id) FILTER (is_default) AS dm FROM options_ct WHERE selectable GROUP BY parameter_id), m AS (SELECT coalesce(options, 0) AS options, dm, CASE WHEN safety AND dm IS NULL THEN 'FAIL_CLOSED' WHEN policy = 'E0' THEN 'E0_VALUE' WHEN options > 0 THEN 'REFERENCE' ELSE policy END AS b FROM params_ct p LEFT JOIN o ON o.parameter_id = p.parameter_id)
+SELECT count(*) AS parameters, count(*) FILTER (options > 0) AS with_options, count(dm) AS with_default, count(*) FILTER (options > 1) AS with_choice, count(*) FILTER (b = 'FAIL_CLOSED') AS fail_closed, count(*) FILTER (b = 'E0_VALUE') AS e0_value, count(*) FILTER (b = 'REFERENCE') AS reference, count(*) FILTER (b NOT IN ('FAIL_CLOSED', 'E0_VALUE', 'REFERENCE')) AS by_policy FROM m""")
+def ct6c(spark, d):
+    return C.option_coverage(C.option_matrix(feed(spark, d, "params_ct"), feed(spark, d, "options_ct")))
+
+
 @query("ct7_resolve_presets", """WITH g AS (SELECT parameter_id, count(*) FILTER (mode = 'DIRECT') AS d, count(*) FILTER (mode = 'REFERENCE') AS r, count(*) FILTER (mode = 'ASSEMBLY') AS a, count(*) FILTER (mode = 'LOOKUP') AS l, count(*) FILTER (mode = 'TEMPLATE') AS t, min(value) FILTER (mode = 'DIRECT') AS vd, min(value) FILTER (mode = 'REFERENCE') AS vr, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM modes_ct GROUP BY parameter_id),
 x AS (SELECT p.parameter_id, c.value AS cv, g.*, CASE WHEN c.value IS NOT NULL THEN 'CUSTOM' WHEN d > 0 THEN 'DIRECT' WHEN r = 1 THEN 'REFERENCE' WHEN a > 0 THEN 'ASSEMBLY' WHEN l > 0 THEN 'LOOKUP' WHEN t > 0 THEN 'TEMPLATE' ELSE 'POLICY' END AS mode FROM (SELECT parameter_id AS pid, parameter_id FROM params_ct) p LEFT JOIN custom_ct c ON c.parameter_id = p.pid LEFT JOIN (SELECT parameter_id AS gid, d, r, a, l, t, vd, vr, sources FROM g) g ON gid = p.pid)
 SELECT parameter_id, mode, CASE mode WHEN 'CUSTOM' THEN cv WHEN 'DIRECT' THEN vd WHEN 'REFERENCE' THEN vr END AS value, sources FROM x""")
@@ -160,6 +180,14 @@ def ct17(spark, d):
     return C.operation_limit(values, scope)
 
 
+@query("ct17_limit_conflicts", """SELECT c_custkey AS project_id, 'plant' AS key, 'LEGACY_AND_NEW_CONFLICT' AS rule FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 3 = 0 AND c_nationkey <> 7 UNION ALL SELECT c_custkey, 'harvest', 'LEGACY_AND_NEW_CONFLICT' FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 2 = 0 AND c_custkey % 40 <> 7 UNION ALL SELECT c_custkey, 'harvest', 'REGISTERED_BUT_UNUSED' FROM customer WHERE c_custkey % 4 = 1""")
+def ct17c(spark, d):
+    new = feed(spark, d, "SELECT c_custkey AS project_id, map('plant', CAST(c_nationkey AS BIGINT), 'harvest', c_custkey % 40) AS limits FROM customer")
+    scope = feed(spark, d, "SELECT c_custkey AS project_id, 'plant' AS operation FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'harvest' FROM customer WHERE c_custkey % 2 = 0")
+    used = feed(spark, d, "SELECT c_custkey AS project_id, 'plant' AS parameter FROM customer UNION ALL SELECT c_custkey, 'harvest' FROM customer WHERE c_custkey % 4 <> 1")
+    return C.limit_conflicts(feed(spark, d, "SELECT c_custkey AS project_id, 7 AS value FROM customer WHERE c_custkey % 5 = 0"), new, scope, used)
+
+
 @query("ct18_resolution_gate", """SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN greatest(p_size * 1e-1, (p_partkey % 9) * 5e-1) END AS effective, coalesce((p_partkey % 9) * 5e-1 < CASE WHEN p_partkey % 11 <> 0 THEN p_size * 1e-1 END, false) AS upsampled,
 CASE WHEN p_partkey % 13 = 0 OR p_partkey % 11 = 0 THEN 'RESOLUTION_UNVERIFIED' WHEN greatest(p_size * 1e-1, (p_partkey % 9) * 5e-1) > 3 + 1e-9 THEN 'TOO_COARSE' WHEN p_partkey % 2 = 0 AND p_partkey % 3 <> 0 THEN 'GROUND_FILTER_REQUIRED' ELSE 'PASS' END AS gate FROM part""")
 def ct18(spark, d):
@@ -185,6 +213,13 @@ def dq3(spark, d):
     return Q.reconcile(dec, obs, "k")
 
 
+@query("dq3_line_nodes", """WITH n AS (SELECT l_orderkey AS k, count(*) FILTER (l_linenumber = 1) AS s, count(*) FILTER (l_linenumber = 2) AS e, count(*) FILTER (l_linenumber = 3) AS o FROM lineitem WHERE l_linenumber < 4 GROUP BY l_orderkey), l AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 9 <> 4)
+SELECT coalesce(n.k, l.k) AS line_id, concat_ws(',', CASE WHEN l.k IS NULL THEN 'NO_SUCH_LINE' END, CASE WHEN coalesce(s, 0) <> 1 THEN 'START_NOT_ONE' END, CASE WHEN coalesce(e, 0) <> 1 THEN 'END_NOT_ONE' END, CASE WHEN o > 0 THEN 'OTHER_NODES' END) AS codes FROM n FULL JOIN l ON l.k = n.k WHERE l.k IS NULL OR coalesce(s, 0) <> 1 OR coalesce(e, 0) <> 1 OR o > 0""")
+def dq3n(spark, d):
+    nodes = feed(spark, d, "SELECT l_orderkey AS line_id, CASE l_linenumber WHEN 1 THEN 'START' WHEN 2 THEN 'END' ELSE 'MIDDLE' END AS endpoint FROM lineitem WHERE l_linenumber < 4")
+    return Q.check_line_nodes(feed(spark, d, "SELECT o_orderkey AS line_id FROM orders WHERE o_orderkey % 9 <> 4"), nodes)
+
+
 @query("dq4_values", """SELECT p_partkey AS row_id, 'size' AS name, CASE WHEN p_partkey % 20 = 0 THEN 'NOT_A_NUMBER' WHEN p_size < 3 THEN 'BELOW_MINIMUM' ELSE 'ABOVE_MAXIMUM' END AS rule FROM part WHERE p_partkey % 20 = 0 OR p_size < 3 OR p_size > 45 UNION ALL SELECT p_partkey, 'brand', 'PATTERN' FROM part WHERE NOT regexp_matches(p_brand, '^Brand#1')
 UNION ALL SELECT p_partkey, 'type', 'NOT_A_CHOICE' FROM part WHERE p_partkey % 7 <> 0 AND p_type NOT IN ('ECONOMY', 'STANDARD') UNION ALL SELECT p_partkey, 'type', 'MISSING' FROM part WHERE p_partkey % 7 = 0""")
 def dq4(spark, d):
@@ -246,6 +281,18 @@ def dq8(spark, d):
     return Q.check_artifacts(dec, scan)
 
 
+@query("dq8_delivery", """SELECT name, CASE WHEN k % 10 = 0 THEN 'MISSING' WHEN k % 7 = 0 THEN 'UNDECLARED' WHEN k % 6 = 1 THEN 'OUTSIDE_PREFIX' WHEN k % 11 = 3 THEN 'WRONG_PROJECT' WHEN k % 9 = 4 THEN 'CHANGED' ELSE 'OK' END AS verdict FROM delivery_dq WHERE NOT (k % 10 = 0 AND k % 7 = 0)""")
+def dq8p(spark, d):
+    dec = feed(spark, d, "SELECT name, project, size, sha256 FROM delivery_dq WHERE k % 7 <> 0")
+    scan = feed(spark, d, "SELECT name, CASE WHEN k % 11 = 3 THEN project + 1 ELSE project END AS project, CASE WHEN k % 9 = 4 THEN size + 1 ELSE size END AS size, sha256 FROM delivery_dq WHERE k % 10 <> 0")
+    return Q.check_artifacts(dec, scan, "out")
+
+
+@query("dq8_totals", """SELECT project, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, concat_ws(',', CASE WHEN count(*) > 40 THEN 'TOO_MANY_FILES' END, CASE WHEN sum(size) > 60000 THEN 'TOO_MANY_BYTES' END) AS codes FROM delivery_dq GROUP BY project""")
+def dq8t(spark, d):
+    return Q.artifact_totals(feed(spark, d, "delivery_dq"), 40, 60_000)
+
+
 @query("dq9_claims", """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 8 = 0 THEN 'approved' ELSE '' END AS forbidden, CASE WHEN s_suppkey % 5 = 0 THEN 'SCREENING_ONLY' ELSE '' END AS missing FROM supplier WHERE s_suppkey % 8 = 0 OR s_suppkey % 5 = 0""")
 def dq9(spark, d):
     df = feed(spark, d, "SELECT s_suppkey AS id, s_suppkey % 8 = 0 AS approved, false AS released FROM supplier").withColumn("limitations", F.when(c("id") % 5 == 0, F.array(F.lit("NOT_FOR_BUILDING"))).otherwise(F.array(F.lit("NOT_FOR_BUILDING"), F.lit("SCREENING_ONLY"))))
@@ -281,9 +328,22 @@ def dq14(spark, d):
     return Q.check_products(req, feed(spark, d, "SELECT product_id, requires AS needs FROM products_ct WHERE requires IS NOT NULL"))
 
 
-@query("dq15_publication", """SELECT p_partkey AS group_id, concat_ws(',', CASE WHEN p_size % 10 = 0 THEN 'EMPTY' END, CASE WHEN p_size < 8 THEN 'TOO_SHORT' END, CASE WHEN p_partkey % 4 = 1 THEN 'BLOCKED' END, CASE WHEN p_partkey % 9 > 5 THEN 'GRADE' END, CASE WHEN p_partkey % 150 NOT BETWEEN 70 AND 130 THEN 'COVERAGE' END) AS codes FROM part""")
+@query("dq14_frozen_sets", """WITH a AS (SELECT request_id, list_sort(list_distinct(list(product_id))) AS s FROM frozen_dq GROUP BY request_id), b AS (SELECT request_id, list_sort(list_distinct(list(product_id))) AS s FROM run_dq GROUP BY request_id)
+SELECT request_id, coalesce(len(b.s), 0) AS n_run, coalesce(len(a.s), 0) AS n_frozen, CASE WHEN a.s IS NULL THEN 'NOT_FROZEN' WHEN b.s IS NULL THEN 'NOT_RUN' WHEN a.s <> b.s THEN 'SET_DIFFERS' ELSE 'SAME' END AS verdict FROM a FULL JOIN b USING (request_id)""")
+def dq14f(spark, d):
+    return Q.check_frozen_sets(feed(spark, d, "run_dq"), feed(spark, d, "frozen_dq"), ["request_id"], ["product_id"])
+
+
+@query("dq15_publication", """SELECT p_partkey AS group_id, concat_ws(',', CASE WHEN p_size % 10 = 0 THEN 'EMPTY' END, CASE WHEN p_size < 8 THEN 'TOO_SHORT' END, CASE WHEN p_partkey % 4 = 1 THEN 'BLOCKED' END, CASE WHEN p_partkey % 9 > 5 THEN 'GRADE' END, CASE WHEN p_partkey % 12 > 10 THEN 'CROSS_SLOPE' END, CASE WHEN p_partkey % 150 NOT BETWEEN 70 AND 130 THEN 'COVERAGE' END) AS codes FROM part""")
 def dq15(spark, d):
-    return Q.check_publication(feed(spark, d, "SELECT p_partkey AS group_id, p_size % 10 AS n_lines, p_size * 1e0 AS shortest, CASE p_partkey % 4 WHEN 0 THEN 'DIAGNOSTIC_ONLY' WHEN 1 THEN 'DIAGNOSTIC_ONLY,RADIUS' WHEN 2 THEN NULL ELSE '' END AS blockers, p_partkey % 9 AS grade_p95, p_partkey % 150 AS coverage FROM part"))
+    return Q.check_publication(feed(spark, d, "SELECT p_partkey AS group_id, p_size % 10 AS n_lines, p_size * 1e0 AS shortest, CASE p_partkey % 4 WHEN 0 THEN 'DIAGNOSTIC_ONLY' WHEN 1 THEN 'DIAGNOSTIC_ONLY,RADIUS' WHEN 2 THEN NULL ELSE '' END AS blockers, p_partkey % 9 AS grade_p95, p_partkey % 12 AS cross_p95, p_partkey % 150 AS coverage FROM part"), most_cross=10.0)
+
+
+@query("dq15_summary_count", """WITH s AS (SELECT p_brand AS field, count(*) AS n, count(DISTINCT p_size) AS k FROM part WHERE p_size <= 40 GROUP BY p_brand), f AS (SELECT DISTINCT p_brand AS field FROM part), e AS (SELECT count(DISTINCT p_size) AS expected FROM part WHERE p_size <= 40)
+SELECT field, coalesce(n, 0) AS n, expected, CASE WHEN n <> k THEN 'REPEATED_SUMMARY' WHEN coalesce(n, 0) < expected THEN 'SUMMARY_MISSING' ELSE 'SUMMARY_UNEXPECTED' END AS rule FROM f LEFT JOIN s USING (field), e WHERE n <> k OR coalesce(n, 0) <> expected""")
+def dq15c(spark, d):
+    rows = feed(spark, d, "SELECT p_brand AS field, p_size AS scenario_id FROM part WHERE p_size <= 40")
+    return Q.check_summary_count(rows, feed(spark, d, "SELECT p_brand AS field FROM part"), rows.select("scenario_id"))
 
 
 @query("dq16_barrier_decision", """SELECT p_partkey AS request_id, CASE p_partkey % 3 WHEN 0 THEN 'BLOCKED_NOT_REVIEWED' WHEN 1 THEN 'PASS_THROUGH' ELSE CASE WHEN p_size % 10 = 0 OR p_partkey % 4 = 0 OR p_partkey % 5 = 0 THEN 'INVALID_BARRIERS' ELSE 'SPLIT_REQUIRED' END END AS decision FROM part""")

@@ -118,11 +118,20 @@ def ge7(spark, d):
     return rounded(out.select("line_id", "pieces", "kept_m", "discarded_m", "removed", "balanced"), ["kept_m", "discarded_m", "removed"], 5)
 
 
+@query("ge7_pieces", """WITH i AS (SELECT m.line_id, greatest(lo, 0) AS lo, least(hi, len) AS hi, len FROM merged_ex m JOIN line_ends e ON e.line_id = m.line_id WHERE least(hi, len) > greatest(lo, 0)), g AS (SELECT line_id, coalesce(lag(hi) OVER w, 0) AS lo, lo AS hi, lag(hi) OVER w IS NOT NULL AS cut0, true AS cut1 FROM i WINDOW w AS (PARTITION BY line_id ORDER BY lo) UNION ALL SELECT line_id, max(hi), max(len), true, false FROM i GROUP BY line_id UNION ALL SELECT line_id, 0, len, false, false FROM line_ends WHERE line_id NOT IN (SELECT line_id FROM i)),
+k AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY lo) AS n FROM g WHERE hi - lo >= 20)
+SELECT line_id || ':W' || lpad(CAST(n AS VARCHAR), 4, '0') AS piece_id, CAST(n AS INT) AS piece, round(lo, 5) AS lo, round(hi, 5) AS hi, CASE WHEN cut0 THEN 'WORK_TERMINATION_REQUIRED_BY_BARRIER' ELSE 'SOURCE_TERMINATION_PRESERVED' END AS start_termination, CASE WHEN cut1 THEN 'WORK_TERMINATION_REQUIRED_BY_BARRIER' ELSE 'SOURCE_TERMINATION_PRESERVED' END AS end_termination,
+CASE WHEN cut0 THEN 'PROHIBITED_BARRIER' ELSE 'SOURCE_STATUS_PRESERVED' END AS start_maneuver, CASE WHEN cut1 THEN 'PROHIBITED_BARRIER' ELSE 'SOURCE_STATUS_PRESERVED' END AS end_maneuver FROM k""")
+def ge7p(spark, d):
+    kept, _, _ = G.split_lines(feed(spark, d, "SELECT line_id, len AS length FROM line_ends"), feed(spark, d, "merged_ex"), 20.0)
+    return rounded(kept.select("piece_id", "piece", "lo", "hi", *[f"{e}_{n}" for n in ("termination", "maneuver") for e in ("start", "end")]), ["lo", "hi"], 5)
+
+
 @query("ge8_line_metrics", f"""WITH {_ST}, e AS (SELECT line_id, arg_min(z, station) AS za, arg_max(z, station) AS zb, max(station) AS len FROM p GROUP BY line_id), g AS (SELECT p.line_id, (CASE WHEN zb > za THEN 1 ELSE -1 END) * (z - lag(z) OVER w) / (station - lag(station) OVER w) * 100 AS g, abs(za - zb) / len * 100 AS eg FROM p JOIN e ON e.line_id = p.line_id WINDOW w AS (PARTITION BY p.line_id ORDER BY station))
-SELECT line_id, round(quantile_cont(abs(g), 0.5), 5) AS grade_p50, round(quantile_cont(abs(g), 0.95), 5) AS grade_p95, round(max(abs(g)), 5) AS grade_max, round(max(eg), 5) AS end_grade FROM g WHERE g IS NOT NULL GROUP BY line_id""")
+SELECT line_id, round(quantile_cont(abs(g), 0.5), 5) AS grade_p50, round(quantile_cont(abs(g), 0.95), 5) AS grade_p95, round(max(abs(g)), 5) AS grade_max, round(max(eg), 5) AS end_grade, round(count(*) FILTER (abs(g) > 2.00001e0) / count(*), 6) AS over_target, round(count(*) FILTER (abs(g) > 5.00001e0) / count(*), 6) AS over_alert, round(count(*) FILTER (g < -1e-9) / count(*), 6) AS adverse FROM g WHERE g IS NOT NULL GROUP BY line_id""")
 def ge8(spark, d):
-    out = G.line_metrics(feed(spark, d, "steps"), 150.0, 2.0, 5.0)
-    return rounded(out.select("line_id", "grade_p50", "grade_p95", "grade_max", "end_grade"), ["grade_p50", "grade_p95", "grade_max", "end_grade"], 5)
+    out = G.line_metrics(feed(spark, d, "steps"), 150.0, 2.00001, 5.00001)
+    return rounded(rounded(out, ["grade_p50", "grade_p95", "grade_max", "end_grade"], 5), ["over_target", "over_alert", "adverse"])
 
 
 @query("ge9_reversals", """SELECT line_id, count(*) FILTER (s <> p) AS reversals FROM (SELECT line_id, sign(g) AS s, lag(sign(g)) OVER (PARTITION BY line_id ORDER BY seq) AS p FROM (SELECT line_id, seq, (z1 - z0) / (c1 - c0) * 100 AS g FROM legs WHERE c1 > c0) q WHERE abs(g) > 0.2000001) r GROUP BY line_id""")
@@ -148,9 +157,9 @@ def ge11(spark, d):
 _RAD = """r AS (SELECT line_id, CASE WHEN a > 1e-9 AND b > 1e-9 AND c > 1e-9 AND k > 1e-9 THEN a * b * c / (2 * k) END AS r FROM (SELECT line_id, sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) AS a, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS b, sqrt(power(x2 - x0, 2) + power(y2 - y0, 2)) AS c, abs((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)) AS k FROM (SELECT line_id, lag(x) OVER w AS x0, lag(y) OVER w AS y0, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM bent WINDOW w AS (PARTITION BY line_id ORDER BY seq)) q) t)"""
 
 
-@query("ge12_curvature", f"WITH {_RAD} SELECT line_id, round(min(r), 5) AS min_radius, round(quantile_cont(r, 0.5), 5) AS p50, count(*) FILTER (r < 9.0001) AS violations, CASE WHEN count(*) FILTER (r < 9.0001) > 0 THEN 'FAIL_STATIC_PATH_RADIUS' ELSE 'PASS_STATIC_PATH_RADIUS' END AS verdict FROM r GROUP BY line_id")
+@query("ge12_curvature", f"WITH {_RAD} SELECT line_id, round(min(r), 5) AS min_radius, round(quantile_cont(r, 0.05), 5) AS p05, round(quantile_cont(r, 0.5), 5) AS p50, count(*) FILTER (r < 9.0001) AS violations, CASE WHEN count(*) FILTER (r < 9.0001) > 0 THEN 'FAIL_STATIC_PATH_RADIUS' ELSE 'PASS_STATIC_PATH_RADIUS' END AS verdict FROM r GROUP BY line_id")
 def ge12(spark, d):
-    return rounded(G.curvature(feed(spark, d, "bent"), 9.0001).drop("p05"), ["min_radius", "p50"], 5)
+    return rounded(G.curvature(feed(spark, d, "bent"), 9.0001), ["min_radius", "p05", "p50"], 5)
 
 
 _REL = f"""rel AS (SELECT a.group_id, a.line_id AS a_id, b.line_id AS b_id, max(CASE WHEN {_PROPER} THEN 3 WHEN abs({_CR(_A0, _A1, _B0)}) <= 1e-9 AND abs({_CR(_A0, _A1, _B1)}) <= 1e-9 AND (CASE WHEN abs(a.x1 - a.x0) >= abs(a.y1 - a.y0) THEN least(greatest(a.x0, a.x1), greatest(b.x0, b.x1)) - greatest(least(a.x0, a.x1), least(b.x0, b.x1)) ELSE least(greatest(a.y0, a.y1), greatest(b.y0, b.y1)) - greatest(least(a.y0, a.y1), least(b.y0, b.y1)) END) > 1e-6 THEN 2 ELSE 1 END) AS k
@@ -162,12 +171,22 @@ def ge13(spark, d):
     return G.row_relations(feed(spark, d, "bent"), ["group_id"], 5.0)
 
 
+@query("ge13_relation_counts", f"""WITH {_REL}, both_ AS (SELECT a_id AS line_id, k FROM rel UNION ALL SELECT b_id, k FROM rel), n AS (SELECT line_id, count(*) FILTER (k = 3) AS x, count(*) FILTER (k = 2) AS o, count(*) FILTER (k = 1) AS t FROM both_ GROUP BY line_id)
+SELECT s.line_id, coalesce(x, 0) AS crossings, coalesce(o, 0) AS overlaps, coalesce(t, 0) AS touches, concat_ws(',', CASE WHEN x > 0 THEN 'ROW_CROSSING' END, CASE WHEN o > 0 THEN 'ROW_OVERLAP' END, CASE WHEN t > 0 THEN 'ROW_TOUCH' END) AS codes FROM (SELECT DISTINCT line_id FROM bent) s LEFT JOIN n ON n.line_id = s.line_id""")
+def ge13c(spark, d):
+    bent = feed(spark, d, "bent")
+    return G.relation_counts(G.row_relations(bent, ["group_id"], 5.0), bent.select("line_id"))
+
+
 @query("ge14_simplicity", f"""WITH x AS (SELECT a.line_id, count(*) AS n FROM (SELECT * FROM bent_legs {_LIVE}) a JOIN (SELECT * FROM bent_legs {_LIVE}) b ON a.line_id = b.line_id AND b.seq > a.seq + 1 WHERE {_SEGD} <= 1e-9 GROUP BY a.line_id), e AS (SELECT line_id, arg_min(x, seq) = arg_max(x, seq) AND arg_min(y, seq) = arg_max(y, seq) AS ring FROM bent GROUP BY line_id) SELECT e.line_id, ring, coalesce(n, 0) AS self_intersections FROM e LEFT JOIN x ON x.line_id = e.line_id""")
 def ge14(spark, d):
     return G.simplicity(feed(spark, d, "bent"), cell=5.0)
 
 
-_ENDS = """en AS (SELECT line_id, 'START' AS which, xa AS x, y FROM plain_rows UNION ALL SELECT line_id, 'END', xb, y FROM plain_rows), k AS (SELECT line_id, which, CASE WHEN abs(x - 60) <= 0.25 THEN 'UNCLASSIFIED_OBSTACLE_EDGE' WHEN abs(x) <= 0.25 OR abs(x - 100) <= 0.25 THEN 'HEADLAND_WORK_EDGE' ELSE 'INTERNAL_UNSUPPORTED_ENDPOINT' END AS kind FROM en)"""
+_ENDS = """en AS (SELECT line_id, 'START' AS which, xa AS x, y FROM plain_rows UNION ALL SELECT line_id, 'END', xb, y FROM plain_rows), dist AS (SELECT *, abs(x - 60) AS o, least(abs(x), abs(x - 100)) AS h FROM en),
+k AS (SELECT line_id, which, CASE WHEN least(o, h) > 0.25 THEN 'INTERNAL_UNSUPPORTED_ENDPOINT' WHEN o <= h + 1e-6 THEN 'UNCLASSIFIED_OBSTACLE_EDGE' ELSE 'HEADLAND_WORK_EDGE' END AS kind, round(CASE WHEN o <= h + 1e-6 THEN o ELSE h END, 6) AS distance,
+CASE WHEN least(o, h) > 0.25 THEN 'UNSUPPORTED_INTERNAL_TERMINATION' WHEN o <= h + 1e-6 THEN 'WORK_TERMINATION_REQUIRED_BY_OBSTACLE' ELSE 'WORK_TERMINATION_GEOMETRICALLY_SUPPORTED' END AS termination,
+CASE WHEN least(o, h) > 0.25 THEN 'PROHIBITED_NO_MANEUVER_SURFACE' WHEN o <= h + 1e-6 THEN 'NOT_AUTHORIZED_UNCLASSIFIED_OBSTACLE' ELSE 'NOT_EVALUATED_MISSING_FLEET_ENVELOPE' END AS maneuver FROM dist)"""
 
 
 def _edges(spark, d):
@@ -176,7 +195,20 @@ def _edges(spark, d):
 
 @query("ge15_classify_endpoints", f"WITH {_ENDS} SELECT * FROM k")
 def ge15(spark, d):
-    return G.classify_endpoints(feed(spark, d, "row_vertices"), _edges(spark, d), 0.25, cell=2000.0)
+    return rounded(G.classify_endpoints(feed(spark, d, "row_vertices"), _edges(spark, d), 0.25), ["distance"])
+
+
+@query("ge15_line_diagnostics", f"""WITH {_REL}, {_RAD}, v AS (SELECT line_id, arg_min(y, seq) AS ya, arg_max(y, seq) AS yb, arg_min(x, seq) = arg_max(x, seq) AND arg_min(y, seq) = arg_max(y, seq) AS ring FROM bent GROUP BY line_id), en AS (SELECT line_id, abs(y) AS h, abs(y - 30) AS o FROM (SELECT line_id, ya AS y FROM v UNION ALL SELECT line_id, yb FROM v)),
+e AS (SELECT line_id, bool_or(least(h, o) > 4.01) AS loose, bool_or(h <= 4.01 AND NOT o <= h + 1e-6) AS head, bool_or(o <= 4.01 AND o <= h + 1e-6) AS obst FROM en GROUP BY line_id), rv AS (SELECT line_id, count(*) FILTER (r < 9.0001) AS n FROM r GROUP BY line_id), sx AS (SELECT DISTINCT a.line_id FROM (SELECT * FROM bent_legs {_LIVE}) a JOIN (SELECT * FROM bent_legs {_LIVE}) b ON a.line_id = b.line_id AND b.seq > a.seq + 1 WHERE {_SEGD} <= 1e-9),
+b2 AS (SELECT a_id AS line_id, k FROM rel UNION ALL SELECT b_id, k FROM rel), n AS (SELECT line_id, count(*) FILTER (k = 3) AS x, count(*) FILTER (k = 2) AS ov, count(*) FILTER (k = 1) AS t FROM b2 GROUP BY line_id),
+q AS (SELECT v.line_id, concat_ws(',', CASE WHEN ring THEN 'CLOSED_LOOP_WITHOUT_APPROVED_ENTRY' END, CASE WHEN loose THEN 'INTERNAL_UNSUPPORTED_ENDPOINT' END, CASE WHEN rv.n > 0 THEN 'MINIMUM_RADIUS_VIOLATION' END, CASE WHEN x > 0 THEN 'ROW_CROSSING' END, CASE WHEN ov > 0 THEN 'ROW_OVERLAP' END, CASE WHEN t > 0 THEN 'ROW_TOUCH' END, CASE WHEN sx.line_id IS NOT NULL THEN 'SELF_INTERSECTION' END) AS blockers,
+concat_ws(',', CASE WHEN head THEN 'HEADLAND_MANEUVER_NOT_VERIFIED' END, CASE WHEN obst THEN 'OBSTACLE_ACCESS_AND_MANEUVER_NOT_VERIFIED' END) AS warnings FROM v JOIN e ON e.line_id = v.line_id LEFT JOIN rv ON rv.line_id = v.line_id LEFT JOIN sx ON sx.line_id = v.line_id LEFT JOIN n ON n.line_id = v.line_id)
+SELECT *, CASE WHEN blockers = '' THEN 'PASS' ELSE 'FAIL' END AS topology, CASE WHEN blockers = '' THEN 'E0_GEOMETRY_ONLY_PENDING_FLEET_AND_MANEUVER_REVIEW' ELSE 'FAIL_GEOMETRY' END AS continuity FROM q""")
+def ge15l(spark, d):
+    bent = feed(spark, d, "bent")
+    ends = G.classify_endpoints(bent, _bent_edges(spark, d), 4.01)
+    out = G.line_diagnostics(ends, G.simplicity(bent, cell=5.0), G.row_relations(bent, ["group_id"], 5.0), G.curvature(bent, 9.0001), bent.select("line_id"))
+    return out.drop("crossings", "overlaps", "touches")
 
 
 @query("ge16_adjacent_spacing")
@@ -193,10 +225,14 @@ def ge17(spark, d):
     return rounded(G.ray_spacing(samples, rows, 1.5, 0.0501), ["error_p95", "outside_percent"])
 
 
+def _bent_edges(spark, d):
+    return feed(spark, d, "SELECT 'HEADLAND' AS surface, 1 AS id, 1 AS seq, -1e0 AS x0, 0e0 AS y0, 4e1 AS x1, 0e0 AS y1 UNION ALL SELECT 'OBSTACLE', 2, 1, -1e0, 3e1, 4e1, 3e1")
+
+
 def _summary(spark, d):
     bent = feed(spark, d, "bent")
     groups = bent.select("line_id", "group_id").distinct()
-    edges = feed(spark, d, "SELECT 'HEADLAND' AS surface, 1 AS id, 1 AS seq, -1e0 AS x0, 0e0 AS y0, 4e1 AS x1, 0e0 AS y1 UNION ALL SELECT 'OBSTACLE', 2, 1, -1e0, 3e1, 4e1, 3e1")
+    edges = _bent_edges(spark, d)
     return G.continuity_summary(G.classify_endpoints(bent, edges, 4.01), G.simplicity(bent, cell=5.0), G.row_relations(bent, ["group_id"], 5.0), G.curvature(bent, 9.0001), groups)
 
 

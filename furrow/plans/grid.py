@@ -21,7 +21,7 @@ FROM cells a LEFT JOIN cells r ON r.row = a.row AND r.col = a.col + 1 LEFT JOIN
 FEEDS["axes"] = """SELECT grid_id, row, col, (row * 7 + col * 13) % 18 * 1e1 AS v FROM cells WHERE v IS NOT NULL"""
 FEEDS["phases"] = """SELECT grid_id, row, col, v / 1e1 AS phi, (row + col) % 5 * 5e-1 AS grad FROM cells WHERE v IS NOT NULL"""
 FEEDS["levels"] = """SELECT 0 AS grid_id, l AS level FROM (SELECT n_nationkey * n_nationkey * 1e0 AS l FROM nation) q"""
-FEEDS["cloud"] = """SELECT l_orderkey AS point_id, (l_partkey % 400) * 1e-1 + l_linenumber * 1e-2 AS x, (l_suppkey % 100) * 2e-1 + l_quantity * 1e-3 AS y, l_extendedprice / 1e3 AS z, CAST(CASE WHEN l_returnflag = 'N' THEN 2 ELSE 5 END AS INT) AS classification, l_linenumber AS returns, l_tax AS time FROM lineitem"""
+FEEDS["cloud"] = """SELECT l_orderkey AS point_id, (l_partkey % 400) * 1e-1 + l_linenumber * 1e-2 AS x, (l_suppkey % 100) * 2e-1 + l_quantity * 1e-3 AS y, l_extendedprice / 1e3 AS z, CAST(CASE WHEN l_returnflag = 'N' THEN 2 ELSE 5 END AS INT) AS classification, l_linenumber AS returns, l_tax AS time, 0 AS red, CASE WHEN l_linenumber = 7 THEN 40 ELSE 0 END AS green, CAST(NULL AS INT) AS blue FROM lineitem"""
 FEEDS["ground"] = """SELECT x, y, z FROM cloud WHERE classification = 2"""
 FEEDS["probes"] = """SELECT s_suppkey AS point_id, (s_suppkey % 47) * 1e0 + 8e-1 AS x, (s_suppkey % 17) * 1e0 + 7e-1 AS y FROM supplier"""
 
@@ -166,7 +166,7 @@ def gr16d(spark, d):
     return G.density_grid(feed(spark, d, "ground"), 1.0)
 
 
-@query("gr17_point_profile", """SELECT count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z, min(classification) AS min_class, max(classification) AS max_class, count(*) FILTER (classification = 2) AS ground, round(avg(returns), 6) AS mean_returns, min(time) AS min_time, max(time) AS max_time FROM cloud""")
+@query("gr17_point_profile", """SELECT count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z, min(classification) AS min_class, max(classification) AS max_class, count(*) FILTER (classification = 2) AS ground, round(avg(returns), 6) AS mean_returns, min(time) AS min_time, max(time) AS max_time, coalesce(bool_or(red <> 0 OR green <> 0 OR blue <> 0), false) AS has_rgb FROM cloud""")
 def gr17(spark, d):
     return rounded(G.point_profile(feed(spark, d, "cloud")), ["mean_returns"])
 

@@ -100,7 +100,7 @@ def src4(spark, d):
 
 @query("src5_scan_files")
 def src5(spark, d):
-    return I.scan_files(spark, f"{d}/region.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "sha256", "signature_ok")
+    return I.scan_files(spark, f"{d}/*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "sha256", "signature_ok")
 
 
 @query("src6_find_id_column", """SELECT 's_suppkey' AS "column", count(*) AS found, count(*) = 3 AS candidate FROM supplier WHERE s_suppkey IN (3, 27, 61) UNION ALL SELECT 's_nationkey', count(DISTINCT s_nationkey), count(DISTINCT s_nationkey) = 3 FROM supplier WHERE s_nationkey IN (3, 27, 61) UNION ALL SELECT 's_name', 0, false""")

@@ -9,7 +9,7 @@ from furrow.operators import logistics as L
 from furrow.operators import nearest as N
 from furrow.plans.feeds import FEEDS, feed, oracle
 
-FEEDS["run_segments"] = """SELECT l_orderkey AS run_id, l_linenumber AS sequence, l_partkey * 1000 + l_suppkey AS segment_id, l_quantity AS mass_t FROM lineitem"""
+FEEDS["run_segments"] = """SELECT l_orderkey AS run_id, l_linenumber AS sequence, l_partkey * 1000 + l_suppkey AS segment_id, l_quantity AS mass_t, l_extendedprice / 1e2 AS length_m FROM lineitem"""
 FEEDS["mass_rows"] = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / 1e2 AS length_m, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN 0e0 ELSE l_quantity * 2 END AS yield_t_ha FROM lineitem"""
 FEEDS["sites_lo"] = """SELECT s_suppkey AS site_id, CASE WHEN s_suppkey % 13 = 5 THEN NULL ELSE s_acctbal END AS capacity_t, CASE WHEN s_suppkey % 11 = 3 THEN -1e0 ELSE (s_suppkey % 7) * 1e2 END AS penalty, (s_suppkey % 10) * 1e1 AS x, floor(s_suppkey / 1e1) * 1e1 AS y FROM supplier"""
 FEEDS["site_hits"] = """SELECT s_suppkey AS site_id, CASE WHEN s_suppkey % 6 = 0 THEN 'POWER_LINE' ELSE 'EXCLUSION' END AS kind FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'EXCLUSION' FROM supplier WHERE s_suppkey % 12 = 0"""
@@ -56,10 +56,10 @@ def lo1(spark, d):
 
 
 @query("lo2_load_events", """WITH s AS (SELECT *, sum(mass_t) OVER (PARTITION BY run_id ORDER BY sequence, segment_id, mass_t ROWS UNBOUNDED PRECEDING) AS m1, row_number() OVER (PARTITION BY run_id ORDER BY sequence DESC, segment_id DESC, mass_t DESC) AS back FROM run_segments)
-SELECT run_id, k, 'FULL' AS kind, segment_id, k * 4e1 - (m1 - mass_t) AS offset_mass, 4e1 AS mass_t FROM s, LATERAL (SELECT unnest(range(CAST(floor((m1 - mass_t) / 40) AS BIGINT) + 1, CAST(floor(m1 / 40) AS BIGINT) + 1)) AS k)
-UNION ALL SELECT run_id, CAST(floor(m1 / 40) AS BIGINT) + 1, 'PARTIAL', segment_id, mass_t, m1 - 40 * floor(m1 / 40) FROM s WHERE back = 1 AND m1 - 40 * floor(m1 / 40) > 0""")
+SELECT run_id, k, 'FULL' AS kind, segment_id, round((k * 4e1 - (m1 - mass_t)) / mass_t * length_m, 6) AS station_m, 4e1 AS mass_t FROM s, LATERAL (SELECT unnest(range(CAST(floor((m1 - mass_t) / 40) AS BIGINT) + 1, CAST(floor(m1 / 40) AS BIGINT) + 1)) AS k)
+UNION ALL SELECT run_id, CAST(floor(m1 / 40) AS BIGINT) + 1, 'PARTIAL', segment_id, round(length_m, 6), m1 - 40 * floor(m1 / 40) FROM s WHERE back = 1 AND m1 - 40 * floor(m1 / 40) > 0""")
 def lo2(spark, d):
-    return L.load_events(feed(spark, d, "run_segments"), 40.0)
+    return rounded(L.load_events(feed(spark, d, "run_segments"), 40.0), ["station_m"])
 
 
 @query("lo3_road_metrics", """SELECT sum(length_m) AS original_m, sum(CASE WHEN line_id % 3 = 0 THEN length_m / 4 ELSE 0 END) AS removed_m, sum(CASE WHEN line_id % 3 = 0 THEN length_m * 3 / 4 ELSE length_m END) AS allowed_m, count(*) FILTER (line_id % 9 = 0) AS power_lines, sum(length_m / 4) FILTER (line_id % 9 = 0) AS power_m FROM roads_lo""")

@@ -66,6 +66,12 @@ def sn3(spark, d):
     return S.gate(_cand(spark, d), ["field", "theta"], 0.5, 9.0).select("cand", "gated")
 
 
+@query("sn3_gate_limits", """WITH g AS (SELECT *, singular <= 0.5 AND spacing <= 30 AND grade <= 9.2 AND cross_ <= 5 AS gated FROM candidates), a AS (SELECT *, bool_or(gated) OVER (PARTITION BY field) AS any_ok FROM g) SELECT cand, gated FROM a WHERE gated OR NOT any_ok""")
+def sn3l(spark, d):
+    df = feed(spark, d, "candidates").withColumn("grade_max", F.col("grade")).withColumn("cross_max", F.col("cross_"))
+    return S.gate(df, ["field"], 0.5, 30.0, True, 9.2, 5.0).select("cand", "gated")
+
+
 @query("sn4_select_candidate", f"""WITH {_L}, x AS (SELECT *, bool_or(lam = 0) OVER (PARTITION BY field) AS any0 FROM b), y AS (SELECT *, bool_or(grade <= 4.8e0) OVER (PARTITION BY field) AS any1 FROM x WHERE lam = 0 OR NOT any0),
 z AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY bal, theta, lam) AS rn FROM y WHERE grade <= 4.8e0 OR NOT any1) SELECT field, round(bal, 6) AS loss, theta, lam FROM z WHERE rn = 1""")
 def sn4(spark, d):
@@ -144,6 +150,11 @@ def sn15(spark, d):
     return rounded(rounded(S.interval_summary(feed(spark, d, "interval_rows")), ["km"], 5), ["fragmentation", "median_p50", "retained_percent"])
 
 
+@query("sn15_candidate_ratios", """SELECT p_partkey AS candidate, round(segments / nullif(n_rows, 0), 6) AS fragmentation, round(kept_m * 100 / nullif(base_m, 0), 6) AS retained_percent, round(split_rows * 1e2 / nullif(n_rows, 0), 6) AS split_percent FROM interval_rows""")
+def sn15c(spark, d):
+    return rounded(S.candidate_ratios(feed(spark, d, "interval_rows").withColumnRenamed("p_partkey", "candidate"), "candidate"), ["fragmentation", "retained_percent", "split_percent"])
+
+
 @query("sn16_shortlist", """SELECT run_id, scenario_id, eligible, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY eligible DESC, score DESC, scenario_id) AS rank FROM (SELECT c_nationkey AS run_id, c_custkey AS scenario_id, c_custkey % 3 = 0 AS eligible, c_acctbal AS score FROM customer)) WHERE rank <= 3""")
 def sn16(spark, d):
     return S.shortlist(feed(spark, d, "SELECT c_nationkey AS run_id, c_custkey AS scenario_id, c_custkey % 3 = 0 AS eligible, c_acctbal AS score FROM customer"))

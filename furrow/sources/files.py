@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,13 +46,15 @@ def catalog_tables(rows: DataFrame, item: str = "id", members: str = "members")
 
 
 #: Leading bytes by extension.
-SIGNATURES = {"las": "LASF", "laz": "LASF", "pdf": "%PDF-", "tif": "II*", "parquet": "PAR1"}
+# fixed values: the leading bytes of file formats (TIFF of either byte order, classic and big; shapefile code 9994)
+_TIFF = (b"II*\x00", b"MM\x00*", b"II+\x00", b"MM\x00+")
+SIGNATURES = {"las": (b"LASF",), "laz": (b"LASF",), "pdf": (b"%PDF-",), "tif": _TIFF, "tiff": _TIFF, "shp": (b"\x00\x00\x27\x0a",), "parquet": (b"PAR1",)}
 
 
 def signature_ok(content: Column, ext: Column) -> Column:
     out = F.lit(None).cast("boolean")
-    for e, lead in SIGNATURES.items():
-        out = F.when(ext == e, F.substring(content, 1, len(lead)) == F.lit(lead.encode())).otherwise(out)
+    for e, leads in SIGNATURES.items():
+        out = F.when(ext == e, reduce(lambda a, b: a | b, [F.substring(content, 1, len(lead)) == F.lit(lead) for lead in leads])).otherwise(out)
     return out
 
 

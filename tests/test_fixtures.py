@@ -106,8 +106,9 @@ def test_components_of_two_islands(spark):
 
 
 def test_load_events_and_nearest_site(spark):
-    s = spark.createDataFrame([("r", 1, 1, 1.0), ("r", 2, 2, 1.0)], "run_id string, sequence int, segment_id int, mass_t double")
-    assert [(r["segment_id"], r["kind"], r["mass_t"]) for r in rows(L.load_events(s, 1.0).orderBy("k"))] == [(1, "FULL", 1.0), (2, "FULL", 1.0)]
+    s = spark.createDataFrame([("r", 1, 1, 1.0, 10.0), ("r", 2, 2, 1.0, 8.0)], "run_id string, sequence int, segment_id int, mass_t double, length_m double")
+    events = lambda capacity: [(r["segment_id"], r["kind"], r["station_m"], r["mass_t"]) for r in rows(L.load_events(s, capacity).orderBy("k"))]
+    assert events(1.0) == [(1, "FULL", 10.0, 1.0), (2, "FULL", 8.0, 1.0)] and events(0.75) == [(1, "FULL", 7.5, 0.75), (2, "FULL", 4.0, 0.75), (2, "PARTIAL", 8.0, 0.5)]
     d = spark.createDataFrame([(1, 10.0, 20.0, 1.0), (2, 20.0, 20.0, 1.0)], "demand_id int, x double, y double, mass_t double")
     assert {r["site_id"] for r in rows(L.assign_nearest(d, spark.createDataFrame([("A", 0.0, 0.0), ("B", 100.0, 0.0)], "site_id string, x double, y double")))} == {"A"}
 
