@@ -91,15 +91,20 @@ def option_matrix(params: DataFrame, options: DataFrame) -> DataFrame:
 
 def resolve_presets(params: DataFrame, custom: DataFrame, candidates: DataFrame) -> DataFrame:
     """Precedence for each parameter: a custom value; a direct value (DIRECT); one single reference (REFERENCE); assembly;
-    lookup; template; else its policy. candidates: parameter_id, mode, value, source."""
+    lookup; template; else its policy. candidates: parameter_id, mode, value, source, actions (array: what must be confirmed
+    locally), ceiling. Sources and actions are the union of all candidates', and one candidate that may not release a project
+    keeps its parameter from it."""
     n = lambda m: F.count_if(c("mode") == m).alias(m)
     modes = ("DIRECT", "REFERENCE", "ASSEMBLY", "LOOKUP", "TEMPLATE")
     pick = lambda m: F.min(F.when(c("mode") == m, c("value"))).alias(f"v_{m}")
-    g = candidates.groupBy("parameter_id").agg(*[n(m) for m in modes], pick("DIRECT"), pick("REFERENCE"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
+    none = F.array().cast("array<string>")
+    g = candidates.groupBy("parameter_id").agg(*[n(m) for m in modes], pick("DIRECT"), pick("REFERENCE"), joined(F.collect_set("source")).alias("sources"), joined(F.flatten(F.collect_set(F.coalesce("actions", none)))).alias("required_actions"), F.max(c("ceiling") == "NO_PROJECT_RELEASE").alias("held"))
     df = params.join(custom.withColumnRenamed("value", "custom_value"), "parameter_id", "left").join(g, "parameter_id", "left").fillna(0, list(modes))
     mode = F.when(c("custom_value").isNotNull(), "CUSTOM").when(c("DIRECT") > 0, "DIRECT").when(c("REFERENCE") == 1, "REFERENCE").when(c("ASSEMBLY") > 0, "ASSEMBLY").when(c("LOOKUP") > 0, "LOOKUP").when(c("TEMPLATE") > 0, "TEMPLATE").otherwise("POLICY")
     value = F.when(mode == "CUSTOM", c("custom_value")).when(mode == "DIRECT", c("v_DIRECT")).when(mode == "REFERENCE", c("v_REFERENCE"))
-    return df.select("parameter_id", mode.alias("mode"), value.alias("value"), "sources")
+    ceiling = F.when(F.coalesce("held", F.lit(False)), "NO_PROJECT_RELEASE").otherwise("E0_TRIAGEM")  # fixed values
+    return df.select("parameter_id", mode.alias("mode"), value.alias("value"), "sources", F.coalesce("required_actions", F.lit("")).alias("required_actions"), ceiling.alias("release_ceiling"))
 
 
 def value_conflicts(df: DataFrame) -> DataFrame:

@@ -522,6 +522,8 @@ def clip_lattice(edges: DataFrame, theta: float, spacing: float, phase: float, m
 
 def clip_to_strips(rows: DataFrame, strip_edges: DataFrame, min_len: float) -> tuple[DataFrame, DataFrame]:
     """Rows (row_id, x0, y0, x1, y1) cut into strips (strip_id, x0..y1 edges of closed rings): pieces, and their summary."""
+    from furrow.operators import nearest as N
+
     r = rows.select("row_id", *[c(k).alias(f"r_{k}") for k in ("x0", "y0", "x1", "y1")])
     a = _cells(r, F.lit(0.0), 50.0, "r_")
     b = _cells(strip_edges.select("strip_id", F.monotonically_increasing_id().alias("edge"), *[c(k).alias(f"s_{k}") for k in ("x0", "y0", "x1", "y1")]), F.lit(1e-6), 50.0, "s_")
@@ -532,19 +534,14 @@ def clip_to_strips(rows: DataFrame, strip_edges: DataFrame, min_len: float) -> t
     hit = a.join(b, ["__cx", "__cy"]).filter(F.abs(den) > 1e-12).withColumn("t", F.try_divide(fx * ey - fy * ex, den)).withColumn("u", F.try_divide(fx * dy - fy * dx, den))
     hit = hit.filter((c("u") >= 0) & (c("u") < 1)).dropDuplicates(["row_id", "strip_id", "edge"])
     # crossings of the whole line pair up; the row is the part between 0 and 1. A row's far crossings lie in cells it doesn't pass, so ends inside a strip are told by parity of those it does pass
-    # ends and edges meet by stretch of height
-    high = lambda y: F.floor(y / 50.0)
-    spread = strip_edges.select("strip_id", "x0", "y0", "x1", "y1", F.explode(F.sequence(high(F.least("y0", "y1")), high(F.greatest("y0", "y1")))).alias("__y"))
-    points = rows.select("row_id", c("x0").alias("px"), c("y0").alias("py"), high(c("y0")).alias("__y"))
-    inside = spread.join(points, "__y").filter((c("y0") > c("py")) != (c("y1") > c("py"))).filter(c("px") < c("x0") + F.try_divide((c("x1") - c("x0")) * (c("py") - c("y0")), c("y1") - c("y0")))
-    starts = inside.groupBy("row_id", "strip_id").agg((F.count(F.lit(1)) % 2).alias("odd")).filter("odd = 1").select("row_id", "strip_id", F.lit(0.0).alias("t"))
+    starts = N.inside(rows.select(c("row_id").alias("point_id"), c("x0").alias("x"), c("y0").alias("y")), strip_edges, 50.0, "strip_id").select(c("point_id").alias("row_id"), "strip_id", F.lit(0.0).alias("t"))
     cuts = hit.filter((c("t") > 0) & (c("t") < 1)).select("row_id", "strip_id", "t").unionByName(starts)
     w = Window.partitionBy("row_id", "strip_id").orderBy("t")
     p = cuts.withColumn("n", F.row_number().over(w)).withColumn("to", F.coalesce(F.lead("t").over(w), F.lit(1.0))).filter("n % 2 = 1").join(r, "row_id")
     p = p.withColumn("len", (c("to") - c("t")) * F.sqrt(dx * dx + dy * dy)).filter(c("len") >= min_len).select("row_id", "strip_id", "t", "to", "len")
-    q = F.percentile("len", [0.05, 0.5, 0.95])
     many = p.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(c("n") > 1).alias("split_rows"))
-    return p, p.agg(F.count(F.lit(1)).alias("pieces"), F.sum("len").alias("total"), q.alias("q"), F.max("len").alias("max")).select("pieces", "total", c("q")[0].alias("p05"), c("q")[1].alias("p50"), c("q")[2].alias("p95"), "max").crossJoin(many)
+    total = summarise(p, [], [F.count(F.lit(1)).alias("pieces"), F.sum("len").alias("total"), F.max("len").alias("max")], {"p05": ("len", 0.05), "p50": ("len", 0.5), "p95": ("len", 0.95)})
+    return p, total.crossJoin(many)  # one row each
 
 
 def infer_connections(

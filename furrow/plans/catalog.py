@@ -16,7 +16,7 @@ FEEDS["owners_ct"] = """SELECT p_partkey % 100 AS package_id, p_partkey AS param
 FEEDS["inventory"] = """SELECT s_suppkey AS package_id, CASE s_suppkey % 5 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'SCREENING' WHEN 2 THEN 'PARTIAL' WHEN 3 THEN 'NOT_APPLICABLE' ELSE 'MISSING' END AS status, CASE WHEN s_suppkey % 3 = 0 THEN 'NONE' ELSE concat('GAP', s_suppkey % 4) END AS gap_class FROM supplier"""
 FEEDS["levels_ct"] = """SELECT s_suppkey AS package_id, concat('E', k) AS level FROM supplier CROSS JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 3) q WHERE (s_suppkey + k) % 4 <> 0"""
 FEEDS["options_ct"] = """SELECT l_partkey AS parameter_id, l_suppkey AS model_id, min(l_linenumber) = 1 AS is_default, max(l_quantity) > 20 AS selectable FROM lineitem GROUP BY l_partkey, l_suppkey"""
-FEEDS["modes_ct"] = """SELECT l_partkey AS parameter_id, CASE l_linenumber % 6 WHEN 1 THEN 'REFERENCE' WHEN 2 THEN 'ASSEMBLY' WHEN 3 THEN 'LOOKUP' WHEN 4 THEN 'TEMPLATE' ELSE 'DIRECT' END AS mode, l_quantity AS value, l_returnflag AS source FROM lineitem WHERE l_partkey % 3 = 0 AND l_quantity > 35 OR l_partkey % 3 = 1 AND l_linenumber = 1 AND l_quantity > 40"""
+FEEDS["modes_ct"] = """SELECT l_partkey AS parameter_id, CASE l_linenumber % 6 WHEN 1 THEN 'REFERENCE' WHEN 2 THEN 'ASSEMBLY' WHEN 3 THEN 'LOOKUP' WHEN 4 THEN 'TEMPLATE' ELSE 'DIRECT' END AS mode, l_quantity AS value, l_returnflag AS source, concat('CONFIRM_', l_linestatus, ',', CASE WHEN l_suppkey % 2 = 0 THEN 'SITE_VISIT' ELSE 'SOIL_TEST' END) AS actions, CASE WHEN l_suppkey % 4 = 0 THEN 'NO_PROJECT_RELEASE' ELSE 'E0_TRIAGEM' END AS ceiling FROM lineitem WHERE l_partkey % 3 = 0 AND l_quantity > 35 OR l_partkey % 3 = 1 AND l_linenumber = 1 AND l_quantity > 40"""
 FEEDS["custom_ct"] = """SELECT p_partkey AS parameter_id, p_size * 1e0 AS value FROM part WHERE p_partkey % 11 = 0"""
 FEEDS["texts_ct"] = """SELECT l_partkey AS parameter_id, CASE WHEN l_partkey % 2 = 0 THEN CAST(l_linenumber AS VARCHAR(10)) ELSE concat('{"', l_returnflag, '":"', l_linenumber % 3, '"}') END AS json FROM lineitem"""
 FEEDS["base_ct"] = """SELECT p_partkey AS parameter_id, p_size AS value FROM part WHERE p_partkey % 3 <> 0"""
@@ -111,11 +111,11 @@ def ct6c(spark, d):
     return C.option_coverage(C.option_matrix(feed(spark, d, "params_ct"), feed(spark, d, "options_ct")))
 
 
-@query("ct7_resolve_presets", """WITH g AS (SELECT parameter_id, count(*) FILTER (mode = 'DIRECT') AS d, count(*) FILTER (mode = 'REFERENCE') AS r, count(*) FILTER (mode = 'ASSEMBLY') AS a, count(*) FILTER (mode = 'LOOKUP') AS l, count(*) FILTER (mode = 'TEMPLATE') AS t, min(value) FILTER (mode = 'DIRECT') AS vd, min(value) FILTER (mode = 'REFERENCE') AS vr, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM modes_ct GROUP BY parameter_id),
-x AS (SELECT p.parameter_id, c.value AS cv, g.*, CASE WHEN c.value IS NOT NULL THEN 'CUSTOM' WHEN d > 0 THEN 'DIRECT' WHEN r = 1 THEN 'REFERENCE' WHEN a > 0 THEN 'ASSEMBLY' WHEN l > 0 THEN 'LOOKUP' WHEN t > 0 THEN 'TEMPLATE' ELSE 'POLICY' END AS mode FROM (SELECT parameter_id AS pid, parameter_id FROM params_ct) p LEFT JOIN custom_ct c ON c.parameter_id = p.pid LEFT JOIN (SELECT parameter_id AS gid, d, r, a, l, t, vd, vr, sources FROM g) g ON gid = p.pid)
-SELECT parameter_id, mode, CASE mode WHEN 'CUSTOM' THEN cv WHEN 'DIRECT' THEN vd WHEN 'REFERENCE' THEN vr END AS value, sources FROM x""")
+@query("ct7_resolve_presets", """WITH g AS (SELECT parameter_id, count(*) FILTER (mode = 'DIRECT') AS d, count(*) FILTER (mode = 'REFERENCE') AS r, count(*) FILTER (mode = 'ASSEMBLY') AS a, count(*) FILTER (mode = 'LOOKUP') AS l, count(*) FILTER (mode = 'TEMPLATE') AS t, min(value) FILTER (mode = 'DIRECT') AS vd, min(value) FILTER (mode = 'REFERENCE') AS vr, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, bool_or(ceiling = 'NO_PROJECT_RELEASE') AS held FROM modes_ct GROUP BY parameter_id), q AS (SELECT parameter_id, string_agg(DISTINCT v, ',' ORDER BY v) AS actions FROM modes_ct, LATERAL (SELECT unnest(string_split(actions, ',')) AS v) GROUP BY parameter_id),
+x AS (SELECT p.parameter_id, c.value AS cv, g.*, CASE WHEN c.value IS NOT NULL THEN 'CUSTOM' WHEN d > 0 THEN 'DIRECT' WHEN r = 1 THEN 'REFERENCE' WHEN a > 0 THEN 'ASSEMBLY' WHEN l > 0 THEN 'LOOKUP' WHEN t > 0 THEN 'TEMPLATE' ELSE 'POLICY' END AS mode FROM (SELECT parameter_id AS pid, parameter_id FROM params_ct) p LEFT JOIN custom_ct c ON c.parameter_id = p.pid LEFT JOIN (SELECT parameter_id AS gid, d, r, a, l, t, vd, vr, sources, held FROM g) g ON gid = p.pid)
+SELECT parameter_id, mode, CASE mode WHEN 'CUSTOM' THEN cv WHEN 'DIRECT' THEN vd WHEN 'REFERENCE' THEN vr END AS value, sources, coalesce(actions, '') AS required_actions, CASE WHEN held THEN 'NO_PROJECT_RELEASE' ELSE 'E0_TRIAGEM' END AS release_ceiling FROM x LEFT JOIN (SELECT parameter_id AS qid, actions FROM q) q ON qid = x.parameter_id""")
 def ct7(spark, d):
-    return C.resolve_presets(feed(spark, d, "SELECT parameter_id FROM params_ct"), feed(spark, d, "custom_ct"), feed(spark, d, "modes_ct"))
+    return C.resolve_presets(feed(spark, d, "SELECT parameter_id FROM params_ct"), feed(spark, d, "custom_ct"), feed(spark, d, "modes_ct").withColumn("actions", F.split("actions", ",")))
 
 
 @query("ct8_value_conflicts", """SELECT parameter_id, 'VALUES_DIFFER' AS conflict FROM texts_ct WHERE json NOT LIKE '{%' GROUP BY parameter_id HAVING count(DISTINCT json) > 1 UNION ALL SELECT parameter_id, 'KEY_DIFFERS:' || k FROM (SELECT parameter_id, substr(json, 3, 1) AS k, substr(json, 7, 1) AS v FROM texts_ct WHERE json LIKE '{%') GROUP BY parameter_id, k HAVING count(DISTINCT v) > 1""")

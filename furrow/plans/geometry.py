@@ -290,10 +290,11 @@ def ge23(spark, d):
 
 
 @query("ge24_strip_clip", """WITH b AS (SELECT strip_id, min(x) AS xa, max(x) AS xb, max(y) AS yb FROM strips_ge GROUP BY strip_id), p AS (SELECT row_id, strip_id, greatest(0, (xa - x0) / (x1 - x0), 0) AS t, least(1, (xb - x0) / (x1 - x0), (yb - y0) / (y1 - y0)) AS u, sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) AS len FROM cut_rows, b WHERE y0 < yb)
-SELECT count(*) AS pieces, round(sum((u - t) * len), 3) AS total, round(max((u - t) * len), 5) AS max FROM p WHERE (u - t) * len >= 1""")
+, k AS (SELECT row_id, (u - t) * len AS m FROM p WHERE (u - t) * len >= 1)
+SELECT count(*) AS pieces, round(sum(m), 3) AS total, round(max(m), 5) AS max, round(quantile_cont(m, 0.05), 5) AS p05, round(quantile_cont(m, 0.5), 5) AS p50, round(quantile_cont(m, 0.95), 5) AS p95, (SELECT count(*) FROM (SELECT row_id FROM k GROUP BY row_id HAVING count(*) > 1)) AS split_rows FROM k""")
 def ge24(spark, d):
     _, out = G.clip_to_strips(feed(spark, d, "cut_rows"), feed(spark, d, "strip_edges"), 1.0)
-    return out.select("pieces", R("total", 3).alias("total"), R("max", 5).alias("max"))
+    return rounded(rounded(out, ["total"], 3), ["max", "p05", "p50", "p95"], 5)
 
 
 # boxes of a field clip a connector to stretches of its length, and the stretches of both fields are merged
