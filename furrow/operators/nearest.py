@@ -102,9 +102,10 @@ def near_area(points: DataFrame, edges: DataFrame, reach: float, cell: float, ke
     return inside(points, edges, cell, key).select("point_id").union(on_edges(points, edges, reach, cell, key)).distinct()
 
 
-def uncovered(connectors: DataFrame, edges: DataFrame, cell: float, key: str = "polygon_id", tol: float = 1e-7) -> DataFrame:
-    """connector_id of the connectors (connector_id, x, y, sx, sy) that leave the union of the polygons. A connector is cut
-    where it crosses an edge of any polygon; it is covered if the middle of each piece lies in a polygon or on an edge."""
+def outside_pieces(connectors: DataFrame, edges: DataFrame, cell: float, key: str = "polygon_id", tol: float = 1e-7) -> DataFrame:
+    """connector_id, length of the pieces of connectors (connector_id, x, y, sx, sy) that lie outside the union of the
+    polygons. A connector is cut where it crosses an edge of any polygon; a piece is inside if its middle lies in a polygon
+    or on an edge."""
     from furrow.operators.geometry import _cells
 
     a = _cells(connectors.select("connector_id", c("x").alias("a_x0"), c("y").alias("a_y0"), c("sx").alias("a_x1"), c("sy").alias("a_y1")), F.lit(0.0), cell, "a_")
@@ -116,10 +117,15 @@ def uncovered(connectors: DataFrame, edges: DataFrame, cell: float, key: str = "
     cuts = cuts.groupBy("connector_id").agg(F.collect_set("t").alias("ts"))  # as many as a connector crosses edges
     whole = connectors.join(cuts, "connector_id", "left").withColumn("ts", F.sort_array(F.array_union(F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(0.0), F.lit(1.0)))))
     piece = whole.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("ts") - 1))).withColumn("t0", F.get("ts", c("k") - 1)).withColumn("t1", F.get("ts", c("k")))
-    piece = piece.filter((c("t1") - c("t0")) * X.distance(c("x"), c("y"), c("sx"), c("sy")) > tol)
+    piece = piece.withColumn("length", (c("t1") - c("t0")) * X.distance(c("x"), c("y"), c("sx"), c("sy"))).filter(c("length") > tol)
     middle = (c("t0") + c("t1")) / 2
-    points = piece.select(F.struct("connector_id", "k").alias("point_id"), (c("x") + (c("sx") - c("x")) * middle).alias("x"), (c("y") + (c("sy") - c("y")) * middle).alias("y")).checkpoint()
-    return points.join(near_area(points, edges, tol, cell, key), "point_id", "left_anti").select("point_id.connector_id").distinct()
+    points = piece.select(F.struct("connector_id", "k").alias("point_id"), "length", (c("x") + (c("sx") - c("x")) * middle).alias("x"), (c("y") + (c("sy") - c("y")) * middle).alias("y")).checkpoint()
+    return points.join(near_area(points, edges, tol, cell, key), "point_id", "left_anti").select("point_id.connector_id", "length")
+
+
+def uncovered(connectors: DataFrame, edges: DataFrame, cell: float, key: str = "polygon_id", tol: float = 1e-7) -> DataFrame:
+    """connector_id of the connectors (connector_id, x, y, sx, sy) that leave the union of the polygons."""
+    return outside_pieces(connectors, edges, cell, key, tol).select("connector_id").distinct()
 
 
 def reasons(*pairs: tuple[Column, str]) -> Column:

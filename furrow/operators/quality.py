@@ -212,10 +212,39 @@ def check_lines(lengths: DataFrame, declared: DataFrame, nodes: DataFrame, tol:
     return df.select("line_id", codes_when(("LENGTH_DIFFERS", F.abs(c("length") - c("declared")) > tol), ("NODE_OFF_END", off > 1e-6)).alias("codes")).filter("codes != ''")
 
 
-def check_models(candidates: DataFrame, params: DataFrame) -> DataFrame:
-    """candidates: model_id, parameter_id, mode, unit, value, external, release; params: parameter_id, unit, safety."""
-    df = candidates.join(params.select("parameter_id", c("unit").alias("punit"), "safety"), "parameter_id", "left")
-    codes = codes_when(("PARAMETER_UNKNOWN", c("punit").isNull()), ("UNIT_DIFFERS", c("unit") != c("punit")), ("DIRECT_WITHOUT_VALUE", (c("mode") == "DIRECT") & c("value").isNull()), ("SAFETY_PRIOR_UNCONFIRMED", c("safety") & (c("mode") == "PRIOR")), ("EXTERNAL_CANNOT_RELEASE", c("external") & c("release")))
+def check_phase(vertices: DataFrame, lines: DataFrame, spacing: float, tol: float = 0.01) -> DataFrame:
+    """line_id, error, codes of lines whose vertices (line_id, seq, x, y) aren't on the level of their row: the phase along
+    the normal of theta (degrees) is row_id * spacing. lines: line_id, row_id, theta."""
+    t = F.radians("theta")
+    off = F.abs(c("y") * F.cos(t) - c("x") * F.sin(t) - c("row_id") * spacing)
+    g = vertices.join(lines, "line_id").groupBy("line_id").agg(F.max(off).alias("error"))
+    return g.withColumn("codes", codes_when(("PHASE_DIFFERS", c("error") > tol))).filter("codes != ''")
+
+
+def check_outside(segments: DataFrame, edges: DataFrame, tol: float = 0.01, cell: float = 50.0) -> DataFrame:
+    """line_id, outside_m of lines (line_id, seq, x0, y0, x1, y1) that run outside the union of the polygons (edges:
+    polygon_id, x0, y0, x1, y1) for more than tol."""
+    from furrow.operators.nearest import outside_pieces
+
+    parts = segments.select(F.struct("line_id", "seq").alias("connector_id"), c("x0").alias("x"), c("y0").alias("y"), c("x1").alias("sx"), c("y1").alias("sy"))
+    return outside_pieces(parts, edges, cell).groupBy("connector_id.line_id").agg(F.sum("length").alias("outside_m")).filter(c("outside_m") > tol)
+
+
+def check_models(candidates: DataFrame, params: DataFrame, sources: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
+    """model_id, parameter_id, codes. candidates: model_id, parameter_id, mode, unit, value, external, release, source_id,
+    package_id; params: parameter_id, unit, safety, fail_closed (null: the catalog has no such value). Sources and packages
+    are looked up where they are given."""
+    df = candidates.join(params.select("parameter_id", c("unit").alias("punit"), "safety", "fail_closed"), "parameter_id", "left")
+    more = []
+    for table, key, code in ((sources, "source_id", "SOURCE_UNKNOWN"), (packages, "package_id", "PACKAGE_UNKNOWN")):
+        if table is not None:
+            df = df.join(table.select(key).distinct().withColumn(f"__{key}", F.lit(True)), key, "left")
+            more.append((code, c(f"__{key}").isNull()))
+    closed = c("mode") == "FAIL_CLOSED"
+    codes = codes_when(
+        ("PARAMETER_UNKNOWN", c("punit").isNull()), ("UNIT_DIFFERS", c("unit") != c("punit")), ("DIRECT_WITHOUT_VALUE", c("mode").isin("DIRECT", "FAIL_CLOSED") & c("value").isNull()), ("SAFETY_PRIOR_UNCONFIRMED", c("safety") & (c("mode") == "PRIOR")),
+        ("NOT_A_FAIL_CLOSED_PARAMETER", closed & c("punit").isNotNull() & c("fail_closed").isNull()), ("FAIL_CLOSED_VALUE_DIFFERS", closed & (c("value") != c("fail_closed"))), ("EXTERNAL_CANNOT_RELEASE", c("external") & c("release")), *more,
+    )
     return df.select("model_id", "parameter_id", codes.alias("codes")).filter("codes != ''")
 
 

@@ -40,6 +40,8 @@ FEEDS["delivery_dq"] = """SELECT p_partkey AS k, p_partkey % 7 + CASE WHEN p_siz
 FEEDS["frozen_dq"] = """SELECT l_orderkey AS request_id, l_partkey % 7 AS product_id FROM lineitem WHERE l_orderkey % 13 <> 2"""
 FEEDS["run_dq"] = """SELECT l_orderkey AS request_id, l_partkey % 7 AS product_id FROM lineitem WHERE l_orderkey % 17 <> 3 AND NOT (l_orderkey % 10 = 0 AND l_linenumber = 1) UNION ALL SELECT l_orderkey, 9 FROM lineitem WHERE l_orderkey % 15 = 1 AND l_orderkey % 17 <> 3 UNION ALL SELECT l_orderkey, l_partkey % 7 FROM lineitem WHERE l_orderkey % 4 = 1 AND l_orderkey % 17 <> 3"""
 
+FEEDS["strokes_dq"] = """SELECT s_suppkey AS line_id, k AS seq, (s_suppkey % 3 - 1) * 2e0 + k * 1.3e1 AS x0, s_suppkey * 1e0 AS y0, (s_suppkey % 3 - 1) * 2e0 + (k + 1) * 1.3e1 AS x1, s_suppkey * 1e0 AS y1 FROM supplier CROSS JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 3) q WHERE s_suppkey % 4 <> 0 OR k = 1"""
+
 QUERIES, ORACLES = {}, {}
 c = F.col
 
@@ -316,10 +318,39 @@ def dq12(spark, d):
     return Q.check_lines(a, dec, feed(spark, d, "SELECT s_suppkey AS line_id, 1e0 AS nx, 2e0 + CASE WHEN s_suppkey % 6 = 0 THEN 1e-3 ELSE 0e0 END AS ny FROM supplier"))
 
 
-@query("dq13_models", """SELECT model_id, parameter_id, codes FROM (SELECT l_suppkey AS model_id, l_partkey + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END AS parameter_id, concat_ws(',', CASE WHEN l_linenumber = 7 THEN 'PARAMETER_UNKNOWN' END, CASE WHEN l_linenumber <> 7 AND (p_size + l_linenumber % 2) % 2 <> p_size % 2 THEN 'UNIT_DIFFERS' END, CASE WHEN l_quantity > 40 AND l_linenumber < 3 THEN 'DIRECT_WITHOUT_VALUE' END, CASE WHEN l_linenumber <> 7 AND l_partkey % 7 = 0 AND l_quantity <= 40 THEN 'SAFETY_PRIOR_UNCONFIRMED' END, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'EXTERNAL_CANNOT_RELEASE' END) AS codes FROM lineitem JOIN part ON p_partkey = l_partkey) WHERE codes <> ''""")
+@query("dq12_phase", """WITH e AS (SELECT s_suppkey AS line_id, CASE WHEN s_suppkey % 7 = 0 THEN 2.5e-2 ELSE 4e-3 END AS error FROM supplier) SELECT line_id, error, 'PHASE_DIFFERS' AS codes FROM e WHERE error > 1e-2""")
+def dq12p(spark, d):
+    # rows at 30 degrees: (along, across) turned
+    v = feed(spark, d, "SELECT s_suppkey AS line_id, k AS seq, k * 2e1 AS u, s_suppkey * 1.5e0 + CASE WHEN k = 3 THEN CASE WHEN s_suppkey % 7 = 0 THEN 2.5e-2 ELSE 4e-3 END ELSE 0e0 END AS w FROM supplier CROSS JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 5)")
+    ct, st = 0.75**0.5, 0.5
+    v = v.select("line_id", "seq", (c("u") * ct - c("w") * st).alias("x"), (c("u") * st + c("w") * ct).alias("y"))
+    out = Q.check_phase(v, feed(spark, d, "SELECT s_suppkey AS line_id, s_suppkey AS row_id, 3e1 AS theta FROM supplier"), 1.5)
+    return out.withColumn("error", F.round("error", 6))
+
+
+@query("dq12_outside", """WITH p AS (SELECT line_id, sum(greatest(0, least(x1, 1.1e1) - greatest(x0, 1e1))) + sum(greatest(0, x1 - greatest(x0, 4e1))) + sum(greatest(0, least(x1, 0e0) - x0)) AS outside_m FROM strokes_dq GROUP BY line_id) SELECT line_id, round(outside_m, 6) AS outside_m FROM p WHERE outside_m > 1e-2""")
+def dq12o(spark, d):
+    s = feed(spark, d, "strokes_dq")
+    # two fields with a lane of one metre between them, as long as there are lines
+    rings = feed(spark, d, "SELECT b * 10 + f AS polygon_id, 1 AS ring, k AS seq, CASE WHEN k IN (1, 4, 5) THEN f * 1.1e1 ELSE 1e1 + f * 3e1 END AS x, b * 1e2 - 5e-1 + CASE WHEN k IN (1, 2, 5) THEN 0e0 ELSE 1e2 END AS y FROM (SELECT DISTINCT CAST(floor(s_suppkey / 1e2) AS BIGINT) AS b FROM supplier) CROSS JOIN (SELECT n_nationkey AS f FROM nation WHERE n_nationkey < 2) CROSS JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey BETWEEN 1 AND 5)")
+    from furrow.operators.nearest import ring_edges
+
+    return Q.check_outside(s, ring_edges(rings)).withColumn("outside_m", F.round("outside_m", 6))
+
+
+_GOV = """m AS (SELECT l_suppkey AS model_id, l_partkey + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END AS parameter_id, CASE WHEN l_quantity > 40 THEN 'DIRECT' WHEN l_quantity > 30 THEN 'FAIL_CLOSED' ELSE 'PRIOR' END AS mode, CASE WHEN (p_size + l_linenumber % 2) % 2 = 0 THEN 'm' ELSE 's' END AS unit, CASE WHEN l_linenumber >= 3 THEN l_linenumber % 4 END AS value, l_returnflag = 'R' AS external, l_linestatus = 'F' AS release, l_shipmode_ AS source_id, l_suppkey % 100 + CASE WHEN l_linenumber = 6 THEN 1000 ELSE 0 END AS package_id FROM (SELECT *, concat('S', l_partkey % 9) AS l_shipmode_ FROM lineitem) l JOIN part ON p_partkey = l_partkey)"""
+
+
+@query("dq13_models", f"""WITH {_GOV}, k AS (SELECT parameter_id, unit AS punit, safety, CASE WHEN parameter_id % 4 = 0 THEN 3 END AS closed FROM params_ct)
+SELECT model_id, m.parameter_id, concat_ws(',', CASE WHEN punit IS NULL THEN 'PARAMETER_UNKNOWN' END, CASE WHEN unit <> punit THEN 'UNIT_DIFFERS' END, CASE WHEN mode IN ('DIRECT', 'FAIL_CLOSED') AND value IS NULL THEN 'DIRECT_WITHOUT_VALUE' END, CASE WHEN safety AND mode = 'PRIOR' THEN 'SAFETY_PRIOR_UNCONFIRMED' END, CASE WHEN mode = 'FAIL_CLOSED' AND punit IS NOT NULL AND closed IS NULL THEN 'NOT_A_FAIL_CLOSED_PARAMETER' END,
+CASE WHEN mode = 'FAIL_CLOSED' AND value <> closed THEN 'FAIL_CLOSED_VALUE_DIFFERS' END, CASE WHEN external AND release THEN 'EXTERNAL_CANNOT_RELEASE' END, CASE WHEN source_id = 'S8' THEN 'SOURCE_UNKNOWN' END, CASE WHEN package_id >= 1000 THEN 'PACKAGE_UNKNOWN' END) AS codes FROM m LEFT JOIN k ON k.parameter_id = m.parameter_id
+WHERE punit IS NULL OR unit <> punit OR mode IN ('DIRECT', 'FAIL_CLOSED') AND value IS NULL OR safety AND mode = 'PRIOR' OR mode = 'FAIL_CLOSED' AND (closed IS NULL OR value <> closed) OR external AND release OR source_id = 'S8' OR package_id >= 1000""")
 def dq13(spark, d):
-    cand = feed(spark, d, "SELECT l_suppkey AS model_id, l_partkey + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END AS parameter_id, CASE WHEN l_quantity > 40 THEN 'DIRECT' ELSE 'PRIOR' END AS mode, CASE WHEN (p_size + l_linenumber % 2) % 2 = 0 THEN 'm' ELSE 's' END AS unit, CASE WHEN l_linenumber >= 3 THEN l_tax END AS value, l_returnflag = 'R' AS external, l_linestatus = 'F' AS release FROM lineitem JOIN part ON p_partkey = l_partkey")
-    return Q.check_models(cand, feed(spark, d, "SELECT parameter_id, unit, safety FROM params_ct"))
+    cand = feed(spark, d, f"WITH {_GOV} SELECT * FROM m")
+    params = feed(spark, d, "SELECT parameter_id, unit, safety, CASE WHEN parameter_id % 4 = 0 THEN 3 END AS fail_closed FROM params_ct")
+    sources = feed(spark, d, "SELECT concat('S', n_nationkey) AS source_id FROM nation WHERE n_nationkey < 8")
+    packages = feed(spark, d, "SELECT DISTINCT l_suppkey % 100 AS package_id FROM lineitem")
+    return Q.check_models(cand, params, sources, packages)
 
 
 @query("dq14_products", """SELECT o_orderkey AS request_id, 'P' || (k - 1) AS product_id FROM (SELECT o_orderkey, o_orderkey % 5 AS k FROM orders) WHERE k > 0""")
