@@ -93,15 +93,30 @@ def neighbour(cells: DataFrame, drow: int, dcol: int, name: str, v: str = "v") -
     return cells.join(other, RC, "left")
 
 
-def gradient(cells: DataFrame, res: float = 1.0, v: str = "v", gx: str = "gx", gy: str = "gy") -> DataFrame:
-    """Centred difference where both neighbours are valid, else the one-sided one that is, else null."""
-    df = cells
-    for i, (r, k) in enumerate(((0, 1), (0, -1), (1, 0), (-1, 0))):
-        other = cells.select("grid_id", (c("row") - r).alias("row"), (c("col") - k).alias("col"), c(v).alias(f"__{i}"))
-        df = df.join(other, RC, "left")
+SIDES = ((0, 1), (0, -1), (1, 0), (-1, 0))
+
+
+def beside(cells: DataFrame, values: list[str]) -> DataFrame:
+    """cells with, for each of the values, those of the four cells beside it: right, left, up, down as __v0 to __v3. Each
+    cell sends its values to its neighbours, and they meet in one aggregation."""
+    sent = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(k).alias("k"), F.lit(i).alias("i")) for i, (r, k) in enumerate(SIDES)]))
+    s = cells.select("grid_id", "row", "col", *values, sent.alias("o")).select("grid_id", (c("row") - c("o.r")).alias("row"), (c("col") - c("o.k")).alias("col"), c("o.i").alias("i"), *values)
+    met = s.groupBy(*RC).agg(*[F.max(F.when(c("i") == i, c(v))).alias(f"__{v}{i}") for v in values for i in range(4)])
+    return cells.join(met, RC, "left")
+
+
+def slopes(v: str, res: float) -> tuple[Column, Column]:
+    """Centred difference along columns and along rows where both neighbours are valid, else the one-sided one that is, else
+    null; of a value that beside() has seen."""
     here = c(v)
-    one = lambda f, b: F.when(here.isNotNull(), F.coalesce((c(f) - c(b)) / (2 * res), (c(f) - here) / res, (here - c(b)) / res))
-    return df.withColumn(gx, one("__0", "__1")).withColumn(gy, one("__2", "__3")).drop("__0", "__1", "__2", "__3")
+    one = lambda f, b: F.when(here.isNotNull(), F.coalesce((c(f"__{v}{f}") - c(f"__{v}{b}")) / (2 * res), (c(f"__{v}{f}") - here) / res, (here - c(f"__{v}{b}")) / res))
+    return one(0, 1), one(2, 3)
+
+
+def gradient(cells: DataFrame, res: float = 1.0, v: str = "v", gx: str = "gx", gy: str = "gy") -> DataFrame:
+    """cells with the slopes of v."""
+    x, y = slopes(v, res)
+    return beside(cells, [v]).withColumns({gx: x, gy: y}).drop(*[f"__{v}{i}" for i in range(4)])
 
 
 def horn(cells: DataFrame, res: float = 1.0) -> DataFrame:
@@ -166,7 +181,7 @@ def axial_jumps(cells: DataFrame, limit: float) -> DataFrame:
 
 def critical_indicators(cells: DataFrame, floor: float, curve: float, most: float, res: float = 1.0) -> DataFrame:
     """Shares of cells with next to no gradient, and with a strongly curved phase; codes where they pass `most`."""
-    g = gradient(gradient(gradient(cells, res), res, "gx", "gxx", "gxy"), res, "gy", "gyx", "gyy")
+    g = beside(gradient(cells, res), ["gx", "gy"]).withColumns({"gxx": slopes("gx", res)[0], "gyy": slopes("gy", res)[1]})
     flat = F.sqrt(c("gx") * c("gx") + c("gy") * c("gy")) < floor
     bent = F.abs(c("gxx") + c("gyy")) * res > curve
     out = g.filter("gxx IS NOT NULL AND gyy IS NOT NULL").groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"), (F.count_if(flat) / F.count(F.lit(1))).alias("flat_share"), (F.count_if(bent) / F.count(F.lit(1))).alias("bent_share"))
@@ -287,11 +302,13 @@ def path_summary(cells: DataFrame, mask: DataFrame, pixel: float) -> DataFrame:
 
 
 def focal_max(cells: DataFrame, k: int) -> DataFrame:
-    """Largest valid value in the k x k window (cells beyond the edge repeat the edge, so they add nothing)."""
+    """Largest valid value in the k x k window (cells beyond the edge repeat the edge, so they add nothing): of k cells along
+    the row first, of k such along the column then."""
     h = k // 2
-    off = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(q).alias("k")) for r in range(-h, h + 1) for q in range(-h, h + 1)]))
-    s = cells.filter("v IS NOT NULL").select("grid_id", "row", "col", "v", off.alias("o")).select("grid_id", (c("row") + c("o.r")).alias("row"), (c("col") + c("o.k")).alias("col"), "v")
-    return cells.select(*RC, "v").join(s.groupBy(*RC).agg(F.max("v").alias("focal")), RC, "left")
+    far = lambda df, x: df.select("grid_id", *[c(n) if n != x else (c(n) + c("o")).alias(n) for n in ("row", "col")], "v").groupBy(*RC).agg(F.max("v").alias("v"))
+    spread = lambda df: df.withColumn("o", F.explode(F.sequence(F.lit(-h), F.lit(h))))
+    s = far(spread(far(spread(cells.filter("v IS NOT NULL").select(*RC, "v")), "col")), "row")
+    return cells.select(*RC, "v").join(s.withColumnRenamed("v", "focal"), RC, "left")
 
 
 def mask_boundary(mask: DataFrame) -> DataFrame:
