@@ -200,6 +200,21 @@ def line_metrics(vertices: DataFrame, step: float, target: float, alert: float,
     return out.select(key, c("q")[0].alias("grade_p50"), c("q")[1].alias("grade_p95"), "grade_max", "over_target", "over_alert", "adverse", "end_grade")
 
 
+def cross_grades(vertices: DataFrame, cells: DataFrame, step: float, res: float = 1.0, key: str = "line_id") -> DataFrame:
+    """Per line: median, p95 and greatest grade (percent) of the terrain across the line and along it, from the slopes (gx,
+    gy: rise over run) of the cell under the middle of each resampled piece. Pieces over no valid cell take no part, and
+    `pieces` counts those that do."""
+    w = Window.partitionBy(key).orderBy("station")
+    r = resample(vertices, step, key)
+    p = r.select(key, *[x for n in "xy" for x in (c(n).alias(f"{n}0"), F.lead(n).over(w).alias(f"{n}1"))]).filter("x1 IS NOT NULL")
+    d = X.distance(c("x0"), c("y0"), c("x1"), c("y1"))
+    p = p.filter(d > 1e-9).withColumns({"tx": (c("x1") - c("x0")) / d, "ty": (c("y1") - c("y0")) / d, "row": F.floor((c("y0") + c("y1")) / (2 * res)).cast("int"), "col": F.floor((c("x0") + c("x1")) / (2 * res)).cast("int")})
+    hit = p.join(cells.select("row", "col", "gx", "gy").filter("gx IS NOT NULL AND gy IS NOT NULL"), ["row", "col"])
+    hit = hit.withColumns({"cross": F.abs(c("gy") * c("tx") - c("gx") * c("ty")) * 100, "along": F.abs(c("gx") * c("tx") + c("gy") * c("ty")) * 100})
+    aggs = [F.count(F.lit(1)).alias("pieces"), F.max("cross").alias("cross_max"), F.max("along").alias("along_max")]
+    return summarise(hit, [key], aggs, {"cross_p50": ("cross", 0.5), "cross_p95": ("cross", 0.95), "along_p95": ("along", 0.95)})
+
+
 def reversals(segs: DataFrame, deadband: float = 0.20, key: str = "line_id") -> DataFrame:
     """Sign changes of grade (percent) between neighbouring segments that aren't flat; flat ones are passed over."""
     s = segs.filter(F.abs("grade") > deadband).withColumn("sign", F.signum("grade"))
@@ -244,6 +259,12 @@ def curvature(vertices: DataFrame, min_radius: float | None, key: str = "line_id
     return g.select(key, "min_radius", c("q")[0].alias("p05"), c("q")[1].alias("p50"), "violations", verdict.alias("verdict"))
 
 
+def resampled_curvature(vertices: DataFrame, step: float, min_radius: float | None, key: str = "line_id") -> DataFrame:
+    """curvature() of the lines resampled at even stations no farther apart than step, which doesn't depend on how densely a
+    line was drawn."""
+    return curvature(resample(vertices, step, key).withColumn("seq", c("station")), min_radius, key)
+
+
 def row_relations(vertices: DataFrame, group: list[str], cell: float = 50.0, key: str = "line_id") -> DataFrame:
     """group, a_id, b_id, relation of pairs of lines of one group that meet (each pair once): CROSSING if any two
     segments cross properly, else OVERLAP if any two share more than a point, else TOUCH."""

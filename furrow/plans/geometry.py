@@ -38,6 +38,9 @@ FEEDS["areas"] = """SELECT b * 10 AS polygon_id, 'a' AS side, -5e0 AS lo_x, b *
 UNION ALL SELECT b * 10 + 1, 'b', CASE b % 3 WHEN 0 THEN 1.153e2 WHEN 1 THEN 1.143e2 ELSE 1.177e2 END, b * 6e1 - 1e0, 4e2, b * 6e1 + 5.93e1 FROM area_blocks"""
 FEEDS["area_rings"] = """SELECT polygon_id, side, 1 AS ring, 1 AS seq, lo_x AS x, lo_y AS y FROM areas UNION ALL SELECT polygon_id, side, 1, 2, hi_x, lo_y FROM areas UNION ALL SELECT polygon_id, side, 1, 3, hi_x, hi_y FROM areas UNION ALL SELECT polygon_id, side, 1, 4, lo_x, hi_y FROM areas UNION ALL SELECT polygon_id, side, 1, 5, lo_x, lo_y FROM areas"""
 FEEDS["reported_areas"] = """SELECT CASE WHEN p_partkey % 29 = 0 THEN -p_partkey ELSE p_partkey END AS feature_id, CASE WHEN p_partkey % 11 = 0 THEN 0e0 ELSE p_size * p_retailprice / 1e4 * (1 + (p_partkey % 9 - 4) * 8e-3) END AS reported_ha FROM part WHERE p_partkey % 13 <> 0"""
+# tracks of length 12 over the grid of parts, in five directions
+FEEDS["tracks"] = """SELECT line_id, ax, ay, ax + dx AS bx, ay + dy AS by_ FROM (SELECT p_partkey AS line_id, (p_partkey % 43) * 1e0 + 3.3e-1 AS ax, floor(p_partkey / 5e1) + 2.1e-1 AS ay, CASE p_partkey % 5 WHEN 0 THEN 1.2e1 WHEN 1 THEN -1.2e1 WHEN 2 THEN 7.2e0 WHEN 3 THEN 0e0 ELSE 9.6e0 END AS dx, CASE p_partkey % 5 WHEN 0 THEN 0e0 WHEN 1 THEN 0e0 WHEN 2 THEN 9.6e0 WHEN 3 THEN 1.2e1 ELSE -7.2e0 END AS dy FROM part) q"""
+FEEDS["slope_cells"] = """SELECT CAST(floor(p_partkey / 5e1) AS INT) AS row, CAST(p_partkey % 50 AS INT) AS col, CASE WHEN p_size = 1 THEN NULL ELSE (p_size - 25) * 2e-3 END AS gx, (p_retailprice - 1000) * 1e-4 AS gy FROM part WHERE p_size <> 1"""
 FEEDS["trials_ge"] = """SELECT p_brand AS pair_id, p_partkey AS trial, (p_partkey % 9 - 4) * 1e0 AS delta, (p_partkey % 5) * 3e-1 + p_partkey * 1e-6 AS phase, p_size AS pairs, p_retailprice AS paired_m, (p_partkey % 13) * 1e0 AS median_gap FROM part"""
 FEEDS["sides"] = """SELECT s_suppkey AS id, 1 AS seq, s_suppkey % 5 AS field, s_suppkey * 3e1 AS x0, 0e0 AS y0, s_suppkey * 3e1 + 2.5e1 AS x1, (s_suppkey % 3) * 1e0 AS y1 FROM supplier"""
 FEEDS["sides_b"] = """SELECT s_suppkey AS id, 1 AS seq, s_suppkey % 4 AS field, s_suppkey * 3e1 AS x0, 8e0 AS y0, s_suppkey * 3e1 + 2.5e1 AS x1, 4e0 + (s_suppkey % 6) AS y1 FROM supplier"""
@@ -134,6 +137,14 @@ def ge8(spark, d):
     return rounded(rounded(out, ["grade_p50", "grade_p95", "grade_max", "end_grade"], 5), ["over_target", "over_alert", "adverse"])
 
 
+@query("ge8_cross_grades", """WITH h AS (SELECT line_id, abs(gy * tx - gx * ty) * 100 AS cr, abs(gx * tx + gy * ty) * 100 AS al FROM (SELECT line_id, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my, (x1 - x0) / sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) AS tx, (y1 - y0) / sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) AS ty
+FROM (SELECT line_id, ax + (bx - ax) * i / 6 AS x0, ay + (by_ - ay) * i / 6 AS y0, ax + (bx - ax) * (i + 1) / 6 AS x1, ay + (by_ - ay) * (i + 1) / 6 AS y1 FROM tracks, (SELECT unnest(range(0, 6)) AS i))) q JOIN slope_cells k ON k.row = CAST(floor(my) AS INT) AND k.col = CAST(floor(mx) AS INT))
+SELECT line_id, count(*) AS pieces, round(quantile_cont(cr, 0.5), 5) AS cross_p50, round(quantile_cont(cr, 0.95), 5) AS cross_p95, round(max(cr), 5) AS cross_max, round(quantile_cont(al, 0.95), 5) AS along_p95, round(max(al), 5) AS along_max FROM h GROUP BY line_id""")
+def ge8c(spark, d):
+    v = feed(spark, d, "SELECT line_id, 1 AS seq, ax AS x, ay AS y FROM tracks UNION ALL SELECT line_id, 2, bx, by_ FROM tracks")
+    return rounded(G.cross_grades(v, feed(spark, d, "slope_cells"), 2.1), ["cross_p50", "cross_p95", "cross_max", "along_p95", "along_max"], 5)
+
+
 @query("ge9_reversals", """SELECT line_id, count(*) FILTER (s <> p) AS reversals FROM (SELECT line_id, sign(g) AS s, lag(sign(g)) OVER (PARTITION BY line_id ORDER BY seq) AS p FROM (SELECT line_id, seq, (z1 - z0) / (c1 - c0) * 100 AS g FROM legs WHERE c1 > c0) q WHERE abs(g) > 0.2000001) r GROUP BY line_id""")
 def ge9(spark, d):
     return G.reversals(feed(spark, d, "SELECT line_id, seq, (z1 - z0) / (c1 - c0) * 1e2 AS grade FROM legs WHERE c1 > c0"), 0.2000001)
@@ -166,6 +177,15 @@ _REL = f"""rel AS (SELECT a.group_id, a.line_id AS a_id, b.line_id AS b_id, max(
 FROM (SELECT * FROM bent_legs {_LIVE}) a JOIN (SELECT * FROM bent_legs {_LIVE}) b ON a.group_id = b.group_id AND a.line_id < b.line_id WHERE {_SEGD} <= 1e-9 GROUP BY a.group_id, a.line_id, b.line_id)"""
 
 
+@query("ge12_resampled_curvature", f"""WITH {_ST}, q AS (SELECT line_id, lag(x) OVER w AS x0, lag(y) OVER w AS y0, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY line_id ORDER BY station)),
+t AS (SELECT line_id, sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) AS a, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS b, sqrt(power(x2 - x0, 2) + power(y2 - y0, 2)) AS c, abs((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)) AS k FROM q), r AS (SELECT line_id, CASE WHEN a > 1e-9 AND b > 1e-9 AND c > 1e-9 AND k > 1e-9 THEN a * b * c / (2 * k) END AS r FROM t)
+SELECT line_id, CASE WHEN min(r) < 1e7 THEN round(min(r), 3) END AS min_radius, count(*) FILTER (r < 90.001) AS violations, CASE WHEN count(*) FILTER (r < 90.001) > 0 THEN 'FAIL_STATIC_PATH_RADIUS' ELSE 'PASS_STATIC_PATH_RADIUS' END AS verdict FROM r GROUP BY line_id""")
+def ge12r(spark, d):
+    out = G.resampled_curvature(feed(spark, d, "steps"), 150.0, 90.001)
+    # a radius of a hundred million metres is a straight line that rounding bends
+    return out.select("line_id", F.when(F.col("min_radius") < 1e7, R("min_radius", 3)).alias("min_radius"), "violations", "verdict")
+
+
 @query("ge13_row_relations", f"WITH {_REL} SELECT group_id, a_id, b_id, CASE k WHEN 3 THEN 'CROSSING' WHEN 2 THEN 'OVERLAP' ELSE 'TOUCH' END AS relation FROM rel")
 def ge13(spark, d):
     return G.row_relations(feed(spark, d, "bent"), ["group_id"], 5.0)

@@ -24,7 +24,7 @@ UNION ALL SELECT concat(a.site_id, ',', b.site_id, ',', c.site_id), 3, a.site_id
 FEEDS["roads_lo"] = """SELECT l_orderkey * 10 + l_linenumber AS line_id, max(l_quantity) * 1e1 AS length_m FROM lineitem GROUP BY l_orderkey, l_linenumber"""
 FEEDS["removed_lo"] = """SELECT line_id, 0e0 AS lo, length_m / 4 AS hi FROM roads_lo WHERE line_id % 3 = 0"""
 FEEDS["road_nodes"] = """SELECT c_custkey AS n, CAST(floor(c_custkey / 2e0) AS BIGINT) AS m, 1e0 + c_nationkey AS w FROM customer WHERE c_custkey % 97 <> 1 AND c_custkey > 0"""
-FEEDS["chords"] = """SELECT c_custkey AS n, c_custkey + 7 AS m, 3e0 + c_nationkey AS w FROM customer WHERE c_custkey % 5 = 0 AND c_custkey < 1400 AND c_custkey > 200"""
+FEEDS["chords"] = """SELECT c_custkey AS n, c_custkey + 7 AS m, 3e0 + c_nationkey AS w FROM customer WHERE c_custkey % 5 = 0 AND c_custkey + 7 <= (SELECT max(c_custkey) FROM customer)"""
 FEEDS["road_graph"] = """SELECT n AS a, m AS b, w AS weight FROM road_nodes UNION ALL SELECT n, m, w FROM chords"""
 FEEDS["needs_ga"] = """SELECT s_suppkey AS a, CAST(floor(s_suppkey / 3e0) AS BIGINT) AS b FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT s_suppkey, s_suppkey - 5 FROM supplier WHERE s_suppkey % 20 = 5"""
 FEEDS["street"] = """SELECT s_suppkey AS segment_id, (s_suppkey % 9) * 1e1 AS x0, (s_suppkey % 4) * 2e1 + floor(s_suppkey / 3.6e1) * 8e1 AS y0, (s_suppkey % 9) * 1e1 + 2e1 AS x1, (s_suppkey % 4) * 2e1 + floor(s_suppkey / 3.6e1) * 8e1 AS y1 FROM supplier"""
