@@ -287,22 +287,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, work: str) -> DataFrame:
-    """node, component (smallest node reachable) of every node of links (a, b): each node takes the smallest label
-    around it and then that label's label, until nothing changes. Each step is written, so no lineage grows."""
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialise(both, f"{work}/both")
-    label = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), f"{work}/label0")
-    step = 0
-    while True:
-        step += 1
-        around = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = label.join(around, "node").select("node", F.least("component", "near").alias("low"), F.col("component").alias("was"))
-        far = label.select(F.col("node").alias("low"), F.col("component").alias("lowest"))
-        new = materialise(lower.join(far, "low", "left").select("node", F.least("low", F.coalesce("lowest", "low")).alias("component"), "was"), f"{work}/label{step}")
-        changed = new.filter("component < was").limit(1).count()
-        label = new.select("node", "component")
-        if not changed:
-            return label
+    """node, component (smallest node reachable) of every node of links (a, b), by contraction. Each node points to the
+    smallest around it; pointers are followed to their ends; nodes with one end become one node, and only links between
+    different ones go on, so the links of a round are fewer than those before. Each step is written, so no lineage grows."""
+    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct()
+    both, rounds = materialise(both, f"{work}/both0"), []
+    while not rounds or not both.isEmpty():
+        k = len(rounds)
+        label = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), f"{work}/label{k}")
+        jump = 0
+        while True:
+            end = label.select(F.col("node").alias("component"), F.col("component").alias("end"))
+            moved = materialise(label.join(end, "component").select("node", F.col("end").alias("component"), F.col("component").alias("was")), f"{work}/label{k}-{jump}")
+            label, jump = moved.select("node", "component"), jump + 1
+            if moved.filter("component < was").isEmpty():
+                break
+        rounds.append(label)
+        of = lambda n: label.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))  # noqa: B023, E731
+        both = both.join(of("a"), "a").join(of("b"), "b").filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        both = materialise(both, f"{work}/both{k + 1}")
+    out = rounds.pop()
+    for label in reversed(rounds):
+        further = out.select(F.col("node").alias("component"), F.col("component").alias("end"))
+        out = label.join(further, "component", "left").select("node", F.coalesce("end", "component").alias("component"))
+    return materialise(out, f"{work}/components") if rounds else out
 
 
 def groups(docs: DataFrame, work: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

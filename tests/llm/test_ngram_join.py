@@ -137,3 +137,25 @@ def test_query_against_all_pairs(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.op12_ngram_join(spark, sf).collect()), key=str)
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
+def test_components_of_graphs(spark, kind):
+    rng = random.Random(3)
+    ids = rng.sample(range(10_000), 300)
+    links = {
+        "chain": [*zip(ids, ids[1:], strict=False), *((k, k + 1) for k in range(20_000, 20_200))], "star": [(ids[0], k) for k in ids[1:]] + [(20_000, 20_001)],
+        "random": [(rng.choice(ids), rng.choice(ids)) for _ in range(260)], "none": [],
+    }[kind]
+    at = {k: k for pair in links for k in pair}
+
+    def find(k):
+        while at[k] != k:
+            k = at[k]
+        return k
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        at[max(x, y)] = min(x, y)
+    out = ngram_join.components(spark.createDataFrame(links, "a bigint, b bigint"), run_dir(spark, "t")).collect()
+    assert {r["node"]: r["component"] for r in out} == {k: find(k) for a, b in links if a != b for k in (a, b)} and len(out) == len({r["node"] for r in out})
