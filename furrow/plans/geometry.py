@@ -279,7 +279,7 @@ def ge20(spark, d):
 
 
 @query("ge20_area_agreement", """WITH m AS (SELECT p_partkey AS feature_id, (p_size * 10 * p_retailprice / 10 - CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END) / 1e4 AS area_ha FROM part), j AS (SELECT *, (area_ha - reported_ha) * 100 / nullif(reported_ha, 0) AS off FROM m FULL JOIN reported_areas USING (feature_id))
-SELECT feature_id, round(area_ha, 8) AS area_ha, round(reported_ha, 8) AS reported_ha, round(off, 5) AS difference_percent, CASE WHEN area_ha IS NULL THEN 'NO_GEOMETRY' WHEN reported_ha IS NULL THEN 'NOT_REPORTED' WHEN reported_ha <= 0 THEN 'REPORTED_NOT_POSITIVE' WHEN abs(off) <= 2.00001 THEN 'AGREES' ELSE 'DIFFERS' END AS area_status FROM j""")
+SELECT feature_id, round(area_ha, 8) AS area_ha, round(reported_ha, 8) AS reported_ha, round(off, 5) + 0e0 AS difference_percent, CASE WHEN area_ha IS NULL THEN 'NO_GEOMETRY' WHEN reported_ha IS NULL THEN 'NOT_REPORTED' WHEN reported_ha <= 0 THEN 'REPORTED_NOT_POSITIVE' WHEN abs(off) <= 2.00001 THEN 'AGREES' ELSE 'DIFFERS' END AS area_status FROM j""")
 def ge20a(spark, d):
     out = G.area_agreement(G.polygon_measures(feed(spark, d, "rings").withColumnRenamed("part_no", "part")), feed(spark, d, "reported_areas"), 2.00001)
     return rounded(rounded(out, ["area_ha", "reported_ha"], 8), ["difference_percent"], 5)
