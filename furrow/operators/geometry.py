@@ -50,7 +50,7 @@ def segments_within(a: DataFrame, b: DataFrame, buffer: str | float, cell: float
     columns of a and of b to carry along; ends: carry the coordinates (a_x0 and so on).
 
     A pair counts in the first cell that both share (by column, then row), which either row can tell from the two
-    segments; so nothing is measured twice, and nothing is shuffled after it is measured."""
+    segments; so nothing is shuffled after it is measured."""
     on = on or []
     side = lambda df, p, extra: df.select(*on, *[F.col(c).alias(f"{p}_{c}") for c in ("id", "seq", "x0", "y0", "x1", "y1")], *extra)
     width = F.col(buffer) if isinstance(buffer, str) else F.lit(float(buffer))
@@ -68,7 +68,7 @@ def segments_within(a: DataFrame, b: DataFrame, buffer: str | float, cell: float
     before = F.exists(F.sequence(first, F.col("__cx") - 1), lambda k: shared(k)[0] <= shared(k)[1])
     canonical = (F.col("__cy") == shared(F.col("__cx"))[0]) & F.when(F.col("__cx") > first, ~before).otherwise(True)
     d = X.seg_seg_dist(*[F.col(f"{p}_{c}") for p in "ab" for c in ("x0", "y0", "x1", "y1")])
-    hit = left.join(right, [*on, "__cx", "__cy"]).filter(~apart).filter(canonical).withColumn("dist", d).filter(F.col("dist") <= F.col("__buffer"))
+    hit = left.join(right, [*on, "__cx", "__cy"]).filter(~apart).withColumn("dist", d).filter(F.col("dist") <= F.col("__buffer")).filter(canonical)
     coordinates = [f"{p}_{n}" for p in "ab" for n in ("x0", "y0", "x1", "y1")] if ends else []
     return hit.select(*on, "a_id", "a_seq", "b_id", "b_seq", "dist", *coordinates, *more[0], *more[1])
 
