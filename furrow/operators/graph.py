@@ -51,7 +51,7 @@ def build_edges(segments: DataFrame, stops: DataFrame) -> DataFrame:
     w = Window.partitionBy("segment_id").orderBy("station")
     piece = marks.withColumn("to", F.lead("station").over(w)).filter("to IS NOT NULL").join(s, "segment_id")
     at = lambda t, a, b: F.round(c(a) + (c(b) - c(a)) * F.when(c("length") > 0, c(t) / c("length")).otherwise(0.0), 6)
-    node = lambda t: F.concat_ws(",", F.format_number(at(t, "x0", "x1"), 3), F.format_number(at(t, "y0", "y1"), 3))
+    node = lambda t: F.format_string("%.3f,%.3f", at(t, "x0", "x1"), at(t, "y0", "y1"))
     e = piece.select(node("station").alias("p"), node("to").alias("q"), (c("to") - c("station")).alias("weight"))
     return e.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "weight").groupBy("a", "b").agg(F.min("weight").alias("weight"))
 
