@@ -210,7 +210,9 @@ CASE WHEN least(o, h) > 0.25 THEN 'PROHIBITED_NO_MANEUVER_SURFACE' WHEN o <= h +
 
 
 def _edges(spark, d):
-    return feed(spark, d, "SELECT 'HEADLAND' AS surface, 1 AS id, 1 AS seq, 0e0 AS x0, -1e2 AS y0, 0e0 AS x1, 9e5 AS y1 UNION ALL SELECT 'HEADLAND', 2, 1, 1e2, -1e2, 1e2, 9e5 UNION ALL SELECT 'OBSTACLE', 3, 1, 6e1, -1e2, 6e1, 9e5")
+    """Edges that run past every row, however many there are."""
+    top = "(SELECT max(y) + 1e2 FROM plain_rows)"
+    return feed(spark, d, f"SELECT 'HEADLAND' AS surface, 1 AS id, 1 AS seq, 0e0 AS x0, -1e2 AS y0, 0e0 AS x1, {top} AS y1 UNION ALL SELECT 'HEADLAND', 2, 1, 1e2, -1e2, 1e2, {top} UNION ALL SELECT 'OBSTACLE', 3, 1, 6e1, -1e2, 6e1, {top}")
 
 
 @query("ge15_classify_endpoints", f"WITH {_ENDS} SELECT * FROM k")

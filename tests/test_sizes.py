@@ -11,3 +11,10 @@ def test_nodes_of_far_streets_have_no_thousands_marks(spark):
     segs = spark.createDataFrame([(1, 0.0, 13300.0, 20.0, 13300.0)], "segment_id int, x0 double, y0 double, x1 double, y1 double")
     got = A.build_edges(segs, spark.createDataFrame([], "segment_id int, station double")).collect()
     assert [tuple(r) for r in got] == [("0.000,13300.000", "20.000,13300.000", 20.0)]
+
+
+def test_edges_run_past_the_last_row(spark, tmp_path):
+    parts = [(1_200_003, "Brand#11", 1), (7, "Brand#11", 2)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r["line_id"], r["which"]): r["kind"] for r in P.ge15(spark, str(tmp_path)).collect()}
+    assert got == {(k, w): "HEADLAND_WORK_EDGE" for k in (7, 1_200_003) for w in ("START", "END")}
