@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -105,14 +105,35 @@ def z_at(vertices: DataFrame, stations: DataFrame, bucket: float = 100.0, key: s
     return hit.select(*stations.columns, *[(c(f"{n}0") + (c(f"{n}1") - c(f"{n}0")) * t).alias(n) for n in axes])
 
 
+def stations_along(vertices: DataFrame, n: Column, at: Callable[[Column], Column], key: str = "line_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, station, x, y, z of n stations of each line, the i-th (from 0) at at(i), which grows evenly; n and at may use the
+    line's length, len. keep: columns that are the same for all vertices of a line, to carry along.
+
+    Each segment makes the stations on it, so vertices are dealt once, by line, and nothing is joined."""
+    w = Window.partitionBy(key).orderBy("seq")
+    axes = [a for a in "xyz" if a in vertices.columns]
+    seg = chainage(vertices, key).withColumn("len", F.max("chainage").over(Window.partitionBy(key)))
+    seg = seg.select(key, *keep, "len", c("chainage").alias("c0"), F.lead("chainage").over(w).alias("c1"), *[x for a in axes for x in (c(a).alias(f"{a}0"), F.lead(a).over(w).alias(f"{a}1"))]).filter("c1 > c0")
+    seg = seg.withColumn("n", n.cast("int"))
+    step = at(F.lit(1)) - at(F.lit(0))
+    place = lambda x: F.when(c("n") > 1, (x - at(F.lit(0))) / step).otherwise(0.0)
+    # one more on either side, for rounding; what lies on the segment is told below
+    first, last = F.greatest(F.lit(0), F.floor(place(c("c0"))).cast("int") - 1), F.least(c("n") - 1, F.ceil(place(c("c1"))).cast("int") + 1)
+    st = seg.withColumn("i", F.explode(F.when(first <= last, F.sequence(first, last)))).withColumn("station", at(c("i")))
+    on = F.greatest(F.lit(0.0), F.least(c("station"), c("len")))
+    hit = st.filter((c("c0") <= on) & ((on < c("c1")) | ((on == c("len")) & (c("c1") == c("len")))))
+    t = (on - c("c0")) / (c("c1") - c("c0"))
+    return hit.select(key, *keep, "station", *[(c(f"{a}0") + (c(f"{a}1") - c(f"{a}0")) * t).alias(a) for a in axes])
+
+
 def resample(vertices: DataFrame, step: float, key: str = "line_id", keep_vertices: bool = False) -> DataFrame:
     """Evenly spaced stations no farther apart than step (two at least) with x, y, z; with the source vertices if asked."""
-    ends = chainage(vertices, key).groupBy(key).agg(F.max("chainage").alias("len")).filter("len > 0")
-    n = F.greatest(F.lit(2), F.ceil(c("len") / step) + 1).cast("int")
-    st = ends.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), c("n") - 1))).select(key, (c("len") * c("i") / (c("n") - 1)).alias("station"))
-    if keep_vertices:
-        st = st.unionByName(chainage(vertices, key).select(key, c("chainage").alias("station"))).distinct()
-    return z_at(vertices, st, key=key)
+    n = F.greatest(F.lit(2), F.ceil(c("len") / step) + 1)
+    even = stations_along(vertices, n, lambda i: c("len") * i / (c("n") - 1), key)
+    if not keep_vertices:
+        return even
+    own = chainage(vertices, key).withColumn("len", F.max("chainage").over(Window.partitionBy(key))).filter("len > 0").select(key, c("chainage").alias("station"))
+    return z_at(vertices, even.select(key, "station").union(own).distinct(), key=key)
 
 
 def merge_intervals(df: DataFrame, key: list[str], lo: str = "lo", hi: str = "hi", tol: float = 1e-9) -> DataFrame:
@@ -191,9 +212,9 @@ def line_metrics(vertices: DataFrame, step: float, target: float, alert: float,
     target and alert, adverse share, and the grade from end to end."""
     r = resample(vertices, step, key)
     w = Window.partitionBy(key).orderBy("station")
-    g = r.withColumn("ds", c("station") - F.lag("station").over(w)).withColumn("dz", c("z") - F.lag("z").over(w))
-    ends = r.groupBy(key).agg(F.min_by("z", "station").alias("za"), F.max_by("z", "station").alias("zb"), F.max("station").alias("len"))
-    g = g.filter("ds > 0").join(ends, key).withColumn("grade", F.when(c("zb") > c("za"), -1.0).otherwise(1.0) * c("dz") / c("ds") * -100)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    g = r.withColumns({"za": F.first("z").over(whole), "zb": F.last("z").over(whole), "len": F.last("station").over(whole), "ds": c("station") - F.lag("station").over(w), "dz": c("z") - F.lag("z").over(w)})
+    g = g.filter("ds > 0").withColumn("grade", F.when(c("zb") > c("za"), -1.0).otherwise(1.0) * c("dz") / c("ds") * -100)
     m, n = F.abs(c("grade")), F.count(F.lit(1))
     q = F.percentile(m, [0.5, 0.95])
     out = g.groupBy(key).agg(q.alias("q"), F.max(m).alias("grade_max"), (F.count_if(m > target) / n).alias("over_target"), (F.count_if(m > alert) / n).alias("over_alert"), (F.count_if(c("grade") < -1e-9) / n).alias("adverse"), F.first((F.abs(c("za") - c("zb")) / c("len") * 100)).alias("end_grade"))
@@ -209,7 +230,7 @@ def cross_grades(vertices: DataFrame, cells: DataFrame, step: float, res: float
     p = r.select(key, *[x for n in "xy" for x in (c(n).alias(f"{n}0"), F.lead(n).over(w).alias(f"{n}1"))]).filter("x1 IS NOT NULL")
     d = X.distance(c("x0"), c("y0"), c("x1"), c("y1"))
     p = p.filter(d > 1e-9).withColumns({"tx": (c("x1") - c("x0")) / d, "ty": (c("y1") - c("y0")) / d, "row": F.floor((c("y0") + c("y1")) / (2 * res)).cast("int"), "col": F.floor((c("x0") + c("x1")) / (2 * res)).cast("int")})
-    hit = p.join(cells.select("row", "col", "gx", "gy").filter("gx IS NOT NULL AND gy IS NOT NULL"), ["row", "col"])
+    hit = p.join(cells.select("row", "col", "gx", "gy").filter("gx IS NOT NULL AND gy IS NOT NULL").hint("merge"), ["row", "col"])
     hit = hit.withColumns({"cross": F.abs(c("gy") * c("tx") - c("gx") * c("ty")) * 100, "along": F.abs(c("gx") * c("tx") + c("gy") * c("ty")) * 100})
     aggs = [F.count(F.lit(1)).alias("pieces"), F.max("cross").alias("cross_max"), F.max("along").alias("along_max")]
     return summarise(hit, [key], aggs, {"cross_p50": ("cross", 0.5), "cross_p95": ("cross", 0.95), "along_p95": ("along", 0.95)})
