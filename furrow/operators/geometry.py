@@ -365,24 +365,22 @@ def line_diagnostics(ends: DataFrame, simple: DataFrame, relations: DataFrame, r
 def adjacent_spacing(vertices: DataFrame, levels: DataFrame, spacing: float, factor: float = 2.0, step: float = 12.0, trim: float = 3.0, outside: float = 0.15, key: str = "line_id") -> DataFrame:
     """Distances of interior samples of each row to rows of the next level of its group, both ways. levels: line_id,
     group_id, level. A sample farther than factor * spacing from any is unpaired and counts as outside."""
-    v = vertices.join(levels, key)
-    ch = line_lengths(vertices, key).select(key, "length")
-    span = c("length") - 2 * trim
-    n = F.greatest(F.lit(1), F.ceil(span / step) + 1).cast("int")
-    st = ch.filter(span > 0).withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), c("n") - 1))).select(key, (F.when(c("n") > 1, c("i") * span / (c("n") - 1)).otherwise(span / 2) + trim).alias("station"))
-    pts = z_at(vertices, st, key=key).join(levels, key).withColumn("pid", F.struct(key, "station"))
-    reach = factor * spacing
-    seg = segments(v.select("group_id", "level", key, "seq", "x", "y"), ["group_id", "level", key])
-    seg = _cells(seg.select("group_id", "level", *[c(k).alias(f"s_{k}") for k in ("x0", "y0", "x1", "y1")]), F.lit(reach), 4 * reach, "s_")
-    both = pts.withColumn("other", F.explode(F.array(c("level") - 1, c("level") + 1))).withColumn("__cx", F.floor(c("x") / (4 * reach))).withColumn("__cy", F.floor(c("y") / (4 * reach)))
+    span, reach = c("len") - 2 * trim, factor * spacing
+    n = F.when(span > 0, F.greatest(F.lit(1), F.ceil(span / step) + 1)).otherwise(0)
+    pts = stations_along(vertices.select(key, "seq", "x", "y"), n, lambda i: F.when(c("n") > 1, i * span / (c("n") - 1)).otherwise(span / 2) + trim, key)
+    # tables of lines and of cells both grow: they are dealt by key, none is sent whole to every task
     have = levels.select("group_id", c("level").alias("other")).distinct()
-    both = both.join(have, ["group_id", "other"])
+    beside = levels.select(key, "group_id", F.explode(F.array(c("level") - 1, c("level") + 1)).alias("other")).join(have.hint("merge"), ["group_id", "other"])
+    both = pts.join(beside.hint("merge"), key).withColumn("__cx", F.floor(c("x") / (4 * reach))).withColumn("__cy", F.floor(c("y") / (4 * reach)))
+    seg = segments(vertices.select(key, "seq", "x", "y"), key).join(levels.hint("merge"), key)
+    seg = _cells(seg.select("group_id", c("level").alias("other"), *[c(k).alias(f"s_{k}") for k in ("x0", "y0", "x1", "y1")]), F.lit(reach), 4 * reach, "s_")
     d = X.pt_seg_dist(c("x"), c("y"), c("s_x0"), c("s_y0"), c("s_x1"), c("s_y1"))
-    near = both.join(seg.withColumnRenamed("level", "other"), ["group_id", "other", "__cx", "__cy"]).withColumn("d", d).filter(c("d") <= reach).groupBy("group_id", "other", key, "station").agg(F.min("d").alias("d"))
-    every = both.select("group_id", "other", key, "station").join(near, ["group_id", "other", key, "station"], "left")
-    q = F.percentile("d", [0.05, 0.5, 0.95])
-    g = every.groupBy("group_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if(c("d").isNull()).alias("unpaired"), q.alias("q"), (F.count_if(c("d").isNull() | (F.abs(c("d") - spacing) > outside * spacing)) / F.count(F.lit(1))).alias("outside_share"))
-    return g.select("group_id", "samples", "unpaired", c("q")[0].alias("p05"), c("q")[1].alias("p50"), c("q")[2].alias("p95"), "outside_share")
+    met = both.join(seg.hint("merge"), ["group_id", "other", "__cx", "__cy"], "left").withColumn("d", d)
+    # a sample is in one cell, so naming the cell keeps its rows where the join has them
+    every = met.groupBy("group_id", "other", "__cx", "__cy", key, "station").agg(F.min(F.when(c("d") <= reach, c("d"))).alias("d")).select("group_id", "d").checkpoint()
+    aggs = [F.count(F.lit(1)).alias("samples"), F.count_if(c("d").isNull()).alias("unpaired"), (F.count_if(c("d").isNull() | (F.abs(c("d") - spacing) > outside * spacing)) / F.count(F.lit(1))).alias("outside_share")]
+    g = summarise(every, ["group_id"], aggs, {"p05": ("d", 0.05), "p50": ("d", 0.5), "p95": ("d", 0.95)}, write=False)
+    return g.select("group_id", "samples", "unpaired", "p05", "p50", "p95", "outside_share")
 
 
 def ray_spacing(samples: DataFrame, rows: DataFrame, spacing: float, tol: float) -> DataFrame:

@@ -18,3 +18,40 @@ def test_edges_run_past_the_last_row(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got = {(r["line_id"], r["which"]): r["kind"] for r in P.ge15(spark, str(tmp_path)).collect()}
     assert got == {(k, w): "HEADLAND_WORK_EDGE" for k in (7, 1_200_003) for w in ("START", "END")}
+
+
+def widest(df):
+    """The joins of a plan that send one side to every task."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def wave(spark, n=40):
+    rows = [(k, s, 9.0 * s + k % 3, 1.5 * (k % 10) + 0.1 * (s % 2), float(s * k % 7)) for k in range(n) for s in range(1, 6)]
+    return spark.createDataFrame(rows, "line_id long, seq int, x double, y double, z double")
+
+
+def test_stations_are_those_of_the_join(spark):
+    v = wave(spark)
+    v = v.unionByName(spark.createDataFrame([(99, 1, 0.0, 0.0, 1.0), (99, 2, 0.0, 0.0, 2.0), (98, 1, 0.0, 0.0, 0.0), (98, 2, 3.0, 4.0, 1.0), (98, 3, 3.0, 4.0, 9.0)], v.schema))
+    st = G.resample(v, 4.0)
+    want = G.z_at(v, st.select("line_id", "station").checkpoint())
+    assert sorted(map(tuple, st.collect())) == sorted(map(tuple, want.collect()))
+    lengths = {r["line_id"]: r["length"] for r in G.line_lengths(v).collect()}
+    n = {r["line_id"]: r["count"] for r in st.groupBy("line_id").count().collect()}
+    assert n == {k: max(2, -int(-length // 4.0) + 1) for k, length in lengths.items() if length > 0}
+    assert st._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
+def test_spacing_and_cross_grades_send_no_table_to_every_task(spark, monkeypatch):
+    seen = []
+    kept = G.summarise
+    monkeypatch.setattr(G, "summarise", lambda df, *a, **b: seen.append(df) or kept(df, *a, **b))
+    checkpoint = type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda df, *a, **b: seen.append(df) or checkpoint(df, *a, **b))
+    levels = spark.createDataFrame([(k, k // 10, k % 10) for k in range(40)], "line_id long, group_id long, level long")
+    got = {r["group_id"]: r for r in G.adjacent_spacing(wave(spark), levels, 1.5).collect()}
+    assert {k: (r["samples"], r["unpaired"]) for k, r in got.items()} == {k: (72, 0) for k in range(4)}
+    assert got[0]["p50"] == pytest.approx(1.5, abs=0.05)
+    cells = spark.createDataFrame([(r, k, 0.01 * (r % 3), 0.01) for r in range(20) for k in range(60)], "row int, col int, gx double, gy double")
+    assert G.cross_grades(wave(spark).drop("z"), cells, 4.0).count() == 40
+    assert seen and not any(widest(df) for df in seen)
