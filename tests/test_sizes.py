@@ -1,7 +1,11 @@
 """What went wrong on larger tables, on the smallest tables that show it."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
+from furrow.operators import catalog as C
 from furrow.operators import geometry as G
 from furrow.operators import graph as A
 from furrow.plans import geometry as P
@@ -55,3 +59,16 @@ def test_spacing_and_cross_grades_send_no_table_to_every_task(spark, monkeypatch
     cells = spark.createDataFrame([(r, k, 0.01 * (r % 3), 0.01) for r in range(20) for k in range(60)], "row int, col int, gx double, gy double")
     assert G.cross_grades(wave(spark).drop("z"), cells, 4.0).count() == 40
     assert seen and not any(widest(df) for df in seen)
+
+
+def test_applicability_makes_pairs_without_dealing_them(spark):
+    lists = [("ALL", "ANY", "ALL"), ("BRAZIL", "CORN,ANY", "SOUTH,NORTH_WITH_JUSTIFICATION"), ("PERU", "CANE", "OTHER_WITH_JUSTIFICATION")]
+    models = spark.createDataFrame([(k, *lists[k % 3]) for k in range(12)], "model_id long, a string, b string, c string").select("model_id", *[F.split(x, ",").alias(n) for x, n in (("a", "countries"), ("b", "crops"), ("c", "jurisdictions"))])
+    contexts = spark.createDataFrame([(k, ("BRAZIL", "PERU", None)[k % 3], ("CANE", "CORN")[k % 2], f"S{k % 4}", ("why", " ", None)[k % 5 % 3]) for k in range(60)], "context_id long, country string, crop string, state string, justification string")
+    regions = spark.createDataFrame([("S1", "SOUTH")], "state string, tag string")
+    got = C.applicability(models, contexts, regions)
+    assert not re.search(r"Aggregate\(keys=\[model_id#\w+, context_id", got._jdf.queryExecution().executedPlan().toString())
+    rows = {(r["model_id"], r["context_id"]): (r["how"], r["wildcards"]) for r in got.collect()}
+    assert sorted(k for k in rows if k[0] % 3 == 0) == [(m, x) for m in (0, 3, 6, 9) for x in range(60)] and rows[0, 2] == ("EXACT_OR_NATIONAL", 3)
+    assert rows[1, 9] == ("EXACT_OR_NATIONAL", 0) and rows[1, 21] == ("EXACT_OR_NATIONAL", 0) and rows[1, 0] == ("JUSTIFIED_EXTRAPOLATION", 1) and rows[1, 12][0] == "NEEDS_JUSTIFICATION"
+    assert {x % 6 for m, x in rows if m % 3 == 2} == {4} and len(rows) == got.count()
