@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,32 @@ def _cells(df: DataFrame, pad: Column, cell: float, prefix: str) -> DataFrame:
     return df.withColumn("__cy", F.explode(F.sequence(low, high)))
 
 
+def _distance() -> Callable[..., Column]:
+    """expr.seg_seg_dist over batches of rows. As a Spark expression it is longer than what the JVM compiles, which costs where
+    many pairs share a cell."""
+
+    def between(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, cx: pd.Series, cy: pd.Series, dx: pd.Series, dy: pd.Series) -> pd.Series:
+        a, b, p, q = [(x.to_numpy(dtype=float), y.to_numpy(dtype=float)) for x, y in ((ax, ay), (bx, by), (cx, cy), (dx, dy))]
+        eps = 1e-9
+
+        def away(o, s, e):
+            ux, uy = e[0] - s[0], e[1] - s[1]
+            n = ux * ux + uy * uy
+            t = np.where(n > 0, np.minimum(np.maximum(((o[0] - s[0]) * ux + (o[1] - s[1]) * uy) / np.where(n > 0, n, 1.0), 0.0), 1.0), 0.0)
+            vx, vy = o[0] - (s[0] + ux * t), o[1] - (s[1] + uy * t)
+            return np.sqrt(vx * vx + vy * vy)
+
+        turn = lambda s, e, o: (e[0] - s[0]) * (o[1] - s[1]) - (e[1] - s[1]) * (o[0] - s[0])
+        beside = lambda x, y: ((x > eps) & (y < -eps)) | ((x < -eps) & (y > eps))
+        held = lambda v, x, y: (v >= np.minimum(x, y) - eps) & (v <= np.maximum(x, y) + eps)
+        on = lambda t, s, e, o: (np.abs(t) <= eps) & held(o[0], s[0], e[0]) & held(o[1], s[1], e[1])
+        t = turn(a, b, p), turn(a, b, q), turn(p, q, a), turn(p, q, b)
+        meet = (beside(t[0], t[1]) & beside(t[2], t[3])) | on(t[0], a, b, p) | on(t[1], a, b, q) | on(t[2], p, q, a) | on(t[3], p, q, b)
+        return pd.Series(np.where(meet, 0.0, np.minimum(np.minimum(away(a, p, q), away(b, p, q)), np.minimum(away(p, a, b), away(q, a, b)))))
+
+    return F.pandas_udf(between, "double")
+
+
 def segments_within(a: DataFrame, b: DataFrame, buffer: str | float, cell: float = 50.0, on: list[str] | None = None, more: tuple[list[str], list[str]] = ([], []), ends: bool = False) -> DataFrame:
     """a_id, a_seq, b_id, b_seq, dist of segments (id, seq, x0, y0, x1, y1) no farther apart than the buffer (a number,
     or a column of b). Both sides are spread over grid cells and meet by equal cell (and by equal `on` columns). more:
@@ -67,7 +94,7 @@ def segments_within(a: DataFrame, b: DataFrame, buffer: str | float, cell: float
     first = F.greatest(F.floor(x(F.least, "a", "x") / cell), F.floor((x(F.least, "b", "x") - pad) / cell))
     before = F.exists(F.sequence(first, F.col("__cx") - 1), lambda k: shared(k)[0] <= shared(k)[1])
     canonical = (F.col("__cy") == shared(F.col("__cx"))[0]) & F.when(F.col("__cx") > first, ~before).otherwise(True)
-    d = X.seg_seg_dist(*[F.col(f"{p}_{c}") for p in "ab" for c in ("x0", "y0", "x1", "y1")])
+    d = _distance()(*[F.col(f"{p}_{c}") for p in "ab" for c in ("x0", "y0", "x1", "y1")])
     hit = left.join(right, [*on, "__cx", "__cy"]).filter(~apart).withColumn("dist", d).filter(F.col("dist") <= F.col("__buffer")).filter(canonical)
     coordinates = [f"{p}_{n}" for p in "ab" for n in ("x0", "y0", "x1", "y1")] if ends else []
     return hit.select(*on, "a_id", "a_seq", "b_id", "b_seq", "dist", *coordinates, *more[0], *more[1])
@@ -76,6 +103,29 @@ def segments_within(a: DataFrame, b: DataFrame, buffer: str | float, cell: float
 c = F.col
 
 
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt over all tasks: few rows, each of which meets many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def copied_segments_within(a: DataFrame, b: DataFrame, buffer: float, cell: float = 50.0) -> DataFrame:
+    """segments_within() for sides that hold many copies of the same segments: one of each is measured, and what holds of it
+    is told of all its copies. Every pair is a row of the answer, so that grows with the square of the copies; it is
+    made row by row by a join and shuffled no further."""
+    place = F.struct("x0", "y0", "x1", "y1")
+
+    def side(df: DataFrame, p: str) -> tuple[DataFrame, DataFrame]:
+        own = df.select("id", "seq", place.alias("place"))
+        one = own.groupBy("place").agg(F.min(F.struct("id", "seq")).alias("one")).checkpoint()
+        member = own.join(one.hint("shuffle_hash"), "place").select(c("one.id").alias(f"__{p}_id"), c("one.seq").alias(f"__{p}_seq"), c("id").alias(f"{p}_id"), c("seq").alias(f"{p}_seq"))
+        return one.select("one.id", "one.seq", "place.*"), member
+
+    (one_a, all_a), (one_b, all_b) = side(a, "a"), side(b, "b")
+    near = segments_within(_spread(one_a, "id", "seq"), one_b, buffer, cell).withColumnsRenamed({f"{p}_{n}": f"__{p}_{n}" for p in "ab" for n in ("id", "seq")})
+    out = near.join(all_a.hint("shuffle_hash"), ["__a_id", "__a_seq"]).join(all_b.hint("shuffle_hash"), ["__b_id", "__b_seq"])
+    return out.select("a_id", "a_seq", "b_id", "b_seq", "dist")
+
+
 def chainage(vertices: DataFrame, key: str = "line_id") -> DataFrame:
     """vertices with the distance along their line, and whether one repeats the vertex before it."""
     w = Window.partitionBy(key).orderBy("seq")
@@ -286,20 +336,68 @@ def resampled_curvature(vertices: DataFrame, step: float, min_radius: float | No
     return curvature(resample(vertices, step, key).withColumn("seq", c("station")), min_radius, key)
 
 
-def row_relations(vertices: DataFrame, group: list[str], cell: float = 50.0, key: str = "line_id") -> DataFrame:
-    """group, a_id, b_id, relation of pairs of lines of one group that meet (each pair once): CROSSING if any two
-    segments cross properly, else OVERLAP if any two share more than a point, else TOUCH."""
-    s = segments(vertices, [*group, key]).select(*group, c(key).alias("id"), "seq", "x0", "y0", "x1", "y1")
-    both = segments_within(s, s, 1e-9, cell, group, ends=True).filter("a_id < b_id")
+RELATIONS = {3: "CROSSING", 2: "OVERLAP", 1: "TOUCH"}
+
+
+def _relation(k: Column) -> Column:
+    return F.when(k == 3, RELATIONS[3]).when(k == 2, RELATIONS[2]).otherwise(RELATIONS[1])
+
+
+def relation_classes(vertices: DataFrame, group: list[str], cell: float = 50.0, key: str = "line_id") -> tuple[DataFrame, DataFrame]:
+    """Lines of a group that are copies of each other, vertex by vertex, are a class, named by its smallest id. Classes: group,
+    lo, hi (lo <= hi), k and back, of pairs that meet: the greatest kind (3 CROSSING, 2 OVERLAP, 1 TOUCH) of any two of
+    their segments, with lo's as the first and with hi's (null: they don't meet so); of a class with itself too, which is
+    what its copies have. Members: group, key, one, the class of each line."""
+    shape = vertices.groupBy(*group, key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("shape"))
+    ones = shape.groupBy(*group, "shape").agg(F.min(key).alias("one")).checkpoint()
+    members = shape.join(ones.hint("merge"), [*group, "shape"]).select(*group, key, "one").checkpoint()
+    s = segments(ones.select(*group, "one", F.posexplode("shape").alias("seq", "v")).select(*group, "one", "seq", "v.x", "v.y"), [*group, "one"]).select(*group, c("one").alias("id"), "seq", "x0", "y0", "x1", "y1")
+    # the distance is the same both ways
+    both = segments_within(_spread(s, *group, "id", "seq"), s, 1e-9, cell, group, ends=True).filter("a_id <= b_id")
     a, b, p, q = (c("a_x0"), c("a_y0")), (c("a_x1"), c("a_y1")), (c("b_x0"), c("b_y0")), (c("b_x1"), c("b_y1"))
-    o = [X.cross(*a, *b, *p), X.cross(*a, *b, *q), X.cross(*p, *q, *a), X.cross(*p, *q, *b)]
+    both = both.withColumns({"o0": X.cross(*a, *b, *p), "o1": X.cross(*a, *b, *q), "o2": X.cross(*p, *q, *a), "o3": X.cross(*p, *q, *b)})
     eps = 1e-9
-    proper = (o[0] * o[1] < -eps) & (o[2] * o[3] < -eps)
-    line = (F.abs(o[0]) <= eps) & (F.abs(o[1]) <= eps)
-    along = F.when(F.abs(b[0] - a[0]) >= F.abs(b[1] - a[1]), F.least(F.greatest(a[0], b[0]), F.greatest(p[0], q[0])) - F.greatest(F.least(a[0], b[0]), F.least(p[0], q[0]))).otherwise(F.least(F.greatest(a[1], b[1]), F.greatest(p[1], q[1])) - F.greatest(F.least(a[1], b[1]), F.least(p[1], q[1])))
-    kind = F.when(proper, 3).when(line & (along > 1e-6), 2).otherwise(1)
-    g = both.groupBy(*group, "a_id", "b_id").agg(F.max(kind).alias("k"))
-    return g.select(*group, "a_id", "b_id", F.when(c("k") == 3, "CROSSING").when(c("k") == 2, "OVERLAP").otherwise("TOUCH").alias("relation"))
+    proper = (c("o0") * c("o1") < -eps) & (c("o2") * c("o3") < -eps)
+    common = lambda i: F.least(F.greatest(a[i], b[i]), F.greatest(p[i], q[i])) - F.greatest(F.least(a[i], b[i]), F.least(p[i], q[i]))
+
+    def kind(s, e, t, u):
+        line = (F.abs(t) <= eps) & (F.abs(u) <= eps)
+        along = F.when(F.abs(e[0] - s[0]) >= F.abs(e[1] - s[1]), common(0)).otherwise(common(1))
+        return F.when(proper, 3).when(line & (along > 1e-6), 2).otherwise(1)
+
+    pairs = both.groupBy(*group, c("a_id").alias("lo"), c("b_id").alias("hi"))
+    return pairs.agg(F.max(kind(a, b, c("o0"), c("o1"))).alias("k"), F.max(kind(p, q, c("o2"), c("o3"))).alias("back")), members
+
+
+def _line_pairs(classes: DataFrame, members: DataFrame, group: list[str], key: str) -> DataFrame:
+    """group, a_id, b_id (a_id < b_id), k of all pairs of lines whose classes meet."""
+    ways = F.array(F.struct(c("lo").alias("a"), c("hi").alias("b"), c("k").alias("k")), F.when(c("lo") < c("hi"), F.struct(c("hi").alias("a"), c("lo").alias("b"), c("back").alias("k"))))
+    way = classes.select(*group, F.explode(F.array_compact(ways)).alias("w")).select(*group, "w.*").filter("k IS NOT NULL")
+    of = lambda p: members.select(*group, c("one").alias(p), c(key).alias(f"{p}_id")).hint("shuffle_hash")
+    return way.join(of("a"), [*group, "a"]).join(of("b"), [*group, "b"]).filter("a_id < b_id").select(*group, "a_id", "b_id", "k")
+
+
+def row_relations(vertices: DataFrame, group: list[str], cell: float = 50.0, key: str = "line_id") -> DataFrame:
+    """group, a_id, b_id, relation of pairs of lines of one group that meet (each pair once): CROSSING if any two
+    segments cross properly, else OVERLAP if any two share more than a point, else TOUCH. Copies are measured once."""
+    classes, members = relation_classes(vertices, group, cell, key)
+    return _line_pairs(classes, members, group, key).select(*group, "a_id", "b_id", _relation(c("k")).alias("relation"))
+
+
+def relations_of_lines(vertices: DataFrame, group: list[str], cell: float = 50.0, key: str = "line_id") -> DataFrame:
+    """group, key, relation, n: with how many lines of its group a line has each relation of row_relations(). Counted by
+    classes of copies, so that pairs of lines are made only where it matters which of both is the first."""
+    classes, members = relation_classes(vertices, group, cell, key)
+    classes = classes.checkpoint()
+    even = F.coalesce(c("k") == c("back"), F.lit(False))
+    size = members.groupBy(*group, "one").agg(F.count(F.lit(1)).alias("size"))
+    both = F.array_distinct(F.array(F.struct(c("lo").alias("one"), c("hi").alias("other")), F.struct(c("hi").alias("one"), c("lo").alias("other"))))
+    seen = classes.filter(even).select(*group, "k", F.explode(both).alias("w")).select(*group, "k", "w.*")
+    seen = seen.join(size.withColumnRenamed("one", "other").hint("shuffle_hash"), [*group, "other"]).groupBy(*group, "one", "k").agg(F.sum(c("size") - (c("one") == c("other")).cast("int")).alias("n"))
+    same = members.join(seen.hint("shuffle_hash"), [*group, "one"]).select(*group, key, "k", "n")
+    odd = _line_pairs(classes.filter(~even), members, group, key).select(*group, F.explode(F.array("a_id", "b_id")).alias(key), "k", F.lit(1).cast("bigint").alias("n"))
+    total = same.unionByName(odd).groupBy(*group, key, "k").agg(F.sum("n").alias("n"))
+    return total.filter("n > 0").select(*group, key, _relation(c("k")).alias("relation"), "n")
 
 
 def simplicity(vertices: DataFrame, key: str = "line_id", cell: float = 50.0) -> DataFrame:
@@ -339,10 +437,10 @@ def classify_endpoints(vertices: DataFrame, edges: DataFrame, tol: float, key: s
 
 def relation_counts(relations: DataFrame, groups: DataFrame, key: str = "line_id") -> DataFrame:
     """Per line (of groups): in how many pairs it crosses, overlaps and touches others, and the codes of that; a pair counts
-    for both of its rows."""
-    own = relations.select(F.explode(F.array("a_id", "b_id")).alias(key), "relation")
-    n = own.groupBy(key).agg(*[F.count_if(c("relation") == k).alias(name) for k, name in (("CROSSING", "crossings"), ("OVERLAP", "overlaps"), ("TOUCH", "touches"))])
-    out = groups.select(key).distinct().join(n, key, "left").fillna(0, ["crossings", "overlaps", "touches"])
+    for both of its rows. relations: of row_relations() or relations_of_lines()."""
+    own = relations if "n" in relations.columns else relations.select(F.explode(F.array("a_id", "b_id")).alias(key), "relation", F.lit(1).alias("n"))
+    n = own.groupBy(key).agg(*[F.sum(F.when(c("relation") == k, c("n")).otherwise(0)).alias(name) for k, name in (("CROSSING", "crossings"), ("OVERLAP", "overlaps"), ("TOUCH", "touches"))])
+    out = groups.select(key).distinct().join(n.hint("merge"), key, "left").fillna(0, ["crossings", "overlaps", "touches"])
     codes = F.array_compact(F.array(F.when(c("crossings") > 0, "ROW_CROSSING"), F.when(c("overlaps") > 0, "ROW_OVERLAP"), F.when(c("touches") > 0, "ROW_TOUCH")))
     return out.withColumn("codes", F.array_join(codes, ","))
 
@@ -404,10 +502,12 @@ def ray_spacing(samples: DataFrame, rows: DataFrame, spacing: float, tol: float)
 
 
 def continuity_summary(ends: DataFrame, simple: DataFrame, relations: DataFrame, radii: DataFrame, groups: DataFrame, key: str = "line_id") -> DataFrame:
-    """Per group: end kinds, loops, self-intersections, relations, radius violations, codes, status. groups: line_id, group_id."""
+    """Per group: end kinds, loops, self-intersections, relations, radius violations, codes, status. groups: line_id, group_id;
+    relations: of row_relations() or relations_of_lines(), where a pair counts for both lines."""
     e = ends.join(groups, key).groupBy("group_id").agg(F.count_if(c("kind") == "HEADLAND_WORK_EDGE").alias("headland_ends"), F.count_if(c("kind") == "UNCLASSIFIED_OBSTACLE_EDGE").alias("obstacle_ends"), F.count_if(c("kind") == "INTERNAL_UNSUPPORTED_ENDPOINT").alias("unsupported_ends"))
     s = simple.join(groups, key).groupBy("group_id").agg(F.count_if("ring").alias("loops"), F.count_if(c("self_intersections") > 0).alias("self_crossing"))
-    r = relations.groupBy("group_id").agg(F.count_if(c("relation") == "CROSSING").alias("crossings"), F.count_if(c("relation") == "OVERLAP").alias("overlaps"), F.count_if(c("relation") == "TOUCH").alias("touches"))
+    pairs = (c("n") / 2) if "n" in relations.columns else F.lit(1)
+    r = relations.groupBy("group_id").agg(*[F.sum(F.when(c("relation") == k, pairs).otherwise(0)).cast("bigint").alias(name) for k, name in (("CROSSING", "crossings"), ("OVERLAP", "overlaps"), ("TOUCH", "touches"))])
     k = radii.join(groups, key).groupBy("group_id").agg(F.sum("violations").alias("radius_violations"))
     out = groups.select("group_id").distinct().join(e, "group_id", "left").join(s, "group_id", "left").join(r, "group_id", "left").join(k, "group_id", "left").fillna(0)
     codes = F.array_compact(F.array(

@@ -195,7 +195,7 @@ def ge13(spark, d):
 SELECT s.line_id, coalesce(x, 0) AS crossings, coalesce(o, 0) AS overlaps, coalesce(t, 0) AS touches, concat_ws(',', CASE WHEN x > 0 THEN 'ROW_CROSSING' END, CASE WHEN o > 0 THEN 'ROW_OVERLAP' END, CASE WHEN t > 0 THEN 'ROW_TOUCH' END) AS codes FROM (SELECT DISTINCT line_id FROM bent) s LEFT JOIN n ON n.line_id = s.line_id""")
 def ge13c(spark, d):
     bent = feed(spark, d, "bent")
-    return G.relation_counts(G.row_relations(bent, ["group_id"], 5.0), bent.select("line_id"))
+    return G.relation_counts(G.relations_of_lines(bent, ["group_id"], 5.0), bent.select("line_id"))
 
 
 @query("ge14_simplicity", f"""WITH x AS (SELECT a.line_id, count(*) AS n FROM (SELECT * FROM bent_legs {_LIVE}) a JOIN (SELECT * FROM bent_legs {_LIVE}) b ON a.line_id = b.line_id AND b.seq > a.seq + 1 WHERE {_SEGD} <= 1e-9 GROUP BY a.line_id), e AS (SELECT line_id, arg_min(x, seq) = arg_max(x, seq) AND arg_min(y, seq) = arg_max(y, seq) AS ring FROM bent GROUP BY line_id) SELECT e.line_id, ring, coalesce(n, 0) AS self_intersections FROM e LEFT JOIN x ON x.line_id = e.line_id""")
@@ -229,7 +229,7 @@ SELECT *, CASE WHEN blockers = '' THEN 'PASS' ELSE 'FAIL' END AS topology, CASE
 def ge15l(spark, d):
     bent = feed(spark, d, "bent")
     ends = G.classify_endpoints(bent, _bent_edges(spark, d), 4.01)
-    out = G.line_diagnostics(ends, G.simplicity(bent, cell=5.0), G.row_relations(bent, ["group_id"], 5.0), G.curvature(bent, 9.0001), bent.select("line_id"))
+    out = G.line_diagnostics(ends, G.simplicity(bent, cell=5.0), G.relations_of_lines(bent, ["group_id"], 5.0), G.curvature(bent, 9.0001), bent.select("line_id"))
     return out.drop("crossings", "overlaps", "touches")
 
 
@@ -255,7 +255,7 @@ def _summary(spark, d):
     bent = feed(spark, d, "bent")
     groups = bent.select("line_id", "group_id").distinct()
     edges = _bent_edges(spark, d)
-    return G.continuity_summary(G.classify_endpoints(bent, edges, 4.01), G.simplicity(bent, cell=5.0), G.row_relations(bent, ["group_id"], 5.0), G.curvature(bent, 9.0001), groups)
+    return G.continuity_summary(G.classify_endpoints(bent, edges, 4.01), G.simplicity(bent, cell=5.0), G.relations_of_lines(bent, ["group_id"], 5.0), G.curvature(bent, 9.0001), groups)
 
 
 _CONT = f"""{_REL}, {_RAD}, v AS (SELECT line_id, group_id, arg_min(y, seq) AS ya, arg_max(y, seq) AS yb FROM bent GROUP BY line_id, group_id), en AS (SELECT group_id, ya AS y FROM v UNION ALL SELECT group_id, yb FROM v),

@@ -72,3 +72,34 @@ def test_applicability_makes_pairs_without_dealing_them(spark):
     assert sorted(k for k in rows if k[0] % 3 == 0) == [(m, x) for m in (0, 3, 6, 9) for x in range(60)] and rows[0, 2] == ("EXACT_OR_NATIONAL", 3)
     assert rows[1, 9] == ("EXACT_OR_NATIONAL", 0) and rows[1, 21] == ("EXACT_OR_NATIONAL", 0) and rows[1, 0] == ("JUSTIFIED_EXTRAPOLATION", 1) and rows[1, 12][0] == "NEEDS_JUSTIFICATION"
     assert {x % 6 for m, x in rows if m % 3 == 2} == {4} and len(rows) == got.count()
+
+
+def copied(spark):
+    shapes = [[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0)], [(0.0, 3.0), (12.0, 3.0)], [(3.0, 0.0), (20.0, 0.0)], [(9.0, 9.0), (14.0, 14.0)], [(0.0, 40.0), (1.0, 40.0)], [(0.0, 0.0), (9.0, 9.0), (9.0, 0.0), (0.0, 9.0)]]
+    rows = [(i % 2, i, k + 1, *xy) for i in range(36) for k, xy in enumerate(shapes[i // 2 % 6])]
+    return spark.createDataFrame(rows, "group_id int, line_id int, seq int, x double, y double")
+
+
+def test_copies_of_lines_are_measured_once(spark, monkeypatch):
+    v, measured, kept = copied(spark), [], G.segments_within
+    monkeypatch.setattr(G, "segments_within", lambda a, b, *x, **y: measured.append(b.count()) or kept(a, b, *x, **y))
+    n = {(r["line_id"], r["relation"]): r["n"] for r in G.relations_of_lines(v, ["group_id"], 5.0).collect()}
+    assert measured == [18]  # nine segments of six shapes in two groups, not three times as many
+    pairs = G.row_relations(v, ["group_id"], 5.0).collect()
+    want = {}
+    for r in pairs:
+        assert r["a_id"] < r["b_id"] and (r["b_id"] - r["a_id"]) % 2 == 0
+        for k in (r["a_id"], r["b_id"]):
+            want[k, r["relation"]] = want.get((k, r["relation"]), 0) + 1
+    assert n == want and len({(r["a_id"], r["b_id"]) for r in pairs}) == len(pairs)
+    assert n[2, "CROSSING"] == 6 and n[0, "OVERLAP"] == 8 and n[8, "OVERLAP"] == 2 and (8, "TOUCH") not in n
+
+
+def test_copies_of_segments_are_measured_once(spark, monkeypatch):
+    s = G.segments(copied(spark), "line_id").select(F.col("line_id").alias("id"), "seq", "x0", "y0", "x1", "y1").checkpoint()
+    a, b = s.filter("id % 2 = 0"), s.filter("id % 2 = 1")
+    want = sorted(map(tuple, G.segments_within(a, b, 0.5, 5.0).collect()))
+    measured, kept = [], G.segments_within
+    monkeypatch.setattr(G, "segments_within", lambda a, b, *x, **y: measured.extend((a.count(), b.count())) or kept(a, b, *x, **y))
+    assert sorted(map(tuple, G.copied_segments_within(a, b, 0.5, 5.0).collect())) == want
+    assert measured == [9, 9] and len(want) > 9 * 9
