@@ -45,32 +45,78 @@ def _cells(df: DataFrame, pad: Column, cell: float, prefix: str) -> DataFrame:
     return df.withColumn("__cy", F.explode(F.sequence(low, high)))
 
 
-def _distance() -> Callable[..., Column]:
-    """expr.seg_seg_dist over batches of rows. As a Spark expression it is longer than what the JVM compiles, which costs where
-    many pairs share a cell."""
-
-    def between(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, cx: pd.Series, cy: pd.Series, dx: pd.Series, dy: pd.Series) -> pd.Series:
-        a, b, p, q = [(x.to_numpy(dtype=float), y.to_numpy(dtype=float)) for x, y in ((ax, ay), (bx, by), (cx, cy), (dx, dy))]
-        eps = 1e-9
-
-        def away(o, s, e):
-            ux, uy = e[0] - s[0], e[1] - s[1]
-            n = ux * ux + uy * uy
-            t = np.where(n > 0, np.minimum(np.maximum(((o[0] - s[0]) * ux + (o[1] - s[1]) * uy) / np.where(n > 0, n, 1.0), 0.0), 1.0), 0.0)
-            vx, vy = o[0] - (s[0] + ux * t), o[1] - (s[1] + uy * t)
-            return np.sqrt(vx * vx + vy * vy)
-
-        turn = lambda s, e, o: (e[0] - s[0]) * (o[1] - s[1]) - (e[1] - s[1]) * (o[0] - s[0])
-        beside = lambda x, y: ((x > eps) & (y < -eps)) | ((x < -eps) & (y > eps))
-        held = lambda v, x, y: (v >= np.minimum(x, y) - eps) & (v <= np.maximum(x, y) + eps)
-        on = lambda t, s, e, o: (np.abs(t) <= eps) & held(o[0], s[0], e[0]) & held(o[1], s[1], e[1])
-        t = turn(a, b, p), turn(a, b, q), turn(p, q, a), turn(p, q, b)
-        meet = (beside(t[0], t[1]) & beside(t[2], t[3])) | on(t[0], a, b, p) | on(t[1], a, b, q) | on(t[2], p, q, a) | on(t[3], p, q, b)
-        return pd.Series(np.where(meet, 0.0, np.minimum(np.minimum(away(a, p, q), away(b, p, q)), np.minimum(away(p, a, b), away(q, a, b)))))
+def _first_shared(a: list[np.ndarray], b: list[np.ndarray], pad: np.ndarray, cx: np.ndarray, cy: np.ndarray, cell: float) -> np.ndarray:
+    """Whether a cell that two segments (x0, y0, x1, y1) share is the first by column, then row; the second is widened by pad.
+    The same steps as in _column(), so that both tell the same cells."""
+
+    def column(s: list[np.ndarray], k: np.ndarray, pad: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+        x0, y0, x1, y1 = s
+        dx = x1 - x0
+        steep = np.abs(dx) < 1e-12
+        at = lambda x: y0 + (y1 - y0) * np.maximum(0.0, np.minimum(1.0, (x - x0) / np.where(steep, 1.0, dx)))
+        p, q = at(k * cell - pad), at((k + 1) * cell + pad)
+        low, high = np.where(steep, np.minimum(y0, y1), np.minimum(p, q)), np.where(steep, np.maximum(y0, y1), np.maximum(p, q))
+        return np.floor((low - pad) / cell), np.floor((high + pad) / cell)
+
+    def shared(i: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (a0, a1), (b0, b1) = column([v[i] for v in a], k, 0.0), column([v[i] for v in b], k, pad[i])
+        return np.maximum(a0, b0), np.minimum(a1, b1)
+
+    i = np.arange(len(cx))
+    out = cy == shared(i, cx)[0]
+    k = np.maximum(np.floor(np.minimum(a[0], a[2]) / cell), np.floor((np.minimum(b[0], b[2]) - pad) / cell))
+    while True:
+        i = i[out[i] & (k[i] < cx[i])]
+        if not len(i):
+            return out
+        low, high = shared(i, k[i])
+        out[i] = low > high
+        k[i] += 1
+
+
+def _distance(cell: float) -> Callable[..., Column]:
+    """expr.seg_seg_dist over batches of rows, null where it is over the buffer or the cell isn't the first that both share. As a
+    Spark expression it is longer than what the JVM compiles, and Spark would look for the first cell of pairs that aren't
+    near as well: it moves filters that don't need the distance before it."""
+
+    def between(
+        ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, cx: pd.Series, cy: pd.Series, dx: pd.Series, dy: pd.Series, buffer: pd.Series, column: pd.Series, row: pd.Series
+    ) -> pd.Series:
+        far = buffer.to_numpy(dtype=float)
+        ends = [v.to_numpy(dtype=float) for v in (ax, ay, bx, by, cx, cy, dx, dy)]
+        with np.errstate(all="ignore"):
+            d = _apart(*ends)
+            near = np.flatnonzero(d <= far)
+            at = [v[near] for v in ends]
+            first = _first_shared(at[:4], at[4:], far[near] + 1e-6, column.to_numpy(dtype=float)[near], row.to_numpy(dtype=float)[near], cell)
+        out = np.full(len(d), np.nan)
+        out[near[first]] = d[near[first]]
+        return pd.Series(out)  # NaN becomes null
 
     return F.pandas_udf(between, "double")
 
 
+def _apart(ax, ay, bx, by, cx, cy, dx, dy) -> np.ndarray:
+    """Distances of segments from a to b and from p to q, as in expr.seg_seg_dist."""
+    a, b, p, q = (ax, ay), (bx, by), (cx, cy), (dx, dy)
+    eps = 1e-9
+
+    def away(o, s, e):
+        ux, uy = e[0] - s[0], e[1] - s[1]
+        n = ux * ux + uy * uy
+        t = np.where(n > 0, np.minimum(np.maximum(((o[0] - s[0]) * ux + (o[1] - s[1]) * uy) / np.where(n > 0, n, 1.0), 0.0), 1.0), 0.0)
+        vx, vy = o[0] - (s[0] + ux * t), o[1] - (s[1] + uy * t)
+        return np.sqrt(vx * vx + vy * vy)
+
+    turn = lambda s, e, o: (e[0] - s[0]) * (o[1] - s[1]) - (e[1] - s[1]) * (o[0] - s[0])
+    beside = lambda x, y: ((x > eps) & (y < -eps)) | ((x < -eps) & (y > eps))
+    held = lambda v, x, y: (v >= np.minimum(x, y) - eps) & (v <= np.maximum(x, y) + eps)
+    on = lambda t, s, e, o: (np.abs(t) <= eps) & held(o[0], s[0], e[0]) & held(o[1], s[1], e[1])
+    t = turn(a, b, p), turn(a, b, q), turn(p, q, a), turn(p, q, b)
+    meet = (beside(t[0], t[1]) & beside(t[2], t[3])) | on(t[0], a, b, p) | on(t[1], a, b, q) | on(t[2], p, q, a) | on(t[3], p, q, b)
+    return np.where(meet, 0.0, np.minimum(np.minimum(away(a, p, q), away(b, p, q)), np.minimum(away(p, a, b), away(q, a, b))))
+
+
 def segments_within(a: DataFrame, b: DataFrame, buffer: str | float, cell: float = 50.0, on: list[str] | None = None, more: tuple[list[str], list[str]] = ([], []), ends: bool = False) -> DataFrame:
     """a_id, a_seq, b_id, b_seq, dist of segments (id, seq, x0, y0, x1, y1) no farther apart than the buffer (a number,
     or a column of b). Both sides are spread over grid cells and meet by equal cell (and by equal `on` columns). more:
@@ -87,15 +133,8 @@ def segments_within(a: DataFrame, b: DataFrame, buffer: str | float, cell: float
     x = lambda f, p, n: f(F.col(f"{p}_{n}0"), F.col(f"{p}_{n}1"))
     apart = reduce(lambda p, q: p | q, [(x(F.least, "a", n) > x(F.greatest, "b", n) + pad) | (x(F.least, "b", n) - pad > x(F.greatest, "a", n)) for n in "xy"])
 
-    def shared(k: Column) -> tuple[Column, Column]:
-        (a0, a1), (b0, b1) = _column("a_", k, F.lit(0.0), cell), _column("b_", k, pad, cell)
-        return F.greatest(a0, b0), F.least(a1, b1)
-
-    first = F.greatest(F.floor(x(F.least, "a", "x") / cell), F.floor((x(F.least, "b", "x") - pad) / cell))
-    before = F.exists(F.sequence(first, F.col("__cx") - 1), lambda k: shared(k)[0] <= shared(k)[1])
-    canonical = (F.col("__cy") == shared(F.col("__cx"))[0]) & F.when(F.col("__cx") > first, ~before).otherwise(True)
-    d = _distance()(*[F.col(f"{p}_{c}") for p in "ab" for c in ("x0", "y0", "x1", "y1")])
-    hit = left.join(right, [*on, "__cx", "__cy"]).filter(~apart).withColumn("dist", d).filter(F.col("dist") <= F.col("__buffer")).filter(canonical)
+    d = _distance(cell)(*[F.col(f"{p}_{c}") for p in "ab" for c in ("x0", "y0", "x1", "y1")], F.col("__buffer"), F.col("__cx"), F.col("__cy"))
+    hit = left.join(right, [*on, "__cx", "__cy"]).filter(~apart).withColumn("dist", d).filter("dist IS NOT NULL")
     coordinates = [f"{p}_{n}" for p in "ab" for n in ("x0", "y0", "x1", "y1")] if ends else []
     return hit.select(*on, "a_id", "a_seq", "b_id", "b_seq", "dist", *coordinates, *more[0], *more[1])
 
@@ -204,32 +243,49 @@ def barrier_spans(vertices: DataFrame, barriers: DataFrame, half_width: float, k
     seg = ch.select(key, "seq", "chainage", *[x for n in "xy" for x in (c(n).alias(f"{n}0"), F.lead(n).over(w).alias(f"{n}1"))]).filter("x1 IS NOT NULL").withColumn("len", X.distance(c("x0"), c("y0"), c("x1"), c("y1")))
     near = segments_within(seg.withColumnRenamed(key, "id"), barriers, half_width, cell, more=(["chainage", "len"], []), ends=True)
     df = near.withColumnsRenamed({"a_id": key, **{f"a_{n}": n for n in ("x0", "y0", "x1", "y1")}, "b_x0": "p0", "b_y0": "q0", "b_x1": "p1", "b_y1": "q1"})
-    df = df.withColumn("ts", capsule_stay(half_width)).filter(F.size("ts") > 0).select(key, (c("chainage") + F.array_min("ts") * c("len")).alias("lo"), (c("chainage") + F.array_max("ts") * c("len")).alias("hi"))
+    stay = capsule_stay(half_width)(*[c(n) for n in ("x0", "y0", "x1", "y1", "p0", "q0", "p1", "q1")])
+    df = df.withColumn("stay", stay).filter("stay.first IS NOT NULL").select(key, (c("chainage") + c("stay.first") * c("len")).alias("lo"), (c("chainage") + c("stay.last") * c("len")).alias("hi"))
     return merge_intervals(df.filter("hi > lo + 1e-9"), [key], tol=1e-6)
 
 
-def capsule_stay(half_width: float) -> Column:
-    """Parameters, from 0 to 1 along a segment (x0, y0, x1, y1), that bound its stay within half_width of an axis (p0, q0,
-    p1, q1): its ends and its crossings with the capsule's rim, those of them that are inside."""
-    r = F.lit(float(half_width))
-    dx, dy, ex, ey = c("x1") - c("x0"), c("y1") - c("y0"), c("p1") - c("p0"), c("q1") - c("q0")
-    a = dx * dx + dy * dy
-    axis = F.sqrt(ex * ex + ey * ey)
-
-    def circle(px, py):
-        """Both parameters at which the line meets a circle, as an array; empty where it misses it."""
-        fx, fy = c("x0") - px, c("y0") - py
-        b, k = fx * dx + fy * dy, fx * fx + fy * fy - r * r
-        disc = b * b - a * k
-        return F.when((disc >= 0) & (a > 0), F.array((-b - F.sqrt(disc)) / a, (-b + F.sqrt(disc)) / a)).otherwise(F.array().cast("array<double>"))
-
-    # signed distance from the axis' line grows linearly along the segment
-    s0 = (ex * (c("y0") - c("q0")) - ey * (c("x0") - c("p0"))) / axis
-    s1 = (ex * (c("y1") - c("q0")) - ey * (c("x1") - c("p0"))) / axis
-    side = F.when((axis > 0) & (F.abs(s1 - s0) > 1e-12), F.array((r - s0) / (s1 - s0), (-r - s0) / (s1 - s0))).otherwise(F.array().cast("array<double>"))
-    at = F.concat(F.array(F.lit(0.0), F.lit(1.0)), circle(c("p0"), c("q0")), circle(c("p1"), c("q1")), side)
-    far = lambda t: X.pt_seg_dist(c("x0") + dx * t, c("y0") + dy * t, c("p0"), c("q0"), c("p1"), c("q1"))
-    return F.filter(at, lambda t: (t >= 0) & (t <= 1) & (far(t) <= r + 1e-7))
+def capsule_stay(half_width: float) -> Callable[..., Column]:
+    """Of batches of segments (x0, y0, x1, y1) and axes (p0, q0, p1, q1): the parameters, from 0 to 1 along a segment, that bound
+    its stay within half_width of the axis, null where it has none. They are the first and the last of its ends and its
+    crossings with the capsule's rim that are inside. Arrays of expressions would be interpreted, and again by each filter."""
+    r = float(half_width)
+
+    def stay(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, p0: pd.Series, q0: pd.Series, p1: pd.Series, q1: pd.Series) -> pd.DataFrame:
+        x0, y0, x1, y1, p0, q0, p1, q1 = (v.to_numpy(dtype=float) for v in (x0, y0, x1, y1, p0, q0, p1, q1))
+        dx, dy, ex, ey = x1 - x0, y1 - y0, p1 - p0, q1 - q0
+        a, long = dx * dx + dy * dy, ex * ex + ey * ey
+        axis = np.sqrt(long)
+        first, last = np.full(len(a), np.nan), np.full(len(a), np.nan)
+
+        def inside(t):
+            """Takes t in where it is on the segment and within half_width of the axis."""
+            x, y = x0 + dx * t, y0 + dy * t
+            u = np.where(long > 0, np.minimum(np.maximum(((x - p0) * ex + (y - q0) * ey) / long, 0.0), 1.0), 0.0)
+            vx, vy = x - (p0 + ex * u), y - (q0 + ey * u)
+            t = np.where((t >= 0) & (t <= 1) & (np.sqrt(vx * vx + vy * vy) <= r + 1e-7), t, np.nan)
+            return np.fmin(first, t), np.fmax(last, t)
+
+        with np.errstate(all="ignore"):
+            for end in (0.0, 1.0):
+                first, last = inside(np.full(len(a), end))
+            for px, py in ((p0, q0), (p1, q1)):  # where it meets a circle
+                fx, fy = x0 - px, y0 - py
+                b, k = fx * dx + fy * dy, fx * fx + fy * fy - r * r
+                root = np.where(a > 0, np.sqrt(b * b - a * k), np.nan)
+                for sign in (-1, 1):
+                    first, last = inside((-b + sign * root) / a)
+            # signed distance from the axis' line grows linearly along the segment
+            s0, s1 = (ex * (y0 - q0) - ey * (x0 - p0)) / axis, (ex * (y1 - q0) - ey * (x1 - p0)) / axis
+            slant = np.where((axis > 0) & (np.abs(s1 - s0) > 1e-12), s1 - s0, np.nan)
+            for side in (r, -r):
+                first, last = inside((side - s0) / slant)
+        return pd.DataFrame({"first": first, "last": last})
+
+    return F.pandas_udf(stay, "first double, last double")
 
 
 def split_lines(lengths: DataFrame, spans: DataFrame, min_len: float, key: str = "line_id") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from furrow.functions import expr as X
 from furrow.operators import catalog as C
 from furrow.operators import geometry as G
 from furrow.operators import graph as A
@@ -103,3 +104,24 @@ def test_copies_of_segments_are_measured_once(spark, monkeypatch):
     monkeypatch.setattr(G, "segments_within", lambda a, b, *x, **y: measured.extend((a.count(), b.count())) or kept(a, b, *x, **y))
     assert sorted(map(tuple, G.copied_segments_within(a, b, 0.5, 5.0).collect())) == want
     assert measured == [9, 9] and len(want) > 9 * 9
+
+
+def test_first_shared_cells_and_stays_are_told_in_batches(spark):
+    """As filters over arrays they were interpreted, for each pair of segments of a cell, near or not."""
+    rows = [(k, k % 3, 7.0 * (k % 5), 3.0 * (k % 7), 7.0 * (k % 4) + 11.0 * (k % 3 - 1), 5.0 * (k % 6) + 0.5) for k in range(60)]
+    s = spark.createDataFrame(rows, "id int, seq int, x0 double, y0 double, x1 double, y1 double")
+    near = G.segments_within(s, s, 1.25, 2.0)
+    assert "lambda" not in near._jdf.queryExecution().executedPlan().toString()
+    got = near.collect()
+    both = s.select(*[F.col(c).alias(f"a_{c}") for c in s.columns]).crossJoin(s.select(*[F.col(c).alias(f"b_{c}") for c in s.columns]))
+    d = X.seg_seg_dist(*[F.col(f"{p}_{c}") for p in "ab" for c in ("x0", "y0", "x1", "y1")])
+    want = {(r["a_id"], r["b_id"]): r["d"] for r in both.withColumn("d", d).filter("d <= 1.25").collect()}
+    assert len(got) == len(want) > 300 and {(r["a_id"], r["b_id"]): pytest.approx(r["dist"]) for r in got} == want
+    spans = G.barrier_spans(wave(spark).drop("z"), s, 2.0)
+    assert "lambda" not in spans._jdf.queryExecution().executedPlan().toString()
+    inside = spans.selectExpr("sum(hi - lo) AS m").first()["m"]
+    # by stations a hundredth apart
+    st = G.resample(wave(spark).drop("z"), 0.01).withColumn("h", F.lit(0.01))
+    close = X.pt_seg_dist(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) <= 2.0
+    n = st.select("line_id", "station", "x", "y").join(F.broadcast(s), close).select("line_id", "station").distinct().count()
+    assert inside == pytest.approx(n * 0.01, rel=0.01)
