@@ -260,8 +260,8 @@ def full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     bits = reps.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__mask"))
     some = docs.withColumn("__w", word).join(F.broadcast(bits), F.col("__w") == F.col("__word")).filter(F.col("__mask").bitwiseAND(mask) != 0).select("id", "text")
     sets = map_texts(some, run, [("class", "binary"), ("items", "binary")], ["id"])
-    # a class has one set, whichever of its rows with that id it is read from
-    return sets.join(reps.hint("merge"), ["class", "id"]).select("rep", "items").dropDuplicates(["rep"])
+    # a class has one set, whichever of its rows with that id it is read from; by the join's keys, where its rows lie already
+    return sets.join(reps.hint("merge"), ["class", "id"]).dropDuplicates(["class", "id"]).select("rep", "items")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -142,11 +142,49 @@ class Lattice:
             at = j
         return b"".join(own)
 
+    def two_best(self, w: str) -> tuple[float, float, list[int]]:
+        """Costs of the best and of the second segmentation of a word, and the places of the best one's piece ends: what
+        nbest() finds (of equal costs the piece that begins last), in one pass that makes no lists of edges."""
+        n, root = len(w), self.root
+        cost, second, back = [_NEVER] * (n + 1), [_NEVER] * (n + 1), [0] * (n + 1)
+        cost[0] = 0.0
+        for i in range(n):
+            node, here, next_, lone = root, cost[i], second[i], True
+            for j in range(i, n):
+                node = node.get(w[j])
+                if node is None:
+                    break
+                s = node.get("")
+                if s is not None:
+                    if j == i:
+                        lone = False
+                    j += 1
+                    f, least = here + s, cost[j]
+                    if f <= least:
+                        other = next_ + s
+                        second[j] = other if other < least else least
+                        cost[j], back[j] = f, i
+                    elif f < second[j]:
+                        second[j] = f
+            if lone:
+                s = (TIE - self.off_score) * len(w[i].encode("utf-8", "surrogatepass"))
+                f, least = here + s, cost[i + 1]
+                if f <= least:
+                    second[i + 1] = min(least, next_ + s)
+                    cost[i + 1], back[i + 1] = f, i
+                elif f < second[i + 1]:
+                    second[i + 1] = f
+        ends = [n] if n else []
+        while ends and back[ends[-1]]:
+            ends.append(back[ends[-1]])
+        ends.reverse()
+        return cost[n], second[n], ends
+
     def word(self, w: str) -> tuple[float, float, bytes, str]:
         """Best score, what the second choice costs, ids of the best, and the word itself."""
-        found = self.nbest(w, min(2, self.best))
-        code = self.code_of(w, found[0][1])
-        return TIE * (len(code) // 2) - found[0][0], found[1][0] - found[0][0] if len(found) > 1 else _NEVER, code, w
+        cost, second, ends = self.two_best(w)
+        code = self.code_of(w, ends)
+        return TIE * (len(code) // 2) - cost, second - cost if self.best > 1 else _NEVER, code, w
 
     def words(self, raw: bytes) -> list[tuple]:
         c = self.cache

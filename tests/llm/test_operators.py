@@ -709,3 +709,36 @@ def test_most_sequences_come_from_the_linear_program(spark, times):
     full, planned, filled = [sum(t for _, t in p) for p in packing.parts(h)]
     assert planned >= 0.9 * (planned + filled)
     assert full + planned + filled <= math.ceil(sum(n * c for n, c in h.items()) / packing.CAPACITY) * 1.001 + 1
+
+
+def test_two_best_are_those_of_the_search():
+    """One pass instead of a search for each new word: the same costs and pieces, without lists of edges."""
+    import random
+
+    from furrow.llm import pieces
+    from furrow.llm.tokens import vocabulary_path
+
+    lattice, rng = pieces.Lattice(vocabulary_path(pieces.MODEL)), random.Random(5)
+    words = ["", "a", "aaaaaaaa", "▁", "▁▁▁▁the", "\n", "naïve😀", "x" * 300, "▁" + "na" * 40]
+    words += ["▁" + "".join(rng.choices("aeinrst", k=rng.randint(1, 14))) for _ in range(2000)] + ["".join(rng.choices("ab▁é漢\t", k=rng.randint(1, 9))) for _ in range(500)]
+    for w in words:
+        found = lattice.nbest(w, 2)
+        assert lattice.two_best(w) == (found[0][0], found[1][0] if len(found) > 1 else float("inf"), found[0][1]), w
+    lattice.edges = None
+    assert lattice.word("▁hello")[3] == "▁hello"
+
+
+def test_sets_are_dealt_once(spark):
+    """Items are the largest column: after the join they lie by class and id, and no exchange deals them again."""
+    from furrow.llm import near_dup
+
+    docs = spark.createDataFrame([(k % 6, f"one two three four five six seven {k % 5}") for k in range(30)], "id long, text string")
+    own = [(k, near_dup.shingles(f"one two three four five six seven {k}".encode(), near_dup.WordHashes()).astype("<u8").tobytes()) for k in range(5)]
+    import xxhash
+
+    reps = spark.createDataFrame([(100 + k, k, xxhash.xxh3_128_digest(x)) for k, x in own], "rep long, id long, class binary")
+    sets = near_dup.full_sets(docs, reps)
+    got = sets.collect()
+    assert {r["rep"]: bytes(r["items"]) for r in got} == {100 + k: x for k, x in own} and len(got) == 5
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(rep#" not in plan[plan.index("Final Plan") : plan.index("Initial Plan")] if "Initial Plan" in plan else "hashpartitioning(rep#" not in plan
