@@ -125,3 +125,11 @@ def test_first_shared_cells_and_stays_are_told_in_batches(spark):
     close = X.pt_seg_dist(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) <= 2.0
     n = st.select("line_id", "station", "x", "y").join(F.broadcast(s), close).select("line_id", "station").distinct().count()
     assert inside == pytest.approx(n * 0.01, rel=0.01)
+
+
+def test_both_sides_of_measured_copies_are_dealt_over_all_tasks(spark):
+    """Few rows that each meet many: the side that isn't sent to the others' tasks was read by one task."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(G.relation_classes(copied(spark), ["group_id"], 5.0)[0]).count("REPARTITION_BY_NUM") == 2
+    s = G.segments(copied(spark), "line_id").select(F.col("line_id").alias("id"), "seq", "x0", "y0", "x1", "y1")
+    assert plan(G.copied_segments_within(s.filter("id % 2 = 0"), s.filter("id % 2 = 1"), 0.5, 5.0)).count("REPARTITION_BY_NUM") == 2
