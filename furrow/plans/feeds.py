@@ -20,6 +20,12 @@ l_extendedprice / 1e2 AS x, l_quantity AS y, l_discount * 1e2 AS z FROM lineitem
 FEEDS["spans2"] = """SELECT a.line_id, a.seq, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy FROM steps a JOIN steps b ON a.line_id = b.line_id AND b.seq = a.seq + 1
 JOIN steps c ON a.line_id = c.line_id AND c.seq = a.seq + 2"""
 
+# feeds whose rows Spark reads by a text of its own: partitioned by the column's new name, as that by the old one isn't known to be
+# the same to what follows, and all rows would be dealt again
+SAME_ROWS: dict[str, str] = {}
+SAME_ROWS["steps"] = """SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, x, y, z
+FROM (SELECT l_orderkey AS line_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice / 1e2 AS x, l_quantity AS y, l_discount * 1e2 AS z FROM lineitem) q"""
+
 
 def needs(sql: str) -> list[str]:
     """The feeds that a text names, those first that others need."""
@@ -32,9 +38,9 @@ def needs(sql: str) -> list[str]:
     return out
 
 
-def oracle(body: str) -> str:
-    """A DuckDB query over feeds and tables."""
-    head = ",\n".join(f"{n} AS ({FEEDS[n]})" for n in needs(body))
+def oracle(body: str, own: dict[str, str] | None = None) -> str:
+    """A DuckDB query over feeds and tables. own: texts that stand for those of some feeds."""
+    head = ",\n".join(f"{n} AS ({(own or {}).get(n, FEEDS[n])})" for n in needs(body))
     if not head:
         return body
     rest = body.lstrip()
@@ -45,7 +51,7 @@ def oracle(body: str) -> str:
 
 def feed(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A feed by name, or any text over feeds and tables, as a DataFrame."""
-    sql = oracle(FEEDS.get(sql, sql))
+    sql = oracle(SAME_ROWS.get(sql, FEEDS.get(sql, sql)), SAME_ROWS)
     names = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
     for t in names:
         sql = re.sub(rf"\b{t}\b", "{" + t + "}", sql)

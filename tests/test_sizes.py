@@ -9,7 +9,10 @@ from furrow.functions import expr as X
 from furrow.operators import catalog as C
 from furrow.operators import geometry as G
 from furrow.operators import graph as A
+from furrow.operators import hydrology as H
+from furrow.operators import quality as Q
 from furrow.plans import geometry as P
+from furrow.plans.feeds import FEEDS, feed
 
 
 def test_nodes_of_far_streets_have_no_thousands_marks(spark):
@@ -133,3 +136,11 @@ def test_both_sides_of_measured_copies_are_dealt_over_all_tasks(spark):
     assert plan(G.relation_classes(copied(spark), ["group_id"], 5.0)[0]).count("REPARTITION_BY_NUM") == 2
     s = G.segments(copied(spark), "line_id").select(F.col("line_id").alias("id"), "seq", "x0", "y0", "x1", "y1")
     assert plan(G.copied_segments_within(s.filter("id % 2 = 0"), s.filter("id % 2 = 1"), 0.5, 5.0)).count("REPARTITION_BY_NUM") == 2
+
+
+def test_steps_are_dealt_once(spark):
+    d = "/root/testdata/sf0.001"
+    own, sql = feed(spark, d, "steps"), feed(spark, d, f"SELECT * FROM ({FEEDS['steps']}) q")
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, sql.collect()))
+    for q in (P.ge2, P.ge12r):
+        assert q(spark, d)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
