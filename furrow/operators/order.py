@@ -19,6 +19,11 @@ RANGES = 10_000
 c = F.col
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt over all tasks: rows of few files or partitions, each of which costs much."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _counted(rows: DataFrame, ranges: DataFrame, few: bool) -> DataFrame:
     """g, lo, hi, n, least, most, before: the values in each part of each range, and how many lie in the parts before."""
     span = c("hi") / 2 - c("lo") / 2  # halves, so that no difference overflows

@@ -144,3 +144,11 @@ def test_steps_are_dealt_once(spark):
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, sql.collect()))
     for q in (P.ge2, P.ge12r):
         assert q(spark, d)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_percentiles_of_lines_are_told_where_they_are_sorted(spark):
+    v = wave(spark)
+    target = v.select("line_id").distinct().withColumn("target_z", F.lit(2.0))
+    for out, n in ((G.axis_profile(v, target), 40), (G.curvature(v, 9.0), 40)):
+        assert out.count() == n
+        assert "percentile" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate" in x)
