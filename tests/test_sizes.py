@@ -152,3 +152,28 @@ def test_percentiles_of_lines_are_told_where_they_are_sorted(spark):
     for out, n in ((G.axis_profile(v, target), 40), (G.curvature(v, 9.0), 40)):
         assert out.count() == n
         assert "percentile" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate" in x)
+
+
+def test_runs_fall_apart_alike_by_tasks_and_by_rounds(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(f"r{k}", r.randrange(9), k * 100 + i, *[float(r.randrange(-2, 6)) + r.choice([0.0, 4e-7, -4e-7]) for _ in range(4)]) for k in range(60) for i in range(r.randrange(1, 14))]
+    s = spark.createDataFrame(rows, "run_id string, sequence int, segment_id long, x0 double, y0 double, x1 double, y1 double")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for run in {x[0] for x in rows}:
+        own = sorted((x for x in rows if x[0] == run), key=lambda x: x[1:3])
+        nodes = [{(round(x[3]), round(x[4])), (round(x[5]), round(x[6]))} for x in own]
+        part = list(range(len(own)))
+        for _ in own:
+            part = [min(part[j] for j in range(len(own)) if nodes[i] & nodes[j]) for i in range(len(own))]
+        order = sorted(set(part))
+        want |= {x[2]: f"{run}:C{order.index(p) + 1:03d}" if len(order) > 1 else run for x, p in zip(own, part, strict=True)}
+    try:
+        for most, batch in ((200, 10_000), (200, 3), (5, 10_000), (0, 10_000)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            got = {x["segment_id"]: x["new_run_id"] for x in A.split_runs(s, most)[0].collect()}
+            assert got == want, (most, batch)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
