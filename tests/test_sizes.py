@@ -177,3 +177,14 @@ def test_runs_fall_apart_alike_by_tasks_and_by_rounds(spark):
             assert got == want, (most, batch)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
+def test_costly_rows_of_one_file_are_dealt_over_all_tasks(spark):
+    docs = spark.range(40).coalesce(1).selectExpr("id AS row_id", "'{\"a\": 1}' AS json")
+    rules = spark.createDataFrame([("$.a", "MAXIMUM", "0")], "path string, rule string, arg string")
+    out = Q.check_documents(docs, rules)
+    assert out.rdd.getNumPartitions() == 4 and out.count() == 40
+    sections = spark.range(40).coalesce(1).selectExpr("id AS section_id", "'NEW' AS condition", "2e0 AS width", "1.5e0 AS side", "5e-3 AS slope", "4e-2 AS rough", "1e0 AS max_depth")
+    peaks = spark.range(40).coalesce(1).selectExpr("id AS section_id", "1e0 + id AS peak_flow")
+    out = H.reach_capacity(peaks, sections)
+    assert out.rdd.getNumPartitions() == 4 and out.count() == 40
