@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import expr as X
+from furrow.operators.order import spread
 
 EPS = 1e-12
 
@@ -243,9 +244,11 @@ def routing_balance(reaches: DataFrame, lateral: DataFrame, routed: DataFrame) -
 
 
 def reach_capacity(peaks: DataFrame, sections: DataFrame) -> DataFrame:
-    """Capacity, ratio, margin, normal depth and flow state at the peak of each (reach, condition)."""
+    """Capacity, ratio, margin, normal depth and flow state at the peak of each (reach, condition).
+
+    Finding the depth costs much more than reading, so rows are dealt over all tasks, however few files they come from."""
     c = F.col
-    df = peaks.join(sections, "section_id").withColumn("capacity", X.manning_q(c("max_depth"), c("width"), c("side"), c("slope"), c("rough")))
+    df = spread(peaks.join(sections, "section_id")).withColumn("capacity", X.manning_q(c("max_depth"), c("width"), c("side"), c("slope"), c("rough")))
     df = df.withColumn("ratio", c("peak_flow") / c("capacity")).withColumn("margin", c("capacity") - c("peak_flow"))
     df = df.withColumn("normal_depth", X.normal_depth(c("peak_flow"), c("width"), c("side"), c("slope"), c("rough")))
     df = df.withColumn("state", X.flow_state(c("peak_flow"), c("normal_depth"), c("width"), c("side"), c("slope")))
