@@ -8,11 +8,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import expr as X
-from furrow.operators.order import MOST, summarise
+from furrow.operators.order import MOST, spread, summarise
+from furrow.session import ship
 
 RC = ["grid_id", "row", "col"]
 c = F.col
@@ -102,7 +105,8 @@ def beside(cells: DataFrame, values: list[str]) -> DataFrame:
     sent = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(k).alias("k"), F.lit(i).alias("i")) for i, (r, k) in enumerate(SIDES)]))
     s = cells.select("grid_id", "row", "col", *values, sent.alias("o")).select("grid_id", (c("row") - c("o.r")).alias("row"), (c("col") - c("o.k")).alias("col"), c("o.i").alias("i"), *values)
     met = s.groupBy(*RC).agg(*[F.max(F.when(c("i") == i, c(v))).alias(f"__{v}{i}") for v in values for i in range(4)])
-    return cells.join(met, RC, "left")
+    # as large as the cells, so it isn't sent whole to the driver and every task while its compressed size seems small
+    return cells.join(met.hint("shuffle_merge"), RC, "left")
 
 
 def slopes(v: str, res: float) -> tuple[Column, Column]:
@@ -212,16 +216,87 @@ def spacing_from_levels(cells: DataFrame, levels: DataFrame) -> DataFrame:
     return out.withColumn("spacing", F.when(c("grad") > 1e-6, gap / c("grad")).otherwise(float("inf"))).drop("__levels")
 
 
-def orientation_sweep(cells: DataFrame, angles: list[float], lambdas: list[float], spacing: float, target: float, alert: float, tol: float, most: int = MOST) -> DataFrame:
+#: Cells of a field that a task may gather.
+GATHER = 50_000
+
+
+def orientation_sweep(cells: DataFrame, angles: list[float], lambdas: list[float], spacing: float, target: float, alert: float, tol: float, most: int = MOST, gather: int = GATHER) -> DataFrame:
     """Cells (field, gx, gy: rise over run) x angles x lambdas. The rows of an orientation are the level lines of a phase
     whose gradient is the normal of angle theta plus lambda times the terrain's; returned are the grades along and across
     them (percent), how far they turn from theta, their spacing if levels are `spacing` times the median phase gradient
     apart, and the shares (percent) over target and alert, outside the spacing's tolerance, and next to singular.
 
-    A cell's 180 or so orientations are made where it is read, and made again by each pass; what is shuffled are counts
-    and extremes, or, of groups of at most `most` cells, their distinct values."""
+    Fields of up to `gather` cells are dealt by field, so a cell is shuffled once, and tasks make its 180 or so orientations.
+    Those of larger fields are made where a cell is read, and made again by each pass; what is shuffled are counts and
+    extremes, or, of groups of at most `most` cells, their distinct values."""
+    cells = cells.filter("gx IS NOT NULL AND gy IS NOT NULL").select("field", "gx", "gy")
+    plain = (F.abs(c("gx")) < 1e100) & (F.abs(c("gy")) < 1e100)  # neither infinite nor NaN
+    cells = cells.checkpoint()
+    large = cells.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.bool_and(plain).alias("plain")).filter(c("field").isNull() | (c("n") > gather) | ~c("plain")).select("field").checkpoint()
+    if large.isEmpty():
+        return _sweep_fields(cells, angles, lambdas, spacing, target, alert, tol)
+    same = cells["field"].eqNullSafe(large["field"])
+    out = _sweep_fields(cells.join(large, same, "left_anti"), angles, lambdas, spacing, target, alert, tol)
+    return out.unionByName(_sweep_cells(cells.join(large, same, "left_semi"), angles, lambdas, spacing, target, alert, tol, most))
+
+
+#: Percentiles of a sweep: name, measure, share.
+_SWEPT = (("along_p50", "along", 0.5), ("along_p90", "along", 0.9), ("along_p95", "along", 0.95), ("cross_p95", "cross", 0.95), ("deflection_p95", "deflection", 0.95), ("mag_p50", "mag", 0.5), ("spacing_p05", "inverse", 0.05), ("spacing_p50", "inverse", 0.5), ("spacing_p95", "inverse", 0.95))
+
+
+def _at_share(v: np.ndarray, p: float) -> np.ndarray:
+    """Percentile of each row of sorted values, of those that are finite; NaN where there is none."""
+    n = np.isfinite(v).sum(1)
+    at = np.maximum(n - 1, 0) * p
+    low, high = np.floor(at).astype(int), np.ceil(at).astype(int)
+    k = np.arange(len(v))
+    with np.errstate(invalid="ignore"):
+        between = (high - at) * v[k, low] + (at - low) * v[k, high]
+    return np.where(n == 0, np.nan, np.where(low == high, v[k, low], between))
+
+
+def _sweep_fields(cells: DataFrame, angles: list[float], lambdas: list[float], spacing: float, target: float, alert: float, tol: float) -> DataFrame:
+    """orientation_sweep() of fields that are gathered."""
+    ship(cells.sparkSession)
+    params = [(float(a), float(k), math.cos(math.radians(a)), math.sin(math.radians(a))) for a in angles for k in lambdas]
+    shares = ["along_max", "cross_max", "over_target", "over_alert", "singular", *[n for n, _, _ in _SWEPT if n != "mag_p50"], "level_step", "spacing_outside"]
+    kind = f"field {cells.schema['field'].dataType.simpleString()}, theta double, lam double, n bigint, " + ", ".join(f"{n} double" for n in shares)
+
+    def some(gx: np.ndarray, gy: np.ndarray, theta: np.ndarray, lam: np.ndarray, bx: np.ndarray, by: np.ndarray) -> dict[str, np.ndarray]:
+        lam, bx, by = lam[:, None], bx[:, None], by[:, None]
+        px, py = lam * gx - by, lam * gy + bx
+        mag = np.sqrt(px * px + py * py)
+        steep = mag > 1e-6
+        size = np.where(steep, mag, 1.0)
+        nx, ny = np.where(steep, px / size, 0.0), np.where(steep, py / size, 0.0)
+        m = {"along": np.abs(gy * nx - gx * ny) * 100, "cross": np.abs(gx * nx + gy * ny) * 100, "deflection": np.degrees(np.arccos(np.minimum(1.0, np.abs(by * nx - bx * ny)))), "mag": mag, "inverse": np.where(steep, 1 / size, np.inf)}
+        percent = lambda cond: cond.sum(1) * 100.0 / len(gx)
+        out = {"over_target": percent(m["along"] > target), "over_alert": percent(m["along"] > alert), "singular": percent(mag < 0.35)}
+        inverse = m["inverse"]
+        ordered = {k: np.sort(v, axis=1) for k, v in m.items()}
+        out |= {n: _at_share(ordered[v], p) for n, v, p in _SWEPT}
+        out |= {f"{v}_max": ordered[v][:, -1] for v in ("along", "cross")}
+        step = out["level_step"] = out.pop("mag_p50") * spacing
+        with np.errstate(invalid="ignore"):
+            out["spacing_outside"] = percent(~(np.abs(inverse * step[:, None] / spacing - 1) <= tol))
+        # a level interval is the same everywhere, so spacing is in proportion to the inverse gradient
+        return out | {n: out[n] * step for n in ("spacing_p05", "spacing_p50", "spacing_p95")}
+
+    def swept(t: pa.Table) -> pa.Table:
+        gx, gy = t.column("gx").to_numpy(), t.column("gy").to_numpy()
+        p = np.array(params)
+        each = max(1, 500_000 // len(gx))
+        parts = [some(gx, gy, *p[k : k + each].T) for k in range(0, len(p), each)]
+        told = {n: pa.array(np.concatenate([x[n] for x in parts]), from_pandas=True) for n in shares}
+        return pa.table({"field": pa.repeat(t.column("field")[0], len(p)), "theta": p[:, 0], "lam": p[:, 1], "n": np.full(len(p), len(gx)), **told})
+
+    return spread(cells, "field").groupBy("field").applyInArrow(swept, kind)
+
+
+def _sweep_cells(cells: DataFrame, angles: list[float], lambdas: list[float], spacing: float, target: float, alert: float, tol: float, most: int) -> DataFrame:
+    """orientation_sweep() of fields of any size."""
     params = F.array(*[F.struct(F.lit(float(a)).alias("theta"), F.lit(float(k)).alias("lam"), *[F.lit(f(math.radians(a))).alias(n) for f, n in ((math.cos, "bx"), (math.sin, "by"))]) for a in angles for k in lambdas])
-    p = cells.filter("gx IS NOT NULL AND gy IS NOT NULL").select("field", "gx", "gy", F.explode(params).alias("p")).select("field", "gx", "gy", "p.*")
+    p = cells.select("field", "gx", "gy", F.explode(params).alias("p")).select("field", "gx", "gy", "p.*")
     px, py = c("lam") * c("gx") - c("by"), c("lam") * c("gy") + c("bx")
     p = p.withColumn("px", px).withColumn("py", py).withColumn("mag", F.sqrt(c("px") * c("px") + c("py") * c("py")))
     unit = lambda x: F.when(c("mag") > 1e-6, x / c("mag")).otherwise(0.0)
@@ -231,7 +306,7 @@ def orientation_sweep(cells: DataFrame, angles: list[float], lambdas: list[float
     by, n = ["field", "theta", "lam"], F.count(F.lit(1))
     percent = lambda cond: F.count_if(cond) * 100.0 / n
     aggs = [n.alias("n"), F.max("along").alias("along_max"), F.max("cross").alias("cross_max"), percent(c("along") > target).alias("over_target"), percent(c("along") > alert).alias("over_alert"), percent(c("mag") < 0.35).alias("singular")]
-    wants = {"along_p50": ("along", 0.5), "along_p90": ("along", 0.9), "along_p95": ("along", 0.95), "cross_p95": ("cross", 0.95), "deflection_p95": ("deflection", 0.95), "mag_p50": ("mag", 0.5), **{f"spacing_{k}": ("inverse", q) for k, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))}}
+    wants = {n: (v, p) for n, v, p in _SWEPT}
     out = summarise(p, by, aggs, wants, most, write=False)
     out = out.withColumn("level_step", c("mag_p50") * spacing).checkpoint()
     # a level interval is the same everywhere, so spacing is in proportion to the inverse gradient

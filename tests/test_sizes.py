@@ -9,6 +9,7 @@ from furrow.functions import expr as X
 from furrow.operators import catalog as C
 from furrow.operators import geometry as G
 from furrow.operators import graph as A
+from furrow.operators import grid as GR
 from furrow.operators import hydrology as H
 from furrow.operators import quality as Q
 from furrow.plans import geometry as P
@@ -188,3 +189,24 @@ def test_costly_rows_of_one_file_are_dealt_over_all_tasks(spark):
     peaks = spark.range(40).coalesce(1).selectExpr("id AS section_id", "1e0 + id AS peak_flow")
     out = H.reach_capacity(peaks, sections)
     assert out.rdd.getNumPartitions() == 4 and out.count() == 40
+
+
+def test_sweeps_of_gathered_fields_are_those_of_any_field(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(f"f{k}", r.gauss(0, 1) * (k != 3), r.gauss(0, 1) * (k != 3)) for k in range(5) for _ in range(k * k * 9 + 1)]
+    cells = spark.createDataFrame([*rows, ("f1", None, 1.0), ("odd", float("nan"), 1.0), ("odd", 0.1, 0.2)], "field string, gx double, gy double")
+    sweep = lambda gather: {(x["field"], x["theta"], x["lam"]): x for x in GR.orientation_sweep(cells, [0.0, 35.0, 90.0], [-3.0, 0.0, 1.0], 1.5, 2.0, 5.0, 0.1, gather=gather).collect()}
+    any_, some, all_ = sweep(0), sweep(20), sweep(1000)
+    assert len(any_) == 6 * 9 and any_.keys() == some.keys() == all_.keys()
+    for k, want in any_.items():
+        for got in (some[k], all_[k]):
+            for n, v in want.asDict().items():
+                assert got[n] == v if v is None or isinstance(v, str) else got[n] == pytest.approx(v, rel=1e-9, abs=1e-7, nan_ok=True), (k, n)
+
+
+def test_values_beside_are_not_sent_whole_to_all_tasks(spark):
+    cells = spark.range(100).selectExpr("0 AS grid_id", "CAST(id AS INT) AS row", "0 AS col", "1e0 * id AS v")
+    out = GR.gradient(cells)
+    assert widest(out) == 0 and out.filter("gy = 1").count() == 100
