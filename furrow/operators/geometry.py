@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import expr as X
 from furrow.operators.order import spread, summarise
+from furrow.session import ship
 
 
 def segments(vertices: DataFrame, key: str | list[str]) -> DataFrame:
@@ -125,6 +126,7 @@ def segments_within(a: DataFrame, b: DataFrame, buffer: str | float, cell: float
     A pair counts in the first cell that both share (by column, then row), which either row can tell from the two
     segments; so nothing is shuffled after it is measured."""
     on = on or []
+    ship(a.sparkSession)
     side = lambda df, p, extra: df.select(*on, *[F.col(c).alias(f"{p}_{c}") for c in ("id", "seq", "x0", "y0", "x1", "y1")], *extra)
     width = F.col(buffer) if isinstance(buffer, str) else F.lit(float(buffer))
     pad = F.col("__buffer") + 1e-6
@@ -653,9 +655,11 @@ def narrowest_box(corners: np.ndarray) -> tuple[float, float, float, float]:
     return float(area[k]), float(min(along[k], across[k])), float(max(along[k], across[k])), float(np.degrees(np.arctan2(long_side[1], long_side[0])) % 180)
 
 
-def convex_hulls(vertices: DataFrame, key: str = "feature_id", parts: int = 64) -> DataFrame:
-    """key, x, y of the corners of each feature's convex hull. The hull of hulls is the hull, so tasks first reduce what they
-    hold, then `parts` groups of a feature are reduced, and what is left of these is one group a feature."""
+def convex_hulls(vertices: DataFrame, key: str = "feature_id", parts: int = 64, gather: int = 10_000) -> DataFrame:
+    """key, x, y of the corners of each feature's convex hull. Features of up to `gather` vertices are dealt by feature and
+    reduced at once. The hull of hulls is the hull, so of larger ones tasks first reduce what they hold, then `parts` groups
+    of a feature are reduced, and what is left of these is one group a feature."""
+    ship(vertices.sparkSession)
     kind = f"{key} {vertices.schema[key].dataType.simpleString()}, x double, y double"
     v = vertices.select(key, c("x").cast("double").alias("x"), c("y").cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
 
@@ -670,9 +674,15 @@ def convex_hulls(vertices: DataFrame, key: str = "feature_id", parts: int = 64)
             for k in np.unique(own):
                 yield from reduce_table(pa.Table.from_batches([b.filter(pa.array(own == k))])).to_batches()
 
+    v = v.select(c(key), "x", "y")
+    large = v.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((c("n") > gather) | c(key).isNull()).select(key).checkpoint()
+    if large.isEmpty():
+        return spread(v, key).groupBy(key).applyInArrow(reduce_table, kind)
+    same = v[key].eqNullSafe(large[key])
+    few, v = v.join(large, same, "left_anti"), v.join(large, same, "left_semi")
     small = v.mapInArrow(reduce_batches, kind)
     again = small.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts))).groupBy(key, "part").applyInArrow(lambda t: reduce_table(t.select([key, "x", "y"])), kind)
-    return again.groupBy(key).applyInArrow(reduce_table, kind)
+    return spread(few, key).groupBy(key).applyInArrow(reduce_table, kind).unionByName(again.groupBy(key).applyInArrow(reduce_table, kind))
 
 
 def oriented_extent(vertices: DataFrame, key: str = "feature_id") -> DataFrame:
@@ -755,7 +765,8 @@ def infer_connections(
     from furrow.operators import nearest as N
 
     ends = lambda df, p: df.select("row_id", c("line_id").alias(f"{p}_line"), X.distance(c("x0"), c("y0"), c("x1"), c("y1")).alias(f"{p}_length"), F.posexplode(F.array(*[F.struct(c(f"x{i}").alias("x"), c(f"y{i}").alias("y")) for i in (0, 1)])).alias(f"{p}_end", f"{p}_at"))
-    m = ends(a, "a").join(ends(b, "b"), "row_id")
+    # both dealt by row before ends are paired: lines come from few files, and pairs of a few tasks would be sorted there
+    m = ends(spread(a, "row_id"), "a").join(ends(spread(b, "row_id"), "b").hint("shuffle_merge"), "row_id")
     gap = X.distance(c("a_at.x"), c("a_at.y"), c("b_at.x"), c("b_at.y"))
     best = m.withColumn("gap", gap).groupBy("row_id").agg(F.min(F.struct("gap", "a_line", "b_line", "a_end", "b_end", "a_at", "b_at", "a_length", "b_length")).alias("m")).filter(c("m.gap") <= max_gap).select("row_id", "m.*")
     if area_a is not None and area_b is not None:

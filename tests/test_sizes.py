@@ -210,3 +210,21 @@ def test_values_beside_are_not_sent_whole_to_all_tasks(spark):
     cells = spark.range(100).selectExpr("0 AS grid_id", "CAST(id AS INT) AS row", "0 AS col", "1e0 * id AS v")
     out = GR.gradient(cells)
     assert widest(out) == 0 and out.filter("gy = 1").count() == 100
+
+
+def test_hulls_of_small_features_are_reduced_at_once(spark):
+    import random
+
+    r = random.Random(7)
+    v = spark.createDataFrame([(k, r.gauss(0, 9), r.gauss(0, 9)) for k in range(9) for _ in range(3 + 5 * k)], "feature_id long, x double, y double")
+    corners = lambda gather: sorted(map(tuple, G.convex_hulls(v, gather=gather).collect()))
+    assert corners(10_000) == corners(20) == corners(0)
+    # dealt over all tasks, once by feature
+    plan = G.convex_hulls(v.coalesce(1))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(feature_id") == 1 and "FlatMapGroupsInArrow" in plan
+
+
+def test_pairs_of_ends_are_made_where_their_rows_are_dealt(spark):
+    lines = lambda x: spark.range(50).coalesce(1).selectExpr("id AS row_id", "id * 10 AS line_id", f"{x}e0 AS x0", "id * 1e0 AS y0", f"{x + 9}e0 AS x1", "id * 1e0 AS y1")
+    out = G.infer_connections(lines(0), lines(12))
+    assert widest(out) == 0 and out.rdd.getNumPartitions() == 4 and {r["gap"] for r in out.collect()} == {3.0}
