@@ -213,14 +213,22 @@ def thinned(rows: DataFrame, often: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(bits), F.col("__w") == F.col("__word")).filter(F.col("__mask").bitwiseAND(mask("key")) != 0).drop("__w", "__word", "__mask")
 
 
+def first_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows that stand for their class, told by a bit a row that is sent to all tasks; keys are shuffled by no join."""
+    mask = lambda k: F.expr(f"shiftleft(1L, CAST({k} % 63 AS INT))")
+    bits = classes.select(F.expr("rep div 63").alias("__word"), mask("rep").alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__mask"))
+    marked = rows.withColumn("__w", F.expr("row div 63"))
+    return marked.join(F.broadcast(bits), F.col("__w") == F.col("__word")).filter(F.col("__mask").bitwiseAND(mask("row")) != 0).drop("__w", "__word", "__mask")
+
+
 def asked_buckets(rows: DataFrame, classes: DataFrame, work: str) -> DataFrame:
-    """key, rep: all sets that share a key which one of them asks with, by the cheapest choice of each set."""
+    """key, rep: all sets that share a key which one of them asks with, by the cheapest choice of each set. Of equal sets one
+    takes part: all keys of a copy would else count as shared."""
+    rows = first_rows(rows, classes)
     keys = rows.select(F.explode("keys").alias("key"))
     often = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), f"{work}/often")
     exploded = rows.select("row", "asks", F.posexplode("keys").alias("pos", "key")).select("row", "key", (F.col("pos") < F.col("asks")).alias("own"))
-    # an inner join, as a semi-join would be pushed below the thinning and shuffle all keys
-    held = thinned(exploded, often).join(classes.select(F.col("rep").alias("row")), "row").select("row", "key", "own")
-    held = materialise(held, f"{work}/held")
+    held = materialise(thinned(exploded, often).select("row", "key", "own"), f"{work}/held")
     cost = held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = materialise(held.join(cost, "key"), f"{work}/shared")
     # what no other set holds is free; of the rest a set takes the cheapest that it still needs

@@ -159,3 +159,12 @@ def test_components_of_graphs(spark, kind):
         at[max(x, y)] = min(x, y)
     out = ngram_join.components(spark.createDataFrame(links, "a bigint, b bigint"), run_dir(spark, "t")).collect()
     assert {r["node"]: r["component"] for r in out} == {k: find(k) for a, b in links if a != b for k in (a, b)} and len(out) == len({r["node"] for r in out})
+
+
+def test_keys_of_copies_are_not_counted_as_shared(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randrange(10**9)) for _ in range(60)) for _ in range(8)]
+    docs = spark.createDataFrame([(i, texts[i % 8]) for i in range(40)], "doc_id bigint, text string").repartition(3)
+    out = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs, str(tmp_path)).collect()}
+    assert out == {i: i % 8 for i in range(40)}
+    assert spark.read.parquet(f"{tmp_path}/often").count() == 0
