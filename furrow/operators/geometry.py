@@ -289,21 +289,31 @@ def split_lines(lengths: DataFrame, spans: DataFrame, min_len: float, key: str =
     """Lines (key, length) without their merged spans: kept pieces with numbers, ids, and state, termination and maneuver
     status of either end; breaks (what was taken out and pieces too short to keep, numbered along the line); and each
     line's length balance."""
-    w = Window.partitionBy(key).orderBy("lo")
-    inner = spans.join(lengths, key).select(key, F.greatest("lo", F.lit(0.0)).alias("lo"), F.least("hi", "length").alias("hi"), "length").filter("hi > lo")
-    gaps = inner.select(key, F.coalesce(F.lag("hi").over(w), F.lit(0.0)).alias("lo"), c("lo").alias("hi"), F.when(F.lag("hi").over(w).isNull(), "SOURCE").otherwise("BARRIER").alias("start_state"), F.lit("BARRIER").alias("end_state"))
-    tail = inner.groupBy(key, "length").agg(F.max("hi").alias("lo")).select(key, "lo", c("length").alias("hi"), F.lit("BARRIER").alias("start_state"), F.lit("SOURCE").alias("end_state"))
-    free = lengths.join(inner.select(key).distinct(), key, "left_anti").select(key, F.lit(0.0).alias("lo"), c("length").alias("hi"), F.lit("SOURCE").alias("start_state"), F.lit("SOURCE").alias("end_state"))
-    pieces = gaps.unionByName(tail).unionByName(free).filter("hi > lo + 1e-9").withColumn("kept", (c("hi") - c("lo")) >= min_len)
+    # lines and spans meet once; each span makes the gap before it, a line's last span its tail as well
+    own = lengths.select(key, "length").join(spans.select(key, c("lo").alias("__lo"), c("hi").alias("__hi"), F.lit(True).alias("__span")), key, "left")
+    own = own.withColumns({"lo": F.greatest("__lo", F.lit(0.0)), "hi": F.least("__hi", "length")})
+    own = own.select(key, "length", "lo", "hi", F.coalesce(c("__span") & (c("hi") > c("lo")), F.lit(False)).alias("inner"))
+    w = Window.partitionBy(key).orderBy(F.desc("inner"), "lo")
+    before = F.when(c("inner"), F.lag("hi").over(w))
+    own = own.withColumns({"before": before, "place": F.row_number().over(w), "after": F.lead("inner").over(w), "most": F.max(F.when(c("inner"), c("hi"))).over(Window.partitionBy(key))})
+    part = lambda lo, hi, start, end, piece: F.struct(lo.alias("lo"), hi.alias("hi"), start.alias("start_state"), F.lit(end).alias("end_state"), F.lit(piece).alias("is_piece"))
+    gap = part(F.coalesce("before", F.lit(0.0)), c("lo"), F.when(c("before").isNull(), "SOURCE").otherwise("BARRIER"), "BARRIER", True)
+    tail = F.when(~F.coalesce("after", F.lit(False)), part(c("most"), c("length"), F.lit("BARRIER"), "SOURCE", True))
+    free = F.when(c("place") == 1, part(F.lit(0.0), c("length"), F.lit("SOURCE"), "SOURCE", True))
+    span = part(c("lo"), c("hi"), F.lit("BARRIER"), "BARRIER", False)
+    parts = own.select(key, "length", F.explode(F.array_compact(F.when(c("inner"), F.array(gap, tail, span)).otherwise(F.array(free)))).alias("p")).select(key, "length", "p.*")
+    inner = parts.filter("NOT is_piece")
+    piece = c("is_piece") & (c("hi") > c("lo") + 1e-9)
+    long = (c("hi") - c("lo")) >= min_len
+    pieces = parts.filter(piece).select(key, "lo", "hi", "start_state", "end_state", long.alias("kept"))
     numbered = lambda df, name, mark: df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy("lo"))).withColumn(f"{name}_id", F.concat(c(key).cast("string"), F.lit(f":{mark}"), F.lpad(c(name).cast("string"), 4, "0")))
     kept = numbered(pieces.filter("kept").drop("kept"), "piece", "W")
     for end in ("start", "end"):
         cut = c(f"{end}_state") == "BARRIER"
         kept = kept.withColumn(f"{end}_termination", F.when(cut, "WORK_TERMINATION_REQUIRED_BY_BARRIER").otherwise("SOURCE_TERMINATION_PRESERVED"))
         kept = kept.withColumn(f"{end}_maneuver", F.when(cut, "PROHIBITED_BARRIER").otherwise("SOURCE_STATUS_PRESERVED"))
-    removed = inner.groupBy(key).agg(F.sum(c("hi") - c("lo")).alias("removed"))
-    both = pieces.groupBy(key).agg(F.sum(F.when(c("kept"), c("hi") - c("lo")).otherwise(0.0)).alias("kept_m"), F.sum(F.when(~c("kept"), c("hi") - c("lo")).otherwise(0.0)).alias("discarded_m"))
-    bal = lengths.join(both, key, "left").join(removed, key, "left").fillna(0.0, ["kept_m", "discarded_m", "removed"])
+    total = lambda cond, name: F.sum(F.when(cond, c("hi") - c("lo")).otherwise(0.0)).alias(name)
+    bal = parts.groupBy(key, "length").agg(total(piece & long, "kept_m"), total(piece & ~long, "discarded_m"), total(~c("is_piece"), "removed"))
     bal = bal.withColumn("balanced", F.abs(c("length") - c("kept_m") - c("discarded_m") - c("removed")) <= 1e-5)
     short = pieces.filter("NOT kept").select(key, "lo", "hi", F.lit("TOO_SHORT").alias("why"))
     breaks = numbered(inner.select(key, "lo", "hi", F.lit("BARRIER").alias("why")).unionByName(short), "break", "B")
