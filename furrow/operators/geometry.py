@@ -831,8 +831,9 @@ def interface(a: DataFrame, b: DataFrame, reach: float, tol: float, cell: float
     near = segments_within(a.withColumn("a_field", c("field")), b.withColumn("b_field", c("field")), reach, cell, more=(["a_field"], ["b_field"]), ends=True)
     m = near.withColumnsRenamed({**{f"a_{n}": n for n in ("x0", "y0", "x1", "y1")}, "b_x0": "p0", "b_y0": "q0", "b_x1": "p1", "b_y1": "q1"})
     length = X.distance(c("x0"), c("y0"), c("x1"), c("y1"))
-    part = m.filter(c("dist") <= tol).withColumn("ts", capsule_stay(tol)).filter(F.size("ts") > 0)
-    part = part.select("a_field", "b_field", "a_id", "a_seq", (F.array_min("ts") * length).alias("lo"), (F.array_max("ts") * length).alias("hi"))
+    stay = capsule_stay(tol)(*[c(n) for n in ("x0", "y0", "x1", "y1", "p0", "q0", "p1", "q1")])
+    part = m.filter(c("dist") <= tol).withColumn("stay", stay).filter("stay.first IS NOT NULL")
+    part = part.select("a_field", "b_field", "a_id", "a_seq", (c("stay.first") * length).alias("lo"), (c("stay.last") * length).alias("hi"))
     shared = merge_intervals(part, ["a_field", "b_field", "a_id", "a_seq"], tol=1e-9).groupBy("a_field", "b_field").agg(F.sum(c("hi") - c("lo")).alias("near_m"))
     turn = F.degrees(F.atan2(c("y1") - c("y0"), c("x1") - c("x0")))
     best = F.min(F.struct(F.round("dist", 9).alias("dist"), "a_id", "a_seq", "b_id", "b_seq", F.pmod(turn, F.lit(180.0)).alias("direction"))).alias("b")
