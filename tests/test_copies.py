@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from furrow.operators import catalog as C
 from furrow.operators import copies
+from furrow.operators import geometry as G
 
 
 def plan(df):
@@ -43,3 +44,12 @@ def test_models_are_not_dealt_for_each_class_of_contexts(spark):
     got = C.applicability(models, contexts, spark.createDataFrame([], "state string, tag string"))
     assert not re.search(r"hashpartitioning\(c_one#\w+, part#", plan(got)) and "tile" in plan(got)
     assert sorted((r["model_id"], r["context_id"]) for r in got.collect()) == [(m, x) for m in range(9) for x in range(20)]
+
+
+def test_copies_of_segments_are_not_dealt_for_each_pair_of_classes(spark):
+    s = spark.createDataFrame([(k, 1, float(k % 3), 0.0, float(k % 3) + 1.04, 0.3) for k in range(30)], "id long, seq int, x0 double, y0 double, x1 double, y1 double")
+    a, b = s.filter("id % 2 = 0"), s.filter("id % 2 = 1")
+    got = G.copied_segments_within(a, b, 0.5, 5.0, digits=2)
+    assert "__b_id" not in plan(got) and "tile" in plan(got)
+    want = G.segments_within(a, b, 0.5, 5.0).withColumn("dist", F.round("dist", 2))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
