@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.session import ship
+
 c = F.col
 
 
@@ -58,11 +63,39 @@ def signature_ok(content: Column, ext: Column) -> Column:
     return out
 
 
+#: Bytes of a file that a task holds at once.
+PIECE = 1 << 20
+
+
+def _digest() -> Callable[[Column], Column]:
+    """sha256 and the leading bytes of batches of local files, read in pieces."""
+
+    def read(paths: pd.Series) -> pd.DataFrame:
+        out = []
+        for path in paths:
+            told, head = hashlib.sha256(), b""
+            with open("/" + path.removeprefix("file:").lstrip("/"), "rb", buffering=0) as f:
+                while piece := f.read(PIECE):
+                    head = head if len(head) > 15 else (head + piece)[:16]
+                    told.update(piece)
+            out.append((told.hexdigest(), head))
+        return pd.DataFrame(out, columns=["sha256", "head"])
+
+    return F.pandas_udf(read, "sha256 string, head binary")
+
+
 def scan_files(spark: SparkSession, glob: str) -> DataFrame:
-    """path, size, sha256 and whether the leading bytes fit the extension."""
+    """path, size, sha256 and whether the leading bytes fit the extension. Local files are listed by Spark and read in pieces, so
+    a file may be larger than a task's memory; those of other file systems are read whole."""
+    jvm = spark.sparkContext._jvm
+    scheme = jvm.org.apache.hadoop.fs.Path(glob).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
     b = spark.read.format("binaryFile").load(glob)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    return b.select("path", c("length").alias("size"), F.sha2("content", 256).alias("sha256"), signature_ok(c("content"), ext).alias("signature_ok"))
+    told = lambda sha256, head: ("path", c("length").alias("size"), sha256.alias("sha256"), signature_ok(head, ext).alias("signature_ok"))
+    if scheme != "file":
+        return b.select(*told(F.sha2("content", 256), c("content")))
+    ship(spark)
+    return b.select("path", "length", _digest()("path").alias("read")).select(*told(c("read.sha256"), c("read.head")))
 
 
 def find_id_column(df: DataFrame, ids: list[str]) -> DataFrame:
